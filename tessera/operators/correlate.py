@@ -28,11 +28,15 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = 64)
     """``keys, value, rank`` with 1-based average ranks of ``value`` per group."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
     probs = [i / buckets for i in range(1, buckets)]
-    splits = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 10000).alias("splits"))
-    tagged = (counts.join(splits, keys)
-                    .withColumn("bucket", F.size(F.filter("splits", lambda s: s < F.col(value))))
-                    .drop("splits"))
+    if probs:
+        splits = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 10000).alias("splits"))
+        tagged = (counts.join(splits, keys)
+                        .withColumn("bucket", F.size(F.filter(F.coalesce("splits", F.array().cast(
+                            f"array<{counts.schema[value].dataType.simpleString()}>")),
+                            lambda s: s < F.col(value))))
+                        .drop("splits"))
+    else:
+        tagged = counts.withColumn("bucket", F.lit(0))
     within = tagged.withColumn(
         "below_in_bucket",
         F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy(value)

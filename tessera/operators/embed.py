@@ -60,46 +60,51 @@ def _ddl(df: DataFrame, drop: set[str]) -> str:
                      if f.name not in drop)
 
 
-def _bincount(batches, keep: list[str]):
-    """Arrow batches with ``buckets`` (list<int>) and ``dim`` -> dense counts."""
+def token_hashes(text: Column) -> Column:
+    """``int(md5(token)[:7], 16)`` for every word of ``text`` (JVM-side, once
+    per token whatever the number of models)."""
+    return F.transform(T.words(text),
+                       lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int"))
+
+
+def _bincount(batches, keep: list[str], models: list[tuple[str, int]]):
+    """Arrow batches with ``hashes`` (list<int>) -> one dense count vector per
+    (row, model): bucket = hash % dim, counted with one ``np.bincount``."""
     for rb in batches:
         n = rb.num_rows
-        lists = rb.column("buckets")
-        dims = rb.column("dim").to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = rb.column("hashes")
         lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        vals = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        out_off = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum(dims, out=out_off[1:])
+        hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         rows = np.repeat(np.arange(n), lens)
-        dense = np.bincount(out_off[:-1][rows] + vals, minlength=int(out_off[-1])).astype(np.float32)
-        row_of_cell = np.repeat(np.arange(n), dims)
-        sq = dense.astype(np.float64) ** 2
-        norm_sq = np.bincount(row_of_cell, weights=sq, minlength=n)
-        mask = dense > 0
-        pos_in_row = np.arange(int(out_off[-1]), dtype=np.int64) - np.repeat(out_off[:-1], dims)
-        nz_vals = pos_in_row[mask].astype(np.int32)
-        nz_off = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(np.bincount(row_of_cell[mask], minlength=n), out=nz_off[1:])
-        cols = [rb.column(c) for c in keep]
-        cols += [rb.column("dim"),
-                 pa.ListArray.from_arrays(pa.array(out_off.astype(np.int32)), pa.array(dense)),
-                 pa.ListArray.from_arrays(pa.array(nz_off), pa.array(nz_vals, type=pa.int32())),
-                 pa.array(norm_sq)]
-        yield pa.RecordBatch.from_arrays(cols, names=keep + ["dim", "vec", "nz", "norm_sq"])
+        for name, dim in models:
+            dense = np.bincount(rows * dim + hashes % dim, minlength=n * dim).astype(np.float32)
+            mat = dense.reshape(n, dim)
+            norm_sq = np.einsum("ij,ij->i", mat, mat, dtype=np.float64)
+            mask = mat > 0
+            nz_vals = np.nonzero(mask)[1].astype(np.int32)
+            nz_off = np.zeros(n + 1, dtype=np.int32)
+            np.cumsum(mask.sum(axis=1), out=nz_off[1:])
+            vec_off = (np.arange(n + 1, dtype=np.int32) * dim)
+            cols = [rb.column(c) for c in keep]
+            cols += [pa.array(np.full(n, name, dtype=object), type=pa.string()),
+                     pa.array(np.full(n, dim, dtype=np.int32)),
+                     pa.ListArray.from_arrays(pa.array(vec_off), pa.array(dense)),
+                     pa.ListArray.from_arrays(pa.array(nz_off), pa.array(nz_vals, type=pa.int32())),
+                     pa.array(norm_sq)]
+            yield pa.RecordBatch.from_arrays(cols, names=keep + ["model_name", "dim", "vec", "nz", "norm_sq"])
 
 
 def embed_native(units: DataFrame, models: list[HashingModel] = NATIVE_MODELS,
                  text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Embed every unit with every native model (no join: a generator emits one
-    row per model, then one Arrow pass builds the vectors)."""
-    per_model = F.array(*[F.struct(F.lit(m.name).alias("model_name"), F.lit(m.dim).alias("dim"),
-                                   m.bucket_ids(F.col(text_col)).alias("buckets"))
-                          for m in models])
+    """Embed every unit with every native model.  No join and no second pass
+    over the text: token hashes are computed once, and one Arrow pass emits a
+    row per (unit, model)."""
     keys = [c for c in units.columns if c != text_col or keep_text]
-    staged = units.select(*keys, F.inline(per_model))
-    keep = keys + ["model_name"]
-    schema = _ddl(staged, {"buckets", "dim"}) + ", dim int, vec array<float>, nz array<int>, norm_sq double"
-    return staged.mapInArrow(lambda it: _bincount(it, keep), schema)
+    staged = units.select(*keys, token_hashes(F.col(text_col)).alias("hashes"))
+    spec = [(m.name, m.dim) for m in models]
+    schema = (_ddl(staged, {"hashes"}) +
+              ", model_name string, dim int, vec array<float>, nz array<int>, norm_sq double")
+    return staged.mapInArrow(lambda it: _bincount(it, keys, spec), schema)
 
 
 def vectors_from_array(df: DataFrame, model_name: str, vec_col: str = "embedding") -> DataFrame:

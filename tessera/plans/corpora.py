@@ -41,6 +41,11 @@ def source_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 def strict_corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
     docs = balance(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return strict_corpus_of(docs)
+
+
+def strict_corpus_of(docs: DataFrame) -> tuple[Corpus, DataFrame]:
+    """Strict-parse corpus of any ``doc_id, text`` DataFrame (e.g. a micro-batch)."""
     parsed = P.parse_structure(docs)
     paras, sents = P.strict_units(parsed)
     return (Corpus("strict", paras, sents, Q.topic_queries(parsed), per_document_queries=True,

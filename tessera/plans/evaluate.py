@@ -32,7 +32,7 @@ class Options:
     small_max: int = 256
     rows_per_partial: int = 20000
     brute_contrast: bool = False
-    materialize_vectors: bool = False
+    materialize_vectors: bool = True
 
 
 def model_table(spark, models) -> DataFrame:

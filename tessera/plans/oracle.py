@@ -514,6 +514,8 @@ def oracle_queries() -> dict[str, str]:
       FROM {strict_docs} d LEFT JOIN (SELECT doc, count(*) AS n FROM strict_res GROUP BY doc) n USING (doc)""",
                             "strict_res")
 
+    q["stream_ingest"] = build(f"SELECT doc, model_name, {r6('avg_coherence')}, {r6('overall_score')} "
+                               "FROM strict_res", "strict_res")
     q["pairs_scan"] = build(f"SELECT conv_id, turn, {r6('human_score')}, length(text1) AS len1, "
                             f"length(text2) AS len2 FROM pairs", "pairs")
     q["pair_similarity"] = build("SELECT model_name, conv_id, turn, " + ", ".join(

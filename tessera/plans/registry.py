@@ -407,3 +407,17 @@ def comparison_table(spark, sf_dir):
     return (corr.join(dims, "model_name").join(F.broadcast(models), "model_name")
                 .select("model_order", "model_name", "model_id", "pearson_correlation",
                         "spearman_correlation", "embedding_dimension", F.col("n").alias("n_pairs")))
+
+
+# ---------------------------------------------------------------------------
+# streaming ingest: the documents table read as a stream, evaluated per batch
+
+@query("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming import ingest as ST
+    schema = read_table(spark, sf_dir, "documents").select("doc_id", "text").schema
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    q = ST.start(ST.table_stream(spark, sf_dir, schema, "documents.parquet"), out, ckpt)
+    q.awaitTermination()
+    return ST.read_results(spark, out).select("doc", "model_name", "avg_coherence", "overall_score")

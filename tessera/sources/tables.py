@@ -17,5 +17,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_text_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """Each UTF-8 text file is one document: ``doc_id`` = file name."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    return (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
                  .select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text")))
