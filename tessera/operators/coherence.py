@@ -16,27 +16,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 
 VEC = ["vec", "nz", "norm_sq"]
 
 
 def adjacent_similarity(vecs: DataFrame, keys: tuple[str, ...] = ("model_name", "doc"),
-                        block_size: int = 4096) -> DataFrame:
+                        block_size: int = 4096, materialize: bool = True) -> DataFrame:
     """Rows ``keys, major, minor, prev_major, prev_minor, similarity`` for every
-    unit that has a predecessor.  ``similarity`` is NULL for a zero vector."""
+    unit that has a predecessor.  ``similarity`` is NULL for a zero vector.
+
+    The windowed pass feeds three branches (inner pairs, block firsts, block
+    lasts) that Catalyst prunes differently, so the input is checkpointed
+    unless the caller passes an already materialised table."""
     keys = list(keys)
+    if materialize:
+        vecs = cut_lineage(vecs.select(*keys, "major", "minor", *VEC))
     x = vecs.select(*keys, "major", "minor", *VEC) \
             .withColumn("blk", F.floor(F.col("major") / F.lit(block_size)).cast("long"))
     w = Window.partitionBy(*keys, "blk").orderBy("major", "minor")
     prev = {c: F.lag(c).over(w) for c in ["major", "minor", *VEC]}
     lagged = x.select(*keys, "blk", "major", "minor", *VEC,
-                      *[prev[c].alias("p_" + c) for c in prev])
+                      *[prev[c].alias("p_" + c) for c in prev],
+                      F.lead("major").over(w).isNull().alias("is_last"))
 
     inner = lagged.filter(F.col("p_major").isNotNull())
 
-    # block-level stitching
-    last = (x.groupBy(*keys, "blk")
-             .agg(F.max_by(F.struct("major", "minor", *VEC), F.struct("major", "minor")).alias("last")))
+    # block-level stitching, all from the one windowed pass over the vectors
+    last = lagged.filter("is_last").select(
+        *keys, "blk", F.struct("major", "minor", *VEC).alias("last"))
     order = (last.select(*keys, "blk")
                  .withColumn("prev_blk", F.lag("blk").over(Window.partitionBy(*keys).orderBy("blk")))
                  .filter(F.col("prev_blk").isNotNull()))
@@ -47,7 +55,7 @@ def adjacent_similarity(vecs: DataFrame, keys: tuple[str, ...] = ("model_name",
                    .select(*keys, "blk", "major", "minor", *VEC,
                            *[F.col("last." + c).alias("p_" + c) for c in ["major", "minor", *VEC]]))
 
-    pairs = inner.unionByName(edges)
+    pairs = inner.drop("is_last").unionByName(edges)
     return pairs.select(
         *keys, "major", "minor",
         F.col("p_major").alias("prev_major"), F.col("p_minor").alias("prev_minor"),

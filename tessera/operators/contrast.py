@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 
 VEC = ["vec", "nz", "norm_sq"]
 
@@ -38,6 +39,7 @@ def _before(a: str, b: str):
 
 
 def _brute(vecs: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair of a (bounded) group through a self equi-join."""
     a = vecs.select(*keys, *[F.col(c).alias("a_" + c) for c in ["major", "minor", *VEC]])
     b = vecs.select(*keys, *[F.col(c).alias("b_" + c) for c in ["major", "minor", *VEC]])
     sim = V.cosine_between("a_", "b_")
@@ -47,7 +49,14 @@ def _brute(vecs: DataFrame, keys: list[str]) -> DataFrame:
                                  F.sum("sim").alias("s1"), F.sum(F.col("sim") * F.col("sim")).alias("s2")))
 
 
-def _gram_partial(keys: list[str], single_out: bool):
+def _gram_partial(keys: list[str]):
+    """One chunk -> long rows ``keys, kind, pos, x``.
+
+    A group held by a single chunk is finished here (kinds ``n t q s2 g2``);
+    a chunk of a larger group emits its cells (kinds ``s`` and ``g``, the Gram
+    matrix as its upper triangle with off-diagonal cells scaled by sqrt 2) to
+    be added across chunks.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
         mat /= np.sqrt(pdf["norm_sq"].to_numpy(dtype=np.float64))[:, None]
@@ -55,54 +64,57 @@ def _gram_partial(keys: list[str], single_out: bool):
         s = mat.sum(axis=0)
         g = mat.T @ mat
         row_sq = np.einsum("ij,ij->i", mat, mat)
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        out["n"] = [float(len(pdf))]
-        out["t"] = [float(row_sq.sum())]
-        out["q"] = [float((row_sq ** 2).sum())]
-        if single_out:
-            out["s_sq"] = [float(s @ s)]
-            out["g_sq"] = [float((g * g).sum())]
+        kinds = ["n", "t", "q"]
+        xs = [float(len(pdf)), float(row_sq.sum()), float((row_sq ** 2).sum())]
+        pos = [0, 0, 0]
+        if int(pdf["n_chunks"].iloc[0]) <= 1:
+            kinds += ["s2", "g2"]
+            xs += [float(s @ s), float((g * g).sum())]
+            pos += [0, 0]
+            out = pd.DataFrame({"kind": kinds, "pos": pos, "x": xs})
         else:
             iu = np.triu_indices(d)
-            scale = np.where(iu[0] == iu[1], 1.0, math.sqrt(2.0))
-            out["s_arr"] = [s.tolist()]
-            out["g_arr"] = [(g[iu] * scale).tolist()]
-        return pd.DataFrame(out)
+            scale = np.where(iu[0] == iu[1], 1.0, np.sqrt(2.0))
+            cells = g[iu] * scale
+            out = pd.DataFrame({
+                "kind": kinds + ["s"] * d + ["g"] * len(cells),
+                "pos": pos + list(range(d)) + list(range(len(cells))),
+                "x": xs + s.tolist() + cells.tolist()})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out
     return run
 
 
 def _gram(vecs: DataFrame, keys: list[str], rows_per_partial: int) -> DataFrame:
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vecs.schema.fields
                         if f.name in keys)
-    keyed = vecs.withColumn("n_chunks", F.ceil(F.col("n") / F.lit(rows_per_partial)).cast("long"))
-    single = keyed.filter(F.col("n_chunks") <= 1).select(*keys, *VEC)
-    multi = (keyed.filter(F.col("n_chunks") > 1)
-                  .withColumn("salt", F.pmod(F.xxhash64("major", "minor"), F.col("n_chunks")))
-                  .select(*keys, "salt", *VEC))
-
-    one = (single.groupBy(*keys)
-                 .applyInPandas(_gram_partial(keys, True),
-                                f"{key_ddl}, n double, t double, q double, s_sq double, g_sq double"))
-    parts = (multi.groupBy(*keys, "salt")
-                  .applyInPandas(_gram_partial(keys, False),
-                                 f"{key_ddl}, n double, t double, q double, "
-                                 "s_arr array<double>, g_arr array<double>"))
-    scal = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"))
-
-    def cell_sq(col: str, out: str) -> DataFrame:
-        cells = parts.select(*keys, F.posexplode(col).alias("pos", "x"))
-        return (cells.groupBy(*keys, "pos").agg(F.sum("x").alias("x"))
-                     .groupBy(*keys).agg(F.sum(F.col("x") * F.col("x")).alias(out)))
-
-    many = scal.join(cell_sq("s_arr", "s_sq"), keys).join(cell_sq("g_arr", "g_sq"), keys)
-    both = one.unionByName(many.select(*keys, "n", "t", "q", "s_sq", "g_sq"))
-    return both.select(*keys,
-                       (F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"),
-                       ((F.col("s_sq") - F.col("t")) / 2).alias("s1"),
-                       ((F.col("g_sq") - F.col("q")) / 2).alias("s2"))
-
-
-def pair_statistics(vecs: DataFrame, keys: list[str], small_max: int = 256,
+    chunked = (vecs.withColumn("n_chunks", F.ceil(F.col("n") / F.lit(rows_per_partial)).cast("long"))
+                   .withColumn("salt", F.when(F.col("n_chunks") > 1,
+                                              F.pmod(F.xxhash64("major", "minor"), F.col("n_chunks")))
+                                        .otherwise(F.lit(0).cast("long")))
+                   .select(*keys, "salt", "n_chunks", "vec", "norm_sq"))
+    cells = chunked.groupBy(*keys, "salt").applyInPandas(
+        _gram_partial(keys), f"kind string, pos int, x double, {key_ddl}")
+    summed = cells.groupBy(*keys, "kind", "pos").agg(F.sum("x").alias("x"))
+
+    def total(kind):
+        return F.sum(F.when(F.col("kind") == kind, F.col("x")))
+
+    def squares(kind):
+        return F.sum(F.when(F.col("kind") == kind, F.col("x") * F.col("x")))
+
+    per = summed.groupBy(*keys).agg(
+        total("n").alias("n"), total("t").alias("t"), total("q").alias("q"),
+        F.coalesce(total("s2"), squares("s")).alias("s_sq"),
+        F.coalesce(total("g2"), squares("g")).alias("g_sq"))
+    return per.select(*keys,
+                      (F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"),
+                      ((F.col("s_sq") - F.col("t")) / 2).alias("s1"),
+                      ((F.col("g_sq") - F.col("q")) / 2).alias("s2"))
+
+
+def pair_statistics(vecs: DataFrame, keys: list[str], small_max: int = 64,
                     rows_per_partial: int = 20000) -> DataFrame:
     """``keys, n_pairs, s1 = sum(sim), s2 = sum(sim^2)`` over all unordered
     pairs of non-zero vectors in each group (exact; see module doc)."""
@@ -129,15 +141,20 @@ def _moments(prefix: str):
 
 
 def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name", "doc"),
-                     section_col: str = "section", small_max: int = 256,
-                     rows_per_partial: int = 20000, brute: bool = False) -> DataFrame:
+                     section_col: str = "section", small_max: int = 64,
+                     rows_per_partial: int = 20000, brute: bool = False,
+                     materialize: bool = True) -> DataFrame:
     """Within/cross-section similarity per document.
 
     ``vecs`` are section-paragraph vectors (``keys, section, major, minor,
-    vec, nz, norm_sq``).  One row per document with at least one unit; with no
+    vec, nz, norm_sq``); they are checkpointed first unless ``materialize``
+    is off (the caller already holds a materialised table).  One row per document with at least one unit; with no
     pair of a kind its mean and std are 0, as in the evaluated toolkit.
     """
     keys = list(doc_keys)
+    if materialize:
+        # read four times below (units, two group-size passes, two pair passes)
+        vecs = cut_lineage(vecs.select(*keys, section_col, "major", "minor", *VEC))
     stats = (lambda df, k: pair_statistics_brute(df, k)) if brute else \
         (lambda df, k: pair_statistics(df, k, small_max, rows_per_partial))
     base = vecs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"),

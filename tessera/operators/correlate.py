@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, out: str = "pearson_correlation") -> DataFrame:
     return df.groupBy(*keys).agg(
@@ -53,7 +55,10 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = 64)
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "spearman_correlation",
-             buckets: int = 64) -> DataFrame:
+             buckets: int = 64, materialize: bool = True) -> DataFrame:
+    if materialize:
+        # read three times: two rank tables and the final join
+        df = cut_lineage(df.select(*keys, x, y))
     rx = average_ranks(df, keys, x, buckets).withColumnRenamed("rank", "_rx")
     ry = average_ranks(df, keys, y, buckets).withColumnRenamed("rank", "_ry")
     j = df.select(*keys, x, y).join(rx, keys + [x]).join(ry, keys + [y])

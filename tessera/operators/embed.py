@@ -21,12 +21,14 @@ Two kinds of models:
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,20 +63,33 @@ def _ddl(df: DataFrame, drop: set[str]) -> str:
 
 
 def token_hashes(text: Column) -> Column:
-    """``int(md5(token)[:7], 16)`` for every word of ``text`` (JVM-side, once
-    per token whatever the number of models)."""
+    """``int(md5(token)[:7], 16)`` for every word of ``text``, as a Spark
+    expression (reference form; the embedding job hashes in Arrow batches)."""
     return F.transform(T.words(text),
                        lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int"))
 
 
+def _batch_hashes(tokens: pa.Array) -> np.ndarray:
+    """md5 bucket hash of every token of a batch, computing each distinct
+    token once (word frequencies are heavily skewed, so a batch of ~100k
+    tokens has a few thousand distinct ones)."""
+    if len(tokens) == 0:
+        return np.zeros(0, dtype=np.int64)
+    enc = pc.dictionary_encode(tokens)
+    if isinstance(enc, pa.ChunkedArray):
+        enc = enc.combine_chunks()
+    uniq = [int(hashlib.md5(t.encode("utf-8")).hexdigest()[:7], 16) for t in enc.dictionary.to_pylist()]
+    return np.asarray(uniq, dtype=np.int64)[enc.indices.to_numpy(zero_copy_only=False)]
+
+
 def _bincount(batches, keep: list[str], models: list[tuple[str, int]]):
-    """Arrow batches with ``hashes`` (list<int>) -> one dense count vector per
-    (row, model): bucket = hash % dim, counted with one ``np.bincount``."""
+    """Arrow batches with ``tokens`` (list<string>) -> one dense count vector
+    per (row, model): bucket = md5 hash % dim, counted with ``np.bincount``."""
     for rb in batches:
         n = rb.num_rows
-        lists = rb.column("hashes")
+        lists = rb.column("tokens")
         lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        hashes = _batch_hashes(lists.flatten())
         rows = np.repeat(np.arange(n), lens)
         for name, dim in models:
             dense = np.bincount(rows * dim + hashes % dim, minlength=n * dim).astype(np.float32)
@@ -97,12 +112,12 @@ def _bincount(batches, keep: list[str], models: list[tuple[str, int]]):
 def embed_native(units: DataFrame, models: list[HashingModel] = NATIVE_MODELS,
                  text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Embed every unit with every native model.  No join and no second pass
-    over the text: token hashes are computed once, and one Arrow pass emits a
-    row per (unit, model)."""
+    over the text: words are extracted JVM-side, hashed once per distinct
+    token of an Arrow batch, and one pass emits a row per (unit, model)."""
     keys = [c for c in units.columns if c != text_col or keep_text]
-    staged = units.select(*keys, token_hashes(F.col(text_col)).alias("hashes"))
+    staged = units.select(*keys, T.words(F.col(text_col)).alias("tokens"))
     spec = [(m.name, m.dim) for m in models]
-    schema = (_ddl(staged, {"hashes"}) +
+    schema = (_ddl(staged, {"tokens"}) +
               ", model_name string, dim int, vec array<float>, nz array<int>, norm_sq double")
     return staged.mapInArrow(lambda it: _bincount(it, keys, spec), schema)
 
@@ -184,3 +199,30 @@ def embed_with_model(units: DataFrame, model: PandasModel, text_col: str = "text
                     .withColumn("nz", F.when(F.col("vec").isNotNull(), V.nonzero_indices(F.col("vec"))))
                     .withColumn("norm_sq", F.when(F.col("vec").isNotNull(), V.norm_sq(F.col("vec")))))
     return keyed.join(vecs, "text_key").drop("text_key")
+
+
+def python_hashing_factory(model_id: str):
+    """A user-model factory that renders the hashing rule in plain Python
+    (``model_id`` = ``hashing/md5-<dim>``).  It stands in for an external
+    inference library in the ``mapInPandas`` path and must give the same
+    vectors as the native job."""
+    import re as _re
+    dim = int(model_id.rsplit("-", 1)[-1])
+    word = _re.compile(r"[^\W]+")
+
+    def embed(texts):
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for i, t in enumerate(texts):
+            for w in word.findall((t or "").lower()):
+                out[i, int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim] += 1
+        return out
+    return embed
+
+
+def embedding_timing(vectors: DataFrame) -> DataFrame:
+    """Per model: texts embedded, average seconds per text, load seconds, failures."""
+    return vectors.groupBy("model_name").agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.count_if(F.col("error").isNotNull()).alias("n_failed"),
+        F.avg("elapsed_s").alias("average_embedding_time_seconds"),
+        F.max("load_s").alias("load_time_seconds"))

@@ -33,10 +33,11 @@ def query_sentence_similarity(sentence_vecs: DataFrame, query_vecs: DataFrame,
     q = query_vecs.select(*keys, "query_idx", *[F.col(c).alias("q_" + c) for c in ("vec", "nz", "norm_sq")])
     if broadcast_queries:
         q = F.broadcast(q)
-    s = sentence_vecs.select("model_name", "doc", *SENT_ORDER,
+    text = ["text"] if "text" in sentence_vecs.columns else []
+    s = sentence_vecs.select("model_name", "doc", *SENT_ORDER, *text,
                              *[F.col(c).alias("s_" + c) for c in ("vec", "nz", "norm_sq")])
     return (s.join(q, keys)
-             .select("model_name", "doc", "query_idx", *SENT_ORDER,
+             .select("model_name", "doc", "query_idx", *SENT_ORDER, *text,
                      V.cosine_between("s_", "q_").alias("similarity")))
 
 
@@ -46,15 +47,12 @@ def top_k(sims: DataFrame, k: int = L.TOP_K) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def keyword_hits(top: DataFrame, sentences: DataFrame, queries: DataFrame, per_document: bool) -> DataFrame:
-    """Attach sentence text and the query's keywords to the top rows and flag a hit.
-
-    ``queries``: ``[doc,] query_idx, keywords`` (a query set, not per model).
-    """
+def keyword_hits(top: DataFrame, queries: DataFrame, per_document: bool) -> DataFrame:
+    """Attach the query's keywords to the top rows (which carry the sentence
+    text) and flag a hit.  ``queries``: ``[doc,] query_idx, keywords``."""
     qk = ["doc", "query_idx"] if per_document else ["query_idx"]
-    s = sentences.select("doc", *SENT_ORDER, "text")
     q = queries.select(*qk, "keywords")
-    j = top.join(s, ["doc", *SENT_ORDER]).join(q, qk)
+    j = top.join(q, qk)
     return j.withColumn("matched", T.any_keyword_in(F.col("text"), F.col("keywords")))
 
 

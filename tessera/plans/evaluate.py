@@ -29,7 +29,7 @@ from .corpora import Corpus
 class Options:
     models: list = field(default_factory=lambda: list(E.NATIVE_MODELS))
     block_size: int = 4096
-    small_max: int = 256
+    small_max: int = 64
     rows_per_partial: int = 20000
     brute_contrast: bool = False
     materialize_vectors: bool = True
@@ -55,16 +55,27 @@ class DocumentEvaluation:
 
     # -- vectors ---------------------------------------------------------
     def paragraph_vectors(self) -> DataFrame:
+        """One vector per (model, paragraph).  Once a second branch needs them
+        (contrast, or the full evaluation) they are checkpointed and every
+        later reader uses the materialised table."""
+        if "paragraph_vectors_mat" in self._cache:
+            return self._cache["paragraph_vectors_mat"]
+
         def build():
             units = self.corpus.paragraphs.withColumn(
                 "is_section_paragraph", F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS)
-            v = E.embed_native(units, self.o.models)
-            return cut_lineage(v) if self.o.materialize_vectors else v
+            return E.embed_native(units, self.o.models)
         return self._get("paragraph_vectors", build)
 
+    def materialized_paragraph_vectors(self) -> DataFrame:
+        if not self.o.materialize_vectors:
+            return self.paragraph_vectors()
+        return self._get("paragraph_vectors_mat", lambda: cut_lineage(self.paragraph_vectors()))
+
     def sentence_vectors(self) -> DataFrame:
+        # the text rides along so that keyword hits need no join after the top 3
         return self._get("sentence_vectors",
-                         lambda: E.embed_native(self.corpus.sentences, self.o.models))
+                         lambda: E.embed_native(self.corpus.sentences, self.o.models, keep_text=True))
 
     def query_vectors(self) -> DataFrame:
         return self._get("query_vectors",
@@ -74,7 +85,8 @@ class DocumentEvaluation:
     # -- coherence -------------------------------------------------------
     def adjacent(self) -> DataFrame:
         return self._get("adjacent", lambda: C.adjacent_similarity(
-            self.paragraph_vectors(), block_size=self.o.block_size))
+            self.materialized_paragraph_vectors(), block_size=self.o.block_size,
+            materialize=not self.o.materialize_vectors))
 
     def coherence(self) -> DataFrame:
         return self._get("coherence", lambda: C.paragraph_coherence(self.adjacent()))
@@ -82,9 +94,9 @@ class DocumentEvaluation:
     # -- contrast --------------------------------------------------------
     def contrast(self) -> DataFrame:
         return self._get("contrast", lambda: K.section_contrast(
-            self.paragraph_vectors().filter("is_section_paragraph"),
+            self.materialized_paragraph_vectors().filter("is_section_paragraph"),
             small_max=self.o.small_max, rows_per_partial=self.o.rows_per_partial,
-            brute=self.o.brute_contrast))
+            brute=self.o.brute_contrast, materialize=not self.o.materialize_vectors))
 
     # -- search ----------------------------------------------------------
     def similarities(self) -> DataFrame:
@@ -97,11 +109,18 @@ class DocumentEvaluation:
 
     def hits(self) -> DataFrame:
         return self._get("hits", lambda: R.keyword_hits(
-            self.top3(), self.corpus.sentences, self.corpus.queries, self.corpus.per_document_queries))
+            self.top3(), self.corpus.queries, self.corpus.per_document_queries))
 
     def evaluated_docs(self) -> DataFrame:
-        """(model, doc) pairs that get a result: those with a coherence row."""
-        return self.coherence().select("model_name", "doc")
+        """(model, doc) pairs that get a result: documents with at least two
+        paragraphs (exactly those with a coherence row).  Counted on the units,
+        so the vector pipeline is not rebuilt for it."""
+        def build():
+            names = F.array(*[F.lit(m.name) for m in self.o.models])
+            docs = (self.corpus.paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+                    .filter(F.col("n") >= 2))
+            return docs.select(F.explode(names).alias("model_name"), "doc")
+        return self._get("evaluated_docs", build)
 
     def query_precision(self) -> DataFrame:
         return self._get("query_precision", lambda: R.query_precision(
@@ -115,6 +134,7 @@ class DocumentEvaluation:
     def results(self) -> DataFrame:
         def build():
             models = model_table(self.corpus.paragraphs.sparkSession, self.o.models)
+            self.materialized_paragraph_vectors()   # shared by coherence and contrast
             r = S.overall_score(self.coherence(), self.contrast(), self.search())
             return r.join(F.broadcast(models.select("model_name", "model_order", "model_id")), "model_name")
         return self._get("results", build)

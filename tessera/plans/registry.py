@@ -228,12 +228,12 @@ def search_queries_default(spark, sf_dir):
 
 @query("query_sentence_similarity")
 def query_sentence_similarity(spark, sf_dir):
-    return _source_eval(spark, sf_dir).similarities()
+    return _source_eval(spark, sf_dir).similarities().drop("text")
 
 
 @query("search_top3")
 def search_top3(spark, sf_dir):
-    return _source_eval(spark, sf_dir).top3()
+    return _source_eval(spark, sf_dir).top3().drop("text")
 
 
 @query("keyword_hits")
@@ -421,3 +421,15 @@ def stream_ingest(spark, sf_dir):
     q = ST.start(ST.table_stream(spark, sf_dir, schema, "documents.parquet"), out, ckpt)
     q.awaitTermination()
     return ST.read_results(spark, out).select("doc", "model_name", "avg_coherence", "overall_score")
+
+
+# ---------------------------------------------------------------------------
+# user-model embedding job (mapInPandas): timing per model, rows-only check
+
+@query("embedding_timing")
+def embedding_timing(spark, sf_dir):
+    conv = balance(read_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
+    outs = [E.embed_with_model(conv, E.PandasModel(m.name + "-py", m.model_id, E.python_hashing_factory))
+            for m in E.NATIVE_MODELS]
+    v = outs[0].unionByName(outs[1])
+    return E.embedding_timing(v)

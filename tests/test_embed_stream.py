@@ -78,3 +78,16 @@ def test_stream_equals_batch(spark):
     assert streamed == batch and {d for d, _, _ in streamed} == {"a.txt"}
     status = {r.document_name: r.status for r in ST.current_status(spark, out).collect()}
     assert status == {"a.txt": "completed", "b.txt": "error"}
+
+
+def test_python_model_equals_native(spark):
+    from tessera.plans.registry import registry
+    units = spark.createDataFrame([(1, "Straße über a_1 x"), (2, "Hello, hello world!"), (3, "")],
+                                  "id long, text string")
+    py = E.embed_with_model(units, E.PandasModel("p", E.HASH_64.model_id, E.python_hashing_factory))
+    nat = E.embed_native(units, [E.HASH_64])
+    a = {r.id: list(r.vec) for r in py.collect()}
+    b = {r.id: list(r.vec) for r in nat.collect()}
+    assert a == b
+    t = registry()["embedding_timing"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.model_name for r in t} == {"hash-64-py", "hash-256-py"} and all(r.n_failed == 0 for r in t)

@@ -104,12 +104,12 @@ def test_search_ties_and_precision(spark):
     queries = spark.createDataFrame([(0, "alpha beta", ["beta", "x", "y", "z"])],
                                     "query_idx int, query string, keywords array<string>")
     models = [E.HashingModel("h", 16)]
-    sv = E.embed_native(sents, models)
+    sv = E.embed_native(sents, models, keep_text=True)
     qv = E.embed_native(queries, models, text_col="query", keep_text=True)
     top = R.top_k(R.query_sentence_similarity(sv, qv, per_document=False)).collect()
     d = sorted((r.rank, r.major, r.piece) for r in top if r.doc == "d")
     assert d == [(1, 2, 0), (2, 1, 0), (3, 0, 1)]      # ties: later sentence first
-    hits = R.keyword_hits(R.top_k(R.query_sentence_similarity(sv, qv, False)), sents, queries, False)
+    hits = R.keyword_hits(R.top_k(R.query_sentence_similarity(sv, qv, False)), queries, False)
     docs = spark.createDataFrame([("h", "d"), ("h", "e"), ("h", "z")], "model_name string, doc string")
     qp = {r.doc: r.precision for r in R.query_precision(docs, qv, hits, False).collect()}
     assert qp == {"d": 0.75, "e": 0.0, "z": 0.0}        # 3 hits / 4 keywords; no sentence -> 0
