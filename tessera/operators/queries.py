@@ -72,3 +72,14 @@ def passage_queries(passages: DataFrame, id_col: str = "item_id", text_col: str
     return passages.select(F.col(id_col).cast("int").alias("query_idx"),
                            F.col(text_col).alias("query"), kw.alias("keywords")) \
                    .filter(F.size("keywords") > 0)
+
+
+def queries_from_lists(df: DataFrame, queries_col: str = "queries", keywords_col: str = "keywords") -> DataFrame:
+    """A query set given as two parallel lists (one row per set): queries and
+    keyword lists are paired by position and the shorter list wins."""
+    z = F.arrays_zip(F.col(queries_col).alias("query"), F.col(keywords_col).alias("keywords"))
+    n = F.least(F.size(queries_col), F.size(keywords_col))
+    other = [c for c in df.columns if c not in (queries_col, keywords_col)]
+    return (df.select(*other, F.posexplode(F.slice(z, 1, n)).alias("query_idx", "q"))
+              .select(*other, F.col("query_idx").cast("int").alias("query_idx"),
+                      F.col("q.query").alias("query"), F.col("q.keywords").alias("keywords")))

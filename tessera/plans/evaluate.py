@@ -35,6 +35,29 @@ class Options:
     materialize_vectors: bool = True
 
 
+def select_models(models: list, names: list[str] | None) -> list:
+    """Models whose name is listed (all when ``names`` is empty); an unknown
+    selection is an error, as on the command line of the evaluated tool."""
+    if not names:
+        return list(models)
+    chosen = [m for m in models if m.name in set(names)]
+    if not chosen:
+        raise ValueError(f"no valid models selected; available: {[m.name for m in models]}")
+    return chosen
+
+
+def models_for_flag(requests: DataFrame, flag_col: str, full: list, reduced: list) -> DataFrame:
+    """Per request row, the model list chosen by a text flag: absent or one of
+    true/yes/1/on (any case) -> ``full``, else ``reduced``.  A generator, no join."""
+    from ..functions.text import truthy_flag
+
+    def arr(models):
+        return F.array(*[F.struct(F.lit(i).alias("model_order"), F.lit(m.name).alias("model_name"),
+                                  F.lit(m.model_id).alias("model_id")) for i, m in enumerate(models)])
+    chosen = F.when(truthy_flag(F.col(flag_col)), arr(full)).otherwise(arr(reduced))
+    return requests.select("*", F.inline(chosen))
+
+
 def model_table(spark, models) -> DataFrame:
     rows = [(i, m.name, m.model_id, m.dim) for i, m in enumerate(models)]
     return spark.createDataFrame(rows, "model_order int, model_name string, model_id string, dim int")

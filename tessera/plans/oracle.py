@@ -443,6 +443,12 @@ def oracle_queries() -> dict[str, str]:
                                 + ", ".join(f"round(v[{i + 1}], 6) AS v{i}" for i in range(5))
                                 + " FROM v_source_p", "v_source_p")
 
+    q["cosine_scalar"] = build(f"""
+      SELECT a.vec_id, {r6('list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / '
+                          'sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * '
+                          'list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))',
+                          'cosine')}
+      FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
     q["adjacent_similarity"] = build(f"SELECT model_name, doc, major, minor, prev_major, prev_minor, "
                                      f"{r6('similarity')} FROM source_adj", "source_adj")
     q["paragraph_coherence"] = build(f"SELECT {coh_cols} FROM source_coh", "source_coh")

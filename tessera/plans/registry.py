@@ -143,6 +143,17 @@ def vector_preview(spark, sf_dir):
                     *[F.try_element_at("vec", F.lit(i + 1)).cast("double").alias(f"v{i}") for i in range(5)])
 
 
+@query("cosine_scalar")
+def cosine_scalar(spark, sf_dir):
+    """Cosine of each given vector with the next one (equi-join on vec_id + 1),
+    with the plain dense formula."""
+    from ..functions import vectors as V
+    emb = read_table(spark, sf_dir, "embeddings")
+    a = emb.select("vec_id", F.col("embedding").alias("a"))
+    b = emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", V.cosine(F.col("a"), F.col("b")).alias("cosine"))
+
+
 # ---------------------------------------------------------------------------
 # coherence
 

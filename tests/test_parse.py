@@ -90,3 +90,29 @@ def test_topic_queries_kept_when_three(spark):
     assert [r.keywords for r in q] == [["planets", "overview", "information", "details"],
                                        ["ocean", "currents", "information", "details"],
                                        ["mountain", "ranges", "information", "details"]]
+
+
+def test_zip_query_lists(spark):
+    df = spark.createDataFrame([("s", ["q1", "q2", "q3"], [["a"], ["b", "c"]])],
+                               "set string, queries array<string>, keywords array<array<string>>")
+    got = [(r.query_idx, r.query, r.keywords) for r in Q.queries_from_lists(df).orderBy("query_idx").collect()]
+    assert got == [(0, "q1", ["a"]), (1, "q2", ["b", "c"])]     # shorter list wins
+
+
+def test_model_selection(spark):
+    from tessera.operators import embed as E
+    from tessera.plans.evaluate import models_for_flag, select_models
+    from tessera.sources import literals as L
+    assert [m.name for m in select_models(E.NATIVE_MODELS, ["hash-256"])] == ["hash-256"]
+    assert select_models(E.NATIVE_MODELS, None) == E.NATIVE_MODELS
+    import pytest
+    with pytest.raises(ValueError):
+        select_models(E.NATIVE_MODELS, ["nope"])
+    full = [E.HashingModel(n, 8) for n, _ in L.DOCUMENT_MODELS]
+    reduced = [E.HashingModel(n, 8) for n, _ in L.REDUCED_MODELS]
+    req = spark.createDataFrame([("a", None), ("b", "Yes"), ("c", "off")], "doc string, flag string")
+    got = {}
+    for r in models_for_flag(req, "flag", full, reduced).collect():
+        got.setdefault(r.doc, []).append(r.model_name)
+    assert got == {"a": [n for n, _ in L.DOCUMENT_MODELS], "b": [n for n, _ in L.DOCUMENT_MODELS],
+                   "c": ["bge-small-en-v1.5"]}
