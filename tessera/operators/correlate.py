@@ -6,10 +6,10 @@ NULL, not an error, on a constant column (ANSI mode makes ``corr`` throw).
 Spearman is Pearson of average ranks.  A ``rank()`` window per model would
 sort a model's whole pair table in one task, so ranks come from counts: the
 average rank of value ``v`` is ``#(x < v) + (#(x = v) + 1) / 2``.  Distinct
-values (ties collapse, so no hot value) are cut into ``buckets`` ranges by
-approximate quantiles; a running count inside each bucket plus the totals of
-the earlier buckets gives ``#(x < v)`` exactly.  Approximation only affects
-how balanced the buckets are, never the ranks.
+values (ties collapse, so no hot value) are cut into contiguous ranges by a
+range partitioner; a running count inside each range plus the totals of the
+earlier ranges gives ``#(x < v)`` exactly.  Sampling only affects how
+balanced the ranges are, never the ranks.
 """
 
 from __future__ import annotations
@@ -26,19 +26,21 @@ def pearson(df: DataFrame, keys: list[str], x: str, y: str, out: str = "pearson_
         F.count(F.lit(1)).alias("n"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
-    """``keys, value, rank`` with 1-based average ranks of ``value`` per group."""
+def average_ranks(df: DataFrame, keys: list[str], value: str, buckets: int | None = None) -> DataFrame:
+    """``keys, value, rank`` with 1-based average ranks of ``value`` per group.
+
+    Distinct values (with their counts) are range-partitioned on
+    ``(keys, value)`` by Spark's sampling range partitioner, so every
+    partition holds a contiguous, similarly sized slice of the sort order, even
+    when one group holds most rows.  The partition id is the bucket; the slice
+    is frozen by a checkpoint so that both readers see the same buckets.
+    ``buckets`` defaults to ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    probs = [i / buckets for i in range(1, buckets)]
-    if probs:
-        splits = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 10000).alias("splits"))
-        tagged = (counts.join(splits, keys)
-                        .withColumn("bucket", F.size(F.filter(F.coalesce("splits", F.array().cast(
-                            f"array<{counts.schema[value].dataType.simpleString()}>")),
-                            lambda s: s < F.col(value))))
-                        .drop("splits"))
-    else:
-        tagged = counts.withColumn("bucket", F.lit(0))
+    tagged = cut_lineage(counts.repartitionByRange(n_buckets, *keys, value)
+                               .withColumn("bucket", F.spark_partition_id()))
     within = tagged.withColumn(
         "below_in_bucket",
         F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy(value)
@@ -55,7 +57,7 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, buckets: int = 64)
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "spearman_correlation",
-             buckets: int = 64, materialize: bool = True) -> DataFrame:
+             buckets: int | None = None, materialize: bool = True) -> DataFrame:
     if materialize:
         # read three times: two rank tables and the final join
         df = cut_lineage(df.select(*keys, x, y))

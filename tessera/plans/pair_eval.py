@@ -56,7 +56,7 @@ def pair_similarity(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
                     *[F.element_at("a_vec", i + 1).cast("double").alias(f"e1_{i}") for i in range(5)])
 
 
-def correlations(sims: DataFrame, buckets: int = 64) -> DataFrame:
+def correlations(sims: DataFrame, buckets: int | None = None) -> DataFrame:
     """Pearson and Spearman of human score vs similarity per model (pairs
     with an undefined score or similarity are left out)."""
     d = sims.filter(F.col("similarity").isNotNull() & F.col("human_score").isNotNull())

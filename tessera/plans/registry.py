@@ -405,13 +405,13 @@ def pearson_by_model(spark, sf_dir):
 def spearman_by_model(spark, sf_dir):
     from ..operators import correlate as X
     d = _pair_sims(spark, sf_dir).filter("similarity is not null and human_score is not null")
-    return X.spearman(d, ["model_name"], "human_score", "similarity", buckets=8)
+    return X.spearman(d, ["model_name"], "human_score", "similarity")
 
 
 @query("comparison_table")
 def comparison_table(spark, sf_dir):
     sims = _pair_sims(spark, sf_dir)
-    corr = PE.correlations(sims, buckets=8)
+    corr = PE.correlations(sims)
     dims = sims.groupBy("model_name").agg(F.max("embedding_dimension").alias("embedding_dimension"))
     from .evaluate import model_table
     models = model_table(spark, E.NATIVE_MODELS).select("model_name", "model_order", "model_id")
