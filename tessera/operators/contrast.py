@@ -10,8 +10,9 @@ exact O(n d^2) form for unit vectors ``u``:
 * ``sum_{i<j} (u_i.u_j)^2   = (|sum u u^T|_F^2 - sum |u|^4) / 2``
 
 :func:`pair_statistics` picks per group: groups of at most ``small_max``
-vectors are paired by an equi-join (bounded: at most ``small_max^2/2`` pairs
-per group), larger groups build Gram matrices.  A large group is salted into
+vectors are shuffled to one task each and scored with one ``U U^T`` per group
+(bounded: at most ``small_max^2/2`` pairs per group, never materialised as
+rows), larger groups build Gram matrices.  A large group is salted into
 chunks of at most ``rows_per_partial`` rows; each chunk's ``sum u`` and
 ``sum u u^T`` is one numpy call, and chunk sums are added cell by cell in
 Spark, so no group is ever held by one task.  Cross-section numbers are
@@ -24,6 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,71 @@ def _before(a: str, b: str):
         (F.col(a + "major") == F.col(b + "major")) & (F.col(a + "minor") < F.col(b + "minor")))
 
 
+def _small_group_stats(keys: list[str]):
+    """Partition function over rows sorted by ``keys`` (groups are contiguous
+    and may span Arrow batches): per group ``U U^T`` of its unit vectors
+    gives every pair similarity; only the three sums leave the task."""
+    def stats(key, mats, out):
+        u = np.vstack(mats).astype(np.float64)
+        n = u.shape[0]
+        sims = (u @ u.T)[np.triu_indices(n, k=1)]
+        for k, v in zip(keys, key):
+            out[k].append(v)
+        out["n_pairs"].append(float(n * (n - 1) // 2))
+        out["s1"].append(float(sims.sum()))
+        out["s2"].append(float((sims * sims).sum()))
+
+    def run(batches):
+        pending_key, pending = None, []
+        for rb in batches:
+            out = {c: [] for c in keys + ["n_pairs", "s1", "s2"]}
+            n = rb.num_rows
+            if n == 0:
+                continue
+            cols = [rb.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            vec = rb.column("vec")
+            off = vec.offsets.to_numpy()
+            off = off - off[0]
+            flat = vec.flatten().to_numpy(zero_copy_only=False)
+            inv = 1.0 / np.sqrt(rb.column("norm_sq").to_numpy(zero_copy_only=False))
+            change = np.zeros(n, dtype=bool)
+            change[0] = True
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            starts = list(np.nonzero(change)[0]) + [n]
+            for a, b in zip(starts[:-1], starts[1:]):
+                key = tuple(c[a] for c in cols)
+                d = (off[a + 1] - off[a])
+                mat = flat[off[a]:off[b]].reshape(b - a, d) * inv[a:b, None]
+                if key == pending_key:
+                    pending.append(mat)
+                else:
+                    if pending_key is not None:
+                        stats(pending_key, pending, out)
+                    pending_key, pending = key, [mat]
+            if out["s1"]:
+                yield pa.RecordBatch.from_pydict(out)
+        if pending_key is not None:
+            out = {c: [] for c in keys + ["n_pairs", "s1", "s2"]}
+            stats(pending_key, pending, out)
+            yield pa.RecordBatch.from_pydict(out)
+    return run
+
+
+def _small(vecs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pair statistics of groups of bounded size: one shuffle by group key,
+    then a sorted pass per partition (no pair rows are materialised)."""
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vecs.schema.fields
+                        if f.name in keys)
+    ordered = (vecs.select(*keys, "vec", "norm_sq")
+                   .repartition(*[F.col(k) for k in keys])
+                   .sortWithinPartitions(*keys))
+    return ordered.mapInArrow(_small_group_stats(keys),
+                              f"{key_ddl}, n_pairs double, s1 double, s2 double")
+
+
 def _brute(vecs: DataFrame, keys: list[str]) -> DataFrame:
-    """Every pair of a (bounded) group through a self equi-join."""
+    """Every pair of a group through a self equi-join (reference form)."""
     a = vecs.select(*keys, *[F.col(c).alias("a_" + c) for c in ["major", "minor", *VEC]])
     b = vecs.select(*keys, *[F.col(c).alias("b_" + c) for c in ["major", "minor", *VEC]])
     sim = V.cosine_between("a_", "b_")
@@ -123,7 +188,7 @@ def pair_statistics(vecs: DataFrame, keys: list[str], small_max: int = 64,
     tagged = v.join(sizes, keys)
     small = tagged.filter(F.col("n") <= small_max).drop("n")
     big = tagged.filter(F.col("n") > small_max)
-    return _brute(small, keys).unionByName(_gram(big, keys, rows_per_partial))
+    return _small(small, keys).unionByName(_gram(big, keys, rows_per_partial))
 
 
 def pair_statistics_brute(vecs: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,16 +52,13 @@ def default_queries(spark: SparkSession) -> DataFrame:
 
 
 def custom_queries(df: DataFrame, query_col: str = "query", keywords_col: str = "keywords",
-                   order_col: str | None = None) -> DataFrame:
-    """A caller-supplied set ``(query, keywords)``; ``query_idx`` follows
-    ``order_col`` (or the query text) and the first 7 are kept."""
-    from pyspark.sql import Window
-    order = F.col(order_col) if order_col else F.col(query_col)
-    w = Window.orderBy(order)
-    return (df.select(F.col(query_col).alias("query"), F.col(keywords_col).alias("keywords"), order.alias("_o"))
-              .withColumn("query_idx", (F.row_number().over(w) - 1).cast("int"))
-              .filter(F.col("query_idx") < L.MAX_QUERIES)
-              .select("query_idx", "query", "keywords"))
+                   id_col: str | None = None) -> DataFrame:
+    """A caller-supplied set ``(query, keywords)``, used as given: no cap on
+    its size (the 7-query cap applies to generated sets only).  ``query_idx``
+    is the caller's id column, else a unique id assigned without a shuffle."""
+    qid = F.col(id_col) if id_col else F.monotonically_increasing_id()
+    return df.select(qid.cast("long").alias("query_idx"), F.col(query_col).alias("query"),
+                     F.col(keywords_col).alias("keywords"))
 
 
 def passage_queries(passages: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

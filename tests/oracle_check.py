@@ -71,6 +71,14 @@ def main():
             bad += 1
             continue
         t2 = time.time()
+        stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        otypes = dict(zip(ocols, [str(t) for t in rel.types]))
+        norm = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                "int": "INTEGER"}
+        bad_types = {c: (stypes[c], otypes.get(c)) for c in stypes
+                     if norm.get(stypes[c], stypes[c]) != otypes.get(c)}
+        if bad_types:
+            print(f"   TYPES {name}: {bad_types}")
         hs, ls = digest(scols, srows)
         ho, lo = digest(ocols, orows)
         ok = sorted(scols) == sorted(ocols) and len(srows) == len(orows) and hs == ho

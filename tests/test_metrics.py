@@ -113,3 +113,20 @@ def test_search_ties_and_precision(spark):
     docs = spark.createDataFrame([("h", "d"), ("h", "e"), ("h", "z")], "model_name string, doc string")
     qp = {r.doc: r.precision for r in R.query_precision(docs, qv, hits, False).collect()}
     assert qp == {"d": 0.75, "e": 0.0, "z": 0.0}        # 3 hits / 4 keywords; no sentence -> 0
+
+
+def test_small_groups_across_arrow_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"d{i % 3}", f"s{i % 2}", i, 0, list(rng.integers(0, 4, 5).astype(float) + (i % 2)))
+            for i in range(60)]
+    want = _brute_contrast(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = K.section_contrast(_vecs(spark, rows), small_max=64).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r in got:
+        w = want[r.doc]
+        assert (r.n_within_pairs, r.n_cross_pairs) == (w[4], w[5])
+        np.testing.assert_allclose([r.avg_within_section_similarity, r.avg_cross_section_similarity,
+                                    r.within_similarity_std, r.cross_similarity_std], w[:4], atol=1e-9)
