@@ -33,6 +33,7 @@ class Options:
     rows_per_partial: int = 20000
     brute_contrast: bool = False
     materialize_vectors: bool = True
+    observe: bool = False          # progress counters through df.observe
 
 
 def select_models(models: list, names: list[str] | None) -> list:
@@ -76,6 +77,22 @@ class DocumentEvaluation:
             self._cache[name] = build()
         return self._cache[name]
 
+    def _observed(self, name: str, df: DataFrame) -> DataFrame:
+        """Attach progress counters (rows and zero vectors per stage); read
+        them with :meth:`progress` after an action has run."""
+        if not self.o.observe:
+            return df
+        from pyspark.sql import Observation
+        obs = Observation(name)
+        self._observations = getattr(self, "_observations", {})
+        self._observations[name] = obs
+        return df.observe(obs, F.count(F.lit(1)).alias("n_vectors"),
+                          F.count_if(F.col("norm_sq") <= 0).alias("n_zero_vectors"))
+
+    def progress(self) -> dict:
+        """Counters of the stages that have run (the progress hook)."""
+        return {k: o.get for k, o in getattr(self, "_observations", {}).items()}
+
     # -- vectors ---------------------------------------------------------
     def paragraph_vectors(self) -> DataFrame:
         """One vector per (model, paragraph).  Once a second branch needs them
@@ -87,7 +104,7 @@ class DocumentEvaluation:
         def build():
             units = self.corpus.paragraphs.withColumn(
                 "is_section_paragraph", F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS)
-            return E.embed_native(units, self.o.models)
+            return self._observed("paragraph_vectors", E.embed_native(units, self.o.models))
         return self._get("paragraph_vectors", build)
 
     def materialized_paragraph_vectors(self) -> DataFrame:
@@ -97,8 +114,8 @@ class DocumentEvaluation:
 
     def sentence_vectors(self) -> DataFrame:
         # the text rides along so that keyword hits need no join after the top 3
-        return self._get("sentence_vectors",
-                         lambda: E.embed_native(self.corpus.sentences, self.o.models, keep_text=True))
+        return self._get("sentence_vectors", lambda: self._observed(
+            "sentence_vectors", E.embed_native(self.corpus.sentences, self.o.models, keep_text=True)))
 
     def query_vectors(self) -> DataFrame:
         return self._get("query_vectors",

@@ -3,7 +3,7 @@
 from conftest import SAMPLE_DOC
 
 from tessera.plans.corpora import strict_corpus_of
-from tessera.plans.evaluate import DocumentEvaluation
+from tessera.plans.evaluate import DocumentEvaluation, Options
 
 
 def test_sample_document_end_to_end(spark):
@@ -29,3 +29,14 @@ def test_sample_document_end_to_end(spark):
     qp = ev.query_precision().collect()
     for r in qp:
         assert r.keyword_matches <= 3 and r.precision == min(1.0, r.keyword_matches / r.n_keywords)
+
+
+def test_progress_counters(spark):
+    text = open(SAMPLE_DOC, encoding="utf-8").read()
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    corpus, _ = strict_corpus_of(docs)
+    ev = DocumentEvaluation(corpus, Options(observe=True))
+    ev.results().collect()
+    p = ev.progress()
+    assert p["paragraph_vectors"]["n_vectors"] == 7 * 2        # 7 paragraphs x 2 models
+    assert p["sentence_vectors"]["n_vectors"] == 45 * 2
