@@ -39,7 +39,7 @@ def main() -> None:
     from tessera.plans.registry import registry
     from tessera.session import build_session
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus))
     reg = registry()
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
 
