@@ -21,7 +21,6 @@ Spark, so no group is ever held by one task.  Cross-section numbers are
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd

@@ -125,14 +125,12 @@ def embed_native(units: DataFrame, models: list[HashingModel] = NATIVE_MODELS,
 def vectors_from_array(df: DataFrame, model_name: str, vec_col: str = "embedding") -> DataFrame:
     """Precomputed vectors (e.g. the ``embeddings`` table) in vector-table form."""
     v = F.col(vec_col)
-    return (df.withColumn("model_name", F.lit(model_name))
-              .withColumn("dim", F.size(v))
-              .withColumn("vec", v.cast("array<float>"))
-              .withColumn("nz", V.nonzero_indices(v))
-              .withColumn("norm_sq", V.norm_sq(v))
-              .drop(vec_col) if vec_col != "vec" else
-            df.withColumn("model_name", F.lit(model_name)).withColumn("dim", F.size(v))
-              .withColumn("nz", V.nonzero_indices(v)).withColumn("norm_sq", V.norm_sq(v)))
+    out = (df.withColumn("model_name", F.lit(model_name))
+             .withColumn("dim", F.size(v))
+             .withColumn("nz", V.nonzero_indices(v))
+             .withColumn("norm_sq", V.norm_sq(v))
+             .withColumn("vec", v.cast("array<float>")))
+    return out.drop(vec_col) if vec_col != "vec" else out
 
 
 # ---------------------------------------------------------------------------
