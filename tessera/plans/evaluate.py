@@ -154,7 +154,7 @@ class DocumentEvaluation:
     def evaluated_docs(self) -> DataFrame:
         """(model, doc) pairs that get a result: documents with at least two
         paragraphs (exactly those with a coherence row).  Counted on the units,
-        so the vector pipeline is not rebuilt for it."""
+        so the vector plan is not rebuilt for it."""
         def build():
             names = F.array(*[F.lit(m.name) for m in self.o.models])
             docs = (self.corpus.paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
