@@ -34,11 +34,6 @@ from ..session import cut_lineage
 VEC = ["vec", "nz", "norm_sq"]
 
 
-def _before(a: str, b: str):
-    return (F.col(a + "major") < F.col(b + "major")) | (
-        (F.col(a + "major") == F.col(b + "major")) & (F.col(a + "minor") < F.col(b + "minor")))
-
-
 def _small_group_stats(keys: list[str]):
     """Partition function over rows sorted by ``keys`` (groups are contiguous
     and may span Arrow batches): per group ``U U^T`` of its unit vectors
@@ -102,17 +97,6 @@ def _small(vecs: DataFrame, keys: list[str]) -> DataFrame:
                               f"{key_ddl}, n_pairs double, s1 double, s2 double")
 
 
-def _brute(vecs: DataFrame, keys: list[str]) -> DataFrame:
-    """Every pair of a group through a self equi-join (reference form)."""
-    a = vecs.select(*keys, *[F.col(c).alias("a_" + c) for c in ["major", "minor", *VEC]])
-    b = vecs.select(*keys, *[F.col(c).alias("b_" + c) for c in ["major", "minor", *VEC]])
-    sim = V.cosine_between("a_", "b_")
-    return (a.join(b, keys).filter(_before("a_", "b_"))
-             .select(*keys, sim.alias("sim"))
-             .groupBy(*keys).agg(F.count("sim").cast("double").alias("n_pairs"),
-                                 F.sum("sim").alias("s1"), F.sum(F.col("sim") * F.col("sim")).alias("s2")))
-
-
 def _gram_partial(keys: list[str]):
     """One chunk -> long rows ``keys, kind, pos, x``.
 
@@ -190,12 +174,6 @@ def pair_statistics(vecs: DataFrame, keys: list[str], small_max: int = 64,
     return _small(small, keys).unionByName(_gram(big, keys, rows_per_partial))
 
 
-def pair_statistics_brute(vecs: DataFrame, keys: list[str]) -> DataFrame:
-    """Reference form: every pair materialised.  For tests on small inputs."""
-    v = vecs.filter(F.col("norm_sq") > 0).select(*keys, "major", "minor", *VEC)
-    return _brute(v, keys)
-
-
 def _moments(prefix: str):
     n, s1, s2 = (F.col(prefix + c) for c in ("n_pairs", "s1", "s2"))
     avg = F.when(n > 0, s1 / n).otherwise(F.lit(0.0))
@@ -206,8 +184,7 @@ def _moments(prefix: str):
 
 def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name", "doc"),
                      section_col: str = "section", small_max: int = 64,
-                     rows_per_partial: int = 20000, brute: bool = False,
-                     materialize: bool = True) -> DataFrame:
+                     rows_per_partial: int = 20000, materialize: bool = True) -> DataFrame:
     """Within/cross-section similarity per document.
 
     ``vecs`` are section-paragraph vectors (``keys, section, major, minor,
@@ -219,8 +196,9 @@ def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name",
     if materialize:
         # read four times below (units, two group-size passes, two pair passes)
         vecs = cut_lineage(vecs.select(*keys, section_col, "major", "minor", *VEC))
-    stats = (lambda df, k: pair_statistics_brute(df, k)) if brute else \
-        (lambda df, k: pair_statistics(df, k, small_max, rows_per_partial))
+
+    def stats(df, k):
+        return pair_statistics(df, k, small_max, rows_per_partial)
     base = vecs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"),
                                    F.count_if(F.col("norm_sq") <= 0).alias("n_zero_vectors"))
     total = stats(vecs, keys)

@@ -82,15 +82,17 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``tessera`` importable in Python workers (like ``--py-files``).
+    """Make ``tessera`` importable in local-mode Python workers.
 
     Arrow/pandas functions are pickled by reference to this package, so the
-    workers need it.  The zip is built once per driver and distributed by
-    Spark itself.
+    workers need it.  In local mode the zip is built once per driver and
+    handed to Spark (like ``--py-files``).  On a cluster the package is
+    shipped at submit time (``--py-files`` or an installed wheel) and nothing
+    is written here.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
