@@ -152,9 +152,14 @@ class DocumentEvaluation:
 
     def evaluated_docs(self) -> DataFrame:
         """(model, doc) pairs that get a result: documents with at least two
-        paragraphs (exactly those with a coherence row).  Counted on the units,
-        so the vector plan is not rebuilt for it."""
+        paragraphs (exactly those with a coherence row).  Counted on the
+        materialised vector table when there is one (two key columns, no text
+        re-read), else on the units; the vector plan is not rebuilt for it."""
         def build():
+            if "paragraph_vectors_mat" in self._cache:
+                v = self._cache["paragraph_vectors_mat"]
+                return (v.groupBy("model_name", "doc").agg(F.count(F.lit(1)).alias("n"))
+                         .filter(F.col("n") >= 2).select("model_name", "doc"))
             names = F.array(*[F.lit(m.name) for m in self.o.models])
             docs = (self.corpus.paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") >= 2))
