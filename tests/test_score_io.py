@@ -87,3 +87,25 @@ def test_default_models_flag(spark):
     from tessera.functions.text import truthy_flag
     df = spark.createDataFrame([("TRUE",), ("no",), (None,), ("On",), ("0",)], "f string")
     assert [r[0] for r in df.select(truthy_flag(F.col("f"))).collect()] == [True, False, True, True, False]
+
+
+def test_result_files_round_trip(spark, metrics):
+    import os
+    import tempfile
+    from tessera.session import scratch_path
+    flat = metrics.select("model_name", "doc", F.lit("id").alias("model_id"),
+                          *[F.lit(0.0).alias(c) for c in IO.COHERENCE if c != "avg_coherence"], "avg_coherence",
+                          *[F.lit(0.0).alias(c) for c in IO.BOUNDARIES if c != "section_boundary_contrast"],
+                          "section_boundary_contrast",
+                          *[F.lit(0.0).alias(c) for c in IO.SEARCH if c != "semantic_search_precision"],
+                          "semantic_search_precision", "overall_score")
+    folder = tempfile.mkdtemp(prefix="tessera-json-")
+    for r in IO.to_json_documents(IO.nest(flat)).collect():
+        with open(os.path.join(folder, f"{r.doc}.json"), "w") as f:
+            f.write(r.results_json)
+    back = IO.read_results_json(spark, folder).collect()
+    assert {(r.doc, r.model_name) for r in back} == {("doc.json", m) for m, *_ in PUBLISHED}
+    out = scratch_path(spark, "results")
+    IO.write_results(flat, out)
+    again = spark.read.parquet(out).filter("model_name = 'gte-large'").collect()
+    assert len(again) == 1 and abs(again[0].overall_score - 0.49356738448143006) < 1e-15
