@@ -116,3 +116,12 @@ def test_model_selection(spark):
         got.setdefault(r.doc, []).append(r.model_name)
     assert got == {"a": [n for n, _ in L.DOCUMENT_MODELS], "b": [n for n, _ in L.DOCUMENT_MODELS],
                    "c": ["bge-small-en-v1.5"]}
+
+
+def test_strip_matches_python(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions import text as T
+    samples = ["  a b  ", "\x1c\x1dx\x1f", "　y ", "\t\n z \x0b\x0c\r", "", "   ", "\x85q\xa0"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    got = [r[0] for r in df.select(T.strip(F.col("s"))).collect()]
+    assert got == [s.strip() for s in samples]
