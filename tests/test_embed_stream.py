@@ -91,3 +91,21 @@ def test_python_model_equals_native(spark):
     assert a == b
     t = registry()["embedding_timing"](spark, "/root/testdata/sf0.001").collect()
     assert {r.model_name for r in t} == {"hash-64-py", "hash-256-py"} and all(r.n_failed == 0 for r in t)
+
+
+def test_stream_restart_processes_only_new_files(spark):
+    from tessera.session import scratch_path
+    from tessera.streaming import ingest as ST
+    src = tempfile.mkdtemp(prefix="tessera-in2-")
+    text = open(SAMPLE_DOC, encoding="utf-8").read()
+    with open(os.path.join(src, "first.txt"), "w", encoding="utf-8") as f:
+        f.write(text)
+    out, ckpt = scratch_path(spark, "r-out"), scratch_path(spark, "r-ckpt")
+    ST.start(ST.text_file_stream(spark, src), out, ckpt).awaitTermination()
+    with open(os.path.join(src, "second.txt"), "w", encoding="utf-8") as f:
+        f.write(text.replace("Introduction", "Preface"))
+    ST.start(ST.text_file_stream(spark, src), out, ckpt).awaitTermination()   # restart, same checkpoint
+    res = ST.read_results(spark, out)
+    per_epoch = {r.epoch: sorted({x.doc for x in res.filter(f"epoch = {r.epoch}").collect()})
+                 for r in res.select("epoch").distinct().collect()}
+    assert sorted(per_epoch.values()) == [["first.txt"], ["second.txt"]]
