@@ -34,28 +34,40 @@ from ..session import cut_lineage
 VEC = ["vec", "nz", "norm_sq"]
 
 
-def _small_group_stats(keys: list[str]):
+def _small_group_stats(keys: list[str], section_col: str | None = None):
     """Partition function over rows sorted by ``keys`` (groups are contiguous
     and may span Arrow batches): per group ``U U^T`` of its unit vectors
-    gives every pair similarity; only the three sums leave the task."""
-    def stats(key, mats, out):
+    gives every pair similarity; only the sums leave the task.  With
+    ``section_col`` the same matrix also yields the within-section sums."""
+    extra = ["w_n_pairs", "w_s1", "w_s2"] if section_col else []
+    names = keys + ["n_pairs", "s1", "s2"] + extra
+
+    def stats(key, mats, secs, out):
         u = np.vstack(mats).astype(np.float64)
         n = u.shape[0]
-        sims = (u @ u.T)[np.triu_indices(n, k=1)]
+        iu = np.triu_indices(n, k=1)
+        sims = (u @ u.T)[iu]
         for k, v in zip(keys, key):
             out[k].append(v)
         out["n_pairs"].append(float(n * (n - 1) // 2))
         out["s1"].append(float(sims.sum()))
         out["s2"].append(float((sims * sims).sum()))
+        if section_col:
+            sec = np.concatenate(secs)
+            w = sims[sec[iu[0]] == sec[iu[1]]]
+            out["w_n_pairs"].append(float(len(w)))
+            out["w_s1"].append(float(w.sum()))
+            out["w_s2"].append(float((w * w).sum()))
 
     def run(batches):
-        pending_key, pending = None, []
+        pending_key, pending, pending_sec = None, [], []
         for rb in batches:
-            out = {c: [] for c in keys + ["n_pairs", "s1", "s2"]}
+            out = {c: [] for c in names}
             n = rb.num_rows
             if n == 0:
                 continue
             cols = [rb.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            secs = rb.column(section_col).to_numpy(zero_copy_only=False) if section_col else None
             vec = rb.column("vec")
             off = vec.offsets.to_numpy()
             off = off - off[0]
@@ -70,31 +82,35 @@ def _small_group_stats(keys: list[str]):
                 key = tuple(c[a] for c in cols)
                 d = (off[a + 1] - off[a])
                 mat = flat[off[a]:off[b]].reshape(b - a, d) * inv[a:b, None]
+                sec = secs[a:b] if section_col else None
                 if key == pending_key:
                     pending.append(mat)
+                    pending_sec.append(sec)
                 else:
                     if pending_key is not None:
-                        stats(pending_key, pending, out)
-                    pending_key, pending = key, [mat]
+                        stats(pending_key, pending, pending_sec, out)
+                    pending_key, pending, pending_sec = key, [mat], [sec]
             if out["s1"]:
                 yield pa.RecordBatch.from_pydict(out)
         if pending_key is not None:
-            out = {c: [] for c in keys + ["n_pairs", "s1", "s2"]}
-            stats(pending_key, pending, out)
+            out = {c: [] for c in names}
+            stats(pending_key, pending, pending_sec, out)
             yield pa.RecordBatch.from_pydict(out)
     return run
 
 
-def _small(vecs: DataFrame, keys: list[str]) -> DataFrame:
+def _small(vecs: DataFrame, keys: list[str], section_col: str | None = None) -> DataFrame:
     """Pair statistics of groups of bounded size: one shuffle by group key,
     then a sorted pass per partition (no pair rows are materialised)."""
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vecs.schema.fields
                         if f.name in keys)
-    ordered = (vecs.select(*keys, "vec", "norm_sq")
+    sec = [section_col] if section_col else []
+    extra = ", w_n_pairs double, w_s1 double, w_s2 double" if section_col else ""
+    ordered = (vecs.select(*keys, *sec, "vec", "norm_sq")
                    .repartition(*[F.col(k) for k in keys])
                    .sortWithinPartitions(*keys))
-    return ordered.mapInArrow(_small_group_stats(keys),
-                              f"{key_ddl}, n_pairs double, s1 double, s2 double")
+    return ordered.mapInArrow(_small_group_stats(keys, section_col),
+                              f"{key_ddl}, n_pairs double, s1 double, s2 double{extra}")
 
 
 def _gram_partial(keys: list[str]):
@@ -194,17 +210,28 @@ def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name",
     """
     keys = list(doc_keys)
     if materialize:
-        # read four times below (units, two group-size passes, two pair passes)
+        # read several times below (unit counts, group sizes, both pair routes)
         vecs = cut_lineage(vecs.select(*keys, section_col, "major", "minor", *VEC))
 
     def stats(df, k):
         return pair_statistics(df, k, small_max, rows_per_partial)
     base = vecs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"),
                                    F.count_if(F.col("norm_sq") <= 0).alias("n_zero_vectors"))
-    total = stats(vecs, keys)
-    within = (stats(vecs, keys + [section_col])
-              .groupBy(*keys).agg(F.sum("n_pairs").alias("n_pairs"), F.sum("s1").alias("s1"),
-                                  F.sum("s2").alias("s2")))
+    # documents of at most ``small_max`` vectors: document and within-section
+    # sums from one U U^T per document; larger documents: Gram matrices for the
+    # document, pair statistics per section
+    v = vecs.filter(F.col("norm_sq") > 0).select(*keys, section_col, "major", "minor", *VEC)
+    sizes = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    tagged = v.join(sizes, keys)
+    small_docs = _small(tagged.filter(F.col("n") <= small_max).drop("n"), keys, section_col)
+    big = tagged.filter(F.col("n") > small_max)
+    total = small_docs.select(*keys, "n_pairs", "s1", "s2").unionByName(
+        _gram(big, keys, rows_per_partial))
+    big_within = (stats(big.drop("n"), keys + [section_col])
+                  .groupBy(*keys).agg(F.sum("n_pairs").alias("n_pairs"), F.sum("s1").alias("s1"),
+                                      F.sum("s2").alias("s2")))
+    within = small_docs.select(*keys, F.col("w_n_pairs").alias("n_pairs"), F.col("w_s1").alias("s1"),
+                               F.col("w_s2").alias("s2")).unionByName(big_within)
     t = total.select(*keys, *[F.col(c).alias("t_" + c) for c in ("n_pairs", "s1", "s2")])
     w = within.select(*keys, *[F.col(c).alias("w_" + c) for c in ("n_pairs", "s1", "s2")])
     j = base.join(t, keys, "left").join(w, keys, "left").fillna(0.0, subset=[
