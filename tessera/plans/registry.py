@@ -421,17 +421,35 @@ def comparison_table(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # streaming ingest: the documents table read as a stream, evaluated per batch
 
-@query("stream_ingest")
-def stream_ingest(spark, sf_dir):
+def _stream_documents(spark, sf_dir) -> str:
+    """Run the ingest over the documents table as a stream; returns the output folder."""
     from ..session import scratch_path
     from ..streaming import ingest as ST
     schema = read_table(spark, sf_dir, "documents").select("doc_id", "text").schema
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
     q = ST.start(ST.table_stream(spark, sf_dir, schema, "documents.parquet"), out, ckpt)
     q.awaitTermination()
+    return out
+
+
+@query("stream_ingest")
+def stream_ingest(spark, sf_dir):
+    from ..streaming import ingest as ST
+    out = _stream_documents(spark, sf_dir)
     return ST.read_results(spark, out).select("doc", "model_name", "avg_coherence", "overall_score")
 
 
+@query("latest_run")
+def latest_run(spark, sf_dir):
+    """Last evaluated document from the run history the ingest writes
+    (status rows per document and epoch); rows-only, it holds timestamps."""
+    import os
+    out = _stream_documents(spark, sf_dir)
+    hist = spark.read.parquet(os.path.join(out, "status")).select(
+        "document_name", F.col("updated_at").alias("evaluated_at"))
+    return IO.latest_run(hist)
+
+
 # ---------------------------------------------------------------------------
 # user-model embedding job (mapInPandas): timing per model, rows-only check
 
