@@ -130,3 +130,32 @@ def test_small_groups_across_arrow_batches(spark):
         assert (r.n_within_pairs, r.n_cross_pairs) == (w[4], w[5])
         np.testing.assert_allclose([r.avg_within_section_similarity, r.avg_cross_section_similarity,
                                     r.within_similarity_std, r.cross_similarity_std], w[:4], atol=1e-9)
+
+
+def test_hot_document_all_skew_paths(spark):
+    """One document holds a third of all units: coherence runs over many
+    stitched blocks and contrast over many salted Gram chunks, and both still
+    equal brute force."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):                                   # the hot document
+        rows.append(("hot", f"s{i // 37}", i // 4, i % 4, list(rng.integers(0, 3, 8).astype(float) + 0.5)))
+    for d in range(60):                                    # many small documents
+        for i in range(10):
+            rows.append((f"d{d}", f"s{i % 3}", i, 0, list(rng.integers(0, 3, 8).astype(float))))
+    vecs = _vecs(spark, rows)
+    want = _brute_contrast(rows)
+    got = {r.doc: r for r in K.section_contrast(vecs, small_max=8, rows_per_partial=50).collect()}
+    assert set(got) == set(want)
+    for doc, w in want.items():
+        r = got[doc]
+        assert (r.n_within_pairs, r.n_cross_pairs) == (w[4], w[5]), doc
+        np.testing.assert_allclose([r.avg_within_section_similarity, r.avg_cross_section_similarity,
+                                    r.within_similarity_std, r.cross_similarity_std], w[:4], atol=1e-9)
+    hot = sorted(r for r in rows if r[0] == "hot")
+    ordered = sorted(hot, key=lambda r: (r[2], r[3]))
+    want_adj = [_cos(ordered[i - 1][4], ordered[i][4]) for i in range(1, len(ordered))]
+    adj = sorted((r.major, r.minor, r.similarity)
+                 for r in C.adjacent_similarity(vecs, block_size=3).collect() if r.doc == "hot")
+    assert len(adj) == 299
+    np.testing.assert_allclose([a[2] for a in adj], want_adj, atol=1e-12)
