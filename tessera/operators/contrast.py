@@ -225,17 +225,16 @@ def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name",
     tagged = v.join(sizes, keys)
     small_docs = _small(tagged.filter(F.col("n") <= small_max).drop("n"), keys, section_col)
     big = tagged.filter(F.col("n") > small_max)
-    total = small_docs.select(*keys, "n_pairs", "s1", "s2").unionByName(
-        _gram(big, keys, rows_per_partial))
-    big_within = (stats(big.drop("n"), keys + [section_col])
-                  .groupBy(*keys).agg(F.sum("n_pairs").alias("n_pairs"), F.sum("s1").alias("s1"),
-                                      F.sum("s2").alias("s2")))
-    within = small_docs.select(*keys, F.col("w_n_pairs").alias("n_pairs"), F.col("w_s1").alias("s1"),
-                               F.col("w_s2").alias("s2")).unionByName(big_within)
-    t = total.select(*keys, *[F.col(c).alias("t_" + c) for c in ("n_pairs", "s1", "s2")])
-    w = within.select(*keys, *[F.col(c).alias("w_" + c) for c in ("n_pairs", "s1", "s2")])
-    j = base.join(t, keys, "left").join(w, keys, "left").fillna(0.0, subset=[
-        "t_n_pairs", "t_s1", "t_s2", "w_n_pairs", "w_s1", "w_s2"])
+    sums = ("n_pairs", "s1", "s2")
+    # one row per document with document (t_) and within-section (w_) sums;
+    # the small-document kernel output is read once
+    small_tw = small_docs.select(*keys, *[F.col(c).alias("t_" + c) for c in sums],
+                                 *[F.col("w_" + c).alias("w_" + c) for c in sums])
+    big_t = _gram(big, keys, rows_per_partial).select(*keys, *[F.col(c).alias("t_" + c) for c in sums])
+    big_w = (stats(big.drop("n"), keys + [section_col])
+             .groupBy(*keys).agg(*[F.sum(c).alias("w_" + c) for c in sums]))
+    tw = small_tw.unionByName(big_t.join(big_w, keys, "left"))
+    j = base.join(tw, keys, "left").fillna(0.0, subset=[p + c for p in ("t_", "w_") for c in sums])
     j = j.select(*keys, "n_units", "n_zero_vectors",
                  *[F.col("w_" + c).alias("w_" + c) for c in ("n_pairs", "s1", "s2")],
                  *[(F.col("t_" + c) - F.col("w_" + c)).alias("c_" + c) for c in ("n_pairs", "s1", "s2")])
