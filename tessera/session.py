@@ -6,6 +6,7 @@ The library never creates a session on its own inside an operator; callers
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -51,25 +52,70 @@ def build_session(master: str | None = None, app: str = "tessera",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is left alone.  Only
-    when it is unset (unit tests on a laptop) a private folder is chosen.
+    Only in local mode, where one machine is the whole cluster, an unset
+    setting is replaced by a private folder; anywhere else it is an error,
+    since a machine-local folder would lose data with its executor.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """:func:`shared_dir`, also made known to ``DataFrame.checkpoint``."""
+    path = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh sub-folder of the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH[path] = spark
+    return path
+
+
+def drop_scratch() -> None:
+    """Delete the scratch folders that this driver made."""
+    while _SCRATCH:
+        path, spark = _SCRATCH.popitem()
+        try:
+            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: nothing reaches its storage any more
+            continue
+
+
+atexit.register(drop_scratch)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet on the shared folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, survives the loss of
+    executors, and its readers still prune columns and push filters down.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
