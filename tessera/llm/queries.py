@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.dedup import DEDUP_SQL, dedup_report
 from tessera.llm.langid import held_out_languages
 from tessera.llm.packing import pack
 from tessera.llm.quality import held_out_quality
+from tessera.llm.sharding import shard_report
 from tessera.llm.tokencount import count_tokens
 from tessera.sources.tables import read_table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(read_table(spark, sf_dir, "documents"))
 
@@ -28,13 +34,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op4_quality, op6_packing, op8_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_language, op4_quality, op6_packing, op7_exact_dedup, op8_token_counts)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": DEDUP_SQL}
