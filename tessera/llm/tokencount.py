@@ -20,11 +20,20 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space parts a text into units: a word with one space before it, or a run of white space.
-UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Fixed by the vocabulary: how a unit falls apart into pieces.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+")
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def piece_pattern(letters: str, numbers: str, white: str) -> str:
+    """Fixed by the vocabulary: how a text falls apart into pieces, given the characters of each class."""
+    return (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{white}{letters}{numbers}]+"
+            rf"|[{white}]+(?![^{white}])|[{white}]+")
+
+
+PIECES = regex.compile(piece_pattern(r"\p{L}", r"\p{N}", WHITE))
+#: The same for texts of the characters up to U+00FF, which the faster module can do.
+WESTERN = re.compile("[\x00-\xff]*")
+WESTERN_PIECES = re.compile(piece_pattern(r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff",
+                                          r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"))
 
 
 def byte_symbols() -> list[str]:
@@ -49,34 +58,50 @@ class Recent(dict):
         if value is None:
             value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
+            self.make_room(1)
             self[key] = value
         return value
 
+    def make_room(self, entries: int) -> None:
+        if len(self) + entries > self.limit:
+            self.old = dict(self)
+            self.clear()
+
 
-def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
-    """How many of ``symbols`` are left after all merges, lowest rank first, then leftmost."""
+def merge_count(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> int:
+    """How many of ``symbols`` are left after all merges, lowest rank first, then leftmost.
+
+    ``ranks`` has the rank of a pair under ``left << 32 | right``; ``merged``
+    the symbol that each rank makes.  A heap entry is ``rank << 32 | place``.
+    """
     n = left = len(symbols)
-    heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
+    rank = ranks.get
+    pairs = [rank(a << 32 | b, -1) for a, b in zip(symbols, symbols[1:])]
+    pairs.append(-1)
+    heap = [r << 32 | i for i, r in enumerate(pairs) if r >= 0]
     heapq.heapify(heap)
-    symbols = list(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     while heap:
-        _, i, (a, b) = heapq.heappop(heap)
-        j = after[i]
-        if symbols[i] != a or j < 0 or symbols[j] != b:
-            continue  # a neighbour was merged since
-        symbols[i], symbols[j] = a + b, ""
+        entry = heapq.heappop(heap)
+        i = entry & 0xFFFFFFFF
+        if pairs[i] != entry >> 32:
+            continue  # one of the two was merged since
+        symbols[i] = new = merged[entry >> 32]
         left -= 1
+        j = after[i]
+        pairs[j] = -1
         after[i] = k = after[j]
-        if k >= 0:
+        if k < n:
             before[k] = i
-            if (rank := ranks.get(pair := (a + b, symbols[k]))) is not None:
-                heapq.heappush(heap, (rank, i, pair))
-        if (h := before[i]) >= 0 and (rank := ranks.get(pair := (symbols[h], a + b))) is not None:
-            heapq.heappush(heap, (rank, h, pair))
+            pairs[i] = r = rank(new << 32 | symbols[k], -1)
+            if r >= 0:
+                heapq.heappush(heap, r << 32 | i)
+        else:
+            pairs[i] = -1
+        if (h := before[i]) >= 0:
+            pairs[h] = r = rank(symbols[h] << 32 | new, -1)
+            if r >= 0:
+                heapq.heappush(heap, r << 32 | h)
     return left
 
 
@@ -86,25 +111,25 @@ class BytePairCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
+        number = spec["model"]["vocab"]  # numbers stand for symbols; none is given out
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.ranks = {number[a] << 32 | number[b]: i for i, (a, b) in enumerate(merges)}
+        self.merged = [number[a + b] for a, b in merges]
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.symbols = byte_symbols()
-        self.pieces = Recent(self._piece)
-        self.units = Recent(self._unit)
+        self.symbols = [number[c] for c in byte_symbols()]
+        self.pieces = Recent(self._piece, 300_000, 40)
 
     def _piece(self, piece: str) -> int:
-        return merge_count([self.symbols[b] for b in piece.encode()], self.ranks)
-
-    def _unit(self, unit: str) -> int:
-        return sum(map(self.pieces.__getitem__, PIECES.findall(unit)))
+        return merge_count([self.symbols[b] for b in piece.encode()], self.ranks, self.merged)
 
     def count(self, text: str) -> int:
-        if self.special is None or not self.special.search(text):
-            return sum(map(self.units.__getitem__, UNITS.findall(text)))
-        parts = self.special.split(text)
-        return len(parts) - 1 + sum(sum(map(self.units.__getitem__, UNITS.findall(p))) for p in parts)
+        parts = self.special.split(text) if self.special else [text]
+        total = len(parts) - 1
+        for part in parts:
+            pattern = WESTERN_PIECES if WESTERN.fullmatch(part) else PIECES
+            total += sum(map(self.pieces.__getitem__, pattern.findall(part)))
+        return total
 
 
 @functools.cache
