@@ -8,40 +8,145 @@ counts of partly filled windows, or opens a window if that does.
 from __future__ import annotations
 
 import functools
+import json
+import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.tokencount import Recent, vocabulary
+from tessera.llm.tokencount import Recent, byte_symbols, vocabulary
 
 IDS = np.dtype("<u4")
+#: Bytes of text whose parts are encoded at a time.
+PORTION = 1 << 20
 COLUMNS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: Texts of these characters alone are cut into words here; the tokenizer takes parts of others.
+SIMPLE = re.compile("[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+#: Fixed by the vocabulary: how a lower-case text falls apart into words.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xff]+|[0-9]|[^\\s0-9a-z\xdf-\xff]+", re.ASCII)
+LONGEST_WORD = 24
+ASCII_SPACE = re.compile("[\t-\r ]+")
+
+
+class PairMerger:
+    """Byte-pair merges of many words at a time, as arrays: a row for each word, a merge a round in every row."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, vocabulary: dict[str, int], merges: list, suffix: str):
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
+        self.inner = np.array([vocabulary[c] for c in byte_symbols()], dtype=np.int64)
+        self.last = np.array([vocabulary[c + suffix] for c in byte_symbols()], dtype=np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit bytes."""
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        columns, rows = np.arange(width), np.arange(len(words))
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(-1, width)
+        symbols = self.inner[raw]
+        symbols[rows, sizes - 1] = self.last[raw[rows, sizes - 1]]
+        pairs = np.full((len(words), width), self.NONE, dtype=np.int32)
+        pairs[:, :-1] = np.where(columns[1:] < sizes[:, None], self.rank(symbols[:, :-1], symbols[:, 1:]), self.NONE)
+        done: list = [None] * len(words)
+        while True:
+            place = pairs.argmin(axis=1)
+            own = np.arange(len(rows))
+            low = pairs[own, place]
+            over = low == self.NONE
+            if over.any():
+                flat = symbols[over][columns < sizes[over][:, None]].astype(IDS).tobytes()
+                ends = np.cumsum(sizes[over]) * 4
+                for row, start, end in zip(rows[over].tolist(), (ends - sizes[over] * 4).tolist(), ends.tolist()):
+                    done[row] = flat[start:end]
+                live = ~over
+                if not live.any():
+                    return done
+                rows, symbols, pairs, sizes, place, low = (x[live] for x in (rows, symbols, pairs, sizes, place, low))
+                own = np.arange(len(rows))
+            source = np.minimum(columns + (columns > place[:, None]), width - 1)
+            symbols = np.take_along_axis(symbols, source, axis=1)
+            pairs = np.take_along_axis(pairs, source, axis=1)
+            symbols[own, place] = new = self.merged[low]
+            sizes = sizes - 1
+            right = np.minimum(place + 1, width - 1)
+            pairs[own, place] = np.where(place + 1 < sizes, self.rank(new, symbols[own, right]), self.NONE)
+            before = place > 0
+            pairs[own[before], place[before] - 1] = self.rank(symbols[own[before], place[before] - 1], new[before])
+
+
 class WordEncoder:
     """Ids of texts for a vocabulary that drops white space, as little-endian unsigned 32-bit bytes.
 
-    Such a vocabulary treats the parts between white space apart from each
-    other, so the ids of a part are asked for once and kept.
+    The ids of a lower-case word are made once, many words at a time, and kept
+    for a while.  A part of a text with other characters than ``SIMPLE`` ones
+    goes to the tokenizer, since such a vocabulary treats the parts between
+    white space apart from each other.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Recent(self._part)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.merger = PairMerger(model["vocab"], model["merges"], model["end_of_word_suffix"])
+        self.words = Recent(self._library, 300_000, LONGEST_WORD)
 
-    def _part(self, part: bytes) -> bytes:
-        ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+    def _library(self, part: str) -> bytes:
+        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         return np.array(ids, dtype=IDS).tobytes()
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, text.split()))
+    def simple(self, text: str) -> bool:
+        return SIMPLE.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def cut(self, text: str) -> list[str]:
+        """The words of a text, each of which has ids of its own."""
+        if self.simple(text):
+            return WORDS.findall(text.lower())
+        return [w for part in ASCII_SPACE.split(text) if part
+                for w in (WORDS.findall(part.lower()) if self.simple(part) else [part])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(text) for text in texts]
+        new = [w for w in set().union(*cut) - self.words.keys()
+               if len(w) <= LONGEST_WORD and SIMPLE.fullmatch(w) and WORDS.fullmatch(w)]
+        self.words.make_room(len(new))
+        self.words.update(zip(new, self.merger.encode([w.encode() for w in new])))
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+
+
+def portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours that have ``most`` together, or one that has more alone."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 @functools.cache
@@ -136,16 +241,18 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 4096, end_id: i
         first = TaskContext.get().partitionId() << 36
         words, packer = encoder(path), SquaresPacker(window)
         for batch in batches:
-            out: list[tuple] = []
-            texts = batch.column(1).cast(pa.binary())
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                ids = words.encode(texts[i].as_py() or b"") + end
-                tokens = len(ids) // 4
-                for start in range(0, tokens, window):
-                    part = ids[start * 4:(start + window) * 4]
-                    out += packer.place((doc, start, part, tokens), len(part) // 4)
-            if out:
-                yield _batch(out, first)
+            keys, texts = batch.column(0), batch.column(1).fill_null("")
+            for low, high in portions(pc.binary_length(texts).to_pylist(), PORTION):
+                out: list[tuple] = []
+                ids_of = words.encode(texts.slice(low, high - low).to_pylist())
+                for doc, ids in zip(keys.slice(low, high - low).to_pylist(), ids_of):
+                    ids += end
+                    tokens = len(ids) // 4
+                    for start in range(0, tokens, window):
+                        part = ids[start * 4:(start + window) * 4]
+                        out += packer.place((doc, start, part, tokens), len(part) // 4)
+                if out:
+                    yield _batch(out, first)
         if out := packer.close():
             yield _batch(out, first)
 
