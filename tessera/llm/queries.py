@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import find_passages
 from tessera.llm.dedup import DEDUP_SQL, dedup_report
 from tessera.llm.langid import held_out_languages
 from tessera.llm.packing import pack
+from tessera.llm.pii import personal_data_report
 from tessera.llm.quality import held_out_quality
 from tessera.llm.sharding import shard_report
 from tessera.llm.tokencount import count_tokens
@@ -24,6 +26,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -42,8 +48,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_language, op4_quality, op6_packing, op7_exact_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_language, op3_decontamination, op4_quality, op6_packing, op7_exact_dedup,
+                                    op8_token_counts, op9_personal_data)}
 
 
 def llm_oracles() -> dict[str, str]:
