@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import clean_of
+from tessera.llm.dedup import first_of_equal
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
 from tessera.session import materialise
@@ -15,12 +17,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text stays (7)."""
+    return first_of_equal(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark passage occurs go (3)."""
+    return clean_of(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in windows of 4096 tokens (6)."""
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("packing", packing)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("decontamination", decontamination),
+          ("packing", packing)]
 
 #: Compression sizes and alignments are beyond SQL; tests hold the result against brute force.
 ORACLE_SQL = None
