@@ -291,11 +291,15 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def personal_data_report(docs: DataFrame) -> DataFrame:
     """The query: counts and digest of the plain spans, and all spans."""
     found = find_personal_data(docs.select("doc_id", "text")).withColumn(
         "plain", F.filter("spans", lambda s: ~s["added"]))
-    counts = [F.size(F.filter("plain", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("plain", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("plain")), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"),
                         F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"))
