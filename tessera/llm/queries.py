@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import find_passages
 from tessera.llm.dedup import DEDUP_SQL, dedup_report
+from tessera.llm.jaccard import jaccard_report
 from tessera.llm.langid import held_out_languages
 from tessera.llm.packing import pack
 from tessera.llm.pii import personal_data_report
@@ -52,9 +53,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_report(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_language, op3_decontamination, op4_quality, op6_packing, op7_exact_dedup,
-                                    op8_token_counts, op9_personal_data)}
+                                    op8_token_counts, op9_personal_data, op10_jaccard_join)}
 
 
 def llm_oracles() -> dict[str, str]:
