@@ -11,6 +11,7 @@ from tessera.llm.decontaminate import find_passages
 from tessera.llm.dedup import DEDUP_SQL, dedup_report
 from tessera.llm.jaccard import jaccard_report
 from tessera.llm.langid import held_out_languages
+from tessera.llm.lm_score import language_model_report
 from tessera.llm.packing import pack
 from tessera.llm.pii import personal_data_report
 from tessera.llm.quality import held_out_quality
@@ -35,6 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
@@ -58,8 +63,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_language, op3_decontamination, op4_quality, op6_packing, op7_exact_dedup,
-                                    op8_token_counts, op9_personal_data, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_sharding, op2_language, op3_decontamination, op4_quality, op5_lm_score, op6_packing,
+                                    op7_exact_dedup, op8_token_counts, op9_personal_data, op10_jaccard_join)}
 
 
 def llm_oracles() -> dict[str, str]:
