@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import clean_of
 from tessera.llm.dedup import first_of_equal
+from tessera.llm.jaccard import one_of_each
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
 from tessera.session import materialise
@@ -22,6 +23,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return first_of_equal(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays (10): five-word shingles, a similarity of 0.8 or more."""
+    return one_of_each(docs, words=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark passage occurs go (3)."""
     return clean_of(docs, read_table(spark, sf_dir, "benchmark"))
@@ -32,8 +38,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("decontamination", decontamination),
-          ("packing", packing)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("decontamination", decontamination), ("packing", packing)]
 
 #: Compression sizes and alignments are beyond SQL; tests hold the result against brute force.
 ORACLE_SQL = None
