@@ -1,65 +1,120 @@
 """Paragraph coherence: similarity of each paragraph to the previous one.
 
-Order inside a document is ``(major, minor)``.  A plain ``lag`` over
+Order inside a document is ``(major, minor)``.  A ``lag`` over
 ``partitionBy(model, doc)`` would put a whole document in one task, and one
-document may hold a third of the corpus.  So the order key is cut into blocks
-of ``block_size`` consecutive ``major`` values: ``lag`` runs inside
-``(model, doc, block)``, and the first unit of each block is stitched to the
-last unit of the previous non-empty block with equi-joins on block-level
-tables (one row per block).  Coherence crosses section boundaries, like the
-evaluated toolkit.
+document may hold a third of the corpus.  So the vectors are range-partitioned
+on ``(model, doc, major, minor)`` -- one shuffle, balanced by Spark's sampling
+whatever the order keys are -- and one sorted pass compares neighbours.  It
+also gives each range's first and last vector, a row each, with which the
+pairs across range borders are completed.  Coherence crosses section
+boundaries, like the evaluated toolkit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import cut_lineage
+from ..session import materialise
+
+PAIR, FIRST, LAST = 0, 1, 2
+NEIGHBOURS = ("range int, kind int, major long, minor long, prev_major long, prev_minor long, similarity double, "
+              "vec array<float>, norm_sq double")
+
+
+def _similarities(batch: pa.RecordBatch) -> np.ndarray:
+    """Cosine of each row's vector with the row before; NaN where one is zero or missing, or sizes differ."""
+    n = batch.num_rows
+    out = np.full(n, np.nan)
+    column = batch.column("vec")
+    norms = batch.column("norm_sq").fill_null(0.0).to_numpy(zero_copy_only=False)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+    # runs of vectors of one size are one matrix
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), n]
+    for a, b in zip(cuts, cuts[1:]):
+        if sizes[a] and b - a > 1:
+            rows = flat[starts[a]:starts[a] + sizes[a] * (b - a)].reshape(b - a, -1)
+            norm = norms[a + 1:b] * norms[a:b - 1]
+            dots = np.einsum("ij,ij->i", rows[1:], rows[:-1])
+            np.divide(dots, np.sqrt(norm), out=out[a + 1:b], where=norm > 0)
+    return out
 
-VEC = ["vec", "nz", "norm_sq"]
+
+def _neighbours(keys: list[str]):
+    """Sorted rows of a range -> a row for each neighbouring pair, and the range's first and last row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        before = None
+
+        def rows(batch: pa.RecordBatch, kind: int, previous: pa.RecordBatch | None, similarity) -> pa.RecordBatch:
+            n = batch.num_rows
+            nothing = pa.nulls(n, pa.int64())
+            whole = kind != PAIR
+            return pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), pa.array([number] * n, pa.int32()), pa.array([kind] * n, pa.int32()),
+                 batch.column("major"), batch.column("minor"),
+                 previous.column("major") if previous is not None else nothing,
+                 previous.column("minor") if previous is not None else nothing,
+                 pa.array(similarity, pa.float64(), from_pandas=True) if similarity is not None
+                 else pa.nulls(n, pa.float64()),
+                 batch.column("vec") if whole else pa.nulls(n, batch.schema.field("vec").type),
+                 batch.column("norm_sq") if whole else pa.nulls(n, pa.float64())],
+                names=[*keys, "range", "kind", "major", "minor", "prev_major", "prev_minor", "similarity", "vec", "norm_sq"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if before is None:
+                yield rows(batch.slice(0, 1), FIRST, None, None)
+                joined = batch
+            else:
+                joined = pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
+            before = batch.slice(batch.num_rows - 1)
+            same = np.ones(joined.num_rows - 1, dtype=bool)
+            for k in keys:
+                values = joined.column(k).to_numpy(zero_copy_only=False)
+                same &= values[1:] == values[:-1]
+            own = np.flatnonzero(same)
+            if len(own):
+                yield rows(joined.take(own + 1), PAIR, joined.take(own), _similarities(joined)[own + 1])
+        if before is not None:
+            yield rows(before, LAST, None, None)
+    return run
 
 
 def adjacent_similarity(vecs: DataFrame, keys: tuple[str, ...] = ("model_name", "doc"),
-                        block_size: int = 4096, materialize: bool = True) -> DataFrame:
+                        ranges: int | None = None) -> DataFrame:
     """Rows ``keys, major, minor, prev_major, prev_minor, similarity`` for every
     unit that has a predecessor.  ``similarity`` is NULL for a zero vector.
 
-    The windowed pass feeds three branches (inner pairs, block firsts, block
-    lasts) that Catalyst prunes differently, so the input is checkpointed
-    unless the caller passes an already materialised table."""
+    ``ranges`` defaults to ``spark.sql.shuffle.partitions``.  The result of the
+    pass, without the vectors, is written and read back.
+    """
     keys = list(keys)
-    if materialize:
-        vecs = cut_lineage(vecs.select(*keys, "major", "minor", *VEC))
-    x = vecs.select(*keys, "major", "minor", *VEC) \
-            .withColumn("blk", F.floor(F.col("major") / F.lit(block_size)).cast("long"))
-    w = Window.partitionBy(*keys, "blk").orderBy("major", "minor")
-    prev = {c: F.lag(c).over(w) for c in ["major", "minor", *VEC]}
-    lagged = x.select(*keys, "blk", "major", "minor", *VEC,
-                      *[prev[c].alias("p_" + c) for c in prev],
-                      F.lead("major").over(w).isNull().alias("is_last"))
-
-    inner = lagged.filter(F.col("p_major").isNotNull())
-
-    # block-level stitching, all from the one windowed pass over the vectors
-    last = lagged.filter("is_last").select(
-        *keys, "blk", F.struct("major", "minor", *VEC).alias("last"))
-    order = (last.select(*keys, "blk")
-                 .withColumn("prev_blk", F.lag("blk").over(Window.partitionBy(*keys).orderBy("blk")))
-                 .filter(F.col("prev_blk").isNotNull()))
-    firsts = lagged.filter(F.col("p_major").isNull()).select(*keys, "blk", "major", "minor", *VEC)
-    prev_last = last.select(*keys, F.col("blk").alias("prev_blk"), "last")
-    edges = (firsts.join(order, keys + ["blk"])
-                   .join(prev_last, keys + ["prev_blk"])
-                   .select(*keys, "blk", "major", "minor", *VEC,
-                           *[F.col("last." + c).alias("p_" + c) for c in ["major", "minor", *VEC]]))
-
-    pairs = inner.drop("is_last").unionByName(edges)
-    return pairs.select(
-        *keys, "major", "minor",
-        F.col("p_major").alias("prev_major"), F.col("p_minor").alias("prev_minor"),
-        V.cosine_between("", "p_").alias("similarity"))
+    spark = vecs.sparkSession
+    order = [*keys, "major", "minor"]
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vecs.select(*keys).schema.fields)
+    found = materialise(vecs.select(*order, "vec", "norm_sq").repartitionByRange(n, *order).sortWithinPartitions(*order)
+                        .mapInArrow(_neighbours(keys), f"{typed}, {NEIGHBOURS}"), "adjacent")
+    # across borders: the last row of the nearest range before that ends in the same document
+    earlier = Window.partitionBy(*keys).orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.when(F.col("kind") == LAST, F.struct("major", "minor", "vec", "norm_sq"))
+    edges = (found.where(F.col("kind") != PAIR)
+             .withColumn("p", F.last(last, ignorenulls=True).over(earlier))
+             .where((F.col("kind") == FIRST) & F.col("p").isNotNull()))
+    columns = [*order, "prev_major", "prev_minor", "similarity"]
+    across = edges.select(*order, F.col("p.major").alias("prev_major"), F.col("p.minor").alias("prev_minor"),
+                          V.cosine(F.col("vec"), F.col("p.vec"), F.col("norm_sq"), F.col("p.norm_sq")).alias("similarity"))
+    return found.where(F.col("kind") == PAIR).select(*columns).unionByName(across)
 
 
 def paragraph_coherence(adjacent: DataFrame, keys: tuple[str, ...] = ("model_name", "doc")) -> DataFrame:

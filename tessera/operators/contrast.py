@@ -13,23 +13,24 @@ exact O(n d^2) form for unit vectors ``u``:
 vectors are shuffled to one task each and scored with one ``U U^T`` per group
 (bounded: at most ``small_max^2/2`` pairs per group, never materialised as
 rows), larger groups build Gram matrices.  A large group is salted into
-chunks of at most ``rows_per_partial`` rows; each chunk's ``sum u`` and
-``sum u u^T`` is one numpy call, and chunk sums are added cell by cell in
-Spark, so no group is ever held by one task.  Cross-section numbers are
-``document - within-section``.
+chunks of about ``rows_per_partial`` rows, which an exchange of their own deals
+out; each chunk's ``sum u`` and ``sum u u^T`` is one numpy call, and chunk sums
+are added cell by cell in Spark, so no group is ever held by one task.
+Cross-section numbers are ``document - within-section``; where a document has
+few cross pairs among very many, that difference has fewer exact digits.
+
+Numbers of pairs are exact: ``decimal(38,0)`` holds those of 1e19 vectors.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
-from ..session import cut_lineage
+from ..session import materialise
 
 VEC = ["vec", "nz", "norm_sq"]
 
@@ -157,7 +158,10 @@ def _gram(vecs: DataFrame, keys: list[str], rows_per_partial: int) -> DataFrame:
                    .withColumn("salt", F.when(F.col("n_chunks") > 1,
                                               F.pmod(F.xxhash64("major", "minor"), F.col("n_chunks")))
                                         .otherwise(F.lit(0).cast("long")))
-                   .select(*keys, "salt", "n_chunks", "vec", "norm_sq"))
+                   .select(*keys, "salt", "n_chunks", "vec", "norm_sq")
+                   # without an exchange on the salt too, a sort-merge join's partitioning by ``keys``
+                   # would satisfy the grouping and keep all chunks of a group in one task
+                   .repartition(*[F.col(k) for k in keys], F.col("salt")))
     cells = chunked.groupBy(*keys, "salt").applyInPandas(
         _gram_partial(keys), f"kind string, pos int, x double, {key_ddl}")
     summed = cells.groupBy(*keys, "kind", "pos").agg(F.sum("x").alias("x"))
@@ -172,12 +176,21 @@ def _gram(vecs: DataFrame, keys: list[str], rows_per_partial: int) -> DataFrame:
         total("n").alias("n"), total("t").alias("t"), total("q").alias("q"),
         F.coalesce(total("s2"), squares("s")).alias("s_sq"),
         F.coalesce(total("g2"), squares("g")).alias("g_sq"))
-    return per.select(*keys,
-                      (F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"),
+    return per.select(*keys, pairs_of(F.col("n").cast("long")).alias("n_pairs"),
                       ((F.col("s_sq") - F.col("t")) / 2).alias("s1"),
                       ((F.col("g_sq") - F.col("q")) / 2).alias("s2"))
 
 
+PAIRS = "decimal(38,0)"
+
+
+def pairs_of(n: Column) -> Column:
+    """n (n - 1) / 2 of a long, exact and without overflow: the even factor is halved first."""
+    halved = F.when(n % 2 == 0, F.shiftright(n, 1)).otherwise(n)
+    other = F.when(n % 2 == 0, n - 1).otherwise(F.shiftright(n - 1, 1))
+    return (halved.cast("decimal(19,0)") * other.cast("decimal(19,0)")).cast(PAIRS)
+
+
 def pair_statistics(vecs: DataFrame, keys: list[str], small_max: int = 64,
                     rows_per_partial: int = 20000) -> DataFrame:
     """``keys, n_pairs, s1 = sum(sim), s2 = sum(sim^2)`` over all unordered
@@ -187,11 +200,12 @@ def pair_statistics(vecs: DataFrame, keys: list[str], small_max: int = 64,
     tagged = v.join(sizes, keys)
     small = tagged.filter(F.col("n") <= small_max).drop("n")
     big = tagged.filter(F.col("n") > small_max)
-    return _small(small, keys).unionByName(_gram(big, keys, rows_per_partial))
+    small = _small(small, keys).withColumn("n_pairs", F.col("n_pairs").cast(PAIRS))
+    return small.unionByName(_gram(big, keys, rows_per_partial))
 
 
 def _moments(prefix: str):
-    n, s1, s2 = (F.col(prefix + c) for c in ("n_pairs", "s1", "s2"))
+    n, s1, s2 = (F.col(prefix + c).cast("double") for c in ("n_pairs", "s1", "s2"))
     avg = F.when(n > 0, s1 / n).otherwise(F.lit(0.0))
     var = F.when(n > 0, F.greatest(s2 / n - (s1 / n) * (s1 / n), F.lit(0.0)))
     std = F.when(n > 0, F.sqrt(var)).otherwise(F.lit(0.0))
@@ -204,14 +218,15 @@ def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name",
     """Within/cross-section similarity per document.
 
     ``vecs`` are section-paragraph vectors (``keys, section, major, minor,
-    vec, nz, norm_sq``); they are checkpointed first unless ``materialize``
-    is off (the caller already holds a materialised table).  One row per document with at least one unit; with no
-    pair of a kind its mean and std are 0, as in the evaluated toolkit.
+    vec, nz, norm_sq``); they are written first unless ``materialize`` is off
+    (the caller already holds a materialised table).  One row per document with
+    at least one unit; with no pair of a kind its mean and std are 0, as in the
+    evaluated toolkit.
     """
     keys = list(doc_keys)
     if materialize:
         # read several times below (unit counts, group sizes, both pair routes)
-        vecs = cut_lineage(vecs.select(*keys, section_col, "major", "minor", *VEC))
+        vecs = materialise(vecs.select(*keys, section_col, "major", "minor", *VEC), "contrast-vectors")
 
     def stats(df, k):
         return pair_statistics(df, k, small_max, rows_per_partial)
@@ -230,11 +245,16 @@ def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name",
     # the small-document kernel output is read once
     small_tw = small_docs.select(*keys, *[F.col(c).alias("t_" + c) for c in sums],
                                  *[F.col("w_" + c).alias("w_" + c) for c in sums])
+    for c in ("t_n_pairs", "w_n_pairs"):
+        small_tw = small_tw.withColumn(c, F.col(c).cast(PAIRS))
     big_t = _gram(big, keys, rows_per_partial).select(*keys, *[F.col(c).alias("t_" + c) for c in sums])
     big_w = (stats(big.drop("n"), keys + [section_col])
-             .groupBy(*keys).agg(*[F.sum(c).alias("w_" + c) for c in sums]))
+             .groupBy(*keys).agg(F.sum("n_pairs").cast(PAIRS).alias("w_n_pairs"),
+                                 *[F.sum(c).alias("w_" + c) for c in ("s1", "s2")]))
     tw = small_tw.unionByName(big_t.join(big_w, keys, "left"))
-    j = base.join(tw, keys, "left").fillna(0.0, subset=[p + c for p in ("t_", "w_") for c in sums])
+    j = base.join(tw, keys, "left").select(
+        *keys, "n_units", "n_zero_vectors",
+        *[F.coalesce(p + c, F.lit(0).cast(tw.schema[p + c].dataType)).alias(p + c) for p in ("t_", "w_") for c in sums])
     j = j.select(*keys, "n_units", "n_zero_vectors",
                  *[F.col("w_" + c).alias("w_" + c) for c in ("n_pairs", "s1", "s2")],
                  *[(F.col("t_" + c) - F.col("w_" + c)).alias("c_" + c) for c in ("n_pairs", "s1", "s2")])
@@ -242,8 +262,8 @@ def section_contrast(vecs: DataFrame, doc_keys: tuple[str, ...] = ("model_name",
     c_avg, c_std = _moments("c_")
     return j.select(
         *keys, "n_units", "n_zero_vectors",
-        F.round(F.col("w_n_pairs")).cast("long").alias("n_within_pairs"),
-        F.round(F.col("c_n_pairs")).cast("long").alias("n_cross_pairs"),
+        F.col("w_n_pairs").cast(PAIRS).alias("n_within_pairs"),
+        F.col("c_n_pairs").cast(PAIRS).alias("n_cross_pairs"),
         w_avg.alias("avg_within_section_similarity"),
         c_avg.alias("avg_cross_section_similarity"),
         (w_avg - c_avg).alias("section_boundary_contrast"),

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialise
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, out: str = "pearson_correlation") -> DataFrame:
@@ -33,14 +33,14 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, buckets: int | Non
     ``(keys, value)`` by Spark's sampling range partitioner, so every
     partition holds a contiguous, similarly sized slice of the sort order, even
     when one group holds most rows.  The partition id is the bucket; the slice
-    is frozen by a checkpoint so that both readers see the same buckets.
+    is frozen by writing it, so that both readers see the same buckets.
     ``buckets`` defaults to ``spark.sql.shuffle.partitions``.
     """
     spark = df.sparkSession
     n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    tagged = cut_lineage(counts.repartitionByRange(n_buckets, *keys, value)
-                               .withColumn("bucket", F.spark_partition_id()))
+    tagged = materialise(counts.repartitionByRange(n_buckets, *keys, value)
+                               .withColumn("bucket", F.spark_partition_id()), "rank-buckets")
     within = tagged.withColumn(
         "below_in_bucket",
         F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy(value)
@@ -60,7 +60,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "spearma
              buckets: int | None = None, materialize: bool = True) -> DataFrame:
     if materialize:
         # read three times: two rank tables and the final join
-        df = cut_lineage(df.select(*keys, x, y))
+        df = materialise(df.select(*keys, x, y), "rank-input")
     rx = average_ranks(df, keys, x, buckets).withColumnRenamed("rank", "_rx")
     ry = average_ranks(df, keys, y, buckets).withColumnRenamed("rank", "_ry")
     j = df.select(*keys, x, y).join(rx, keys + [x]).join(ry, keys + [y])

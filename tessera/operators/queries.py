@@ -21,10 +21,10 @@ def _literal_set(pairs) -> "F.Column":
                      for q, kws in pairs])
 
 
-def topic_queries(parsed: DataFrame) -> DataFrame:
-    """Per document: a query for each of the first 5 section headers that
-    yields keywords; fewer than 3 such queries -> the 5 generic queries.
-    Row-local: the decision needs only the document's own sections."""
+def chosen_queries() -> "F.Column":
+    """From the column ``sections``: a query for each of the first 5 section
+    headers that yields keywords; fewer than 3 such queries -> the 5 generic
+    queries.  Row-local: the decision needs only the document's own sections."""
     def one(s):
         topic = s["header"]
         kw = T.topic_keywords(topic)
@@ -39,8 +39,13 @@ def topic_queries(parsed: DataFrame) -> DataFrame:
                                           F.concat(q["kw"], extra).alias("keywords")))
     chosen = F.when(F.size(kept) >= L.MIN_TOPIC_QUERIES, kept) \
               .otherwise(_literal_set(L.GENERIC_QUERIES))
+    return F.slice(chosen, 1, L.MAX_QUERIES)
+
+
+def topic_queries(parsed: DataFrame) -> DataFrame:
+    """One row per document and chosen query."""
     return (parsed.select(F.col("doc_id").cast("string").alias("doc"),
-                          F.posexplode(F.slice(chosen, 1, L.MAX_QUERIES)).alias("query_idx", "q"))
+                          F.posexplode(chosen_queries()).alias("query_idx", "q"))
                   .select("doc", F.col("query_idx").cast("int").alias("query_idx"),
                           F.col("q.query").alias("query"), F.col("q.keywords").alias("keywords")))
 
@@ -64,11 +69,11 @@ def custom_queries(df: DataFrame, query_col: str = "query", keywords_col: str =
 def passage_queries(passages: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Queries from reference passages (e.g. the ``benchmark`` table): the
     passage is the query and its distinct keyword-rule words are the expected
-    keywords.  Every passage is kept: one query per passage."""
+    keywords.  Every passage is kept: one query per passage; one without
+    keywords has no precision."""
     kw = F.array_distinct(T.topic_keywords(F.col(text_col)))
     return passages.select(F.col(id_col).cast("int").alias("query_idx"),
-                           F.col(text_col).alias("query"), kw.alias("keywords")) \
-                   .filter(F.size("keywords") > 0)
+                           F.col(text_col).alias("query"), kw.alias("keywords"))
 
 
 def queries_from_lists(df: DataFrame, queries_col: str = "queries", keywords_col: str = "keywords") -> DataFrame:

@@ -11,7 +11,11 @@ per-task top 3.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,8 +30,9 @@ def query_sentence_similarity(sentence_vecs: DataFrame, query_vecs: DataFrame,
     """Similarity of every query with every sentence of the same document.
 
     ``query_vecs``: ``model_name, [doc,] query_idx, vec, nz, norm_sq``.  A
-    global query set joins on the model only; ``broadcast_queries`` is set by
-    callers only for sets of proven size (the literal default set).
+    global query set joins on the model only, so it must be the literal default
+    set, for which callers set ``broadcast_queries``; sets of any size go
+    through :func:`top_k_in_blocks`.
     """
     keys = ["model_name", "doc"] if per_document else ["model_name"]
     q = query_vecs.select(*keys, "query_idx", *[F.col(c).alias("q_" + c) for c in ("vec", "nz", "norm_sq")])
@@ -47,6 +52,77 @@ def top_k(sims: DataFrame, k: int = L.TOP_K) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Vector components of a block of queries that is sent to every task (8 bytes each).
+BLOCK_COMPONENTS = 1 << 20
+
+
+def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.TOP_K,
+                    block_components: int = BLOCK_COMPONENTS) -> DataFrame:
+    """:func:`top_k` for a caller's query set of any size: the same rows.
+
+    Queries go to the tasks in blocks of a bounded size, sentences stay where
+    they are.  A task compares a batch of sentences with a block in one matrix
+    product and hands on the batch's best ``k`` for each document and query,
+    so that neither a row for each comparison nor a join on the model arises.
+    """
+    spark = sentence_vecs.sparkSession
+    size = query_vecs.select(F.sum("dim")).first()[0] or 0
+    blocks = max(1, -(-size // block_components))
+    number = F.pmod(F.xxhash64("query_idx"), F.lit(blocks))
+    rows = sentence_vecs.select("model_name", "doc", *SENT_ORDER, "text", "vec", "norm_sq")
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("vec", "norm_sq").schema.fields)
+    out = None
+    for block in range(blocks):
+        own = query_vecs.where(number == block).select("model_name", "query_idx", "vec", "norm_sq").collect()
+        sent = spark.sparkContext.broadcast(_query_matrices(own))
+        best = rows.mapInArrow(_best_of_batch(sent, k), f"{keys}, query_idx long, similarity double")
+        out = best if out is None else out.unionByName(best)
+    return top_k(out, k)
+
+
+def _query_matrices(rows: list) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and squared norms of the queries of each model."""
+    out = {}
+    for model in sorted({r["model_name"] for r in rows}):
+        own = [r for r in rows if r["model_name"] == model]
+        out[model] = (np.array([r["query_idx"] for r in own], dtype=np.int64),
+                      np.array([r["vec"] for r in own], dtype=np.float64), np.array([r["norm_sq"] for r in own]))
+    return out
+
+
+def _best_of_batch(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models, docs = (batch.column(c).to_pylist() for c in ("model_name", "doc"))
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(models, docs)):
+                groups.setdefault(key, []).append(i)
+            order = list(zip(*(batch.column(c).to_pylist() for c in SENT_ORDER)))
+            vecs, norms = batch.column("vec"), batch.column("norm_sq").to_numpy(zero_copy_only=False)
+            rows, queries, values = [], [], []
+            for (model, _), own in groups.items():
+                if model not in sent.value:
+                    continue
+                own.sort(key=order.__getitem__, reverse=True)  # of equal similarities the later sentence wins
+                ids, matrix, squares = sent.value[model]
+                mat = vecs.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                dots = mat.reshape(len(own), -1) @ matrix.T
+                norm = norms[own][:, None] * squares[None, :]
+                sims = np.divide(dots, np.sqrt(norm), out=np.full(dots.shape, -np.inf), where=norm > 0)
+                best = np.argsort(-sims, axis=0, kind="stable")[:k]
+                rows.append(np.asarray(own)[best].ravel())
+                queries.append(np.broadcast_to(ids, best.shape).ravel())
+                values.append(np.take_along_axis(sims, best, axis=0).ravel())
+            if rows:
+                at, value = np.concatenate(rows), np.concatenate(values)
+                value[np.isneginf(value)] = np.nan
+                kept = batch.select(["model_name", "doc", *SENT_ORDER, "text"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(np.concatenate(queries)), pa.array(value, from_pandas=True)],
+                    names=[*kept.schema.names, "query_idx", "similarity"])
+    return run
+
+
 def keyword_hits(top: DataFrame, queries: DataFrame, per_document: bool) -> DataFrame:
     """Attach the query's keywords to the top rows (which carry the sentence
     text) and flag a hit.  ``queries``: ``[doc,] query_idx, keywords``."""
@@ -76,7 +152,36 @@ def query_precision(docs: DataFrame, query_vecs: DataFrame, hits: DataFrame, per
     return j.select("model_name", "doc", "query_idx",
                     F.col("keyword_matches").cast("long").alias("keyword_matches"),
                     F.size("keywords").cast("long").alias("n_keywords"),
-                    F.least(F.lit(1.0), F.col("keyword_matches") / F.size("keywords")).alias("precision"))
+                    precision_of(F.col("keyword_matches"), F.size("keywords")).alias("precision"))
+
+
+def precision_of(matches: Column, keywords: Column) -> Column:
+    """Matches for each expected keyword, at most 1; NULL for a query without keywords."""
+    return F.when(keywords > 0, F.least(F.lit(1.0), matches / keywords))
+
+
+def search_precision_of_set(docs: DataFrame, queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """:func:`search_precision` of a set that all documents share, without a row for each document and query.
+
+    Queries that hit nothing in a document have precision 0; they enter by
+    their number.  ``n_queries`` counts all queries, also those without
+    keywords, whose precision is NULL and enters nothing else.
+    """
+    number = queries.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("keywords") > 0).alias("scored")).first()
+    n = F.lit(number["scored"])
+    m = (hits.where(F.size("keywords") > 0).groupBy("model_name", "doc", "query_idx")
+         .agg(precision_of(F.sum(F.col("matched").cast("int")), F.first(F.size("keywords"))).alias("p")))
+    sums = m.groupBy("model_name", "doc").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"),
+                                              F.min("p").alias("low"), F.max("p").alias("high"),
+                                              F.count(F.lit(1)).alias("seen"))
+    j = docs.join(sums, ["model_name", "doc"], "left").fillna(0, subset=["s", "q", "low", "high", "seen"])
+    avg = F.try_divide(F.col("s"), n)
+    return j.where(F.lit(number["n"]) > 0).select(
+        "model_name", "doc", F.lit(number["n"]).cast("long").alias("n_queries"),
+        avg.alias("semantic_search_precision"),
+        F.when(n > 0, F.when(F.col("seen") < n, F.lit(0.0)).otherwise(F.col("low"))).alias("min_precision"),
+        F.when(n > 0, F.col("high")).alias("max_precision"),
+        F.sqrt(F.greatest(F.try_divide(F.col("q"), n) - avg * avg, F.lit(0.0))).alias("search_precision_std"))
 
 
 def search_precision(qp: DataFrame) -> DataFrame:

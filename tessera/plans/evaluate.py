@@ -2,7 +2,7 @@
 their blend, over any corpus binding.
 
 Stages: units -> vectors (one embedding per unit and model, reused by the
-coherence and contrast branches) -> coherence (blocked lag), contrast (pair
+coherence and contrast branches) -> coherence (ordered ranges), contrast (pair
 statistics), search (join with queries, top 3) -> one row per (model, doc).
 Shuffles are keyed by document (and block / section / query) only; the
 embedding step is row-local.
@@ -21,14 +21,14 @@ from ..operators import embed as E
 from ..operators import score as S
 from ..operators import search as R
 from ..sources import literals as L
-from ..session import cut_lineage
+from ..session import materialise
 from .corpora import Corpus
 
 
 @dataclass
 class Options:
     models: list = field(default_factory=lambda: list(E.NATIVE_MODELS))
-    block_size: int = 4096
+    ranges: int | None = None      # order ranges of the coherence pass; None: shuffle partitions
     small_max: int = 64
     rows_per_partial: int = 20000
     materialize_vectors: bool = True
@@ -64,7 +64,11 @@ def model_table(spark, models) -> DataFrame:
 
 
 class DocumentEvaluation:
-    """Lazily built DataFrames of one evaluation; nothing runs until an action."""
+    """DataFrames of one evaluation, each built when first asked for.
+
+    Tables that several branches read (vectors, neighbours, ranks) are written
+    while a DataFrame is built; all else runs with the caller's action.
+    """
 
     def __init__(self, corpus: Corpus, options: Options | None = None):
         self.corpus = corpus
@@ -95,7 +99,7 @@ class DocumentEvaluation:
     # -- vectors ---------------------------------------------------------
     def paragraph_vectors(self) -> DataFrame:
         """One vector per (model, paragraph).  Once a second branch needs them
-        (contrast, or the full evaluation) they are checkpointed and every
+        (contrast, or the full evaluation) they are written and every
         later reader uses the materialised table."""
         if "paragraph_vectors_mat" in self._cache:
             return self._cache["paragraph_vectors_mat"]
@@ -109,7 +113,7 @@ class DocumentEvaluation:
     def materialized_paragraph_vectors(self) -> DataFrame:
         if not self.o.materialize_vectors:
             return self.paragraph_vectors()
-        return self._get("paragraph_vectors_mat", lambda: cut_lineage(self.paragraph_vectors()))
+        return self._get("paragraph_vectors_mat", lambda: materialise(self.paragraph_vectors(), "paragraph-vectors"))
 
     def sentence_vectors(self) -> DataFrame:
         # the text rides along so that keyword hits need no join after the top 3
@@ -124,8 +128,7 @@ class DocumentEvaluation:
     # -- coherence -------------------------------------------------------
     def adjacent(self) -> DataFrame:
         return self._get("adjacent", lambda: C.adjacent_similarity(
-            self.materialized_paragraph_vectors(), block_size=self.o.block_size,
-            materialize=not self.o.materialize_vectors))
+            self.materialized_paragraph_vectors(), ranges=self.o.ranges))
 
     def coherence(self) -> DataFrame:
         return self._get("coherence", lambda: C.paragraph_coherence(self.adjacent()))
@@ -143,7 +146,13 @@ class DocumentEvaluation:
             self.sentence_vectors(), self.query_vectors(), self.corpus.per_document_queries,
             broadcast_queries=self.corpus.literal_queries))
 
+    def _shared_set(self) -> bool:
+        """Whether a caller's query set, of any size, is put to all documents."""
+        return not self.corpus.per_document_queries and not self.corpus.literal_queries
+
     def top3(self) -> DataFrame:
+        if self._shared_set():
+            return self._get("top3", lambda: R.top_k_in_blocks(self.sentence_vectors(), self.query_vectors()))
         return self._get("top3", lambda: R.top_k(self.similarities()))
 
     def hits(self) -> DataFrame:
@@ -153,8 +162,8 @@ class DocumentEvaluation:
     def evaluated_docs(self) -> DataFrame:
         """(model, doc) pairs that get a result: documents with at least two
         paragraphs (exactly those with a coherence row).  Counted on the
-        materialised vector table when there is one (two key columns, no text
-        re-read), else on the units; the vector plan is not rebuilt for it."""
+        written vector table when there is one (of which only the two key
+        columns are read), else on the units; the vector plan is not rebuilt for it."""
         def build():
             if "paragraph_vectors_mat" in self._cache:
                 v = self._cache["paragraph_vectors_mat"]
@@ -172,6 +181,9 @@ class DocumentEvaluation:
             self.corpus.per_document_queries, broadcast_queries=self.corpus.literal_queries))
 
     def search(self) -> DataFrame:
+        if self._shared_set():
+            return self._get("search", lambda: R.search_precision_of_set(
+                self.evaluated_docs(), self.corpus.queries, self.hits()))
         return self._get("search", lambda: R.search_precision(self.query_precision()))
 
     # -- blend -----------------------------------------------------------

@@ -208,7 +208,7 @@ def _benchmark_q():
       FROM benchmark"""
 
 
-FRAG["v_benchmark_q"] = (embed("(SELECT * FROM benchmark_q WHERE len(keywords) > 0)", "query"), ["benchmark_q"])
+FRAG["v_benchmark_q"] = (embed("benchmark_q", "query"), ["benchmark_q"])
 
 
 @frag("v_vectors")
@@ -254,7 +254,7 @@ def metric_frags(c: str, vec: str, sents: str | None, queries: str | None, per_d
       WHERE a.norm_sq > 0 AND b.norm_sq > 0""", [f"{c}_sp"])
     f[f"{c}_con"] = (f"""
       SELECT b.model_name, b.doc, b.n_units, b.n_zero_vectors,
-             coalesce(s.nw, 0) AS n_within_pairs, coalesce(s.nc, 0) AS n_cross_pairs,
+             CAST(coalesce(s.nw, 0) AS DOUBLE) AS n_within_pairs, CAST(coalesce(s.nc, 0) AS DOUBLE) AS n_cross_pairs,
              coalesce(s.aw, 0.0) AS avg_within_section_similarity,
              coalesce(s.ac, 0.0) AS avg_cross_section_similarity,
              coalesce(s.aw, 0.0) - coalesce(s.ac, 0.0) AS section_boundary_contrast,
@@ -289,7 +289,7 @@ def metric_frags(c: str, vec: str, sents: str | None, queries: str | None, per_d
     f[f"{c}_qp"] = (f"""
       SELECT d.model_name, d.doc, q.query_idx, coalesce(h.m, 0) AS keyword_matches,
              CAST(len(q.keywords) AS BIGINT) AS n_keywords,
-             least(1.0, coalesce(h.m, 0) / len(q.keywords)) AS precision
+             CASE WHEN len(q.keywords) > 0 THEN least(1.0, coalesce(h.m, 0) / len(q.keywords)) END AS precision
       FROM (SELECT model_name, doc FROM {c}_coh) d JOIN {queries} q ON {dq}
       LEFT JOIN (SELECT model_name, doc, query_idx, sum(CASE WHEN matched THEN 1 ELSE 0 END) AS m
                  FROM {c}_hits GROUP BY ALL) h
@@ -344,7 +344,7 @@ def _pair_sims():
     return f"""
       SELECT a.model_name, p.conv_id, p.turn, p.human_score, {cos('a', 'b')} AS similarity,
              a.dim AS embedding_dimension, a.v[1] AS e1_0, a.v[2] AS e1_1, a.v[3] AS e1_2, a.v[4] AS e1_3,
-             a.v[5] AS e1_4
+             a.v[5] AS e1_4, b.v[1] AS e2_0, b.v[2] AS e2_1, b.v[3] AS e2_2, b.v[4] AS e2_3, b.v[5] AS e2_4
       FROM pairs p JOIN v_turns a ON a.conv_id = p.conv_id AND a.turn = p.turn
       JOIN v_turns b ON b.conv_id = p.conv_id AND b.turn = p.turn + 1 AND b.model_name = a.model_name"""
 
@@ -526,7 +526,7 @@ def oracle_queries() -> dict[str, str]:
                             f"length(text2) AS len2 FROM pairs", "pairs")
     q["pair_similarity"] = build("SELECT model_name, conv_id, turn, " + ", ".join(
         [r6("human_score"), r6("similarity"), "CAST(embedding_dimension AS BIGINT) AS embedding_dimension"]
-        + [r6(f"e1_{i}") for i in range(5)]) + " FROM pair_sims", "pair_sims")
+        + [r6(f"{e}_{i}") for e in ("e1", "e2") for i in range(5)]) + " FROM pair_sims", "pair_sims")
     q["pearson_by_model"] = build(f"SELECT model_name, {r6('pearson_correlation')}, n FROM pearson", "pearson")
     q["spearman_by_model"] = build(f"SELECT model_name, {r6('spearman_correlation')}, n FROM spearman", "spearman")
     q["comparison_table"] = build(f"""

@@ -53,7 +53,8 @@ def pair_similarity(pairs: DataFrame, vecs: DataFrame) -> DataFrame:
     return j.select("model_name", "conv_id", "turn", "human_score",
                     V.cosine_between("a_", "b_").alias("similarity"),
                     F.col("dim").alias("embedding_dimension"),
-                    *[F.element_at("a_vec", i + 1).cast("double").alias(f"e1_{i}") for i in range(5)])
+                    *[F.try_element_at(f"{side}_vec", F.lit(i + 1)).cast("double").alias(f"{name}_{i}")
+                      for side, name in (("a", "e1"), ("b", "e2")) for i in range(5)])
 
 
 def correlations(sims: DataFrame, buckets: int | None = None) -> DataFrame:

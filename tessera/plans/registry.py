@@ -18,7 +18,7 @@ from ..operators import embed as E
 from ..operators import parse as P
 from ..operators import queries as Q
 from ..operators import score as S
-from ..session import balance, ensure_checkpoint_dir, ship_package
+from ..session import balance, materialise, ship_package
 from ..sources import results_io as IO
 from ..sources.tables import read_table
 from . import corpora as CO
@@ -32,6 +32,8 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (Ty.DoubleType, Ty.FloatType)):
             c = F.round(c.cast("double"), digits)
+        elif isinstance(f.dataType, Ty.DecimalType):
+            c = c.cast("double")  # numbers of pairs, exact up to 2^53 here
         elif isinstance(f.dataType, (Ty.IntegerType, Ty.ShortType, Ty.ByteType)):
             c = c.cast("long")
         cols.append(c.alias(f.name))
@@ -45,7 +47,6 @@ def query(name: str):
     def deco(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
             ship_package(spark)
             return finalize(fn(spark, sf_dir))
         _REGISTRY[name] = run
@@ -108,17 +109,12 @@ def search_queries(spark, sf_dir):
 
 @query("doc_stats")
 def doc_stats(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    q = Q.topic_queries(parsed).groupBy("doc").agg(F.count(F.lit(1)).alias("n_queries"))
-    n_par = F.aggregate(F.col("sections"), F.lit(0), lambda acc, s: acc + F.size(s["body"]))
-    sent = P.sentences(parsed).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
-    base = parsed.select("doc_id", F.size("sections").alias("n_sections"), n_par.alias("n_paragraphs"))
-    return (base.join(sent, "doc_id", "left")
-                .join(q.withColumnRenamed("doc", "doc_id_s"),
-                      F.col("doc_id").cast("string") == F.col("doc_id_s"), "left")
-                .select("doc_id", "n_sections", "n_paragraphs",
-                        F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"),
-                        F.coalesce("n_queries", F.lit(0)).alias("n_queries")))
+    """Sizes of row-local arrays: one projection, no join and no shuffle."""
+    body = F.flatten(F.transform("sections", lambda s: s["body"]))
+    pieces = F.flatten(F.transform(body, T.sentence_pieces))
+    return _parsed(spark, sf_dir).select(
+        "doc_id", F.size("sections").alias("n_sections"), F.size(body).alias("n_paragraphs"),
+        F.size(F.filter(pieces, T.keep_sentence)).alias("n_sentences"), F.size(Q.chosen_queries()).alias("n_queries"))
 
 
 # ---------------------------------------------------------------------------
@@ -169,7 +165,7 @@ def paragraph_coherence(spark, sf_dir):
 @query("paragraph_coherence_vectors")
 def paragraph_coherence_vectors(spark, sf_dir):
     from ..operators import coherence as C
-    return C.paragraph_coherence(C.adjacent_similarity(CO.vector_corpus(spark, sf_dir), block_size=128))
+    return C.paragraph_coherence(C.adjacent_similarity(CO.vector_corpus(spark, sf_dir)))
 
 
 @query("paragraph_coherence_chats")
@@ -375,9 +371,9 @@ def run_status(spark, sf_dir):
 # pair evaluation (conversation turn pairs)
 
 def _pair_sims(spark, sf_dir):
+    """Each turn is embedded once; both sides of the pairs read the written vectors."""
     conv = balance(read_table(spark, sf_dir, "conversations"))
-    pairs = PE.conversation_pairs(conv)
-    return PE.pair_similarity(pairs, PE.turn_vectors(conv))
+    return PE.pair_similarity(PE.conversation_pairs(conv), materialise(PE.turn_vectors(conv), "turn-vectors"))
 
 
 @query("pairs_scan")
@@ -408,7 +404,8 @@ def spearman_by_model(spark, sf_dir):
 
 @query("comparison_table")
 def comparison_table(spark, sf_dir):
-    sims = _pair_sims(spark, sf_dir)
+    sims = materialise(_pair_sims(spark, sf_dir).select(
+        "model_name", "human_score", "similarity", "embedding_dimension"), "pair-similarity")
     corr = PE.correlations(sims)
     dims = sims.groupBy("model_name").agg(F.max("embedding_dimension").alias("embedding_dimension"))
     from .evaluate import model_table

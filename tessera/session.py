@@ -1,4 +1,4 @@
-"""Spark session and lineage helpers.
+"""Spark session and intermediate tables.
 
 The library never creates a session on its own inside an operator; callers
 (tests, bench, the driver entry points) build one with :func:`build_session`.
@@ -29,8 +29,6 @@ def build_session(master: str | None = None, app: str = "tessera",
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-        "spark.checkpoint.compress": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -39,7 +37,7 @@ def build_session(master: str | None = None, app: str = "tessera",
     }
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", f"{_machine_mb() // 3}m")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -47,11 +45,14 @@ def build_session(master: str | None = None, app: str = "tessera",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
+def _machine_mb() -> int:
+    return os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 20
+
+
 def _is_local(spark: SparkSession) -> bool:
     master = spark.sparkContext.master
     return master == "local" or master.startswith("local[")
@@ -74,14 +75,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """:func:`shared_dir`, also made known to ``DataFrame.checkpoint``."""
-    path = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 _SCRATCH: dict[str, SparkSession] = {}
 
 
@@ -118,12 +111,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _SHIPPED: set[int] = set()
 
 

@@ -35,8 +35,8 @@ def given(spark):
 def test_blocked_lag_equals_plain_lag(spark, given):
     rows = sorted(given.select("major", "vec").collect())
     want = [_cos(rows[i - 1].vec, rows[i].vec) for i in range(1, len(rows))]
-    for block in (1, 2, 7, 10000):
-        got = sorted((r.major, r.similarity) for r in C.adjacent_similarity(given, block_size=block).collect())
+    for block in (1, 2, 7, 40):
+        got = sorted((r.major, r.similarity) for r in C.adjacent_similarity(given, ranges=block).collect())
         assert [g[0] for g in got] == [r.major for r in rows[1:]]
         assert np.allclose([g[1] for g in got], want, atol=1e-12), block
 
@@ -45,7 +45,7 @@ def test_block_gaps_and_documents(spark):
     rows = [("d1", "s", 0, 0, [1, 0]), ("d1", "s", 5, 0, [1, 1]), ("d1", "s", 5, 1, [0, 1]),
             ("d1", "s", 40, 0, [1, 2]), ("d2", "s", 3, 0, [1, 0]), ("d3", "s", 9, 0, [0, 0]),
             ("d3", "s", 10, 0, [1, 0])]
-    adj = C.adjacent_similarity(_vecs(spark, rows), block_size=4).collect()
+    adj = C.adjacent_similarity(_vecs(spark, rows), ranges=4).collect()
     got = {(r.doc, r.major, r.minor): (r.prev_major, r.prev_minor, r.similarity) for r in adj}
     assert got[("d1", 5, 0)][:2] == (0, 0) and got[("d1", 5, 1)][:2] == (5, 0)
     assert got[("d1", 40, 0)][:2] == (5, 1)
@@ -134,7 +134,7 @@ def test_small_groups_across_arrow_batches(spark):
 
 def test_hot_document_all_skew_paths(spark):
     """One document holds a third of all units: coherence runs over many
-    stitched blocks and contrast over many salted Gram chunks, and both still
+    stitched ranges and contrast over many salted Gram chunks, and both still
     equal brute force."""
     rng = np.random.default_rng(7)
     rows = []
@@ -156,6 +156,6 @@ def test_hot_document_all_skew_paths(spark):
     ordered = sorted(hot, key=lambda r: (r[2], r[3]))
     want_adj = [_cos(ordered[i - 1][4], ordered[i][4]) for i in range(1, len(ordered))]
     adj = sorted((r.major, r.minor, r.similarity)
-                 for r in C.adjacent_similarity(vecs, block_size=3).collect() if r.doc == "hot")
+                 for r in C.adjacent_similarity(vecs, ranges=9).collect() if r.doc == "hot")
     assert len(adj) == 299
     np.testing.assert_allclose([a[2] for a in adj], want_adj, atol=1e-12)
