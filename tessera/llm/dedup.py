@@ -22,6 +22,8 @@ STATE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else every partition's store takes megabytes of disk ahead of its first row
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
