@@ -36,21 +36,6 @@ def cosine(a: Column, b: Column, na: Column | None = None, nb: Column | None = N
     return cosine_from_parts(dot(a, b), na, nb)
 
 
-def normalized(a: Column, na: Column) -> Column:
-    """Unit vector as ``array<double>``; NULL for a zero vector."""
-    inv = F.when(na > 0, F.lit(1.0) / F.sqrt(na))
-    return F.when(na > 0, F.transform(a, lambda x: _d(x) * inv))
-
-
-def preview(a: Column, k: int = 5) -> Column:
-    """First ``k`` components, like ``embedding[:k]``."""
-    return F.slice(a, 1, k)
-
-
-def dimension(a: Column) -> Column:
-    return F.size(a)
-
-
 # ---------------------------------------------------------------------------
 # sparse-aware dot products
 #

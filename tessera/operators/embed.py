@@ -7,9 +7,9 @@ Two kinds of models:
 
 * **Native hashing models** (default, offline, oracle-checkable).  Tokens are
   lower-cased Unicode words; a token goes to bucket
-  ``int(md5(token)[:7], 16) % dim``; the vector holds integer counts.  Bucket
-  ids are computed JVM-side; one Arrow-batched ``np.bincount`` per batch turns
-  them into dense vectors.  Integer counts keep dot products exact.  The
+  ``int(md5(token)[:7], 16) % dim``; the vector holds integer counts.  Words
+  are taken out JVM-side; each distinct one of an Arrow batch is hashed once,
+  and one ``np.bincount`` per batch gives the dense vectors.  Integer counts keep dot products exact.  The
   embedder is cheap and row-local, so it runs inline on every unit: a
   ``distinct`` over texts would cost a full shuffle to save a hash.
 * **User models** (``PandasModel``): a factory ``model_id -> callable(list[str])
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,6 @@ class HashingModel:
     def model_id(self) -> str:
         return f"hashing/md5-{self.dim}"
 
-    def bucket_ids(self, text: Column) -> Column:
-        return F.transform(
-            T.words(text),
-            lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int"), F.lit(self.dim)))
-
 
 # Native models shipped with the library (ours, not the evaluated toolkit's).
 HASH_64 = HashingModel("hash-64", 64)
@@ -62,13 +58,6 @@ def _ddl(df: DataFrame, drop: set[str]) -> str:
                      if f.name not in drop)
 
 
-def token_hashes(text: Column) -> Column:
-    """``int(md5(token)[:7], 16)`` for every word of ``text``, as a Spark
-    expression (reference form; the embedding job hashes in Arrow batches)."""
-    return F.transform(T.words(text),
-                       lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int"))
-
-
 def _batch_hashes(tokens: pa.Array) -> np.ndarray:
     """md5 bucket hash of every token of a batch, computing each distinct
     token once (word frequencies are heavily skewed, so a batch of ~100k
@@ -182,21 +171,51 @@ def _embed_batches(model: PandasModel):
     return run
 
 
+def embed_texts(units: DataFrame, model: PandasModel, text_col: str = "text") -> DataFrame:
+    """Each distinct text once: ``text_key, model_name, model_id, load_s, vec, error, elapsed_s``.
+
+    ``elapsed_s`` is a text's share of the time of the batch it was embedded in.
+    """
+    texts = units.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return texts.dropDuplicates(["text_key"]).mapInPandas(
+        _embed_batches(model), "text_key string, model_name string, model_id string, load_s double, "
+                               "vec array<float>, error string, elapsed_s double")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
 def embed_with_model(units: DataFrame, model: PandasModel, text_col: str = "text") -> DataFrame:
     """Embed each distinct text once, then join vectors back to the units.
 
     Returns the units with ``model_name, model_id, dim, vec, nz, norm_sq,
     error, elapsed_s, load_s``; failed texts keep ``vec`` NULL and ``error`` set.
     """
-    keyed = units.withColumn("text_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    distinct = keyed.select("text_key", F.col(text_col).alias("text")).dropDuplicates(["text_key"])
-    schema = ("text_key string, model_name string, model_id string, load_s double, "
-              "vec array<float>, error string, elapsed_s double")
-    vecs = (distinct.mapInPandas(_embed_batches(model), schema)
-                    .withColumn("dim", F.size("vec"))
-                    .withColumn("nz", F.when(F.col("vec").isNotNull(), V.nonzero_indices(F.col("vec"))))
-                    .withColumn("norm_sq", F.when(F.col("vec").isNotNull(), V.norm_sq(F.col("vec")))))
-    return keyed.join(vecs, "text_key").drop("text_key")
+    v = F.col("vec")
+    vecs = (embed_texts(units, model, text_col)
+            .withColumn("dim", F.size("vec"))
+            .withColumn("nz", F.when(v.isNotNull(), V.nonzero_indices(v)))
+            .withColumn("norm_sq", F.when(v.isNotNull(), V.norm_sq(v))))
+    return units.withColumn("text_key", _text_key(text_col)).join(vecs, "text_key").drop("text_key")
+
+
+def embed(units: DataFrame, models: list, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Every unit with every model, native ones and the user's: the columns of
+    :func:`embed_native` and ``error``.  The user's models run once, their
+    vectors are written and read back."""
+    native = [m for m in models if isinstance(m, HashingModel)]
+    parts = [embed_native(units, native, text_col, keep_text).withColumn("error", F.lit(None).cast("string"))] \
+        if native or not models else []
+    keys = [c for c in units.columns if c != text_col or keep_text]
+    for m in models:
+        if not isinstance(m, HashingModel):
+            parts.append(materialise(embed_with_model(units, m, text_col).select(
+                *keys, "model_name", "dim", "vec", "nz", "norm_sq", "error"), "model-vectors"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def python_hashing_factory(model_id: str):
@@ -217,10 +236,14 @@ def python_hashing_factory(model_id: str):
     return embed
 
 
-def embedding_timing(vectors: DataFrame) -> DataFrame:
-    """Per model: texts embedded, average seconds per text, load seconds, failures."""
-    return vectors.groupBy("model_name").agg(
-        F.count(F.lit(1)).alias("n_texts"),
-        F.count_if(F.col("error").isNotNull()).alias("n_failed"),
-        F.avg("elapsed_s").alias("average_embedding_time_seconds"),
+def embedding_timing(texts: DataFrame) -> DataFrame:
+    """Per model, over :func:`embed_texts` rows: distinct texts embedded and
+    failed, total and mean seconds of those embedded, seconds of the slowest
+    load.  NULL where nothing was embedded."""
+    done = F.col("error").isNull()
+    return texts.groupBy("model_name").agg(
+        F.count_if(done).alias("n_texts"),
+        F.count_if(~done).alias("n_failed"),
+        F.sum(F.when(done, F.col("elapsed_s"))).alias("embedding_time_seconds"),
+        F.avg(F.when(done, F.col("elapsed_s"))).alias("average_embedding_time_seconds"),
         F.max("load_s").alias("load_time_seconds"))

@@ -4,6 +4,8 @@
   ``doc_id`` row a section, each non-blank line a paragraph; default queries.
 * ``strict_corpus``   (C2) ``documents``: each row is a document parsed with
   the header rule; topic queries with the generic fallback.
+* ``page_corpus``    (C5) ``pages``: the lines of a web page's text, parsed
+  with the header rule; topic queries, also the generic fallback.
 * ``vector_corpus``   (C3) ``embeddings``: one document of given vectors,
   ``label`` as section, ``vec_id`` as order.
 * ``chat_corpus``     (C4) ``conversations``: a conversation is a document,
@@ -52,6 +54,20 @@ def strict_corpus_of(docs: DataFrame) -> tuple[Corpus, DataFrame]:
                    literal_queries=False), parsed)
 
 
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of ``pages`` as ``doc_id, text``: scripts and styles go, every tag ends a line."""
+    html = F.coalesce("html", F.lit(""))
+    for element in ("script", "style"):
+        html = F.regexp_replace(html, rf"(?is)<{element}\b.*?</{element}\s*>", "\n")
+    return balance(read_table(spark, sf_dir, "pages").select("page_id", "html")).select(
+        F.col("page_id").alias("doc_id"), F.regexp_replace(html, "<[^>]*>", "\n").alias("text"))
+
+
+def page_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Each web page a document parsed with the header rule: many have topic queries of their own."""
+    return strict_corpus_of(page_documents(spark, sf_dir))[0]
+
+
 def chat_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     conv = balance(read_table(spark, sf_dir, "conversations"))
     paras = P.whole_text_units(conv, F.col("conv_id"), F.col("role"), F.col("turn"))

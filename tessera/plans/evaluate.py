@@ -32,6 +32,7 @@ class Options:
     small_max: int = 64
     rows_per_partial: int = 20000
     materialize_vectors: bool = True
+    given: list = field(default_factory=list)   # (name, vector table) pairs: precomputed paragraph vectors
     observe: bool = False          # progress counters through df.observe
 
 
@@ -59,7 +60,7 @@ def models_for_flag(requests: DataFrame, flag_col: str, full: list, reduced: lis
 
 
 def model_table(spark, models) -> DataFrame:
-    rows = [(i, m.name, m.model_id, m.dim) for i, m in enumerate(models)]
+    rows = [(i, m.name, m.model_id, getattr(m, "dim", None)) for i, m in enumerate(models)]
     return spark.createDataFrame(rows, "model_order int, model_name string, model_id string, dim int")
 
 
@@ -107,9 +108,35 @@ class DocumentEvaluation:
         def build():
             units = self.corpus.paragraphs.withColumn(
                 "is_section_paragraph", F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS)
-            return self._observed("paragraph_vectors", E.embed_native(units, self.o.models))
+            vecs = self._without_failed(E.embed(units, self.o.models))
+            for name, table in self.o.given:
+                columns = [c for c in vecs.columns if c not in ("model_name", "is_section_paragraph")]
+                long_enough = F.col("is_section_paragraph") if "is_section_paragraph" in table.columns else F.lit(True)
+                vecs = vecs.unionByName(table.select(*columns, F.lit(name).alias("model_name"),
+                                                     long_enough.alias("is_section_paragraph")))
+            return self._observed("paragraph_vectors", vecs)
         return self._get("paragraph_vectors", build)
 
+    def _user_models(self) -> bool:
+        return any(not isinstance(m, E.HashingModel) for m in self.o.models)
+
+    def _without_failed(self, vecs: DataFrame) -> DataFrame:
+        """A model that fails on one unit of a document gives no result for that document."""
+        if not self._user_models():
+            return vecs.drop("error")
+        self._cache.setdefault("failures", vecs.where(F.col("error").isNotNull()))
+        failed = vecs.where(F.col("error").isNotNull()).select("model_name", "doc").distinct()
+        return vecs.where(F.col("error").isNull()).drop("error").join(failed, ["model_name", "doc"], "left_anti")
+
+    def failed_units(self) -> DataFrame:
+        """``model_name, doc, n_failed, error``: paragraphs that a user's model failed on, and the least message."""
+        self.paragraph_vectors()
+        if "failures" not in self._cache:
+            return self.corpus.paragraphs.sparkSession.createDataFrame(
+                [], "model_name string, doc string, n_failed long, error string")
+        return self._cache["failures"].groupBy("model_name", "doc").agg(
+            F.count(F.lit(1)).alias("n_failed"), F.min("error").alias("error"))
+
     def materialized_paragraph_vectors(self) -> DataFrame:
         if not self.o.materialize_vectors:
             return self.paragraph_vectors()
@@ -118,12 +145,13 @@ class DocumentEvaluation:
     def sentence_vectors(self) -> DataFrame:
         # the text rides along so that keyword hits need no join after the top 3
         return self._get("sentence_vectors", lambda: self._observed(
-            "sentence_vectors", E.embed_native(self.corpus.sentences, self.o.models, keep_text=True)))
+            "sentence_vectors", E.embed(self.corpus.sentences, self.o.models, keep_text=True)
+            .where(F.col("error").isNull()).drop("error")))
 
     def query_vectors(self) -> DataFrame:
         return self._get("query_vectors",
-                         lambda: E.embed_native(self.corpus.queries, self.o.models, text_col="query",
-                                               keep_text=True))
+                         lambda: E.embed(self.corpus.queries, self.o.models, text_col="query", keep_text=True)
+                         .where(F.col("error").isNull()).drop("error"))
 
     # -- coherence -------------------------------------------------------
     def adjacent(self) -> DataFrame:
@@ -169,6 +197,10 @@ class DocumentEvaluation:
                 v = self._cache["paragraph_vectors_mat"]
                 return (v.groupBy("model_name", "doc").agg(F.count(F.lit(1)).alias("n"))
                          .filter(F.col("n") >= 2).select("model_name", "doc"))
+            if self._user_models() or self.o.given:
+                v = self.materialized_paragraph_vectors()
+                return (v.groupBy("model_name", "doc").agg(F.count(F.lit(1)).alias("n"))
+                         .filter(F.col("n") >= 2).select("model_name", "doc"))
             names = F.array(*[F.lit(m.name) for m in self.o.models])
             docs = (self.corpus.paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") >= 2))
@@ -189,7 +221,8 @@ class DocumentEvaluation:
     # -- blend -----------------------------------------------------------
     def results(self) -> DataFrame:
         def build():
-            models = model_table(self.corpus.paragraphs.sparkSession, self.o.models)
+            models = model_table(self.corpus.paragraphs.sparkSession, [
+                *self.o.models, *(E.HashingModel(name, 0) for name, _ in self.o.given)])
             self.materialized_paragraph_vectors()   # shared by coherence and contrast
             r = S.overall_score(self.coherence(), self.contrast(), self.search())
             return r.join(F.broadcast(models.select("model_name", "model_order", "model_id")), "model_name")

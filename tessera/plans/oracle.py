@@ -391,6 +391,15 @@ def build(final: str, *needs: str) -> str:
     return f"WITH {ctes}\n{final}" if ctes else final
 
 
+def over_pages(sql: str) -> str:
+    """A query over ``documents`` put to the text of ``pages``: a CTE takes the table's name."""
+    html = "coalesce(html, '')"
+    for element in ("script", "style"):
+        html = f"regexp_replace({html}, '<{element}\\b.*?</{element}\\s*>', {NL}, 'gis')"
+    pages = f"SELECT page_id AS doc_id, regexp_replace({html}, '<[^>]*>', {NL}, 'g') AS text FROM pages"
+    return f"WITH documents AS ({pages}),\n" + sql.strip().removeprefix("WITH ")
+
+
 def r6(col: str, alias: str | None = None) -> str:
     return f"round(CAST({col} AS DOUBLE), 6) AS {alias or col.split('.')[-1]}"
 
@@ -461,7 +470,7 @@ def oracle_queries() -> dict[str, str]:
     q["section_contrast_vectors"] = build(f"SELECT {con_cols} FROM vectors_con", "vectors_con")
     q["section_contrast_chats"] = build(f"SELECT {con_cols} FROM chat_con", "chat_con")
     q["paragraph_pairs"] = build(f"""
-      SELECT model_name, doc, same AS same_section, count(*) AS n_pairs, {r6('avg(sim)', 'avg_similarity')}
+      SELECT model_name, doc, same AS same_section, CAST(count(*) AS DOUBLE) AS n_pairs, {r6('avg(sim)', 'avg_similarity')}
       FROM source_pairs GROUP BY model_name, doc, same""", "source_pairs")
 
     q["search_queries_default"] = build(f"""
@@ -505,11 +514,42 @@ def oracle_queries() -> dict[str, str]:
       UNION ALL
       SELECT d.doc, 'empty', 'none', 0.0, 0.0 FROM {strict_docs} d
       WHERE d.doc NOT IN (SELECT doc FROM strict_res)""", "strict_res")
-    q["results_clean"] = build(f"""
+    q["results_clean"] = over_pages(build(f"""
       SELECT doc, model_name, {r6('overall_score')} FROM strict_res
       UNION ALL
       SELECT d.doc, 'empty', 0.0 FROM {strict_docs} d WHERE d.doc NOT IN (SELECT doc FROM strict_res)""",
-                               "strict_res")
+                                          "strict_res"))
+    q["page_search_queries"] = over_pages(q["search_queries"])
+    q["page_search_precision"] = over_pages(q["search_precision_topics"])
+    q["user_model_score"] = q["overall_score"]
+    q["results_export"] = build("""
+      SELECT doc, string_agg(model_name || ':' || printf('%.6f', overall_score), ',' ORDER BY model_name) AS results
+      FROM source_res GROUP BY doc""", "source_res")
+    q["latest_run"] = "SELECT max(CAST(doc_id AS VARCHAR)) AS last_document FROM documents"
+    q["status_history"] = build(f"""
+      SELECT d.doc AS document_name, CAST(p.phase AS BIGINT) AS phase,
+             CASE WHEN p.phase = 0 THEN 'processing' WHEN coalesce(n.n, 0) > 0 THEN 'completed' ELSE 'error' END AS status,
+             CAST(CASE WHEN p.phase = 1 AND coalesce(n.n, 0) > 0 THEN 100 ELSE 0 END AS BIGINT) AS progress,
+             CAST(CASE WHEN p.phase = 1 THEN coalesce(n.n, 0) ELSE 0 END AS BIGINT) AS n_models
+      FROM {strict_docs} d CROSS JOIN (VALUES (0), (1)) AS p(phase)
+      LEFT JOIN (SELECT doc, count(*) AS n FROM strict_res GROUP BY doc) n USING (doc)""", "strict_res")
+    q["failed_units"] = build("""
+      SELECT 'broken' AS model_name, doc, count(*) AS n_failed, false AS evaluated,
+             'RuntimeError: no such model: none' AS error
+      FROM u_source_p GROUP BY doc
+      UNION ALL SELECT model_name, doc, 0, true, NULL FROM source_coh WHERE model_name = 'hash-64'""",
+                              "u_source_p", "source_coh")
+    q["embedded_texts"] = """
+      SELECT m AS model_name, count(DISTINCT coalesce(text, '')) AS n_texts, CAST(0 AS BIGINT) AS n_failed
+      FROM conversations CROSS JOIN (VALUES ('hash-64'), ('hash-256')) AS t(m) GROUP BY m"""
+    q["conversation_query_sets"] = f"""
+      SELECT conv_id, query_idx, query, array_to_string(keywords, '|') AS keywords
+      FROM (SELECT conv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS query_idx, text AS query,
+                   list_filter({words('text')}, lambda w: length(w) > 3 AND NOT list_contains(
+                     {_list(L.KEYWORD_STOP_WORDS)}, w)) AS keywords,
+                   row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
+            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      WHERE i < n"""
     q["run_status"] = build(f"""
       SELECT d.doc AS document_name,
              CASE WHEN coalesce(n.n, 0) > 0 THEN 'completed' ELSE 'error' END AS status,
@@ -527,6 +567,7 @@ def oracle_queries() -> dict[str, str]:
     q["pair_similarity"] = build("SELECT model_name, conv_id, turn, " + ", ".join(
         [r6("human_score"), r6("similarity"), "CAST(embedding_dimension AS BIGINT) AS embedding_dimension"]
         + [r6(f"{e}_{i}") for e in ("e1", "e2") for i in range(5)]) + " FROM pair_sims", "pair_sims")
+    q["user_model_pairs"] = build(f"SELECT model_name, conv_id, turn, {r6('similarity')} FROM pair_sims", "pair_sims")
     q["pearson_by_model"] = build(f"SELECT model_name, {r6('pearson_correlation')}, n FROM pearson", "pearson")
     q["spearman_by_model"] = build(f"SELECT model_name, {r6('spearman_correlation')}, n FROM spearman", "spearman")
     q["comparison_table"] = build(f"""

@@ -31,16 +31,10 @@ def conversation_pairs(conv: DataFrame) -> DataFrame:
                      F.when(union > 0, inter / union).alias("human_score")))
 
 
-def literal_pairs(spark) -> DataFrame:
-    """The evaluated toolkit's five human-scored pairs (a test fixture)."""
-    from ..sources.literals import EVALUATION_PAIRS
-    rows = [(i + 1, a, b, s) for i, (a, b, s) in enumerate(EVALUATION_PAIRS)]
-    return spark.createDataFrame(rows, "pair_id int, text1 string, text2 string, human_score double")
-
-
 def turn_vectors(conv: DataFrame, models=E.NATIVE_MODELS) -> DataFrame:
+    """Vectors of every turn, with native models and the user's; failed turns have none."""
     units = conv.select("conv_id", "turn", "text")
-    return E.embed_native(units, models)
+    return E.embed(units, list(models)).where(F.col("error").isNull()).drop("error")
 
 
 def pair_similarity(pairs: DataFrame, vecs: DataFrame) -> DataFrame:

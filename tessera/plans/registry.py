@@ -107,6 +107,12 @@ def search_queries(spark, sf_dir):
     return q.select("doc", "query_idx", "query", F.array_join("keywords", "|").alias("keywords"))
 
 
+@query("page_search_queries")
+def page_search_queries(spark, sf_dir):
+    q = Q.topic_queries(P.parse_structure(CO.page_documents(spark, sf_dir)))
+    return q.select("doc", "query_idx", "query", F.array_join("keywords", "|").alias("keywords"))
+
+
 @query("doc_stats")
 def doc_stats(spark, sf_dir):
     """Sizes of row-local arrays: one projection, no join and no shuffle."""
@@ -265,6 +271,23 @@ def search_precision_topics(spark, sf_dir):
     return DocumentEvaluation(corpus).search()
 
 
+@query("page_search_precision")
+def page_search_precision(spark, sf_dir):
+    return DocumentEvaluation(CO.page_corpus(spark, sf_dir)).search()
+
+
+@query("conversation_query_sets")
+def conversation_query_sets(spark, sf_dir):
+    """Query sets as parallel lists: of each conversation's user turns the texts, and for all but
+    the last turn a keyword list; the shorter list wins."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    sets = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    sets = sets.select("conv_id", F.transform("t", lambda x: x["text"]).alias("queries"),
+                       F.transform(F.slice("t", 1, F.size("t") - 1), lambda x: T.topic_keywords(x["text"])).alias("keywords"))
+    return Q.queries_from_lists(sets).select("conv_id", "query_idx", "query",
+                                             F.array_join("keywords", "|").alias("keywords"))
+
+
 @query("search_precision_custom")
 def search_precision_custom(spark, sf_dir):
     corpus = CO.source_corpus(spark, sf_dir)
@@ -273,6 +296,51 @@ def search_precision_custom(spark, sf_dir):
     return DocumentEvaluation(corpus).search()
 
 
+# ---------------------------------------------------------------------------
+# the user's own models
+
+def _python_models(*names):
+    return [E.PandasModel(m.name, m.model_id, E.python_hashing_factory) for m in E.NATIVE_MODELS if m.name in names]
+
+
+def _broken_factory(model_id):
+    raise RuntimeError(f"no such model: {model_id}")
+
+
+@query("user_model_score")
+def user_model_score(spark, sf_dir):
+    """The whole evaluation with user models, which embed as the native ones do."""
+    r = _source_eval(spark, sf_dir, models=_python_models("hash-64", "hash-256")).results()
+    return r.select("model_name", "doc", "avg_coherence", "section_boundary_contrast",
+                    "semantic_search_precision", "overall_score")
+
+
+@query("user_model_pairs")
+def user_model_pairs(spark, sf_dir):
+    """Pair evaluation with a user model beside a native one."""
+    conv = balance(read_table(spark, sf_dir, "conversations"))
+    vecs = PE.turn_vectors(conv, [E.HASH_64, *_python_models("hash-256")])
+    return PE.pair_similarity(PE.conversation_pairs(conv), materialise(vecs, "turn-vectors")).select(
+        "model_name", "conv_id", "turn", "similarity")
+
+
+@query("failed_units")
+def failed_units(spark, sf_dir):
+    """A model that can't be loaded: an error row for each document; the other model's results are there."""
+    ev = _source_eval(spark, sf_dir, models=[E.HASH_64, E.PandasModel("broken", "none", _broken_factory)])
+    failed = ev.failed_units().select("model_name", "doc", "n_failed", F.lit(False).alias("evaluated"), "error")
+    done = ev.coherence().select("model_name", "doc", F.lit(0).cast("long").alias("n_failed"),
+                                 F.lit(True).alias("evaluated"), F.lit(None).cast("string").alias("error"))
+    return failed.unionByName(done)
+
+
+@query("embedded_texts")
+def embedded_texts(spark, sf_dir):
+    """Distinct texts that the user-model job embeds, by model."""
+    t = E.embedding_timing(_embedded(spark, sf_dir))
+    return t.select("model_name", "n_texts", "n_failed")
+
+
 # ---------------------------------------------------------------------------
 # blend, ranking, result files
 
@@ -324,7 +392,7 @@ def _nested(spark, sf_dir):
 
 @query("results_export")
 def results_export(spark, sf_dir):
-    return IO.to_json_documents(_nested(spark, sf_dir))
+    return IO.canonical_export(IO.to_json_documents(_nested(spark, sf_dir)))
 
 
 @query("results_json_rows")
@@ -334,10 +402,6 @@ def results_json_rows(spark, sf_dir):
                        "semantic_search_precision", "overall_score")
 
 
-def _flat_results(spark, sf_dir):
-    return IO.from_json_documents(IO.to_json_documents(_nested(spark, sf_dir)))
-
-
 @query("results_or_placeholder")
 def results_or_placeholder(spark, sf_dir):
     """Strict-parse documents: most have no result and get the placeholder."""
@@ -351,12 +415,12 @@ def results_or_placeholder(spark, sf_dir):
 
 @query("results_clean")
 def results_clean(spark, sf_dir):
-    corpus, _ = CO.strict_corpus(spark, sf_dir)
-    ev = DocumentEvaluation(corpus)
-    flat = IO.from_json_documents(IO.to_json_documents(IO.nest(ev.results())))
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"))
-    out = IO.clean_placeholder(IO.with_placeholder(flat, docs))
-    return out.select("doc", "model_name", "overall_score")
+    """Pages, of which all have a placeholder and many a real result too: the placeholder stays where it is alone."""
+    real = DocumentEvaluation(CO.page_corpus(spark, sf_dir)).results()
+    flat = IO.from_json_documents(IO.to_json_documents(IO.nest(real)))
+    docs = read_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc"))
+    both = IO.with_placeholder(flat.where(F.lit(False)), docs).unionByName(IO.with_placeholder(flat, flat.select("doc")))
+    return IO.clean_placeholder(both).select("doc", "model_name", "overall_score")
 
 
 @query("run_status")
@@ -438,22 +502,32 @@ def stream_ingest(spark, sf_dir):
 
 @query("latest_run")
 def latest_run(spark, sf_dir):
-    """Last evaluated document from the run history the ingest writes
-    (status rows per document and epoch); rows-only, it holds timestamps."""
-    import os
+    """Last evaluated document of the run history that the ingest writes; of one epoch, the greatest name."""
+    from ..streaming import ingest as ST
     out = _stream_documents(spark, sf_dir)
-    hist = spark.read.parquet(os.path.join(out, "status")).select(
+    hist = ST.read_history(spark, out).where("phase = 1").select(
         "document_name", F.col("updated_at").alias("evaluated_at"))
-    return IO.latest_run(hist)
+    return IO.latest_run(hist).select("last_document")
+
+
+@query("status_history")
+def status_history(spark, sf_dir):
+    """Status rows of the ingest in their order: processing, then completed or error."""
+    from ..streaming import ingest as ST
+    return ST.read_history(spark, _stream_documents(spark, sf_dir)).select(
+        "document_name", "phase", "status", "progress", "n_models")
 
 
 # ---------------------------------------------------------------------------
 # user-model embedding job (mapInPandas): timing per model, rows-only check
 
+def _embedded(spark, sf_dir):
+    conv = balance(read_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
+    outs = [E.embed_texts(conv, m) for m in _python_models("hash-64", "hash-256")]
+    return materialise(outs[0].unionByName(outs[1]), "embedded-texts")
+
+
 @query("embedding_timing")
 def embedding_timing(spark, sf_dir):
-    conv = balance(read_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
-    outs = [E.embed_with_model(conv, E.PandasModel(m.name + "-py", m.model_id, E.python_hashing_factory))
-            for m in E.NATIVE_MODELS]
-    v = outs[0].unionByName(outs[1])
-    return E.embedding_timing(v)
+    """Seconds are those of a per-word Python loop that stands in for a model: they measure the job, no model."""
+    return E.embedding_timing(_embedded(spark, sf_dir))

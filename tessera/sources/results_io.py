@@ -28,8 +28,9 @@ RESULT_MAP_TYPE = f"map<string,{RESULT_TYPE}>"
 
 
 def nest(flat: DataFrame, model_id_col: str = "model_id", time_col: str | None = None) -> DataFrame:
-    """Flat metric rows -> ``model_name, doc, result`` (nested struct)."""
-    t = F.col(time_col).cast("double") if time_col else F.lit(0.0)
+    """Flat metric rows -> ``model_name, doc, result`` (nested struct).  The
+    evaluation time is NULL unless it was measured (``time_col``)."""
+    t = F.col(time_col).cast("double") if time_col else F.lit(None).cast("double")
     result = F.struct(
         F.col(model_id_col).alias("model_id"),
         F.struct(*[F.col(c).cast("double").alias(c) for c in COHERENCE]).alias("coherence"),
@@ -43,8 +44,8 @@ def nest(flat: DataFrame, model_id_col: str = "model_id", time_col: str | None =
 def to_json_documents(nested: DataFrame) -> DataFrame:
     """One JSON object per document, keyed by model name (bounded by #models)."""
     return nested.groupBy("doc").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_name", "result")))))
-        .alias("results_json"))
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_name", "result")))),
+                  {"ignoreNullFields": "false"}).alias("results_json"))
 
 
 def from_json_documents(docs: DataFrame, json_col: str = "results_json") -> DataFrame:
@@ -76,11 +77,6 @@ def write_results(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").partitionBy("model_name").format(fmt).save(path)
 
 
-def _placeholder_row(doc: F.Column) -> F.Column:
-    return F.struct(doc.alias("doc"), F.lit(L.PLACEHOLDER_NAME).alias("model_name"),
-                    F.lit(L.PLACEHOLDER_MODEL_ID).alias("model_id"))
-
-
 def with_placeholder(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Every listed document without a result gets one all-zero ``empty`` row."""
     metric_cols = COHERENCE + BOUNDARIES + SEARCH + ["evaluation_time_seconds", "overall_score"]
@@ -115,6 +111,27 @@ def run_status(results: DataFrame, docs: DataFrame) -> DataFrame:
         F.col("n_models").cast("long").alias("n_models"))
 
 
+def processing_status(docs: DataFrame) -> DataFrame:
+    """The status rows of documents whose evaluation begins."""
+    return docs.select("doc").distinct().select(
+        F.col("doc").alias("document_name"), F.lit("processing").alias("status"),
+        F.lit("Evaluation in progress.").alias("message"), F.lit(0).cast("long").alias("progress"),
+        F.lit(0).cast("long").alias("n_models"))
+
+
+def error_status(docs: DataFrame, message: str) -> DataFrame:
+    """The status rows of documents whose evaluation failed as a whole."""
+    return processing_status(docs).withColumn("status", F.lit("error")).withColumn("message", F.lit(message))
+
+
+def canonical_export(exported: DataFrame) -> DataFrame:
+    """``doc, results``: of exported JSON, ``model:score`` with 6 digits, by model name (bounded by #models)."""
+    rows = from_json_documents(exported)
+    one = F.struct("model_name", F.format_string("%s:%.6f", "model_name", "overall_score").alias("s"))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), ",")
+                                   .alias("results"))
+
+
 def latest_run(history: DataFrame) -> DataFrame:
     """Last evaluated document from an append-only ``document_name,
     evaluated_at`` history (ties: greatest name)."""

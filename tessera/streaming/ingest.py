@@ -6,7 +6,9 @@ read as a stream; every micro-batch runs the same batch plan inside
 on a streaming DataFrame itself) and writes
 
 * ``<out>/results/epoch=<id>/``: one row per (document, model),
-* ``<out>/status/epoch=<id>/``: one status row per document.
+* ``<out>/status/epoch=<id>/phase=<n>/``: one status row per document, first
+  (phase 0) ``processing``, then (phase 1) ``completed`` or ``error`` with the
+  failure's message.
 
 Writing each epoch to its own folder with ``overwrite`` makes a replayed
 epoch (after a failure) idempotent; the checkpoint folder records progress,
@@ -16,13 +18,12 @@ watermark is needed, and the query keeps no state.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.corpora import strict_corpus_of
 from ..plans.evaluate import DocumentEvaluation, Options
+from ..session import materialise
 from ..sources import results_io as IO
 
 
@@ -42,24 +43,39 @@ def table_stream(spark: SparkSession, folder: str, schema, glob: str) -> DataFra
                  .select(F.col("doc_id"), F.col("text")))
 
 
-def evaluate_batch(batch: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
-    """Results (flat rows) and run status of one batch of documents."""
+def evaluate_batch(batch: DataFrame, options: Options | None = None) -> DataFrame:
+    """Results (flat rows) of one batch of documents."""
     corpus, _ = strict_corpus_of(batch)
     ev = DocumentEvaluation(corpus, options or Options())
-    results = ev.results().select(
+    return ev.results().select(
         "doc", "model_name", "model_id", *IO.COHERENCE, *IO.BOUNDARIES, *IO.SEARCH, "overall_score")
-    docs = batch.select(F.col("doc_id").cast("string").alias("doc"))
-    return results, IO.run_status(results, docs)
 
 
 def start(stream: DataFrame, out_dir: str, checkpoint: str, options: Options | None = None,
           available_now: bool = True, processing_time: str | None = None):
-    """Start the evaluation query; returns the ``StreamingQuery``."""
+    """Start the evaluation query; returns the ``StreamingQuery``.
+
+    An epoch's batch is written once and its results are computed once; the
+    final status is derived from the results as written.  If the evaluation
+    fails, its documents get ``error`` rows and the stream goes on.
+    """
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        results, status = evaluate_batch(batch, options)
-        results.write.mode("overwrite").parquet(os.path.join(out_dir, "results", f"epoch={epoch_id}"))
-        status.withColumn("updated_at", F.current_timestamp()) \
-              .write.mode("overwrite").parquet(os.path.join(out_dir, "status", f"epoch={epoch_id}"))
+        spark = batch.sparkSession
+        batch = materialise(batch, "ingest-batch")
+        docs = batch.select(F.col("doc_id").cast("string").alias("doc"))
+        results = f"{out_dir}/results/epoch={epoch_id}"
+
+        def report(status: DataFrame, phase: int) -> None:
+            (status.withColumn("updated_at", F.current_timestamp())
+             .write.mode("overwrite").parquet(f"{out_dir}/status/epoch={epoch_id}/phase={phase}"))
+
+        report(IO.processing_status(docs), 0)
+        try:
+            evaluate_batch(batch, options).write.mode("overwrite").parquet(results)
+        except Exception as failure:  # noqa: BLE001 -- its message is the documents' status
+            report(IO.error_status(docs, f"{type(failure).__name__}: {str(failure)[:500]}"), 1)
+            return
+        report(IO.run_status(spark.read.parquet(results), docs), 1)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
@@ -67,11 +83,16 @@ def start(stream: DataFrame, out_dir: str, checkpoint: str, options: Options | N
 
 
 def read_results(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(out_dir, "results"))
+    return spark.read.parquet(f"{out_dir}/results")
+
+
+def read_history(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All status rows, with ``epoch`` and ``phase``."""
+    return spark.read.parquet(f"{out_dir}/status")
 
 
 def current_status(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest status per document over all epochs (``max_by`` on epoch)."""
-    s = spark.read.parquet(os.path.join(out_dir, "status"))
-    latest = F.max_by(F.struct("status", "message", "progress", "n_models"), F.col("epoch"))
+    """Latest status per document over all epochs (``max_by`` on epoch and phase)."""
+    s = read_history(spark, out_dir)
+    latest = F.max_by(F.struct("status", "message", "progress", "n_models"), F.struct("epoch", "phase"))
     return s.groupBy("document_name").agg(latest.alias("s")).select("document_name", "s.*")

@@ -73,11 +73,26 @@ def test_stream_equals_batch(spark):
     q = ST.start(ST.text_file_stream(spark, src), out, ckpt)
     q.awaitTermination()
     streamed = sorted((r.doc, r.model_name, round(r.overall_score, 9)) for r in ST.read_results(spark, out).collect())
-    batch_res, _ = ST.evaluate_batch(read_text_documents(spark, src))
+    batch_res = ST.evaluate_batch(read_text_documents(spark, src))
     batch = sorted((r.doc, r.model_name, round(r.overall_score, 9)) for r in batch_res.collect())
     assert streamed == batch and {d for d, _, _ in streamed} == {"a.txt"}
     status = {r.document_name: r.status for r in ST.current_status(spark, out).collect()}
     assert status == {"a.txt": "completed", "b.txt": "error"}
+    history = sorted((r.document_name, r.phase, r.status) for r in ST.read_history(spark, out).collect())
+    assert history == [("a.txt", 0, "processing"), ("a.txt", 1, "completed"), ("b.txt", 0, "processing"), ("b.txt", 1, "error")]
+
+
+def test_failing_evaluation_leaves_an_error_with_its_message(spark):
+    from tessera.plans.evaluate import Options
+    from tessera.session import scratch_path
+    from tessera.streaming import ingest as ST
+    src = tempfile.mkdtemp(prefix="tessera-in3-")
+    with open(os.path.join(src, "a.txt"), "w", encoding="utf-8") as f:
+        f.write(open(SAMPLE_DOC, encoding="utf-8").read())
+    out, ckpt = scratch_path(spark, "e-out"), scratch_path(spark, "e-ckpt")
+    ST.start(ST.text_file_stream(spark, src), out, ckpt, Options(models=["no model"])).awaitTermination()
+    (row,) = ST.current_status(spark, out).collect()
+    assert row.document_name == "a.txt" and row.status == "error" and "no model" in row.message or "str" in row.message
 
 
 def test_python_model_equals_native(spark):
@@ -90,7 +105,7 @@ def test_python_model_equals_native(spark):
     b = {r.id: list(r.vec) for r in nat.collect()}
     assert a == b
     t = registry()["embedding_timing"](spark, "/root/testdata/sf0.001").collect()
-    assert {r.model_name for r in t} == {"hash-64-py", "hash-256-py"} and all(r.n_failed == 0 for r in t)
+    assert {r.model_name for r in t} == {"hash-64", "hash-256"} and all(r.n_failed == 0 for r in t)
 
 
 def test_stream_restart_processes_only_new_files(spark):

@@ -40,3 +40,30 @@ def test_progress_counters(spark):
     p = ev.progress()
     assert p["paragraph_vectors"]["n_vectors"] == 7 * 2        # 7 paragraphs x 2 models
     assert p["sentence_vectors"]["n_vectors"] == 45 * 2
+
+
+def test_user_models_and_given_vectors_enter_the_evaluation(spark):
+    from tessera.operators import embed as E
+    from pyspark.sql import functions as F
+    text = open(SAMPLE_DOC, encoding="utf-8").read()
+    docs = spark.createDataFrame([(0, text), (1, text + "\nOne more line that ends the text.")], "doc_id long, text string")
+    corpus, _ = strict_corpus_of(docs)
+    native = DocumentEvaluation(corpus, Options(models=[E.HASH_64]))
+    given = native.paragraph_vectors().drop("model_name")
+
+    def broken(model_id):
+        raise RuntimeError("cannot load")
+
+    user = E.PandasModel("mine", "hashing/md5-64", E.python_hashing_factory)
+    ev = DocumentEvaluation(corpus, Options(models=[user, E.PandasModel("broken", "x", broken)], given=[("given", given)]))
+    want = {r.doc: r for r in native.results().collect()}
+    got = {(r.model_name, r.doc): r for r in ev.results().collect()}
+    assert set(got) == {(m, d) for m in ("mine", "given") for d in ("0", "1")}
+    for (m, d), r in got.items():
+        assert abs(r.avg_coherence - want[d].avg_coherence) < 1e-9
+        assert abs(r.section_boundary_contrast - want[d].section_boundary_contrast) < 1e-9
+        if m == "mine":
+            assert abs(r.overall_score - want[d].overall_score) < 1e-9
+    failed = {r.doc: (r.model_name, r.n_failed, r.error) for r in ev.failed_units().collect()}
+    paragraphs = {r.doc: r["count"] for r in corpus.paragraphs.groupBy("doc").count().collect()}
+    assert failed == {d: ("broken", n, "RuntimeError: cannot load") for d, n in paragraphs.items()}

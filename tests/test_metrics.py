@@ -159,3 +159,79 @@ def test_hot_document_all_skew_paths(spark):
                  for r in C.adjacent_similarity(vecs, ranges=9).collect() if r.doc == "hot")
     assert len(adj) == 299
     np.testing.assert_allclose([a[2] for a in adj], want_adj, atol=1e-12)
+
+
+def test_hot_document_runs_in_many_tasks(spark):
+    """Two thirds of the rows in one document, no broadcast joins: its chunks
+    are dealt to several tasks, and the numbers equal brute force."""
+    from pyspark.sql.functions import spark_partition_id
+    rng = np.random.default_rng(5)
+    rows = [("hot", f"s{i // 60}", i, 0, list(rng.integers(0, 3, 6).astype(float) + 0.5)) for i in range(400)]
+    rows += [(f"d{i % 20}", "s", i, 0, list(rng.integers(0, 3, 6).astype(float))) for i in range(200)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with much data
+    try:
+        vecs = _vecs(spark, rows)
+        v = vecs.filter("norm_sq > 0")
+        sized = v.join(v.groupBy("model_name", "doc").count().withColumnRenamed("count", "n"), ["model_name", "doc"])
+        chunks = (sized.withColumn("n_chunks", F.ceil(F.col("n") / 20))
+                  .withColumn("salt", F.pmod(F.xxhash64("major", "minor"), F.col("n_chunks")))
+                  .repartition(F.col("model_name"), F.col("doc"), F.col("salt")))
+        tasks = {r[0] for r in chunks.where("doc = 'hot'").select(spark_partition_id()).distinct().collect()}
+        assert len(tasks) > 3
+        plan = K.pair_statistics(vecs, ["model_name", "doc"], small_max=8, rows_per_partial=20) \
+            ._jdf.queryExecution().executedPlan().toString()
+        assert any("salt" in x for x in plan.splitlines() if "hashpartitioning" in x)
+        got = {r.doc: r for r in K.section_contrast(vecs, small_max=8, rows_per_partial=20).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    w = _brute_contrast(rows)["hot"]
+    r = got["hot"]
+    assert (r.n_within_pairs, r.n_cross_pairs) == (w[4], w[5])
+    np.testing.assert_allclose([r.avg_within_section_similarity, r.avg_cross_section_similarity], w[:2], atol=1e-9)
+
+
+def test_pair_counts_are_exact(spark):
+    ns = [0, 1, 2, 3, 4, 10 ** 10, 10 ** 10 + 1, 4 * 10 ** 18]
+    df = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert [int(r[0]) for r in df.select(K.pairs_of(F.col("n"))).collect()] == [n * (n - 1) // 2 for n in ns]
+
+
+def test_sparse_and_repeated_order_keys(spark):
+    """Order keys far apart, and many lines of one key, in a few ranges; one shuffle and one scan of the vectors."""
+    rng = np.random.default_rng(3)
+    rows = [("d", "s", int(k), j, list(rng.integers(0, 3, 5).astype(float) + 0.1))
+            for k in (-10 ** 15, 0, 7, 10 ** 17) for j in range(25)]
+    vecs = _vecs(spark, rows)
+    want = [_cos(rows[i - 1][4], rows[i][4]) for i in range(1, len(rows))]
+    got = sorted((r.major, r.minor, r.similarity) for r in C.adjacent_similarity(vecs, ranges=6).collect())
+    assert np.allclose([g[2] for g in got], want, atol=1e-6)
+    plan = vecs.select("model_name", "doc", "major", "minor", "vec", "norm_sq").repartitionByRange(
+        6, "model_name", "doc", "major", "minor")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1
+
+
+def test_query_blocks_equal_one_join(spark):
+    """A caller's queries in blocks of a few give the rows of the plain join, and precision needs no product."""
+    from tessera.operators import queries as Q
+    from tessera.sources.tables import read_table
+    corpus = CO.chat_corpus(spark, SF_SMALL)
+    queries = Q.passage_queries(read_table(spark, SF_SMALL, "benchmark"))
+    none = spark.createDataFrame([(10 ** 6, "a to of", [])], "query_idx int, query string, keywords array<string>")
+    queries = queries.unionByName(none)
+    sv = E.embed_native(corpus.sentences, [E.HASH_64], keep_text=True)
+    qv = E.embed_native(queries, [E.HASH_64], text_col="query", keep_text=True)
+    plain = R.top_k(R.query_sentence_similarity(sv, qv, False))
+    blocks = R.top_k_in_blocks(sv, qv, block_components=64 * 7)
+    key = lambda d: sorted((r.doc, r.query_idx, r["rank"], r.major, r.minor, r.piece) for r in d.collect())
+    assert key(plain) == key(blocks)
+    docs = corpus.paragraphs.select(F.lit("hash-64").alias("model_name"), "doc").distinct()
+    hits = R.keyword_hits(blocks, queries, False)
+    want = {r.doc: r for r in R.search_precision(R.query_precision(docs, qv, hits, False)).collect()}
+    got = {r.doc: r for r in R.search_precision_of_set(docs, queries, hits).collect()}
+    assert set(want) == set(got)
+    for d, r in got.items():
+        for c in ("n_queries", "semantic_search_precision", "min_precision", "max_precision", "search_precision_std"):
+            assert abs(r[c] - want[d][c]) < 1e-9, (d, c)

@@ -5,12 +5,13 @@ import re
 
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"results_export", "embedding_timing", "latest_run"}
+ROWS_ONLY = {"embedding_timing"}
 
 
 def test_every_query_runs_with_named_columns(spark):
-    import __spark_entry__ as entry
-    queries, oracle = entry.queries(), entry.oracle_sql()
+    from tessera.plans.oracle import oracle_queries
+    from tessera.plans.registry import registry
+    queries, oracle = registry(), oracle_queries()
     assert set(queries) - set(oracle) == ROWS_ONLY and set(oracle) <= set(queries)
     for name, fn in queries.items():
         df = fn(spark, SF_SMALL)
@@ -19,6 +20,12 @@ def test_every_query_runs_with_named_columns(spark):
         df.count()   # runs over the whole tables (a sparse corpus may give 0 rows)
 
 
+def test_entry_names():
+    import __spark_entry__ as entry
+    from tessera.plans.registry import registry
+    assert set(registry()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
