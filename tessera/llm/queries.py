@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import find_passages
 from tessera.llm.dedup import DEDUP_SQL, dedup_report
-from tessera.llm.jaccard import jaccard_report
+from tessera.llm.jaccard import components_sql, jaccard_report
 from tessera.llm.langid import held_out_languages
 from tessera.llm.lm_score import language_model_report
 from tessera.llm.packing import pack
@@ -68,4 +68,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op7_exact_dedup": DEDUP_SQL}
+    return {"op7_exact_dedup": DEDUP_SQL, "op10_jaccard_join": components_sql()}
