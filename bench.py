@@ -30,6 +30,9 @@ HEADLINE = [
     "section_contrast_chats",
     "spearman_by_model",            # pair evaluation: similarity + average ranks
     "search_queries",               # strict parse + topic queries
+    "search_precision_custom",      # a caller's query set in blocks
+    "comparison_table",             # pair evaluation, embedded once
+    "stream_ingest",                # the ingest over the documents table
 ]
 
 
