@@ -125,7 +125,7 @@ def ship_package(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
-    if key in _SHIPPED or not sc.master.startswith("local"):
+    if key in _SHIPPED or not _is_local(spark):
         return
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
