@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,54 +18,77 @@ from tessera.llm.pii import personal_data_report
 from tessera.llm.quality import held_out_quality
 from tessera.llm.sharding import shard_report
 from tessera.llm.tokencount import count_tokens
+from tessera.session import ship_package
 from tessera.sources.tables import read_table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a query under its name; in local mode its Python workers get this package."""
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+@query
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(read_table(spark, sf_dir, "documents"))
 
 
+@query
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(read_table(spark, sf_dir, "documents"))
 
 
+@query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_report(read_table(spark, sf_dir, "documents"))
 
 
+@query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset")
 
 
+@query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+@query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_report(read_table(spark, sf_dir, "documents"))
 
 
+@query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_report(read_table(spark, sf_dir, "documents"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_language, op3_decontamination, op4_quality, op5_lm_score, op6_packing,
-                                    op7_exact_dedup, op8_token_counts, op9_personal_data, op10_jaccard_join)}
+    return dict(QUERIES)
 
 
 def llm_oracles() -> dict[str, str]:
