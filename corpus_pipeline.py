@@ -9,7 +9,7 @@ from tessera.llm.dedup import first_of_equal
 from tessera.llm.jaccard import one_of_each
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
-from tessera.session import materialise
+from tessera.session import materialise, ship_package
 from tessera.sources.tables import read_table
 
 
@@ -47,6 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
+    ship_package(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
