@@ -17,6 +17,24 @@ SEGMENT = 4096
 LEVEL = 6
 
 
+def first_by_hash(rows: DataFrame, label: str, key: str, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows of each label that come first by a hash of ``key``; columns ``label``, ``pick`` and the others.
+
+    Labels are counted first, and only rows whose hash lies in the part of its
+    range where about four times as many are expected are sorted at all.
+    Rows with a null label are left out.
+    """
+    rows = rows.withColumn("label", F.col(label).cast("string")).where(F.col("label").isNotNull())
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    limit = F.lit(None).cast("long")
+    for value, n in counts.items():
+        part = min(1.0, 4 * most / n)
+        limit = F.when(F.col("label") == value, F.lit(min(int(part * 2 ** 64) - 2 ** 63, 2 ** 63 - 1))).otherwise(limit)
+    order = Window.partitionBy("label").orderBy("pick", key)
+    return (rows.withColumn("pick", F.xxhash64(F.col(key).cast("string"), F.lit(seed))).where(F.col("pick") <= limit)
+            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank"))
+
+
 def learn_dictionaries(labelled: DataFrame, label: str, text: str, key: str, dict_bytes: int = 112 * 1024,
                        sample_docs: int = 400, slice_chars: int = 400) -> dict[str, bytes]:
     """``{label: dictionary}`` from a bounded sample of labelled rows.
@@ -28,18 +46,13 @@ def learn_dictionaries(labelled: DataFrame, label: str, text: str, key: str, dic
     text than a few whole documents would.  Rows with a null label or an empty
     text teach nothing.  The driver gets ``sample_docs`` slices a label.
     """
-    pick = F.xxhash64(F.col(key).cast("string"), F.octet_length(text), F.lit(17))
-    place = F.pmod(F.xxhash64(pick, F.lit(18)), F.greatest(F.length(text) - slice_chars, F.lit(0)) + 1) + 1
-    order = Window.partitionBy("label").orderBy("pick", "body")
-    rows = (labelled.where(F.length(text) > 0)
-            .select(F.col(label).cast("string").alias("label"), pick.alias("pick"),
-                    F.substring(F.col(text), place.cast("int"), F.lit(slice_chars)).alias("body"))
-            .where(F.col("label").isNotNull())
-            .withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= sample_docs)
-            .select("label", "rank", "body").collect())
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.octet_length(text), F.lit(18)),
+                   F.greatest(F.length(text) - slice_chars, F.lit(0)) + 1) + 1
+    slices = (labelled.where(F.length(text) > 0)
+              .select(F.col(label), F.col(key), F.substring(F.col(text), place.cast("int"), F.lit(slice_chars)).alias("body")))
+    rows = first_by_hash(slices, label, key, sample_docs, 17).select("label", "pick", "body").collect()
     bodies: dict[str, dict[bytes, None]] = {}
-    for row in sorted(rows, key=lambda r: (r["label"], r["rank"])):
+    for row in sorted(rows, key=lambda r: (r["label"], r["pick"], r["body"])):
         bodies.setdefault(row["label"], {})[row["body"].encode()] = None
     return {k: b"\n".join(v)[:dict_bytes] for k, v in sorted(bodies.items())}
 

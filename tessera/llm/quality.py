@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.compression import Compressors, learn_dictionaries, remainder
+from tessera.llm.compression import Compressors, first_by_hash, learn_dictionaries, remainder
+from tessera.session import materialise
 
 #: Short segments keep a text's own repetitions from hiding what it shares with a dictionary.
 SEGMENT = 128
@@ -59,14 +60,21 @@ def learn_quality(docs: DataFrame, labels: DataFrame, dict_bytes: int = 112 * 10
     (bounds: :func:`learn_dictionaries`); ``calibration_docs`` rows of the other
     half, first by a hash, fit the curve.  Rows without a label of 0 or 1 are
     not used; a doc_id labelled twice with different values is used with each.
+    The driver gets the ids of the chosen rows and their size differences.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("_y")).distinct()
-    rows = (docs.select("doc_id", "text").join(known, "doc_id")
-            .withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))))
+    # rows are chosen by their ids; only the texts of the chosen ones move
+    ids = (docs.select("doc_id").join(known, "doc_id")
+           .withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))))
+    shown = first_by_hash(ids.where("_half = 0"), "_y", "doc_id", sample_docs, 17).select("doc_id", "_y", "_half")
+    fitted = first_by_hash(ids.where("_half = 1").withColumn("_all", F.lit("all")), "_all", "doc_id", calibration_docs, 6)
+    chosen = shown.unionByName(fitted.select("doc_id", "_y", "_half")).distinct().collect()
+    chosen = spark.createDataFrame(chosen, "doc_id long, _y int, _half long")
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality-sample")
     dictionaries = learn_dictionaries(rows.where("_half = 0"), "_y", "text", "doc_id", dict_bytes, sample_docs)
-    picked = (rows.where("_half = 1")
-              .orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id", F.xxhash64("text"), "_y").limit(calibration_docs))
-    fitted = picked.select(size_difference(F.col("text"), dictionaries, docs.sparkSession).alias("x"), "_y").collect()
+    fitted = (rows.where("_half = 1").select(size_difference(F.col("text"), dictionaries, spark).alias("x"), "_y")
+              .collect())
     slope, intercept = fit_logistic(np.array([r["x"] for r in fitted]), np.array([r["_y"] for r in fitted], dtype=float))
     return QualityModel(dictionaries, slope, intercept)
 
