@@ -8,7 +8,10 @@ single frame would soon learn from the text itself and forget the labels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +60,12 @@ def learn_dictionaries(labelled: DataFrame, label: str, text: str, key: str, dic
     return {k: b"\n".join(v)[:dict_bytes] for k, v in sorted(bodies.items())}
 
 
+def values(batch: pa.Array, most: int = 256) -> Iterator:
+    """The Python values of a batch, a few at a time, so that its texts are not held twice."""
+    for start in range(0, len(batch), most):
+        yield from batch.slice(start, most).to_pylist()
+
+
 class Compressors:
     """Compressed sizes of a text under each dictionary; one object for each Python worker."""
 

@@ -61,7 +61,7 @@ def test_alignment_equals_the_plain_table():
         best = _edits(passage, region)
         hit = decontaminate.align(passage, region, len(passage))
         assert hit is not None and hit[2] == best
-        assert decontaminate.align(passage, region, best - 1) is None
+        assert best == 0 or decontaminate.align(passage, region, best - 1) is None
         a, b, e = hit
         assert _edits(passage, region[a:b]) == e
 
