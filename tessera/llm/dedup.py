@@ -37,7 +37,8 @@ def sha256(text: Column) -> Column:
 
 
 @contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings while a table is written here, and as they were after."""
     before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)
@@ -67,7 +68,7 @@ def keyed_state(prints: DataFrame, spark: SparkSession, path: str, bytes_per_bat
     """Streams the fingerprints in ``path`` and returns the final state, one row for each digest."""
     checkpoint = scratch_path(spark, "dedup-state")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "locator"))
-    with _settings(spark, STATE):
+    with settings(spark, STATE):
         stream = (spark.readStream.schema(prints.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
                   .groupBy("digest").agg(first.alias("keep"), F.count(F.lit(1)).alias("group_size")))
         (stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
