@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.compression import Compressors, learn_dictionaries, remainder
+from tessera.llm.compression import Compressors, learn_dictionaries, remainder, values
 
 UNDETERMINED = "und"
 SEGMENT = 4096
@@ -46,7 +46,7 @@ def language_of(text: Column, dictionaries: dict[str, bytes], spark: SparkSessio
         model = Compressors(sent.value, segment=SEGMENT)
         names = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
         for batch in batches:
-            yield pa.array([_predict(model, t) for t in batch.to_pylist()], type=names)
+            yield pa.array([_predict(model, t) for t in values(batch)], type=names)
 
     return F.arrow_udf(predict, RESULT)(text)
 

@@ -112,7 +112,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.merger = PairMerger(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.words = Recent(self._library, 300_000, LONGEST_WORD)
+        self.words = Recent(self._library, 150_000, LONGEST_WORD)
 
     def _library(self, part: str) -> bytes:
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids

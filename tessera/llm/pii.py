@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.compression import values
+
 KINDS = ("email", "ip", "card", "phone")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -272,7 +274,7 @@ def personal_data(text: Column) -> Column:
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([[{"kind": KINDS[k], "start": a, "end": b, "added": new} for a, k, b, new in all_spans(t)]
-                            if t else [] for t in batch.to_pylist()], type=SPANS)
+                            if t else [] for t in values(batch)], type=SPANS)
 
     return F.arrow_udf(find, "array<struct<kind: string, start: int, end: int, added: boolean>>")(text)
 

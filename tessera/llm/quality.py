@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.compression import Compressors, first_by_hash, learn_dictionaries, remainder
+from tessera.llm.compression import Compressors, first_by_hash, learn_dictionaries, remainder, values
 from tessera.session import materialise
 
 #: Short segments keep a text's own repetitions from hiding what it shares with a dictionary.
@@ -43,7 +43,7 @@ def size_difference(text: Column, dictionaries: dict[str, bytes], spark: SparkSe
         for batch in batches:
             out = np.zeros(len(batch))
             if len(both) == 2:
-                for i, data in enumerate(batch.cast(pa.binary()).to_pylist()):
+                for i, data in enumerate(values(batch.cast(pa.binary()))):
                     if data:
                         bad, good = model.sizes(data)[both]
                         out[i] = (bad - good) / len(data)

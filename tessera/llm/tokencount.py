@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.compression import values
+
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -118,7 +120,7 @@ class BytePairCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.symbols = [number[c] for c in byte_symbols()]
-        self.pieces = Recent(self._piece, 300_000, 40)
+        self.pieces = Recent(self._piece, 150_000, 40)
 
     def _piece(self, piece: str) -> int:
         return merge_count([self.symbols[b] for b in piece.encode()], self.ranks, self.merged)
@@ -152,7 +154,7 @@ def token_count(text: Column, path: str) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = counter(path)
         for batch in batches:
-            yield pa.array([own.count(t) if t else 0 for t in batch.to_pylist()], type=pa.int64())
+            yield pa.array([own.count(t) if t else 0 for t in values(batch)], type=pa.int64())
 
     return F.arrow_udf(count, "long")(text)
 
