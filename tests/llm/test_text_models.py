@@ -156,3 +156,39 @@ def test_packed_counts_survive():
         for key, n in zip(lm_score._unpacked(k).tolist(), c):
             total[key | r << int(shift)] += n
     assert total == dict(zip(keys.tolist(), counts.tolist()))
+
+
+def test_what_the_filter_has_no_room_for_is_looked_up(spark, awkward, monkeypatch):
+    monkeypatch.setattr(lm_score, "OPEN_HELD", 2000)    # several chunks
+    for docs in (awkward, read_table(spark, SF_SMALL, "documents")):
+        docs = lm_score.stored(docs.withColumn("held_out", lm_score.remainder("doc_id", 10) == 0))
+        train = docs.where("not held_out").select("doc_id", "text")
+        model, words = lm_score.learn_language_model(train, filter_bytes=64)
+        whole, _ = lm_score.learn_language_model(train)
+        assert model.partial and not whole.partial and model.weight == whole.weight
+        got = lm_score.score_texts(docs, model, words).collect()
+        one, two = Counter(), Counter()
+        for r in train.collect():
+            own = lm_score.tokens_of(r.text)
+            one.update(own.tolist())
+            two.update(lm_score.pair_keys(lm_score.previous(own, np.array([0])), own).tolist())
+
+        def middle(n):
+            return lm_score.MIDDLES[lm_score.steps_of(np.array([n]))[0]]
+
+        want = []
+        for r in docs.collect():
+            own = lm_score.tokens_of(r.text)
+            keys = lm_score.pair_keys(lm_score.previous(own, np.array([0])), own).tolist()
+            score, last = 0.0, lm_score.END
+            for token, key in zip(own.tolist(), keys):
+                before, pair = middle(one[last]), middle(two[key]) if two[key] > 1 else 0
+                w = before / (before + model.weight)
+                score += math.log10(w * min(pair / before if before else 0, 1)
+                                    + (1 - w) * (middle(one[token]) + 0.1) / model.total)
+                last = token
+            want.append((r.doc_id is None, r.doc_id or 0, len(own), score))
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in got)
+        want.sort()
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        np.testing.assert_allclose([g[3] for g in got], [w[3] for w in want], rtol=2e-3)
