@@ -6,10 +6,11 @@ document).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialise
 from ..sources import literals as L
 
 QUERY_SCHEMA = "query_idx int, query string, keywords array<string>"
@@ -85,3 +86,32 @@ def queries_from_lists(df: DataFrame, queries_col: str = "queries", keywords_col
     return (df.select(*other, F.posexplode(F.slice(z, 1, n)).alias("query_idx", "q"))
               .select(*other, F.col("query_idx").cast("int").alias("query_idx"),
                       F.col("q.query").alias("query"), F.col("q.keywords").alias("keywords")))
+
+
+def queries_from_turns(turns: DataFrame, key: str, order: str, text: str = "text", buckets: int | None = None) -> DataFrame:
+    """``key, query_idx, query, keywords``: the query sets whose queries are the texts of each ``key`` by ``order``
+    (then text), and whose keyword lists are those of all but the last, paired by position.
+
+    A query and the keyword list at its position come from the same row, so
+    nothing is gathered: rows are range-partitioned and sorted, and a row's
+    position is its place in its range plus the rows of its key in earlier
+    ranges.  The last position of a key has no keyword list.  ``buckets``
+    defaults to ``spark.sql.shuffle.partitions``.
+    """
+    spark = turns.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [key, order, text]
+    # the id has the number of the range in its upper bits and the place there in the lower 33
+    number = F.monotonically_increasing_id()
+    ranges = materialise(turns.select(*by).repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("id", number)
+                         .withColumn("bucket", F.shiftright("id", 33)), "turn-ranges")
+    pieces = ranges.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
+    whole = Window.partitionBy(key)
+    earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(F.col(key).alias("piece_key"), F.col("bucket").alias("piece_bucket"), "first",
+                           F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"),
+                           F.sum("c").over(whole).alias("n"))
+    placed = ranges.join(pieces, ranges[key].eqNullSafe(F.col("piece_key")) & (F.col("bucket") == F.col("piece_bucket")))
+    return (placed.withColumn("query_idx", F.col("before") + F.col("id") - F.col("first"))
+            .where(F.col("query_idx") < F.col("n") - 1)
+            .select(key, "query_idx", F.col(text).alias("query"), T.topic_keywords(F.col(text)).alias("keywords")))

@@ -278,14 +278,11 @@ def page_search_precision(spark, sf_dir):
 
 @query("conversation_query_sets")
 def conversation_query_sets(spark, sf_dir):
-    """Query sets as parallel lists: of each conversation's user turns the texts, and for all but
-    the last turn a keyword list; the shorter list wins."""
-    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    sets = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    sets = sets.select("conv_id", F.transform("t", lambda x: x["text"]).alias("queries"),
-                       F.transform(F.slice("t", 1, F.size("t") - 1), lambda x: T.topic_keywords(x["text"])).alias("keywords"))
-    return Q.queries_from_lists(sets).select("conv_id", "query_idx", "query",
-                                             F.array_join("keywords", "|").alias("keywords"))
+    """Query sets paired by position: of each conversation's turns the texts, and for all but
+    the last turn a keyword list; what has no partner is left out."""
+    turns = read_table(spark, sf_dir, "conversations")
+    return Q.queries_from_turns(turns, "conv_id", "turn").select("conv_id", "query_idx", "query",
+                                                                 F.array_join("keywords", "|").alias("keywords"))
 
 
 @query("search_precision_custom")

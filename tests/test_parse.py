@@ -99,6 +99,25 @@ def test_zip_query_lists(spark):
     assert got == [(0, "q1", ["a"]), (1, "q2", ["b", "c"])]     # shorter list wins
 
 
+def test_long_conversation_is_paired_in_many_ranges(spark):
+    rows = [("hot", i, f"Subject {i} about gardening") for i in range(500)] + [("one", 0, "alone"), (None, 4, "without key"),
+            (None, 7, "last"), ("two", 1, None), ("two", 1, "same turn later text"), ("two", None, "first turn")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, text string").repartition(5)
+    sets = Q.queries_from_turns(df, "conv_id", "turn", buckets=16)
+    got = sorted(((r.conv_id or ""), r.query_idx, r.query, r.keywords) for r in sets.collect())
+    want = [("", 0, "without key", ["without"])] + [
+        ("hot", i, f"Subject {i} about gardening", ["subject", "gardening"]) for i in range(499)] + [
+        ("two", 0, "first turn", ["first", "turn"]), ("two", 1, None, None)]
+    assert got == want
+    assert "collect_list" not in sets._jdf.queryExecution().toString()
+
+
+def test_registered_query_sets_gather_no_conversation(spark):
+    from tessera.plans.registry import registry
+    df = registry()["conversation_query_sets"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
 def test_model_selection(spark):
     from tessera.operators import embed as E
     from tessera.plans.evaluate import models_for_flag, select_models
