@@ -198,11 +198,15 @@ SIGN_WORDS = frozenset(_DOT.split("|"))
 PLAIN_DOMAIN = re.compile(rf"\s(?:{_AT})\s+[A-Za-z0-9.-]*\.(?:{'|'.join(sorted(ENDINGS))})(?!\w)", re.I)
 
 
+SPACED_AT = re.compile(r"\s@|@\s")
+
+
 def has_signs(text: str, words: list[str]) -> bool:
     """Whether an at-sign or a dot may be disguised: a bracketed or spaced one, or one as a word."""
-    return (not SIGN_WORDS.isdisjoint(words) or " @" in text or "@ " in text
+    low = text.lower()
+    return (not SIGN_WORDS.isdisjoint(words) or "@" in text and SPACED_AT.search(text) is not None
             or any(b in text for b in "[({<") and BRACKETED.search(text) is not None
-            or any(f".{e}" in text for e in ENDINGS) and PLAIN_DOMAIN.search(text) is not None)
+            or any(f".{e}" in low for e in ENDINGS) and PLAIN_DOMAIN.search(text) is not None)
 
 
 

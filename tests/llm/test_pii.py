@@ -52,6 +52,9 @@ def test_plain_spans_equal_the_patterns(text):
     ("john＠example．com", "email", "john＠example．com"),
     ("ask jane at example.com please", "email", "jane at example.com"),
     ("john @ example.com", "email", "john @ example.com"),
+    ("jane\t@\texample.com", "email", "jane\t@\texample.com"),
+    ("jane\u00a0@example.com", "email", "jane\u00a0@example.com"),
+    ("JANE AT EXAMPLE.COM", "email", "JANE AT EXAMPLE.COM"),
     ("info{at}firma{punkt}de", "email", "info{at}firma{punkt}de"),
     ("ip 192 dot 168 dot 1 dot 1 end", "ip", "192 dot 168 dot 1 dot 1"),
     ("ip 10[.]0[.]0[.]1 end", "ip", "10[.]0[.]0[.]1"),
@@ -99,3 +102,11 @@ def test_report(spark, awkward, empty):
 def test_long_runs_take_linear_time():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "1 " * 100_000, "+" * 100_000, "1." * 100_000, "a@" * 50_000):
         pii.all_spans(text)
+
+
+@given(st.lists(st.sampled_from(["jane", "AT", "at", "@", "x.Com", "y.DE", "DOT", "dot", "[at]", "(", ")", " ", "\t", "\n",
+                                 "\u00a0", ".", "12", "Punkt", "org"]), max_size=9).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_the_guard_lets_all_through_that_has_signs(text):
+    rewritten = pii.undisguised_signs(text).text
+    assert rewritten == text or pii.has_signs(text, text.lower().translate(pii.PUNCTUATION).split())
