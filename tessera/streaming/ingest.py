@@ -18,6 +18,8 @@ watermark is needed, and the query keeps no state.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +59,9 @@ def start(stream: DataFrame, out_dir: str, checkpoint: str, options: Options | N
 
     An epoch's batch is written once and its results are computed once; the
     final status is derived from the results as written.  If the evaluation
-    fails, its documents get ``error`` rows and the stream goes on.
+    can't be planned, its documents get ``error`` rows and the stream goes on.
+    A failed Spark job (lost executors, memory) fails the epoch instead: the
+    query ends, and once restarted it runs the epoch again.
     """
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -73,6 +77,8 @@ def start(stream: DataFrame, out_dir: str, checkpoint: str, options: Options | N
         try:
             evaluate_batch(batch, options).write.mode("overwrite").parquet(results)
         except Exception as failure:  # noqa: BLE001 -- its message is the documents' status
+            if isinstance(failure, (Py4JError, PySparkException)) and not isinstance(failure, AnalysisException):
+                raise
             report(IO.error_status(docs, f"{type(failure).__name__}: {str(failure)[:500]}"), 1)
             return
         report(IO.run_status(spark.read.parquet(results), docs), 1)

@@ -95,6 +95,26 @@ def test_failing_evaluation_leaves_an_error_with_its_message(spark):
     assert row.document_name == "a.txt" and row.status == "error" and "no model" in row.message or "str" in row.message
 
 
+def test_failed_job_fails_the_epoch_and_a_restart_runs_it_again(spark, monkeypatch):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+    from pyspark.sql import functions as F
+    from tessera.session import scratch_path
+    from tessera.streaming import ingest as ST
+    src = tempfile.mkdtemp(prefix="tessera-in4-")
+    with open(os.path.join(src, "a.txt"), "w", encoding="utf-8") as f:
+        f.write(open(SAMPLE_DOC, encoding="utf-8").read())
+    out, ckpt = scratch_path(spark, "j-out"), scratch_path(spark, "j-ckpt")
+    with monkeypatch.context() as m:
+        m.setattr(ST, "evaluate_batch", lambda batch, options: batch.select(F.raise_error(F.lit("lost")).alias("x")))
+        with pytest.raises(StreamingQueryException):
+            ST.start(ST.text_file_stream(spark, src), out, ckpt).awaitTermination()
+    assert [r.status for r in ST.current_status(spark, out).collect()] == ["processing"]
+    ST.start(ST.text_file_stream(spark, src), out, ckpt).awaitTermination()
+    assert [r.status for r in ST.current_status(spark, out).collect()] == ["completed"]
+    assert {r.doc for r in ST.read_results(spark, out).collect()} == {"a.txt"}
+
+
 def test_python_model_equals_native(spark):
     from tessera.plans.registry import registry
     units = spark.createDataFrame([(1, "Straße über a_1 x"), (2, "Hello, hello world!"), (3, "")],
