@@ -85,10 +85,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch() -> None:
-    """Delete the scratch folders that this driver made."""
-    while _SCRATCH:
-        path, spark = _SCRATCH.popitem()
+def drop_scratch(*paths: str) -> None:
+    """Delete scratch folders that this driver made: the given ones, or all when it ends."""
+    for path in paths or list(_SCRATCH):
+        spark = _SCRATCH.pop(path, None)
+        if spark is None:
+            continue
         try:
             jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
             where = jvm.org.apache.hadoop.fs.Path(path)
