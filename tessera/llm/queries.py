@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import coding_report
 from tessera.llm.decontaminate import find_passages
 from tessera.llm.dedup import DEDUP_SQL, dedup_report
+from tessera.llm.divergence import AUDIT_SQL, audit_sources
 from tessera.llm.jaccard import components_sql, jaccard_report
 from tessera.llm.langid import held_out_languages
 from tessera.llm.lm_score import language_model_report
@@ -18,6 +20,7 @@ from tessera.llm.pii import personal_data_report
 from tessera.llm.quality import held_out_quality
 from tessera.llm.sharding import shard_report
 from tessera.llm.tokencount import count_tokens
+from tessera.llm.vector_codes import vector_code_report, vector_code_sql
 from tessera.session import ship_package
 from tessera.sources.tables import read_table
 
@@ -87,9 +90,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_report(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coding_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op7_exact_dedup": DEDUP_SQL, "op10_jaccard_join": components_sql()}
+    return {"op7_exact_dedup": DEDUP_SQL, "op10_jaccard_join": components_sql(),
+            "op11_source_divergence": AUDIT_SQL, "op13_vector_codes": vector_code_sql()}

@@ -33,5 +33,5 @@ def test_stages_and_packed_rows(spark):
 def test_queries_run_and_have_named_columns(spark):
     import __spark_entry__ as entry
     from tessera.llm.queries import llm_oracles, llm_queries
-    assert {int(n[2:].split("_")[0]) for n in llm_queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in llm_queries()} == set(range(1, 14))
     assert set(llm_oracles()) <= set(llm_queries()) <= set(entry.queries()) and "pipeline" in entry.queries()
