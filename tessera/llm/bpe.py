@@ -17,9 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.llm.compression import values
 from tessera.llm.packing import ASCII_SPACE, SIMPLE, portions
 from tessera.llm.tokencount import byte_symbols, vocabulary
 
@@ -200,53 +202,52 @@ def coder(path: str) -> PairIndexCoder:
     return PairIndexCoder(path)
 
 
-def token_ids(text: Column, path: str) -> Column:
-    """The ids of a text, without added begin or end, as little-endian unsigned 32-bit binary; null and empty: empty.
+def code_documents(docs: DataFrame, path: str | None = None, decode: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` and ``n_tokens`` of its ``text`` and, with ``decode``, the text ``decoded`` from these ids.
 
-    The strings of added tokens inside a text are those tokens.  ``path``: a
-    vocabulary that every worker can open.
+    ``ids`` are little-endian unsigned 32-bit binary, without added begin or
+    end; the strings of added tokens inside a text are those tokens.  Null and
+    empty texts have no ids and decode to an empty text.  Columns of those
+    names are replaced; all others pass through.  Every row is kept, repeated
+    rows too.  ``path``: a vocabulary that every worker can open.  A worker
+    hands on a portion of its texts at a time.
     """
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    path = path or vocabulary("word_bpe_49k.json")
+    new = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    new += [T.StructField("decoded", T.StringType())] if decode else []
+    kept = docs.drop(*(f.name for f in new))
+    at = kept.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
-            batch, out = batch.fill_null(""), []
-            for low, high in portions(pc.binary_length(batch).to_pylist(), PORTION):
-                out += own.encode(batch.slice(low, high - low).to_pylist())
-            yield pa.array(out, pa.binary())
+            texts = batch.column(at).fill_null("")
+            for low, high in portions(pc.binary_length(texts).to_pylist(), PORTION):
+                ids = own.encode(texts.slice(low, high - low).to_pylist())
+                columns = [pa.array(ids, pa.binary()), pa.array([len(x) // IDS.itemsize for x in ids], pa.int64())]
+                if decode:
+                    columns.append(pa.array(map(own.decode, ids), pa.string()))
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns],
+                                                 names=[*part.schema.names, *(f.name for f in new)])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *new]))
 
-    return F.arrow_udf(encode, "binary")(text)
 
+def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """Rows with ``ids`` (see :func:`code_documents`) and the text ``decoded`` that they stand for; null: empty."""
+    path = path or vocabulary("word_bpe_49k.json")
 
-def decoded_text(ids: Column, path: str) -> Column:
-    """The text that binary ids (see :func:`token_ids`) stand for, added tokens included; null and empty: empty."""
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = coder(path)
         for batch in batches:
-            batch, out = batch.fill_null(b""), []
-            for low, high in portions(pc.binary_length(batch).to_pylist(), PORTION):
-                out.append(pa.array(map(own.decode, batch.slice(low, high - low).to_pylist()), pa.string()))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.string())
-
-    return F.arrow_udf(decode, "string")(ids)
-
-
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` and ``n_tokens`` of its ``text``.
-
-    Null texts are empty and have no ids.  Columns of those names are replaced;
-    all others pass through.  Every row is kept, repeated rows too.
-    """
-    ids = token_ids(F.col("text"), path or vocabulary("word_bpe_49k.json"))
-    return docs.withColumn("ids", ids).withColumn("n_tokens", F.expr("cast(octet_length(ids) div 4 as bigint)"))
-
+            yield pa.array((own.decode(ids or b"") for ids in values(batch)), pa.string())
 
-def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Rows of :func:`encode_documents` with ``decoded``, the text of their ``ids``."""
-    return encoded.withColumn("decoded", decoded_text(F.col("ids"), path or vocabulary("word_bpe_49k.json")))
+    return coded.withColumn("decoded", F.arrow_udf(decode, "string")("ids"))
 
 
 def coding_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The query: token counts and digests of the ids and of the decoded text."""
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), path), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return code_documents(docs.select("doc_id", "text"), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
