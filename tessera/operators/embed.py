@@ -135,6 +135,18 @@ class PandasModel:
     batch_size: int = 256
 
 
+def _attempt(embed, texts: list) -> tuple[list, list]:
+    """Vectors and errors of some texts; where they fail together, each is tried alone, so that only those that a
+    model can't embed have an error, whatever batch they came in."""
+    try:
+        return list(np.asarray(embed(texts), dtype=np.float32)), [None] * len(texts)
+    except Exception as e:  # noqa: BLE001 -- a failure becomes an error row
+        if len(texts) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    alone = [_attempt(embed, [t]) for t in texts]
+    return [v for (v,), _ in alone], [e for _, (e,) in alone]
+
+
 def _embed_batches(model: PandasModel):
     def run(batches):
         t0 = time.time()
@@ -159,13 +171,7 @@ def _embed_batches(model: PandasModel):
                 chunk = texts[start:start + model.batch_size]
                 sub = out.iloc[start:start + model.batch_size].copy()
                 t1 = time.time()
-                try:
-                    mat = np.asarray(embed(chunk), dtype=np.float32)
-                    sub["vec"] = list(mat)
-                    sub["error"] = None
-                except Exception as e:  # noqa: BLE001
-                    sub["vec"] = None
-                    sub["error"] = f"{type(e).__name__}: {e}"
+                sub["vec"], sub["error"] = _attempt(embed, chunk)
                 sub["elapsed_s"] = (time.time() - t1) / max(len(chunk), 1)
                 yield sub
     return run

@@ -10,20 +10,33 @@ from ..sources import literals as L
 METRICS = ["overall_score", "avg_coherence", "section_boundary_contrast", "semantic_search_precision"]
 
 
-def overall_score(coherence: DataFrame, contrast: DataFrame, search: DataFrame,
-                  keys: tuple[str, ...] = ("model_name", "doc")) -> DataFrame:
+SEARCH_NUMBERS = ["semantic_search_precision", "min_precision", "max_precision", "search_precision_std"]
+
+
+def overall_score(coherence: DataFrame, contrast: DataFrame, search: DataFrame | None,
+                  keys: tuple[str, ...] = ("model_name", "doc"), searched: list[str] | None = None) -> DataFrame:
     """``0.3 avg_coherence + 0.3 contrast + 0.4 precision``.
 
     A (model, document) has a result only when coherence exists; missing
     contrast or search numbers are 0, as the evaluated toolkit reports them.
+    That holds for a search that took place and found nothing to count.  Models
+    outside ``searched`` (None: all are in it) had no search: its numbers and the
+    blend are NULL, also where ``search`` is None.
     """
     keys = list(keys)
-    c = contrast.drop("n_units", "n_zero_vectors")
-    s = search
-    j = coherence.join(c, keys, "left").join(s, keys, "left")
-    zero_cols = [f for f in c.columns + s.columns if f not in keys]
-    j = j.fillna(0.0, subset=[f for f in zero_cols if f not in ("n_within_pairs", "n_cross_pairs", "n_queries")]) \
-         .fillna(0, subset=[f for f in ("n_within_pairs", "n_cross_pairs", "n_queries") if f in zero_cols])
+    j = coherence.join(contrast.drop("n_units", "n_zero_vectors"), keys, "left")
+    if search is None:
+        searched = []
+        j = j.withColumns({"n_queries": F.lit(None).cast("long")} |
+                          {c: F.lit(None).cast("double") for c in SEARCH_NUMBERS})
+    else:
+        j = j.join(search, keys, "left")
+    of_search = ["n_queries", *SEARCH_NUMBERS]
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in j.columns
+            if c not in keys and c not in coherence.columns and c not in of_search}
+    measured = F.lit(True) if searched is None else F.col("model_name").isin(searched) if searched else F.lit(False)
+    zero |= {c: F.when(measured, F.coalesce(F.col(c), F.lit(0))) for c in of_search}
+    j = j.withColumns({c: v.cast(j.schema[c].dataType) for c, v in zero.items()})
     return j.withColumn("overall_score",
                         F.col("avg_coherence") * L.WEIGHT_COHERENCE
                         + F.col("section_boundary_contrast") * L.WEIGHT_CONTRAST

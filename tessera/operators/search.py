@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import materialise
 from ..sources import literals as L
 
 SENT_ORDER = ["major", "minor", "piece"]
@@ -66,18 +67,114 @@ def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.
     so that neither a row for each comparison nor a join on the model arises.
     """
     spark = sentence_vecs.sparkSession
-    size = query_vecs.select(F.sum("dim")).first()[0] or 0
+    queries = materialise(query_vecs.select("model_name", "query_idx", "dim", "vec", "norm_sq"), "query-vectors")
+    size = queries.select(F.sum("dim")).first()[0] or 0
     blocks = max(1, -(-size // block_components))
     number = F.pmod(F.xxhash64("query_idx"), F.lit(blocks))
     rows = sentence_vecs.select("model_name", "doc", *SENT_ORDER, "text", "vec", "norm_sq")
+    if blocks > 1:  # embedded once, read for each block
+        rows = materialise(rows, "sentence-vectors")
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("vec", "norm_sq").schema.fields)
     out = None
     for block in range(blocks):
-        own = query_vecs.where(number == block).select("model_name", "query_idx", "vec", "norm_sq").collect()
+        own = queries.where(number == block).select("model_name", "query_idx", "vec", "norm_sq").collect()
         sent = spark.sparkContext.broadcast(_query_matrices(own))
-        best = rows.mapInArrow(_best_of_batch(sent, k), f"{keys}, query_idx long, similarity double")
+        best = top_k(rows.mapInArrow(_best_of_batch(sent, k), f"{keys}, query_idx long, similarity double"), k)
+        if blocks > 1:  # a query is in one block, so that its top k is final and the block can go
+            best = materialise(best, "block-top")
+            sent.destroy()
         out = best if out is None else out.unionByName(best)
-    return top_k(out, k)
+    return out
+
+
+#: Sentences and queries of one document that are compared in one matrix product.
+TILE_SENTENCES = 4096
+TILE_QUERIES = 1024
+
+
+def top_k_in_tiles(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.TOP_K,
+                   tile_sentences: int = TILE_SENTENCES, tile_queries: int = TILE_QUERIES) -> DataFrame:
+    """:func:`top_k` for a query set of each document, of any size: the same rows.
+
+    A document of more sentences or queries than a tile has is cut into tiles of
+    sentences and of queries; every pair of them is a unit of its own, so that
+    the comparisons of a hot document are dealt to many tasks.  Smaller documents
+    share units of about a tile's sentences.  A unit gives its best ``k``
+    for each query, which are merged by document and query.
+    """
+    sentences = materialise(sentence_vecs.select("model_name", "doc", *SENT_ORDER, "text", "vec", "norm_sq"), "tile-sentences")
+    queries = materialise(query_vecs.select("model_name", "doc", "query_idx", "vec", "norm_sq"), "tile-queries")
+    keys = ["model_name", "doc"]
+    sizes = (sentences.groupBy(keys).agg(F.count(F.lit(1)).alias("s"))
+             .join(queries.groupBy(keys).agg(F.count(F.lit(1)).alias("q")), keys))
+    small = sizes.where((F.col("s") <= tile_sentences) & (F.col("q") <= tile_queries))
+    shared = -(-(small.agg(F.sum(F.greatest("s", "q"))).first()[0] or 0) // tile_sentences) or 1
+    rows, columns = (F.ceil(F.col(c) / most).cast("long") for c, most in (("s", tile_sentences), ("q", tile_queries)))
+    alone = (rows > 1) | (columns > 1)
+    sizes = materialise(sizes.select(
+        *keys, rows.alias("rows"), columns.alias("columns"), F.when(alone, F.col("doc")).alias("alone"),
+        F.when(alone, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc"), F.lit(shared))).cast("long").alias("unit")), "tile-sizes")
+    unit = ["model_name", "alone", "unit", "row", "column"]
+    left = (sentences.join(sizes, keys).withColumn("row", F.expr("pmod(xxhash64(major, minor, piece), rows)"))
+            .withColumn("column", F.explode(F.expr("sequence(0, columns - 1)"))).drop("rows", "columns"))
+    right = (queries.join(sizes.toDF(*sizes.columns), keys).withColumn("column", F.expr("pmod(xxhash64(query_idx), columns)"))
+             .withColumn("row", F.explode(F.expr("sequence(0, rows - 1)"))).drop("rows", "columns"))
+    shape = sentences.drop("vec", "norm_sq").schema.fields + [queries.schema["query_idx"]]
+    best = left.groupBy(unit).cogroup(right.groupBy(unit)).applyInArrow(
+        _best_of_unit(k), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape) + ", similarity double")
+    return top_k(best, k)
+
+
+def _best_of_unit(k: int):
+    def run(sentences: pa.Table, queries: pa.Table) -> pa.Table:
+        names = ["model_name", "doc", *SENT_ORDER, "text"]
+        s_docs, q_docs = sentences.column("doc").to_pylist(), queries.column("doc").to_pylist()
+        own_queries: dict = {}
+        for i, doc in enumerate(q_docs):
+            own_queries.setdefault(doc, []).append(i)
+        own_sentences: dict = {}
+        for i, doc in enumerate(s_docs):
+            own_sentences.setdefault(doc, []).append(i)
+        order = list(zip(*(sentences.column(c).to_pylist() for c in SENT_ORDER)))
+        rows, asked, values = [], [], []
+        for doc, of_query in own_queries.items():
+            own = sorted(own_sentences.get(doc, ()), key=order.__getitem__, reverse=True)
+            if not own:
+                continue
+            best, value = _best(_matrix(sentences, own), _norms(sentences, own), _matrix(queries, of_query),
+                                _norms(queries, of_query), k)
+            rows.append(np.asarray(own)[best].ravel())
+            asked.append(np.broadcast_to(of_query, best.shape).ravel())
+            values.append(value.ravel())
+        at = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
+        value = np.concatenate(values) if rows else np.empty(0)
+        value[np.isneginf(value)] = np.nan
+        kept = sentences.select(names).take(pa.array(at, pa.int64()))
+        query = queries.column("query_idx").take(pa.array(np.concatenate(asked) if rows else at, pa.int64()))
+        return kept.append_column("query_idx", query).append_column("similarity", pa.array(value, from_pandas=True))
+    return run
+
+
+def _matrix(table: pa.Table, rows: list[int]) -> np.ndarray:
+    flat = table.column("vec").take(pa.array(rows)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(rows), -1)
+
+
+def _norms(table: pa.Table, rows: list[int]) -> np.ndarray:
+    return table.column("norm_sq").to_numpy()[rows]
+
+
+def _best(sentences: np.ndarray, norms: np.ndarray, queries: np.ndarray, squares: np.ndarray, k: int
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the places of its ``k`` most similar sentences, first ones of equal ones, and the similarities.
+
+    A similarity that is not defined is minus infinity.
+    """
+    dots = sentences @ queries.T
+    norm = norms[:, None] * squares[None, :]
+    sims = np.divide(dots, np.sqrt(norm), out=np.full(dots.shape, -np.inf), where=norm > 0)
+    best = np.argsort(-sims, axis=0, kind="stable")[:k]
+    return best, np.take_along_axis(sims, best, axis=0)
 
 
 def _query_matrices(rows: list) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,13 +203,10 @@ def _best_of_batch(sent, k: int):
                 own.sort(key=order.__getitem__, reverse=True)  # of equal similarities the later sentence wins
                 ids, matrix, squares = sent.value[model]
                 mat = vecs.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                dots = mat.reshape(len(own), -1) @ matrix.T
-                norm = norms[own][:, None] * squares[None, :]
-                sims = np.divide(dots, np.sqrt(norm), out=np.full(dots.shape, -np.inf), where=norm > 0)
-                best = np.argsort(-sims, axis=0, kind="stable")[:k]
+                best, value = _best(mat.reshape(len(own), -1), norms[own], matrix, squares, k)
                 rows.append(np.asarray(own)[best].ravel())
                 queries.append(np.broadcast_to(ids, best.shape).ravel())
-                values.append(np.take_along_axis(sims, best, axis=0).ravel())
+                values.append(value.ravel())
             if rows:
                 at, value = np.concatenate(rows), np.concatenate(values)
                 value[np.isneginf(value)] = np.nan

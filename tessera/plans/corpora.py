@@ -8,6 +8,10 @@
   with the header rule; topic queries, also the generic fallback.
 * ``vector_corpus``   (C3) ``embeddings``: one document of given vectors,
   ``label`` as section, ``vec_id`` as order.
+* ``given_corpus``    (C6) ``documents`` whose ``doc_id`` is a ``vec_id`` of ``embeddings``:
+  a ``source`` is a document, each row a paragraph and a sentence with that
+  given vector, ``label`` its section; the passages of ``benchmark`` whose
+  ``item_id`` is a ``vec_id`` are the queries, with that vector.
 * ``chat_corpus``     (C4) ``conversations``: a conversation is a document,
   each turn a paragraph, the role its section; default queries.
 """
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parse as P
 from ..operators import queries as Q
-from ..session import balance
+from ..session import balance, materialise
 from ..sources.tables import read_table
 
 
@@ -33,6 +37,7 @@ class Corpus:
     queries: DataFrame | None        # [doc,] query_idx, query, keywords
     per_document_queries: bool = False
     literal_queries: bool = True     # a fixed literal set: proven size, may broadcast
+    bounded_sets: bool = True        # per-document sets of a few queries; else of any size
 
 
 def source_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -74,6 +79,16 @@ def chat_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus("chat", paras, P.sentence_units(paras), Q.default_queries(spark))
 
 
+def chat_corpus_with_own_queries(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Conversations with a caller's query set each, of any size: their own turns and the keywords of them."""
+    corpus = chat_corpus(spark, sf_dir)
+    turns = read_table(spark, sf_dir, "conversations")
+    corpus.queries = Q.queries_from_turns(turns, "conv_id", "turn").withColumnRenamed("conv_id", "doc").withColumn(
+        "doc", F.col("doc").cast("string"))
+    corpus.per_document_queries, corpus.literal_queries, corpus.bounded_sets = True, False, False
+    return corpus
+
+
 def vector_corpus(spark: SparkSession, sf_dir: str, model_name: str = "given-vectors") -> DataFrame:
     """Vector table of the ``embeddings`` table (no text, so no search)."""
     from ..operators.embed import vectors_from_array
@@ -82,3 +97,21 @@ def vector_corpus(spark: SparkSession, sf_dir: str, model_name: str = "given-vec
                        F.col("vec_id").cast("long").alias("major"), F.lit(0).cast("long").alias("minor"),
                        "embedding")
     return vectors_from_array(units, model_name)
+
+
+def given_corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, dict[str, DataFrame]]:
+    """The corpus without texts to embed, and its given vector tables: paragraphs, sentences and queries."""
+    from ..operators.embed import vectors_from_array
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("section"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc"), "text")
+    zero = F.lit(0).cast("long")
+    rows = (docs.join(emb, F.col("doc_id") == F.col("vec_id"))
+            .select("doc", "section", F.col("doc_id").cast("long").alias("major"), zero.alias("minor"),
+                    zero.alias("piece"), "text", "embedding"))
+    vectors = materialise(vectors_from_array(rows, "given").drop("model_name"), "given-vectors")
+    queries = Q.passage_queries(read_table(spark, sf_dir, "benchmark"))
+    keyed = vectors_from_array(queries.select("query_idx").join(emb, F.col("query_idx") == F.col("vec_id")), "given")
+    own = vectors.select("doc", "section", "major", "minor", "text").where(F.lit(False))
+    corpus = Corpus("given", own, None, queries, literal_queries=False)
+    return corpus, {"paragraphs": vectors.drop("piece", "text"), "sentences": vectors.drop("section"),
+                    "queries": keyed.select("query_idx", "dim", "vec", "nz", "norm_sq")}

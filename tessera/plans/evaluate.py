@@ -32,10 +32,33 @@ class Options:
     small_max: int = 64
     rows_per_partial: int = 20000
     materialize_vectors: bool = True
-    given: list = field(default_factory=list)   # (name, vector table) pairs: precomputed paragraph vectors
+    given: list = field(default_factory=list)   # (name, GivenVectors or paragraph vector table) pairs
     observe: bool = False          # progress counters through df.observe
 
 
+@dataclass(frozen=True)
+class GivenVectors:
+    """Vectors of a model that ran elsewhere, in vector-table form (``dim, vec, nz, norm_sq`` with unit keys).
+
+    ``paragraphs`` have ``doc, section, major, minor`` and, where short ones
+    are left out of the contrast, ``is_section_paragraph``; ``sentences`` have
+    ``doc, major, minor, piece, text``; ``queries`` have the keys of the
+    corpus's queries (``[doc,] query_idx``).  Without sentences or queries there is no
+    search: its numbers and the overall score are NULL.
+    """
+
+    paragraphs: DataFrame
+    sentences: DataFrame | None = None
+    queries: DataFrame | None = None
+
+    @property
+    def searches(self) -> bool:
+        return self.sentences is not None and self.queries is not None
+
+
+VECTOR = ["dim", "vec", "nz", "norm_sq"]
+
+
 def select_models(models: list, names: list[str] | None) -> list:
     """Models whose name is listed (all when ``names`` is empty); an unknown
     selection is an error, as on the command line of the evaluated tool."""
@@ -98,18 +121,39 @@ class DocumentEvaluation:
         return {k: o.get for k, o in getattr(self, "_observations", {}).items()}
 
     # -- vectors ---------------------------------------------------------
+    def _given(self) -> list[tuple[str, GivenVectors]]:
+        return [(name, t if isinstance(t, GivenVectors) else GivenVectors(t)) for name, t in self.o.given]
+
+    def _embedded(self, kind: str) -> DataFrame:
+        """Every paragraph, sentence or query with every model, with the ``error`` of those that a model failed on."""
+        def build():
+            if kind == "paragraph":
+                return E.embed(self.corpus.paragraphs.withColumn(
+                    "is_section_paragraph", F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS), self.o.models)
+            if kind == "sentence":  # the text rides along so that keyword hits need no join after the top 3
+                return E.embed(self.corpus.sentences, self.o.models, keep_text=True)
+            return E.embed(self.corpus.queries, self.o.models, text_col="query", keep_text=True)
+        return self._get(f"embedded_{kind}", build)
+
+    def _user_models(self) -> bool:
+        return any(not isinstance(m, E.HashingModel) for m in self.o.models)
+
     def paragraph_vectors(self) -> DataFrame:
         """One vector per (model, paragraph).  Once a second branch needs them
         (contrast, or the full evaluation) they are written and every
-        later reader uses the materialised table."""
+        later reader uses the materialised table.  A model that fails on a
+        paragraph of a document has none of that document."""
         if "paragraph_vectors_mat" in self._cache:
             return self._cache["paragraph_vectors_mat"]
 
         def build():
-            units = self.corpus.paragraphs.withColumn(
-                "is_section_paragraph", F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS)
-            vecs = self._without_failed(E.embed(units, self.o.models))
-            for name, table in self.o.given:
+            vecs = self._embedded("paragraph")
+            if self._user_models():
+                failed = vecs.where(F.col("error").isNotNull()).select("model_name", "doc").distinct()
+                vecs = vecs.where(F.col("error").isNull()).join(failed, ["model_name", "doc"], "left_anti")
+            vecs = vecs.drop("error")
+            for name, given in self._given():
+                table = given.paragraphs
                 columns = [c for c in vecs.columns if c not in ("model_name", "is_section_paragraph")]
                 long_enough = F.col("is_section_paragraph") if "is_section_paragraph" in table.columns else F.lit(True)
                 vecs = vecs.unionByName(table.select(*columns, F.lit(name).alias("model_name"),
@@ -117,25 +161,49 @@ class DocumentEvaluation:
             return self._observed("paragraph_vectors", vecs)
         return self._get("paragraph_vectors", build)
 
-    def _user_models(self) -> bool:
-        return any(not isinstance(m, E.HashingModel) for m in self.o.models)
+    # -- failures --------------------------------------------------------
+    def failure_ledger(self) -> DataFrame:
+        """``model_name, every_doc, doc, unit_kind, n_failed, error``: the units that a user's model failed on.
 
-    def _without_failed(self, vecs: DataFrame) -> DataFrame:
-        """A model that fails on one unit of a document gives no result for that document."""
-        if not self._user_models():
-            return vecs.drop("error")
-        self._cache.setdefault("failures", vecs.where(F.col("error").isNotNull()))
-        failed = vecs.where(F.col("error").isNotNull()).select("model_name", "doc").distinct()
-        return vecs.where(F.col("error").isNull()).drop("error").join(failed, ["model_name", "doc"], "left_anti")
+        A row for each model, document and kind (paragraph, sentence, query)
+        with the least message.  A failed query of a set that all documents
+        share fails the model for every document (``every_doc``, doc NULL).
+        Such (model, document) pairs have no result.  The ledger is written once.
+        """
+        key = self.corpus.paragraphs.schema["doc"].dataType
+
+        def build():
+            ledger = None
+            units = {"paragraph": self.corpus.paragraphs, "sentence": self.corpus.sentences, "query": self.corpus.queries}
+            for kind, table in units.items():
+                if table is None or not self._user_models():
+                    continue
+                own = "doc" in table.columns
+                rows = self._embedded(kind).where(F.col("error").isNotNull()).select(
+                    "model_name", F.lit(not own).alias("every_doc"),
+                    (F.col("doc") if own else F.lit(None)).cast(key).alias("doc"), F.lit(kind).alias("unit_kind"), "error")
+                ledger = rows if ledger is None else ledger.unionByName(rows)
+            if ledger is None:
+                return self.corpus.paragraphs.sparkSession.createDataFrame(
+                    [], f"model_name string, every_doc boolean, doc {key.simpleString()}, unit_kind string, "
+                        "n_failed long, error string")
+            return materialise(ledger.groupBy("model_name", "every_doc", "doc", "unit_kind").agg(
+                F.count(F.lit(1)).alias("n_failed"), F.min("error").alias("error")), "failures")
+        return self._get("failures", build)
 
     def failed_units(self) -> DataFrame:
         """``model_name, doc, n_failed, error``: paragraphs that a user's model failed on, and the least message."""
-        self.paragraph_vectors()
-        if "failures" not in self._cache:
-            return self.corpus.paragraphs.sparkSession.createDataFrame(
-                [], "model_name string, doc string, n_failed long, error string")
-        return self._cache["failures"].groupBy("model_name", "doc").agg(
-            F.count(F.lit(1)).alias("n_failed"), F.min("error").alias("error"))
+        return self.failure_ledger().where("unit_kind = 'paragraph'").select("model_name", "doc", "n_failed", "error")
+
+    def _without_failed(self, rows: DataFrame) -> DataFrame:
+        """Rows (``model_name, doc, ...``) of the documents on which their model did not fail."""
+        if not self._user_models():
+            return rows
+        ledger = self.failure_ledger()
+        everywhere = ledger.where("every_doc").select("model_name").distinct()
+        somewhere = ledger.where("not every_doc").select("model_name", "doc").distinct()
+        return (rows.join(everywhere, "model_name", "left_anti")
+                    .join(somewhere, ["model_name", "doc"], "left_anti"))
 
     def materialized_paragraph_vectors(self) -> DataFrame:
         if not self.o.materialize_vectors:
@@ -143,15 +211,34 @@ class DocumentEvaluation:
         return self._get("paragraph_vectors_mat", lambda: materialise(self.paragraph_vectors(), "paragraph-vectors"))
 
     def sentence_vectors(self) -> DataFrame:
-        # the text rides along so that keyword hits need no join after the top 3
-        return self._get("sentence_vectors", lambda: self._observed(
-            "sentence_vectors", E.embed(self.corpus.sentences, self.o.models, keep_text=True)
-            .where(F.col("error").isNull()).drop("error")))
+        def build():
+            vecs = None
+            if self.corpus.sentences is not None:
+                vecs = self._embedded("sentence").where(F.col("error").isNull()).drop("error")
+            for name, given in self._given():
+                if given.searches:
+                    table = given.sentences.select("doc", *R.SENT_ORDER, "text", F.lit(name).alias("model_name"), *VECTOR)
+                    vecs = table if vecs is None else vecs.unionByName(table)
+            return self._observed("sentence_vectors", vecs)
+        return self._get("sentence_vectors", build)
 
     def query_vectors(self) -> DataFrame:
-        return self._get("query_vectors",
-                         lambda: E.embed(self.corpus.queries, self.o.models, text_col="query", keep_text=True)
-                         .where(F.col("error").isNull()).drop("error"))
+        def build():
+            keys = ["doc", "query_idx"] if self.corpus.per_document_queries else ["query_idx"]
+            vecs = self._embedded("query").where(F.col("error").isNull()).drop("error")
+            for name, given in self._given():
+                if given.searches:
+                    vecs = vecs.unionByName(given.queries.select(*keys, *VECTOR).join(self.corpus.queries, keys)
+                                            .withColumn("model_name", F.lit(name)))
+            return vecs
+        return self._get("query_vectors", build)
+
+    def searched_models(self) -> list[str]:
+        """The models whose search is measured: all but given vectors without sentences or queries."""
+        own = [m.name for m in self.o.models] if self.corpus.sentences is not None else []
+        if self.corpus.queries is None:
+            return []
+        return own + [name for name, given in self._given() if given.searches]
 
     # -- coherence -------------------------------------------------------
     def adjacent(self) -> DataFrame:
@@ -181,6 +268,8 @@ class DocumentEvaluation:
     def top3(self) -> DataFrame:
         if self._shared_set():
             return self._get("top3", lambda: R.top_k_in_blocks(self.sentence_vectors(), self.query_vectors()))
+        if not self.corpus.bounded_sets:
+            return self._get("top3", lambda: R.top_k_in_tiles(self.sentence_vectors(), self.query_vectors()))
         return self._get("top3", lambda: R.top_k(self.similarities()))
 
     def hits(self) -> DataFrame:
@@ -205,25 +294,39 @@ class DocumentEvaluation:
             docs = (self.corpus.paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") >= 2))
             return docs.select(F.explode(names).alias("model_name"), "doc")
-        return self._get("evaluated_docs", build)
+        return self._get("evaluated_docs", lambda: self._without_failed(build()))
+
+    def searched_docs(self) -> DataFrame:
+        """The :meth:`evaluated_docs` of models whose search is measured."""
+        if len(self.searched_models()) == len(self.o.models) + len(self.o.given):
+            return self.evaluated_docs()
+        return self.evaluated_docs().where(F.col("model_name").isin(self.searched_models()))
 
     def query_precision(self) -> DataFrame:
         return self._get("query_precision", lambda: R.query_precision(
-            self.evaluated_docs(), self.query_vectors(), self.hits(),
+            self.searched_docs(), self.query_vectors(), self.hits(),
             self.corpus.per_document_queries, broadcast_queries=self.corpus.literal_queries))
 
     def search(self) -> DataFrame:
         if self._shared_set():
             return self._get("search", lambda: R.search_precision_of_set(
-                self.evaluated_docs(), self.corpus.queries, self.hits()))
+                self.searched_docs(), self.corpus.queries, self.hits()))
         return self._get("search", lambda: R.search_precision(self.query_precision()))
 
     # -- blend -----------------------------------------------------------
     def results(self) -> DataFrame:
+        """One row per (model, document) with all metrics and their blend.
+
+        A model that failed on any unit of a document has no row of it.  Search
+        numbers that were not measured are NULL, and so is the blend.
+        """
         def build():
             models = model_table(self.corpus.paragraphs.sparkSession, [
-                *self.o.models, *(E.HashingModel(name, 0) for name, _ in self.o.given)])
+                *self.o.models, *(E.PandasModel(name, "given", None) for name, _ in self.o.given)])
             self.materialized_paragraph_vectors()   # shared by coherence and contrast
-            r = S.overall_score(self.coherence(), self.contrast(), self.search())
+            searched = self.searched_models()
+            r = S.overall_score(self.coherence(), self.contrast(), self.search() if searched else None,
+                                searched=searched)
+            r = self._without_failed(r)
             return r.join(F.broadcast(models.select("model_name", "model_order", "model_id")), "model_name")
         return self._get("results", build)

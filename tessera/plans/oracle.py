@@ -221,6 +221,23 @@ def _v_vectors():
       FROM embeddings"""
 
 
+@frag("v_given_p")
+def _v_given_p():
+    return """
+      SELECT d.source AS doc, CAST(e.label AS VARCHAR) AS section, d.doc_id AS major, CAST(0 AS BIGINT) AS minor,
+             CAST(0 AS BIGINT) AS piece, 'given' AS model_name, CAST(e.embedding AS DOUBLE[]) AS v,
+             list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS norm_sq, d.text
+      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
+
+
+@frag("v_given_q", ["benchmark_q"])
+def _v_given_q():
+    return """
+      SELECT q.*, 'given' AS model_name, CAST(e.embedding AS DOUBLE[]) AS v,
+             list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS norm_sq
+      FROM benchmark_q q JOIN embeddings e ON e.vec_id = q.query_idx"""
+
+
 COS = "CASE WHEN {a}.norm_sq > 0 AND {b}.norm_sq > 0 THEN list_dot_product({a}.v, {b}.v) / sqrt({a}.norm_sq * {b}.norm_sq) END"
 
 
@@ -244,7 +261,7 @@ def metric_frags(c: str, vec: str, sents: str | None, queries: str | None, per_d
              avg(similarity) AS avg_coherence, min(similarity) AS min_coherence, max(similarity) AS max_coherence,
              stddev_pop(similarity) AS coherence_std
       FROM {c}_adj GROUP BY model_name, doc""", [f"{c}_adj"])
-    long_ = "length(text) > 50" if c != "vectors" else "TRUE"
+    long_ = "length(text) > 50" if c not in ("vectors", "given") else "TRUE"
     f[f"{c}_sp"] = (f"SELECT * FROM {vec} WHERE {long_}", [vec])
     f[f"{c}_pairs"] = (f"""
       SELECT a.model_name, a.doc, a.section = b.section AS same,
@@ -322,6 +339,21 @@ FRAG.update(metric_frags("source", "v_source_p", "v_source_s", "v_default_q", Fa
 FRAG.update(metric_frags("strict", "v_strict_p", "v_strict_s", "v_strict_q", True))
 FRAG.update(metric_frags("chat", "v_chat_p", "v_chat_s", "v_default_q", False))
 FRAG.update(metric_frags("vectors", "v_vectors", None, None, False))
+@frag("chat_own_q")
+def _chat_own_q():
+    return f"""
+      SELECT CAST(conv_id AS VARCHAR) AS doc, query_idx, query, keywords
+      FROM (SELECT conv_id, CAST(row_number() OVER w - 1 AS BIGINT) AS query_idx, text AS query,
+                   list_filter({words('text')}, lambda w: length(w) > 3 AND NOT list_contains(
+                     {_list(L.KEYWORD_STOP_WORDS)}, w)) AS keywords,
+                   row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
+            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      WHERE i < n"""
+
+
+FRAG["v_chat_own_q"] = (embed("chat_own_q", "query"), ["chat_own_q"])
+FRAG.update(metric_frags("own", "v_chat_p", "v_chat_s", "v_chat_own_q", True))
+FRAG.update(metric_frags("given", "v_given_p", "v_given_p", "v_given_q", False))
 FRAG.update(metric_frags("bench", "v_source_p", "v_source_s", "v_benchmark_q", False))
 
 
@@ -488,6 +520,8 @@ def oracle_queries() -> dict[str, str]:
     q["search_precision_topics"] = build(f"SELECT {sp_cols} FROM strict_sp_prec", "strict_sp_prec")
     q["search_precision_custom"] = build(f"SELECT {sp_cols} FROM bench_sp_prec", "bench_sp_prec")
 
+    q["conversation_set_precision"] = build(f"SELECT {sp_cols} FROM own_sp_prec", "own_sp_prec")
+
     q["overall_score"] = build("SELECT model_name, doc, " + ", ".join(r6(c) for c in [
         "avg_coherence", "section_boundary_contrast", "semantic_search_precision", "overall_score"])
         + " FROM source_res", "source_res")
@@ -539,6 +573,35 @@ def oracle_queries() -> dict[str, str]:
       FROM u_source_p GROUP BY doc
       UNION ALL SELECT model_name, doc, 0, true, NULL FROM source_coh WHERE model_name = 'hash-64'""",
                               "u_source_p", "source_coh")
+    bad = "regexp_matches(text, '[0-9]')"
+    q["failure_ledger"] = build(f"""
+      SELECT 'no-digits' AS model_name, false AS every_doc, doc, unit_kind, count(*) AS n_failed,
+             'ValueError: fails on digits' AS error, CAST(NULL AS DOUBLE) AS overall_score
+      FROM (SELECT doc, text, 'paragraph' AS unit_kind FROM u_chat_p
+            UNION ALL SELECT doc, text, 'sentence' FROM u_chat_s) WHERE {bad} GROUP BY doc, unit_kind
+      UNION ALL
+      SELECT 'no-questions', false, doc, unit_kind, count(*), 'ValueError: fails on questions', NULL
+      FROM (SELECT doc, text, 'paragraph' AS unit_kind FROM u_chat_p
+            UNION ALL SELECT doc, text, 'sentence' FROM u_chat_s) WHERE suffix(text, '?') GROUP BY doc, unit_kind
+      UNION ALL
+      SELECT 'no-questions', true, NULL, 'query', count(*), 'ValueError: fails on questions', NULL
+      FROM default_q WHERE suffix(query, '?') HAVING count(*) > 0
+      UNION ALL
+      SELECT n.name, false, r.doc, NULL, 0, NULL, {r6('r.overall_score')}
+      FROM chat_res r JOIN (VALUES ('hash-64'), ('no-digits')) AS n(name) ON r.model_name = 'hash-64'
+      WHERE n.name = 'hash-64' OR r.doc NOT IN (SELECT doc FROM u_chat_p WHERE {bad} UNION ALL
+                                               SELECT doc FROM u_chat_s WHERE {bad})""",
+                                "u_chat_p", "u_chat_s", "default_q", "chat_res")
+    q["given_vectors_score"] = build(f"""
+      SELECT model_name, doc, n_adjacent_pairs, {r6('avg_coherence')}, {r6('section_boundary_contrast')}, n_queries,
+             {r6('semantic_search_precision')}, {r6('min_precision')}, {r6('max_precision')},
+             {r6('avg_coherence * 0.3 + section_boundary_contrast * 0.3 + semantic_search_precision * 0.4',
+                 'overall_score')}
+      FROM given_coh JOIN given_con USING (model_name, doc) JOIN given_sp_prec USING (model_name, doc)
+      UNION ALL
+      SELECT 'given-bare', doc, n_adjacent_pairs, {r6('avg_coherence')}, {r6('section_boundary_contrast')}, NULL, NULL,
+             NULL, NULL, NULL FROM given_coh JOIN given_con USING (model_name, doc)""",
+                                     "given_coh", "given_con", "given_sp_prec")
     q["embedded_texts"] = """
       SELECT m AS model_name, count(DISTINCT coalesce(text, '')) AS n_texts, CAST(0 AS BIGINT) AS n_failed
       FROM conversations CROSS JOIN (VALUES ('hash-64'), ('hash-256')) AS t(m) GROUP BY m"""

@@ -23,7 +23,7 @@ from ..sources import results_io as IO
 from ..sources.tables import read_table
 from . import corpora as CO
 from . import pair_eval as PE
-from .evaluate import DocumentEvaluation, Options
+from .evaluate import DocumentEvaluation, GivenVectors, Options
 
 
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -293,6 +293,12 @@ def search_precision_custom(spark, sf_dir):
     return DocumentEvaluation(corpus).search()
 
 
+@query("conversation_set_precision")
+def conversation_set_precision(spark, sf_dir):
+    """Each conversation scored with the query set of its own turns."""
+    return DocumentEvaluation(CO.chat_corpus_with_own_queries(spark, sf_dir)).search()
+
+
 # ---------------------------------------------------------------------------
 # the user's own models
 
@@ -331,6 +337,41 @@ def failed_units(spark, sf_dir):
     return failed.unionByName(done)
 
 
+def _picky_factory(model_id):
+    """Hashing vectors; ``digits`` fails on a text with a digit, ``questions`` on one that ends in a question mark."""
+    embed, kind = E.python_hashing_factory("hashing/md5-64"), model_id
+
+    def picky(texts):
+        if any(any(c in "0123456789" for c in t) if kind == "digits" else t.endswith("?") for t in texts):
+            raise ValueError(f"fails on {kind}")
+        return embed(texts)
+    return picky
+
+
+@query("failure_ledger")
+def failure_ledger(spark, sf_dir):
+    """Models that fail on some units: what they failed on by kind, and the results that are left.  A query of the
+    set that all documents share fails its model everywhere."""
+    models = [E.HASH_64, *(E.PandasModel(f"no-{k}", k, _picky_factory) for k in ("digits", "questions"))]
+    ev = DocumentEvaluation(CO.chat_corpus(spark, sf_dir), Options(models=models))
+    ledger = ev.failure_ledger().select("model_name", "every_doc", "doc", "unit_kind", "n_failed", "error",
+                                        F.lit(None).cast("double").alias("overall_score"))
+    none = F.lit(None).cast("string")
+    done = ev.results().select("model_name", F.lit(False).alias("every_doc"), "doc", none.alias("unit_kind"),
+                               F.lit(0).cast("long").alias("n_failed"), none.alias("error"), "overall_score")
+    return ledger.unionByName(done)
+
+
+@query("given_vectors_score")
+def given_vectors_score(spark, sf_dir):
+    """The whole evaluation of given vectors, with those of sentences and queries and without: then no search."""
+    corpus, tables = CO.given_corpus(spark, sf_dir)
+    given = [("given", GivenVectors(**tables)), ("given-bare", GivenVectors(tables["paragraphs"]))]
+    r = DocumentEvaluation(corpus, Options(models=[], given=given)).results()
+    return r.select("model_name", "doc", "n_adjacent_pairs", "avg_coherence", "section_boundary_contrast", "n_queries",
+                    "semantic_search_precision", "min_precision", "max_precision", "overall_score")
+
+
 @query("embedded_texts")
 def embedded_texts(spark, sf_dir):
     """Distinct texts that the user-model job embeds, by model."""
