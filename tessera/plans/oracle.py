@@ -625,6 +625,9 @@ def oracle_queries() -> dict[str, str]:
 
     q["stream_ingest"] = build(f"SELECT doc, model_name, {r6('avg_coherence')}, {r6('overall_score')} "
                                "FROM strict_res", "strict_res")
+    resent = (f"WITH resent AS (SELECT * REPLACE (CASE WHEN lang = 'de' THEN text || {NL} || {_q(L.LATER_LINE)} "
+              "ELSE text END AS text) FROM documents),\n")
+    q["stream_reingest"] = resent + q["stream_ingest"].replace("documents", "resent").strip().removeprefix("WITH ")
     q["pairs_scan"] = build(f"SELECT conv_id, turn, {r6('human_score')}, length(text1) AS len1, "
                             f"length(text2) AS len2 FROM pairs", "pairs")
     q["pair_similarity"] = build("SELECT model_name, conv_id, turn, " + ", ".join(

@@ -91,3 +91,6 @@ WEIGHT_PRECISION = 0.4
 # Placeholder result written when no evaluation exists yet.
 PLACEHOLDER_NAME = "empty"
 PLACEHOLDER_MODEL_ID = "none"
+
+# a line that a document has when it is sent a second time (own text)
+LATER_LINE = "This closing line was added when the document was sent for the second time."
