@@ -56,7 +56,7 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -181,14 +181,14 @@ def spelled_digits(text: str) -> Rewritten:
 
 
 _AT = r"at|arroba|arobase"
-BRACKETED_AT = rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*"
+OPENING, CLOSING = "[({<", "])}>"
 BRACKETED_DOT = rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*"
-_NAME = r"[A-Za-z0-9_%+-]+"
-#: A name, a disguised or spaced at-sign, a domain; at least one of the signs is no plain one.
-DISGUISED = re.compile(
-    rf"(?<![\w%+-])(?P<name>{_NAME}(?:(?:{BRACKETED_DOT}|\s+(?:{_DOT})\s+|\.){_NAME})*)"
-    rf"(?P<at>{BRACKETED_AT}|\s+(?:{_AT})\s+|\s*@\s*)"
-    rf"(?P<domain>[A-Za-z0-9-]+(?:(?:{BRACKETED_DOT}|\s+(?:{_DOT})\s+|\.)[A-Za-z0-9-]+)+)(?!\w)", re.I)
+#: The word or character of an at-sign, whatever stands around it.
+AT_CORE = re.compile(rf"@|(?<!\w)(?:{_AT})(?!\w)", re.I)
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+DOMAIN_BEHIND = re.compile(rf"[A-Za-z0-9-]+(?:(?:{BRACKETED_DOT}|\s+(?:{_DOT})\s+|\.)[A-Za-z0-9-]+)+(?!\w)", re.I)
+DOT_WORD = re.compile(rf"(?:{_DOT})\Z", re.I)
+LONGEST_DOT = max(map(len, _DOT.split("|")))
 #: Endings of domains that make a plain domain after "at" an address.
 ENDINGS = frozenset("com org net edu gov io info de fr es uk eu".split())
 DOT = re.compile(rf"{BRACKETED_DOT}|\s+(?:{_DOT})\s+", re.I)
@@ -209,26 +209,101 @@ def has_signs(text: str, words: list[str]) -> bool:
             or any(f".{e}" in low for e in ENDINGS) and PLAIN_DOMAIN.search(text) is not None)
 
 
+def _before_space(text: str, at: int) -> int:
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _after_space(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
+def _sign_around(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The whole at-sign of a core: with its brackets and the white space around; a bare word needs some on both sides."""
+    low, high = _before_space(text, start), _after_space(text, end)
+    if low and text[low - 1] in OPENING and text[high:high + 1] and text[high] in CLOSING:
+        return _before_space(text, low - 1), _after_space(text, high + 1)
+    return (low, high) if text[start] == "@" or low < start and high > end else None
+
+
+def _dot_before(text: str, end: int) -> int | None:
+    """Where a dot that ends at ``end``, plain, bracketed or as a word, starts."""
+    if end and text[end - 1] == ".":
+        return end - 1
+    at = _before_space(text, end)
+    closed = at and text[at - 1] in CLOSING
+    last = _before_space(text, at - 1) if closed else at
+    if closed and last and text[last - 1] == ".":
+        first = last - 1
+    elif m := DOT_WORD.search(text[max(0, last - LONGEST_DOT):last]):
+        first = last - len(m[0])
+    else:
+        return None
+    before = _before_space(text, first)
+    if closed:
+        return _before_space(text, before - 1) if before and text[before - 1] in OPENING else None
+    return before if before < first and at < end else None
+
+
+def _name_before(text: str, end: int, floor: int) -> int | None:
+    """Where the name that ends at ``end`` starts, ``floor`` or later: its parts have dots, also disguised ones, between."""
+    found = None
+    while end is not None and end > floor:
+        start = end
+        while start > floor and text[start - 1] in NAME_CHARS:
+            start -= 1
+        if start == end:
+            break
+        if start == 0 or not (text[start - 1].isalnum() or text[start - 1] in "_%+-"):
+            found = start
+        end = _dot_before(text, start)
+    return found
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Start of the name, start and end of the at-sign, and end of the domain.
+
+    Each at-sign is looked at once, from it to the left and to the right, so
+    that the time is in proportion to the text.
+    """
+    done = 0
+    for core in AT_CORE.finditer(text):
+        if core.start() < done or (sign := _sign_around(text, *core.span())) is None:
+            continue
+        start = _name_before(text, sign[0], done)
+        if start is not None and (domain := DOMAIN_BEHIND.match(text, sign[1])):
+            done = domain.end()
+            yield start, *sign, done
+
 
 def undisguised_signs(text: str) -> Rewritten:
     """At-signs and dots of addresses that are words, bracketed or spaced."""
     def edits():
         found = []
-        for m in DISGUISED.finditer(text):
-            word_at = m["at"].strip().lower() in _AT.split("|")
-            if word_at and not DOT.search(m["domain"]) and m["domain"].rpartition(".")[2].lower() not in ENDINGS:
+        for start, low, high, end in _addresses(text):
+            word_at = text[low:high].strip().lower() in _AT.split("|")
+            if word_at and not DOT.search(text, high, end) and text[high:end].rpartition(".")[2].lower() not in ENDINGS:
                 continue  # two sentences without a space between them look like this too
-            if m["at"] != "@":
-                found.append((m.start("at"), m.end("at"), "@"))
-            for part in ("name", "domain"):
-                found += [(d.start(), d.end(), ".") for d in DOT.finditer(text, *m.span(part))]
-        taken = [(a, b) for a, b, _ in found]
+            if text[low:high] != "@":
+                found.append((low, high, "@"))
+            for part in ((start, low), (high, end)):
+                found += [(d.start(), d.end(), ".") for d in DOT.finditer(text, *part)]
+        taken = sorted((a, b) for a, b, _ in found)
         found += [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(text)
-                  if not any(a < m.end() and m.start() < b for a, b in taken)]
+                  if not _overlaps(taken, m.start(), m.end())]
         return sorted(found)
     return rewrite(text, iter(edits()))
 
 
+def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the spans, which come in order and don't overlap, takes in a part of this one."""
+    i = bisect_right(spans, (end - 1, len(spans) and spans[-1][1])) - 1
+    return i >= 0 and spans[i][1] > start
+
+
 PUNCTUATION = str.maketrans(dict.fromkeys(".,;:!?()[]{}<>\"'|/-", " "))
 
 
