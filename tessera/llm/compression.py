@@ -90,3 +90,11 @@ class Compressors:
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of a key as text, modulo ``modulus``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -237,14 +237,15 @@ def find_in(docs: list[tuple[int | None, str]], index: PassageIndex) -> list[tup
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """The passages in blocks of about ``block_bytes``, by a hash of the item."""
     total = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for block in range(blocks):
         rows = benchmark.where(number == block).select("item_id", "text").distinct().collect()
-        yield sorted((r["item_id"], r["text"]) for r in rows if r["item_id"] is not None and r["text"])
+        yield sorted(((r["item_id"], r["text"]) for r in rows if r["text"]),
+                     key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1,
@@ -255,7 +256,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float
     code points, ``edits`` and ``similarity`` (1 - edits / length).  Only
     letters and digits count, in lower case.  A place matches with up to
     ``rate`` edits a character.  Null and empty texts, and passages of fewer
-    than ``q`` letters and digits, match nothing; repeated rows of ``docs``
+    than ``q`` letters and digits, match nothing; a passage with a null item_id
+    is looked for like any other and reported with that; repeated rows of ``docs``
     give repeated matches.  Passages reach the workers in blocks of a bounded
     size, a pass over the documents each.
     """

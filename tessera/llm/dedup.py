@@ -49,13 +49,27 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def is_plain_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is files, filtered and projected only, so that no two rows have the same place."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """``docs`` where each row has a file and a place in it: itself if it is read from files, else a written copy."""
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return materialise(docs, "dedup-documents")
+    """``docs`` where each row has a file and a place in it that no other row has.
+
+    That is ``docs`` itself if it is rows of files as they stand; what a join,
+    a generator or a union made is written first.
+    """
+    if is_plain_scan(docs):
+        try:
+            docs.select("_metadata.row_index")
+            return docs
+        except AnalysisException:
+            pass
+    return materialise(docs, "dedup-documents")
 
 
 def located(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.compression import Compressors, learn_dictionaries, remainder, values
+from tessera.llm.compression import Compressors, free_name, learn_dictionaries, remainder, values
 
 UNDETERMINED = "und"
 SEGMENT = 4096
@@ -71,10 +71,11 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], min_margi
     among them.  Columns of those names are replaced; all others pass through.
     Every row is kept, repeated rows too.
     """
-    out = docs.withColumn("_lang", language_of(F.col("text"), dictionaries, docs.sparkSession))
+    own = free_name(docs, "_lang")
+    out = docs.withColumn(own, language_of(F.col("text"), dictionaries, docs.sparkSession))
     for name in ("lang_pred", "score", "margin"):
-        out = out.withColumn(name, F.col(f"_lang.{name}"))
-    return out.withColumn("rejected", F.col("margin") < min_margin).drop("_lang")
+        out = out.withColumn(name, F.col(f"{own}.{name}"))
+    return out.withColumn("rejected", F.col("margin") < min_margin).drop(own)
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:

@@ -44,7 +44,9 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 KEY_BITS = 48
 STORED = 5
 PROBES = 5
+#: Steps of words, and of pairs, which are many more: theirs start at the least count of a pair.
 STEP = 1.25
+PAIR_STEP = 2.0
 ADDED = 0.1
 WEIGHTS = (1.0, 10.0, 100.0, 1e3, 1e4, 1e5)
 #: Marks a key that is to be looked up, where else a step stands.
@@ -76,14 +78,19 @@ def previous(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return before
 
 
-def thresholds(most: int = 1 << 62) -> np.ndarray:
-    """The least count of each step: 1, 2, 3, ... and then by the factor ``STEP``."""
-    out = [1]
+def thresholds(least: int = 1, factor: float = STEP, most: int = 1 << 61) -> np.ndarray:
+    """The least count of each step: ``least`` and then one more or ``factor`` times as many, whichever is more."""
+    out = [least]
     while out[-1] < most:
-        out.append(max(out[-1] + 1, math.ceil(out[-1] * STEP)))
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * factor)))
     return np.array(out, dtype=np.int64)
 
 
+def middles(of: np.ndarray) -> np.ndarray:
+    """The count that each step stands for: the geometric middle of the counts that reach it and no more."""
+    return np.concatenate([[0.0], np.sqrt(of[:-1] * (of[1:] - 1.0)), [float(of[-1])]])
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``token, c``: how often each word, and the end, occurs in ``text``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +128,7 @@ def count_pairs(texts: DataFrame, range_bits: int, least: int) -> DataFrame:
     A task sorts its pairs and hands on one packed row for each range; a range
     is small enough for one task by the choice of ``range_bits``.
     """
-    shift = np.uint64(KEY_BITS - range_bits)
+    shift, scale = np.uint64(KEY_BITS - range_bits), thresholds(least, PAIR_STEP)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -139,42 +146,44 @@ def count_pairs(texts: DataFrame, range_bits: int, least: int) -> DataFrame:
 
     def merge(table: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpacked(k) for k in table.column("keys").to_pylist()])
-        counts = np.concatenate([np.frombuffer(c, dtype=np.uint8) for c in table.column("counts").to_pylist()])
+        counts = np.concatenate([_whole(c, x) for c, x in zip(
+            table.column("counts").to_pylist(), table.column("large").to_pylist())])
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order].astype(np.int64)
+        keys, counts = keys[order], counts[order]
         heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sums = np.add.reduceat(counts, heads)
         often = sums >= least
         own = keys[heads][often] | np.uint64(table.column("range")[0].as_py()) << shift
-        return pa.Table.from_batches([_packed(own, steps_of(sums[often]), shift)], schema=PACKED)
+        return pa.Table.from_batches([_packed(own, steps_of(sums[often], scale), shift)], schema=PACKED)
 
     parts = texts.select("text").mapInArrow(count, PACKED_COLUMNS)
     with settings(texts.sparkSession, BATCHES):
         return materialise(parts.groupBy("range").applyInArrow(merge, PACKED_COLUMNS), "lm-pairs")
 
 
-PACKED_COLUMNS = "range int, keys binary, counts binary"
-PACKED = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+PACKED_COLUMNS = "range int, keys binary, counts binary, large binary"
+PACKED = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("large", pa.binary())])
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray, shift: np.uint64) -> pa.RecordBatch:
-    """Sorted keys by range, 5 bytes each, and counts of a byte; a larger count repeats its key."""
-    times = -(-counts // 255)
-    if (times > 1).any():
-        keys = np.repeat(keys, times)
-        last = np.cumsum(times) - 1
-        small = np.full(len(keys), 255, dtype=np.int64)
-        small[last] = counts - (times - 1) * 255
-        counts = small
+    """Sorted keys by range, 5 bytes each, and counts of a byte; those of 255 and more stand whole in ``large``."""
     ranges = (keys >> shift).astype(np.int64)
     heads = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(keys) else np.empty(0, int)
     raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :STORED]
-    small = counts.astype(np.uint8)
+    small = np.minimum(counts, 255).astype(np.uint8)
     edges = [*heads.tolist(), len(keys)]
     spans = list(zip(edges, edges[1:]))
+    whole = [counts[a:b] for a, b in spans]
     return pa.RecordBatch.from_arrays(
         [pa.array(ranges[heads], pa.int32()), pa.array([raw[a:b].tobytes() for a, b in spans], pa.binary()),
-         pa.array([small[a:b].tobytes() for a, b in spans], pa.binary())], schema=PACKED)
+         pa.array([small[a:b].tobytes() for a, b in spans], pa.binary()),
+         pa.array([c[c >= 255].astype("<i8").tobytes() for c in whole], pa.binary())], schema=PACKED)
+
+
+def _whole(counts: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, dtype="<i8")
+    return out
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -238,13 +247,12 @@ def word_keys(tokens: np.ndarray) -> np.ndarray:
     return mixed(tokens ^ MULTIPLIER) >> np.uint64(64 - KEY_BITS)
 
 
-def steps_of(counts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(THRESHOLDS, counts, side="right")
+THRESHOLDS = thresholds()
+MIDDLES = middles(THRESHOLDS)
 
 
-THRESHOLDS = thresholds()
-#: The count that a step stands for: the geometric middle of the counts that reach it and no more.
-MIDDLES = np.concatenate([[0.0], np.sqrt(THRESHOLDS[:-1] * (THRESHOLDS[1:] - 1.0)), [float(THRESHOLDS[-1])]])
+def steps_of(counts: np.ndarray, of: np.ndarray = THRESHOLDS) -> np.ndarray:
+    return np.searchsorted(of, counts, side="right")
 
 
 def build_filter(words: DataFrame, pairs: DataFrame, range_bits: int,
@@ -319,6 +327,7 @@ class LanguageModel:
     counts: np.ndarray
     least: tuple[int, int]
     entries: DataFrame | None
+    least_pair: int = 2
 
     @property
     def partial(self) -> bool:
@@ -338,7 +347,11 @@ class LanguageModel:
         before = np.roll(word, 1)
         before[first] = of_words[np.searchsorted(own, END)]
         own, back = np.unique(pair_keys(previous(tokens, first), tokens), return_inverse=True)
-        return np.stack([word, before, self._reference(own, self.least[1])[back]])
+        pair = self._reference(own, self.least[1])[back]
+        if self.partial:  # a pair is seen as often as each of its words at most
+            rare = steps_of(np.array([self.least_pair]))[0]
+            pair = np.where((pair >= OPEN) & ((word < rare) | (before < rare)), np.uint64(0), pair)
+        return np.stack([word, before, pair])
 
     def _reference(self, keys: np.ndarray, least: int) -> np.ndarray:
         steps = self.filter.steps(keys).astype(np.uint64)
@@ -353,7 +366,8 @@ class LanguageModel:
         mixed: the oftener the word before was seen, the more the pair counts.
         ``less`` is taken off all counts, for texts that were counted too.
         """
-        word, before, pair = (np.maximum(MIDDLES[s] - less, 0) for s in steps)
+        scales = (MIDDLES, MIDDLES, middles(thresholds(self.least_pair, PAIR_STEP)))
+        word, before, pair = (np.maximum(scale[s] - less, 0) for scale, s in zip(scales, steps))
         alone = (word + ADDED) / self.total
         share = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1)
         return [np.log10(w * share + (1 - w) * alone)
@@ -457,7 +471,7 @@ def look_up(chunks: DataFrame, model: LanguageModel, weights: tuple[float, ...]
 FREQUENT = 1 << 18
 
 
-def learn_language_model(texts: DataFrame, filter_bytes: int = 32 << 20, least_pair: int = 2,
+def learn_language_model(texts: DataFrame, filter_bytes: int = 48 << 20, least_pair: int = 2,
                          fitting_docs: int = 1000) -> tuple[LanguageModel, DataFrame]:
     """The model of ``texts`` (doc_id, text), and the exact counts of all their words (token, c).
 
@@ -485,7 +499,7 @@ def learn_language_model(texts: DataFrame, filter_bytes: int = 32 << 20, least_p
     order = np.argsort(frequent)
     own, lowest, entries = build_filter(words, pairs, range_bits, filter_bytes)
     model = LanguageModel(own, total["n"] or 0, total["v"], WEIGHTS[0], frequent[order],
-                          common.column("c").to_numpy()[order], lowest, entries)
+                          common.column("c").to_numpy()[order], lowest, entries, least_pair)
     sent = spark.sparkContext.broadcast(replace(model, entries=None))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

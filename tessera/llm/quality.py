@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.compression import Compressors, first_by_hash, learn_dictionaries, remainder, values
+from tessera.llm.compression import Compressors, first_by_hash, free_name, learn_dictionaries, remainder, values
 from tessera.session import materialise
 
 #: Short segments keep a text's own repetitions from hiding what it shares with a dictionary.
@@ -59,7 +59,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, dict_bytes: int = 112 * 10
     One half of the labelled rows, by a hash of doc_id, fills the dictionaries
     (bounds: :func:`learn_dictionaries`); ``calibration_docs`` rows of the other
     half, first by a hash, fit the curve.  Rows without a label of 0 or 1 are
-    not used; a doc_id labelled twice with different values is used with each.
+    not used; a doc_id labelled twice with different values is used with each,
+    and of rows that repeat a doc_id the least text.
     The driver gets the ids of the chosen rows and their size differences.
     """
     spark = docs.sparkSession
@@ -71,7 +72,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, dict_bytes: int = 112 * 10
     fitted = first_by_hash(ids.where("_half = 1").withColumn("_all", F.lit("all")), "_all", "doc_id", calibration_docs, 6)
     chosen = shown.unionByName(fitted.select("doc_id", "_y", "_half")).distinct().collect()
     chosen = spark.createDataFrame(chosen, "doc_id long, _y int, _half long")
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality-sample")
+    # of rows that repeat a chosen doc_id one text, so that the sample keeps its bound
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+                       .groupBy("doc_id", "_y", "_half").agg(F.min("text").alias("text")), "quality-sample")
     dictionaries = learn_dictionaries(rows.where("_half = 0"), "_y", "text", "doc_id", dict_bytes, sample_docs)
     fitted = (rows.where("_half = 1").select(size_difference(F.col("text"), dictionaries, spark).alias("x"), "_y")
               .collect())
@@ -103,9 +106,10 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     names are replaced; all others pass through.  Every row is kept.
     """
     x = size_difference(F.col("text"), model.dictionaries, docs.sparkSession)
-    score = 1 / (1 + F.exp(-(F.col("_x") * model.slope + model.intercept)))
-    return (docs.withColumn("_x", x).withColumn("score", score)
-            .withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int")).drop("_x"))
+    own = free_name(docs, "_x")
+    score = 1 / (1 + F.exp(-(F.col(own) * model.slope + model.intercept)))
+    return (docs.withColumn(own, x).withColumn("score", score)
+            .withColumn("predicted", (F.col("score") >= REJECT_BELOW).cast("int")).drop(own))
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -116,6 +120,12 @@ def held_out_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier doesn't reject, learned from all labels."""
+    """The rows of ``docs`` that the classifier doesn't reject, learned from all labels, with the columns that they have.
+
+    Repeated rows are judged alike; null and empty texts get the score of a
+    text that tells nothing.  Without labels of both kinds every text has the
+    share of good labels as its score, 0.5 if there is none, and none or all go.
+    """
     model = learn_quality(docs, labels)
-    return score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    predicted = score_quality(docs.select(F.struct("*").alias("record"), "text"), model)
+    return predicted.where("predicted = 1").select("record.*")
