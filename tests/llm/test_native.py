@@ -93,3 +93,23 @@ def test_native_plans_have_no_python(spark):
     for df in (sharding.shard_report(docs), dedup.dedup_report(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_rows_that_share_a_place_in_a_file_are_rows_of_their_own(spark):
+    from tessera.llm import jaccard, lm_score
+    docs = read_table(spark, SF_SMALL, "documents")
+    other = spark.range(2).withColumnRenamed("id", "copy")
+    tables = [docs.join(other, F.lit(True)), docs.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")),
+              docs.withColumn("copy", F.lit(0)).unionByName(docs.withColumn("copy", F.lit(1)))]
+    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/derived-{id(docs)}"
+    tables[1].write.parquet(path)
+    written = spark.read.parquet(path)
+    assert dedup.is_plain_scan(written) and not any(map(dedup.is_plain_scan, tables))
+    report = lambda d: Counter(tuple(r) for r in dedup.dedup_report(d).collect())
+    want, kept = report(written), dedup.first_of_equal(written).count()
+    near = jaccard.one_of_each(written, words=5, percent=80).count()
+    for table in tables:
+        assert report(table) == want and dedup.first_of_equal(table).count() == kept == sum(r[3] * n for r, n in want.items())
+    assert jaccard.one_of_each(tables[0], words=5, percent=80).count() == near < kept
+    score = lambda d: round(sum(r.base_score for r in lm_score.language_model_report(d).collect()), 3)
+    assert score(tables[2]) == score(written)

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from llm_tables import SF_SMALL
+from llm_tables import SF_SMALL, awkward, empty  # noqa: F401
 
 from tessera.sources.tables import read_table
 
@@ -35,3 +35,19 @@ def test_queries_run_and_have_named_columns(spark):
     from tessera.llm.queries import llm_oracles, llm_queries
     assert {int(n[2:].split("_")[0]) for n in llm_queries()} == set(range(1, 14))
     assert set(llm_oracles()) <= set(llm_queries()) <= set(entry.queries()) and "pipeline" in entry.queries()
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward, empty):
+    clean = awkward.where("label is not null").select("doc_id", "text", "lang", "source", "n_chars")
+    for docs in (awkward, clean, empty, empty.select("doc_id", "text")):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            path = f"{spark.conf.get('spark.checkpoint.dir')}/awkward-{name}-{id(docs)}"
+            stage(spark, now, SF_SMALL).write.parquet(path)
+            before, now = Counter(map(repr, now.collect())), spark.read.parquet(path)
+            assert now.columns == docs.columns and not Counter(map(repr, now.collect())) - before
+            if name == "exact_dedup":  # one row of each text, null as empty
+                bodies = [" ".join((r.text or "").split()) for r in now.collect()]
+                assert len(bodies) == len({b for b in bodies}) or "\x1c" in "".join(bodies)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, SF_SMALL).collect()
+        assert Counter(p.doc_id for p in pieces).keys() == Counter(r.doc_id for r in now.collect()).keys()

@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 from llm_tables import SF_SMALL, awkward, empty  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from tessera.llm import langid, lm_score, quality
 from tessera.llm.compression import Compressors
 from tessera.sources.tables import read_table
@@ -148,12 +150,12 @@ def test_pairs_help_on_seen_text(spark):
 
 def test_packed_counts_survive():
     keys = np.array([3, 9, 1 << 41, (1 << 48) - 1], dtype=np.uint64)
-    counts = np.array([1, 700, 255, 256])
+    counts = np.array([1, 80_000_000_000, 255, 254])
     shift = np.uint64(lm_score.KEY_BITS - 8)
     batch = lm_score._packed(keys, counts, shift)
     total = Counter()
-    for r, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-        for key, n in zip(lm_score._unpacked(k).tolist(), c):
+    for r, k, c, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for key, n in zip(lm_score._unpacked(k).tolist(), lm_score._whole(c, x).tolist()):
             total[key | r << int(shift)] += n
     assert total == dict(zip(keys.tolist(), counts.tolist()))
 
@@ -176,13 +178,17 @@ def test_what_the_filter_has_no_room_for_is_looked_up(spark, awkward, monkeypatc
         def middle(n):
             return lm_score.MIDDLES[lm_score.steps_of(np.array([n]))[0]]
 
+        def middle_of_pair(n):  # 2 and 3, 4 to 7, 8 to 15, ...
+            low = 2 ** int(math.log2(n)) if n > 1 else 0
+            return math.sqrt(low * (2 * low - 1)) if low else 0
+
         want = []
         for r in docs.collect():
             own = lm_score.tokens_of(r.text)
             keys = lm_score.pair_keys(lm_score.previous(own, np.array([0])), own).tolist()
             score, last = 0.0, lm_score.END
             for token, key in zip(own.tolist(), keys):
-                before, pair = middle(one[last]), middle(two[key]) if two[key] > 1 else 0
+                before, pair = middle(one[last]), middle_of_pair(two[key])
                 w = before / (before + model.weight)
                 score += math.log10(w * min(pair / before if before else 0, 1)
                                     + (1 - w) * (middle(one[token]) + 0.1) / model.total)
@@ -192,3 +198,53 @@ def test_what_the_filter_has_no_room_for_is_looked_up(spark, awkward, monkeypatc
         want.sort()
         assert [g[:3] for g in got] == [w[:3] for w in want]
         np.testing.assert_allclose([g[3] for g in got], [w[3] for w in want], rtol=2e-3)
+
+
+def test_columns_of_any_name_pass_through(spark, awkward):
+    docs = awkward.withColumn("_x", F.lit("x")).withColumn("_lang", F.lit("y")).withColumn("_X_", F.lit(1))
+    labels = spark.createDataFrame([(0, 1), (2, 0), (6, 1), (9, 0)], "doc_id long, quality int")
+    model = quality.learn_quality(docs, labels)
+    scored = quality.score_quality(docs, model)
+    assert {c for c in docs.columns} <= set(scored.columns) and {r["_x"] for r in scored.collect()} == {"x"}
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= docs.count()
+    named = langid.identify_language(docs, {"en": b"the quick", "de": b"der schnelle"})
+    assert {r["_lang"] for r in named.collect()} == {"y"}
+
+
+def plain_sizes(data, dictionaries, segment):
+    import zstandard
+    out = []
+    for content in dictionaries.values():
+        trained = zstandard.ZstdCompressionDict(content.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        total = 0
+        for i in range(0, max(len(data), 1), segment):
+            total += len(zstandard.ZstdCompressor(level=6, dict_data=trained, write_checksum=False, write_content_size=False,
+                                                  write_dict_id=False).compress(data[i:i + segment]))
+        out.append(total)
+    return out
+
+
+def test_languages_and_quality_equal_plain_loops(spark, awkward):
+    small = read_table(spark, SF_SMALL, "documents")
+    for docs in (awkward, small):
+        marked = docs.withColumn("held_out", langid.remainder("doc_id", 4) == 2)
+        model = langid.learn_languages(marked.where("not held_out"))
+        want = Counter()
+        for r in docs.collect():
+            if not r.text or not any(map(str.isalpha, r.text)) or not model:
+                want[r.doc_id, "und"] += 1
+            else:
+                sizes = plain_sizes(langid.letters(r.text), model, langid.SEGMENT)
+                want[r.doc_id, list(model)[sizes.index(min(sizes))]] += 1
+        assert Counter((r.doc_id, r.lang_pred) for r in langid.held_out_languages(docs).collect()) == want
+    labels = read_table(spark, SF_SMALL, "labels")
+    marked = small.withColumn("held_out", quality.remainder("doc_id", 5) == 0)
+    model = quality.learn_quality(marked.where("not held_out"), labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.held_out_quality(small, labels).collect()}
+    for r in small.collect():
+        data = (r.text or "").encode()
+        bad, good = plain_sizes(data, {k: model.dictionaries[k] for k in ("0", "1")}, quality.SEGMENT)
+        x = (bad - good) / len(data) if data else 0.0
+        score = 1 / (1 + math.exp(-(x * model.slope + model.intercept)))
+        assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1] == (score >= 0.3)
