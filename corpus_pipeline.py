@@ -41,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
           ("decontamination", decontamination), ("packing", packing)]
 
-#: Compression sizes and alignments are beyond SQL; tests hold the result against brute force.
+#: Compression sizes and alignments are beyond SQL; tests hold the operators against brute force and run the stages on awkward tables.
 ORACLE_SQL = None
 
 

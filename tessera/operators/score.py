@@ -31,7 +31,7 @@ def overall_score(coherence: DataFrame, contrast: DataFrame, search: DataFrame |
                           {c: F.lit(None).cast("double") for c in SEARCH_NUMBERS})
     else:
         j = j.join(search, keys, "left")
-    of_search = ["n_queries", *SEARCH_NUMBERS]
+    of_search = [c for c in (search.columns if search is not None else ["n_queries", *SEARCH_NUMBERS]) if c not in keys]
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in j.columns
             if c not in keys and c not in coherence.columns and c not in of_search}
     measured = F.lit(True) if searched is None else F.col("model_name").isin(searched) if searched else F.lit(False)
