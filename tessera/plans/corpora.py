@@ -4,6 +4,9 @@
   ``doc_id`` row a section, each non-blank line a paragraph; default queries.
 * ``strict_corpus``   (C2) ``documents``: each row is a document parsed with
   the header rule; topic queries with the generic fallback.
+* ``long_corpus``     (C7) ``documents``: a ``source`` is one document, however
+  large, whose text is that of its rows by ``doc_id``; parsed with the header
+  rule from rows of lines, topic queries.
 * ``page_corpus``    (C5) ``pages``: the lines of a web page's text, parsed
   with the header rule; topic queries, also the generic fallback.
 * ``vector_corpus``   (C3) ``embeddings``: one document of given vectors,
@@ -23,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import long_parse as LP
 from ..operators import parse as P
 from ..operators import queries as Q
 from ..session import balance, materialise
@@ -73,6 +78,21 @@ def page_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return strict_corpus_of(page_documents(spark, sf_dir))[0]
 
 
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, major, minor, line``: each ``source`` a document, its lines by row and place in the row."""
+    docs = balance(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return docs.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("long").alias("major"),
+                       F.posexplode(T.nonblank_lines(F.col("text"))).alias("minor", "line"))
+
+
+def long_corpus(lines: DataFrame, ranges: int | None = None) -> Corpus:
+    """Documents larger than a row, given by their lines (also ``sources.tables.read_text_lines``)."""
+    placed = LP.place_lines(lines, ranges)
+    paras, sents = LP.units(placed)
+    return Corpus("long", paras, sents, LP.topic_queries(placed), per_document_queries=True, literal_queries=False,
+                  bounded_sets=False)
+
+
 def chat_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     conv = balance(read_table(spark, sf_dir, "conversations"))
     paras = P.whole_text_units(conv, F.col("conv_id"), F.col("role"), F.col("turn"))

@@ -432,6 +432,12 @@ def over_pages(sql: str) -> str:
     return f"WITH documents AS ({pages}),\n" + sql.strip().removeprefix("WITH ")
 
 
+def over_sources(sql: str) -> str:
+    """A query over ``documents`` put to whole sources: the texts of a source, by ``doc_id``, are one document."""
+    whole = f"SELECT source AS doc_id, string_agg(text, {NL} ORDER BY doc_id) AS text FROM documents GROUP BY source"
+    return f"WITH documents AS ({whole}),\n" + sql.strip().removeprefix("WITH ")
+
+
 def r6(col: str, alias: str | None = None) -> str:
     return f"round(CAST({col} AS DOUBLE), 6) AS {alias or col.split('.')[-1]}"
 
@@ -553,6 +559,20 @@ def oracle_queries() -> dict[str, str]:
       UNION ALL
       SELECT d.doc, 'empty', 0.0 FROM {strict_docs} d WHERE d.doc NOT IN (SELECT doc FROM strict_res)""",
                                           "strict_res"))
+    q["long_document_sections"] = over_sources(build("""
+      SELECT h.doc_id, CAST(h.section_id AS BIGINT) AS section_id, h.line AS header, count(b.text) AS n_body_lines
+      FROM sl h LEFT JOIN s_paras b ON b.doc_id = h.doc_id AND b.section_id = h.section_id
+      WHERE h.is_header GROUP BY h.doc_id, h.section_id, h.line""", "sl", "s_paras"))
+    q["long_document_paragraphs"] = over_sources(build("""
+      SELECT doc_id, para_idx, CAST(section_id AS BIGINT) AS section_id, text,
+             CASE WHEN l THEN CAST(dense_rank() OVER (PARTITION BY doc_id, l ORDER BY section_id) - 1 AS BIGINT) END
+               AS section_idx,
+             CASE WHEN l THEN CAST(row_number() OVER (PARTITION BY doc_id, l ORDER BY line_no) - 1 AS BIGINT) END AS pos
+      FROM (SELECT *, length(text) > 50 AS l FROM s_paras)""", "s_paras"))
+    q["long_document_sentences"] = over_sources(q["sentences"])
+    q["long_document_score"] = over_sources(build("SELECT model_name, doc, " + ", ".join(r6(c) for c in [
+        "avg_coherence", "section_boundary_contrast", "semantic_search_precision", "overall_score"])
+        + " FROM strict_res", "strict_res"))
     q["page_search_queries"] = over_pages(q["search_queries"])
     q["page_search_precision"] = over_pages(q["search_precision_topics"])
     q["user_model_score"] = q["overall_score"]

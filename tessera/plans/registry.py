@@ -15,6 +15,7 @@ from pyspark.sql import types as Ty
 
 from ..functions import text as T
 from ..operators import embed as E
+from ..operators import long_parse as LP
 from ..operators import parse as P
 from ..operators import queries as Q
 from ..operators import score as S
@@ -124,6 +125,36 @@ def doc_stats(spark, sf_dir):
         F.size(F.filter(pieces, T.keep_sentence)).alias("n_sentences"), F.size(Q.chosen_queries()).alias("n_queries"))
 
 
+# documents larger than a row: each source is one, its lines in many tasks
+
+def _placed(spark, sf_dir):
+    return LP.place_lines(CO.source_lines(spark, sf_dir))
+
+
+@query("long_document_sections")
+def long_document_sections(spark, sf_dir):
+    return LP.sections(_placed(spark, sf_dir))
+
+
+@query("long_document_paragraphs")
+def long_document_paragraphs(spark, sf_dir):
+    """All lines of a section, numbered in their document; long ones also among those and their sections."""
+    return _placed(spark, sf_dir).where(F.col("para_idx").isNotNull()).select(
+        "doc_id", "para_idx", "section_id", "section_idx", "pos", F.col("line").alias("text"))
+
+
+@query("long_document_sentences")
+def long_document_sentences(spark, sf_dir):
+    return LP.sentences(_placed(spark, sf_dir))
+
+
+@query("long_document_score")
+def long_document_score(spark, sf_dir):
+    r = DocumentEvaluation(CO.long_corpus(CO.source_lines(spark, sf_dir)), Options()).results()
+    return r.select("model_name", "doc", "avg_coherence", "section_boundary_contrast",
+                    "semantic_search_precision", "overall_score")
+
+
 # ---------------------------------------------------------------------------
 # embeddings (source corpus: documents grouped by source)
 

@@ -19,3 +19,15 @@ def read_text_documents(spark: SparkSession, path: str, glob: str = "*.txt") ->
     """Each UTF-8 text file is one document: ``doc_id`` = file name."""
     return (spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
                  .select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text")))
+
+
+def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """Lines of UTF-8 text files of any size, each file a document: ``doc_id, major, minor, line``.
+
+    Spark reads a large file by splits, in many tasks; ``major`` is where the
+    line's split starts in the file, ``minor`` rises within it.
+    """
+    return (spark.read.option("pathGlobFilter", glob).text(path)
+                 .select(F.col("_metadata.file_name").alias("doc_id"),
+                         F.col("_metadata.file_block_start").alias("major"),
+                         F.monotonically_increasing_id().alias("minor"), F.col("value").alias("line")))
