@@ -71,16 +71,20 @@ def _batch_hashes(tokens: pa.Array) -> np.ndarray:
     return np.asarray(uniq, dtype=np.int64)[enc.indices.to_numpy(zero_copy_only=False)]
 
 
-def _bincount(batches, keep: list[str], models: list[tuple[str, int]]):
+def _bincount(batches, keep: list[str], models: list[tuple[str, int]], timed: bool = False):
     """Arrow batches with ``tokens`` (list<string>) -> one dense count vector
-    per (row, model): bucket = md5 hash % dim, counted with ``np.bincount``."""
+    per (row, model): bucket = md5 hash % dim, counted with ``np.bincount``.
+    ``timed``: and the row's share of the time that its batch took, the hashes' being shared by the models."""
     for rb in batches:
         n = rb.num_rows
+        began = time.perf_counter()
         lists = rb.column("tokens")
         lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         hashes = _batch_hashes(lists.flatten())
         rows = np.repeat(np.arange(n), lens)
+        hashing = (time.perf_counter() - began) / max(len(models), 1)
         for name, dim in models:
+            began = time.perf_counter()
             dense = np.bincount(rows * dim + hashes % dim, minlength=n * dim).astype(np.float32)
             mat = dense.reshape(n, dim)
             norm_sq = np.einsum("ij,ij->i", mat, mat, dtype=np.float64)
@@ -95,11 +99,15 @@ def _bincount(batches, keep: list[str], models: list[tuple[str, int]]):
                      pa.ListArray.from_arrays(pa.array(vec_off), pa.array(dense)),
                      pa.ListArray.from_arrays(pa.array(nz_off), pa.array(nz_vals, type=pa.int32())),
                      pa.array(norm_sq)]
-            yield pa.RecordBatch.from_arrays(cols, names=keep + ["model_name", "dim", "vec", "nz", "norm_sq"])
+            names = keep + ["model_name", "dim", "vec", "nz", "norm_sq"]
+            if timed:
+                cols.append(pa.array(np.full(n, (hashing + time.perf_counter() - began) / max(n, 1))))
+                names = names + ["elapsed_s"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def embed_native(units: DataFrame, models: list[HashingModel] = NATIVE_MODELS,
-                 text_col: str = "text", keep_text: bool = False) -> DataFrame:
+                 text_col: str = "text", keep_text: bool = False, timed: bool = False) -> DataFrame:
     """Embed every unit with every native model.  No join and no second pass
     over the text: words are extracted JVM-side, hashed once per distinct
     token of an Arrow batch, and one pass emits a row per (unit, model)."""
@@ -107,8 +115,8 @@ def embed_native(units: DataFrame, models: list[HashingModel] = NATIVE_MODELS,
     staged = units.select(*keys, T.words(F.col(text_col)).alias("tokens"))
     spec = [(m.name, m.dim) for m in models]
     schema = (_ddl(staged, {"tokens"}) +
-              ", model_name string, dim int, vec array<float>, nz array<int>, norm_sq double")
-    return staged.mapInArrow(lambda it: _bincount(it, keys, spec), schema)
+              ", model_name string, dim int, vec array<float>, nz array<int>, norm_sq double" + ", elapsed_s double" * timed)
+    return staged.mapInArrow(lambda it: _bincount(it, keys, spec, timed), schema)
 
 
 def vectors_from_array(df: DataFrame, model_name: str, vec_col: str = "embedding") -> DataFrame:
@@ -206,18 +214,23 @@ def embed_with_model(units: DataFrame, model: PandasModel, text_col: str = "text
     return units.withColumn("text_key", _text_key(text_col)).join(vecs, "text_key").drop("text_key")
 
 
-def embed(units: DataFrame, models: list, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def embed(units: DataFrame, models: list, text_col: str = "text", keep_text: bool = False,
+          timed: bool = False) -> DataFrame:
     """Every unit with every model, native ones and the user's: the columns of
     :func:`embed_native` and ``error``.  The user's models run once, their
-    vectors are written and read back."""
+    vectors are written and read back.  ``timed``: also ``elapsed_s`` of each unit and
+    ``load_s``, how long its task took to load the model (0 for native ones)."""
     native = [m for m in models if isinstance(m, HashingModel)]
-    parts = [embed_native(units, native, text_col, keep_text).withColumn("error", F.lit(None).cast("string"))] \
+    parts = [embed_native(units, native, text_col, keep_text, timed).withColumn("error", F.lit(None).cast("string"))] \
         if native or not models else []
+    times = ["elapsed_s", "load_s"] if timed else []
+    if timed and parts:
+        parts = [parts[0].withColumn("load_s", F.lit(0.0))]
     keys = [c for c in units.columns if c != text_col or keep_text]
     for m in models:
         if not isinstance(m, HashingModel):
             parts.append(materialise(embed_with_model(units, m, text_col).select(
-                *keys, "model_name", "dim", "vec", "nz", "norm_sq", "error"), "model-vectors"))
+                *keys, "model_name", "dim", "vec", "nz", "norm_sq", "error", *times), "model-vectors"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

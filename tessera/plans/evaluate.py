@@ -34,6 +34,7 @@ class Options:
     materialize_vectors: bool = True
     given: list = field(default_factory=list)   # (name, GivenVectors or paragraph vector table) pairs
     observe: bool = False          # progress counters through df.observe
+    timed: bool = False            # results with evaluation_time_seconds
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,7 @@ class GivenVectors:
         return self.sentences is not None and self.queries is not None
 
 
+TIMES = ["elapsed_s", "load_s"]
 VECTOR = ["dim", "vec", "nz", "norm_sq"]
 
 
@@ -129,11 +131,13 @@ class DocumentEvaluation:
         def build():
             if kind == "paragraph":
                 return E.embed(self.corpus.paragraphs.withColumn(
-                    "is_section_paragraph", F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS), self.o.models)
+                    "is_section_paragraph", F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS), self.o.models,
+                    timed=self.o.timed)
             if kind == "sentence":  # the text rides along so that keyword hits need no join after the top 3
-                return E.embed(self.corpus.sentences, self.o.models, keep_text=True)
-            return E.embed(self.corpus.queries, self.o.models, text_col="query", keep_text=True)
-        return self._get(f"embedded_{kind}", build)
+                return E.embed(self.corpus.sentences, self.o.models, keep_text=True, timed=self.o.timed)
+            return E.embed(self.corpus.queries, self.o.models, text_col="query", keep_text=True, timed=self.o.timed)
+        # times are those of the run whose vectors are used: both are written together
+        return self._get(f"embedded_{kind}", lambda: materialise(build(), f"timed-{kind}") if self.o.timed else build())
 
     def _user_models(self) -> bool:
         return any(not isinstance(m, E.HashingModel) for m in self.o.models)
@@ -151,7 +155,7 @@ class DocumentEvaluation:
             if self._user_models():
                 failed = vecs.where(F.col("error").isNotNull()).select("model_name", "doc").distinct()
                 vecs = vecs.where(F.col("error").isNull()).join(failed, ["model_name", "doc"], "left_anti")
-            vecs = vecs.drop("error")
+            vecs = vecs.drop("error", *TIMES)
             for name, given in self._given():
                 table = given.paragraphs
                 columns = [c for c in vecs.columns if c not in ("model_name", "is_section_paragraph")]
@@ -214,7 +218,7 @@ class DocumentEvaluation:
         def build():
             vecs = None
             if self.corpus.sentences is not None:
-                vecs = self._embedded("sentence").where(F.col("error").isNull()).drop("error")
+                vecs = self._embedded("sentence").where(F.col("error").isNull()).drop("error", *TIMES)
             for name, given in self._given():
                 if given.searches:
                     table = given.sentences.select("doc", *R.SENT_ORDER, "text", F.lit(name).alias("model_name"), *VECTOR)
@@ -225,7 +229,7 @@ class DocumentEvaluation:
     def query_vectors(self) -> DataFrame:
         def build():
             keys = ["doc", "query_idx"] if self.corpus.per_document_queries else ["query_idx"]
-            vecs = self._embedded("query").where(F.col("error").isNull()).drop("error")
+            vecs = self._embedded("query").where(F.col("error").isNull()).drop("error", *TIMES)
             for name, given in self._given():
                 if given.searches:
                     vecs = vecs.unionByName(given.queries.select(*keys, *VECTOR).join(self.corpus.queries, keys)
@@ -313,6 +317,42 @@ class DocumentEvaluation:
                 self.searched_docs(), self.corpus.queries, self.hits()))
         return self._get("search", lambda: R.search_precision(self.query_precision()))
 
+    # -- times -----------------------------------------------------------
+    def evaluation_times(self) -> DataFrame:
+        """``model_name, doc, n_embedded, evaluation_time_seconds`` of a timed evaluation.
+
+        The time is measured in the tasks: a unit's share of the batch it was
+        embedded in, over the document's paragraphs, sentences and queries, and
+        the slowest load of the model.  A set of queries that all documents share
+        counts for each, as does a text that several documents have, though it
+        was embedded once.  The comparisons of vectors are not in it.
+        Given vectors have no time.
+        """
+        if not self.o.timed:
+            raise ValueError("times are measured with Options(timed=True)")
+        keys = ["model_name", "doc"]
+        sums = [F.count(F.lit(1)).alias("n"), F.sum("elapsed_s").alias("s"), F.max("load_s").alias("load")]
+        kinds = ["paragraph"] + ["sentence"] * (self.corpus.sentences is not None)
+        own = self.corpus.queries is not None and self.corpus.per_document_queries
+        tables = [self._embedded(kind).groupBy(*keys).agg(*sums) for kind in kinds + ["query"] * own]
+        units = tables[0]
+        for table in tables[1:]:
+            units = units.unionByName(table)
+        times = units.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("load").alias("load"))
+        if self.corpus.queries is not None and not own:
+            shared = self._embedded("query").groupBy("model_name").agg(*sums).select(
+                "model_name", F.col("n").alias("qn"), F.col("s").alias("qs"), F.col("load").alias("qload"))
+            times = times.join(shared, "model_name", "left").select(
+                *keys, (F.col("n") + F.coalesce("qn", F.lit(0))).alias("n"),
+                (F.col("s") + F.coalesce("qs", F.lit(0.0))).alias("s"), F.greatest("load", "qload").alias("load"))
+        return times.select(*keys, F.col("n").alias("n_embedded"), (F.col("s") + F.col("load")).alias("evaluation_time_seconds"))
+
+    def total_times(self) -> DataFrame:
+        """``model_name, n_docs, total_time_seconds``: the times of a model's documents that have a result, added up."""
+        done = self.evaluated_docs().join(self.evaluation_times(), ["model_name", "doc"])
+        return done.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_docs"),
+                                              F.sum("evaluation_time_seconds").alias("total_time_seconds"))
+
     # -- blend -----------------------------------------------------------
     def results(self) -> DataFrame:
         """One row per (model, document) with all metrics and their blend.
@@ -328,5 +368,7 @@ class DocumentEvaluation:
             r = S.overall_score(self.coherence(), self.contrast(), self.search() if searched else None,
                                 searched=searched)
             r = self._without_failed(r)
+            if self.o.timed:
+                r = r.join(self.evaluation_times(), ["model_name", "doc"], "left")
             return r.join(F.broadcast(models.select("model_name", "model_order", "model_id")), "model_name")
         return self._get("results", build)

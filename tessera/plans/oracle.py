@@ -442,6 +442,14 @@ def r6(col: str, alias: str | None = None) -> str:
     return f"round(CAST({col} AS DOUBLE), 6) AS {alias or col.split('.')[-1]}"
 
 
+def fixed(x: str, digits: int) -> str:
+    """Fixed digits by the exact value; exact halves, whose further digits are 5 and zeros, go away from zero."""
+    size = f"abs({x})"
+    half = f"regexp_full_match(printf('%.60f', {size}), '[0-9]+\\.[0-9]{{{{{digits}}}}}50*')"
+    shown = f"CASE WHEN {half} THEN printf('%.{digits}f', {size} + {10.0 ** -digits / 4!r}) ELSE printf('%.{digits}f', {size}) END"
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || {shown}".replace("{{", "{").replace("}}", "}")
+
+
 def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     coh_cols = ("model_name, doc, n_adjacent_pairs, n_undefined, " + ", ".join(
@@ -548,6 +556,14 @@ def oracle_queries() -> dict[str, str]:
     q["results_json_rows"] = build("SELECT doc, model_name, model_id, " + ", ".join(r6(c) for c in [
         "avg_coherence", "section_boundary_contrast", "semantic_search_precision", "overall_score"])
         + " FROM source_res", "source_res")
+    q["result_files"] = q["results_json_rows"]
+    q["dashboard_table"] = build(f"""
+      SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY overall_score DESC NULLS LAST, model_order)
+                       AS BIGINT) AS position,
+             model_name, """ + ", ".join(f"{fixed(c, 4)} AS {c}" for c in [
+        "overall_score", "avg_coherence", "section_boundary_contrast", "semantic_search_precision"]) + f""",
+             {fixed('greatest(section_boundary_contrast, -1)', 4)} AS shown_contrast
+      FROM source_res""", "source_res")
     strict_docs = "(SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc FROM documents)"
     q["results_or_placeholder"] = build(f"""
       SELECT doc, model_name, model_id, {r6('avg_coherence')}, {r6('overall_score')} FROM strict_res
@@ -662,4 +678,19 @@ def oracle_queries() -> dict[str, str]:
              CAST(m.dim AS BIGINT) AS embedding_dimension, p.n AS n_pairs
       FROM pearson p JOIN spearman s USING (model_name) JOIN {MODELS} ON m.model_name = p.model_name""",
                                   "pearson", "spearman")
+    q["comparison_display"] = build(f"""
+      SELECT CAST(m.model_order AS BIGINT) AS model_order, m.model_name,
+             {fixed('p.pearson_correlation', 4)} AS pearson_correlation,
+             {fixed('s.spearman_correlation', 4)} AS spearman_correlation,
+             CAST(m.dim AS BIGINT) AS embedding_dimension, CAST(NULL AS VARCHAR) AS load_time_seconds,
+             CAST(NULL AS VARCHAR) AS average_embedding_time_seconds
+      FROM pearson p JOIN spearman s USING (model_name) JOIN {MODELS} ON m.model_name = p.model_name""",
+                                    "pearson", "spearman")
+    n_queries = len(L.DEFAULT_QUERIES)
+    q["evaluation_timing"] = build(f"""
+      SELECT r.model_name, r.doc, p.n + coalesce(s.n, 0) + {n_queries} AS n_embedded, true AS measured,
+             {r6('r.overall_score')}
+      FROM source_res r JOIN (SELECT doc, count(*) AS n FROM u_source_p GROUP BY doc) p USING (doc)
+      LEFT JOIN (SELECT doc, count(*) AS n FROM u_source_s GROUP BY doc) s USING (doc)""",
+                                   "source_res", "u_source_p", "u_source_s")
     return q

@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import display as D
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import correlate as X
 from ..operators import embed as E
+from ..sources import literals as L
+
+SECONDS = ["load_time_seconds", "average_embedding_time_seconds"]
 
 
 def conversation_pairs(conv: DataFrame) -> DataFrame:
@@ -58,3 +62,20 @@ def correlations(sims: DataFrame, buckets: int | None = None) -> DataFrame:
     p = X.pearson(d, ["model_name"], "human_score", "similarity")
     s = X.spearman(d, ["model_name"], "human_score", "similarity", buckets=buckets).drop("n")
     return p.join(s, "model_name")
+
+
+def comparison_display(table: DataFrame, timing: DataFrame | None = None) -> DataFrame:
+    """The rows of a comparison (``model_order, model_name``, both correlations, ``embedding_dimension``) as text.
+
+    ``timing`` (``embed.embedding_timing``) has the load time and the mean embedding
+    time of models that were measured; others show NULL.
+    """
+    if timing is None:
+        table = table.withColumns({c: F.lit(None).cast("double") for c in SECONDS})
+    else:
+        table = table.join(timing.select("model_name", *SECONDS), "model_name", "left")
+    return table.select(
+        "model_order", "model_name",
+        *[D.to_fixed(F.col(c), L.SCORE_DIGITS).alias(c) for c in ("pearson_correlation", "spearman_correlation")],
+        "embedding_dimension", D.to_fixed(F.col("load_time_seconds"), L.TIME_DIGITS).alias("load_time_seconds"),
+        D.to_fixed(F.col("average_embedding_time_seconds"), L.SCORE_DIGITS).alias("average_embedding_time_seconds"))

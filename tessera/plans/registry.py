@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from ..functions import display as D
 from ..functions import text as T
 from ..operators import embed as E
 from ..operators import long_parse as LP
 from ..operators import parse as P
 from ..operators import queries as Q
 from ..operators import score as S
-from ..session import balance, materialise, ship_package
+from ..session import balance, materialise, scratch_path, ship_package
 from ..sources import literals as L
 from ..sources import results_io as IO
 from ..sources.tables import read_table
@@ -472,6 +473,36 @@ def results_json_rows(spark, sf_dir):
                        "semantic_search_precision", "overall_score")
 
 
+@query("result_files")
+def result_files(spark, sf_dir):
+    """The results, written as result files in the place of earlier ones, and read again."""
+    from ..sources import result_files as RF
+    path = scratch_path(spark, "result-files")
+    nested = materialise(_nested(spark, sf_dir), "nested-results")
+    RF.write_result_files(nested.where("model_name = 'hash-64'"), path)
+    RF.write_result_files(nested, path)
+    return RF.read_result_files(spark, path).select(
+        "doc", "model_name", "model_id", "avg_coherence", "section_boundary_contrast", "semantic_search_precision",
+        "overall_score")
+
+
+@query("dashboard_table")
+def dashboard_table(spark, sf_dir):
+    """The rows of the dashboard by score, each number as text with its fixed digits."""
+    lb = S.leaderboard(_results(spark, sf_dir))
+    numbers = ["overall_score", "avg_coherence", "section_boundary_contrast", "semantic_search_precision"]
+    return lb.select("doc", "position", "model_name", *[D.to_fixed(F.col(c), L.SCORE_DIGITS).alias(c) for c in numbers],
+                     D.to_fixed(D.shown_contrast(F.col("section_boundary_contrast")), L.SCORE_DIGITS).alias("shown_contrast"))
+
+
+@query("evaluation_timing")
+def evaluation_timing(spark, sf_dir):
+    """A timed evaluation: what was embedded of each document, and whether its time was measured (it is not the same twice)."""
+    r = _source_eval(spark, sf_dir, timed=True).results()
+    seconds = F.col("evaluation_time_seconds")
+    return r.select("model_name", "doc", "n_embedded", (seconds > 0).alias("measured"), "overall_score")
+
+
 @query("results_or_placeholder")
 def results_or_placeholder(spark, sf_dir):
     """Strict-parse documents: most have no result and get the placeholder."""
@@ -536,8 +567,7 @@ def spearman_by_model(spark, sf_dir):
     return X.spearman(d, ["model_name"], "human_score", "similarity")
 
 
-@query("comparison_table")
-def comparison_table(spark, sf_dir):
+def _comparison(spark, sf_dir):
     sims = materialise(_pair_sims(spark, sf_dir).select(
         "model_name", "human_score", "similarity", "embedding_dimension"), "pair-similarity")
     corr = PE.correlations(sims)
@@ -549,6 +579,17 @@ def comparison_table(spark, sf_dir):
                         "spearman_correlation", "embedding_dimension", F.col("n").alias("n_pairs")))
 
 
+@query("comparison_table")
+def comparison_table(spark, sf_dir):
+    return _comparison(spark, sf_dir)
+
+
+@query("comparison_display")
+def comparison_display(spark, sf_dir):
+    """The comparison's six columns as text with their digits; native models load nothing and have no times."""
+    return PE.comparison_display(_comparison(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # streaming ingest: the documents table read as a stream, evaluated per batch
 

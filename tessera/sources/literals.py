@@ -94,3 +94,8 @@ PLACEHOLDER_MODEL_ID = "none"
 
 # a line that a document has when it is sent a second time (own text)
 LATER_LINE = "This closing line was added when the document was sent for the second time."
+
+# fixed values of the display: digits of scores and of times, least contrast of a chart
+SCORE_DIGITS = 4
+TIME_DIGITS = 2
+LEAST_SHOWN_CONTRAST = -1.0
