@@ -10,6 +10,7 @@ embedding step is row-local.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ class Options:
     given: list = field(default_factory=list)   # (name, GivenVectors or paragraph vector table) pairs
     observe: bool = False          # progress counters through df.observe
     timed: bool = False            # results with evaluation_time_seconds
+    report: Callable[[str, int], None] | None = None   # told (message, percent) as each step of results() begins
 
 
 @dataclass(frozen=True)
@@ -354,6 +356,10 @@ class DocumentEvaluation:
                                               F.sum("evaluation_time_seconds").alias("total_time_seconds"))
 
     # -- blend -----------------------------------------------------------
+    def _begin(self, message: str, progress: int) -> None:
+        if self.o.report is not None:
+            self.o.report(message, progress)
+
     def results(self) -> DataFrame:
         """One row per (model, document) with all metrics and their blend.
 
@@ -363,10 +369,15 @@ class DocumentEvaluation:
         def build():
             models = model_table(self.corpus.paragraphs.sparkSession, [
                 *self.o.models, *(E.PandasModel(name, "given", None) for name, _ in self.o.given)])
+            self._begin("Embedding paragraphs", 15)
             self.materialized_paragraph_vectors()   # shared by coherence and contrast
+            self._begin("Comparing neighbouring paragraphs", 35)
+            coherence = self.coherence()
+            self._begin("Comparing sections", 55)
+            contrast = self.contrast()
             searched = self.searched_models()
-            r = S.overall_score(self.coherence(), self.contrast(), self.search() if searched else None,
-                                searched=searched)
+            self._begin("Searching", 70)
+            r = S.overall_score(coherence, contrast, self.search() if searched else None, searched=searched)
             r = self._without_failed(r)
             if self.o.timed:
                 r = r.join(self.evaluation_times(), ["model_name", "doc"], "left")

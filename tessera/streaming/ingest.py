@@ -23,6 +23,8 @@ table, so that readers don't go through all epochs for ever.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,7 @@ from ..plans.corpora import strict_corpus_of
 from ..plans.evaluate import DocumentEvaluation, Options
 from ..session import materialise
 from ..sources import results_io as IO
+from .progress import Host, Steps, counted
 
 
 def text_file_stream(spark: SparkSession, folder: str, glob: str = "*.txt",
@@ -74,7 +77,8 @@ def evaluate_batch(batch: DataFrame, options: Options | None = None) -> DataFram
 
 
 def start(stream: DataFrame, out_dir: str, checkpoint: str, options: Options | None = None,
-          available_now: bool = True, processing_time: str | None = None):
+          available_now: bool = True, processing_time: str | None = None, host: Host | None = None,
+          name: str | None = None):
     """Start the evaluation query; returns the ``StreamingQuery``.
 
     An epoch's batch is written once and its results are computed once; the
@@ -82,6 +86,9 @@ def start(stream: DataFrame, out_dir: str, checkpoint: str, options: Options | N
     can't be planned, its documents get ``error`` rows and the stream goes on.
     A failed Spark job (lost executors, memory) fails the epoch instead: the
     query ends, and once restarted it runs the epoch again.
+
+    A ``host`` is told the steps of each epoch as they begin, which are written
+    too; ``progress.listen`` reports finished epochs with the stream's counters.
     """
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -94,18 +101,27 @@ def start(stream: DataFrame, out_dir: str, checkpoint: str, options: Options | N
              .write.mode("overwrite").parquet(f"{out_dir}/status/epoch={epoch_id}/phase={phase}"))
 
         report(IO.processing_status(docs), 0)
+        used = options
+        if host is not None:
+            step = Steps(spark, out_dir, epoch_id, host)
+            used = replace(options or Options(), report=step)
         try:
-            evaluate_batch(batch, options).write.mode("overwrite").parquet(results)
+            rows = evaluate_batch(batch, used)
+            if host is not None:
+                step("Blending and saving results", 80)
+            rows.write.mode("overwrite").parquet(results)
         except Exception as failure:  # noqa: BLE001 -- its message is the documents' status
             if isinstance(failure, (Py4JError, PySparkException)) and not isinstance(failure, AnalysisException):
                 raise
             report(IO.error_status(docs, f"{type(failure).__name__}: {str(failure)[:500]}"), 1)
             return
         report(IO.run_status(spark.read.parquet(results), docs), 1)
+        if host is not None:
+            step("Results saved", 100)
 
-    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = (stream if host is None else counted(stream)).writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
-    return w.start()
+    return (w.queryName(name) if name else w).start()
 
 
 def read_results(spark: SparkSession, out_dir: str) -> DataFrame:
