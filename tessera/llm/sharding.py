@@ -29,8 +29,8 @@ def shuffle_externally(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """``docs`` as ``bucket``, ``place`` (from 0 in the bucket) and ``record`` (struct of all columns).
 
     The table is written to the shared folder.  A bucket has about
-    ``bucket_bytes`` of records, whatever the input's size, and is the most
-    that a task holds.  The hash takes key and text, so that null or repeated
+    ``bucket_bytes`` of records, whatever the input's size; each is a partition
+    of its own, so that it is the most that a task holds.  The hash takes key and text, so that null or repeated
     keys spread; only rows that agree in both share a bucket.  The same rows
     in any order give the same result, since buckets are sorted before they
     are shuffled.
@@ -40,8 +40,8 @@ def shuffle_externally(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pick = F.xxhash64(F.lit(seed), F.col(f"record.{key}"), F.col(f"record.{text}"))
     scattered = (docs.select(F.struct("*").alias("record"))
                  .select(pick.alias("pick"), "record")
-                 .withColumn("bucket", F.pmod("pick", F.lit(buckets)))
-                 .repartition(buckets, "bucket")
+                 .withColumn("bucket", F.pmod("pick", F.lit(buckets)).cast("int"))
+                 .repartitionById(buckets, "bucket")   # a partition a bucket, none shares one
                  .sortWithinPartitions("bucket", "pick", f"record.{key}"))
     shuffled = (scattered.groupBy("bucket").agg(F.shuffle(F.collect_list("record"), seed).alias("records"))
                 .select("bucket", F.posexplode("records").alias("place", "record")))
@@ -78,8 +78,8 @@ def shard_documents(docs: DataFrame, shards: int, seed: int = 7, bucket_bytes: i
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in the order of their slots."""
-    (sharded.repartition("shard").sortWithinPartitions("shard", "slot")
+    """One folder for each shard; its files hold ranges of slots, rows in their order, and are written by many tasks."""
+    (sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
      .select("shard", "slot", "record").write.partitionBy("shard").parquet(path))
 
 

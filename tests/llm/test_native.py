@@ -113,3 +113,37 @@ def test_rows_that_share_a_place_in_a_file_are_rows_of_their_own(spark):
     assert jaccard.one_of_each(tables[0], words=5, percent=80).count() == near < kept
     score = lambda d: round(sum(r.base_score for r in lm_score.language_model_report(d).collect()), 3)
     assert score(tables[2]) == score(written)
+
+
+def test_no_task_holds_two_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tessera.llm import sharding as S
+    from tessera.session import materialise
+    plans = []
+    monkeypatch.setattr(S, "materialise", lambda df, name: plans.append(df) or materialise(df, name))
+    docs = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 50).alias("text"))
+    buckets = S.shuffle_externally(docs, bucket_bytes=1 << 14)
+    assert buckets.count() == 4000
+    placed = plans[0].select(F.spark_partition_id().alias("task"), "bucket").distinct().collect()
+    assert len(placed) > 40 and len({r.task for r in placed}) == len(placed)
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_a_shard_is_written_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tessera.llm import sharding as S
+    docs = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 50).alias("text"))
+    sharded = S.shard_documents(docs, 2, bucket_bytes=1 << 14)
+    path = str(tmp_path / "shards")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")   # small tables would be put together
+    try:
+        S.write_shards(sharded, path)
+    finally:
+        spark.conf.set(coalesce, before)
+    rows = spark.read.parquet(path).select("shard", "slot", "record.doc_id", F.col("_metadata.file_name").alias("file"))
+    ranges = rows.groupBy("shard", "file").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.b - r.a + 1 == r.n for r in ranges) and len(ranges) > 4
+    want = {(r.shard, r.slot, r.doc_id) for r in sharded.select("shard", "slot", "record.doc_id").collect()}
+    assert {(r.shard, r.slot, r.doc_id) for r in rows.collect()} == want and len(want) == 3000
