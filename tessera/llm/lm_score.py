@@ -13,7 +13,6 @@ keys for each chunk of texts and range.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -28,9 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.compression import remainder
 from tessera.llm.dedup import settings, stored
-from tessera.llm.jaccard import MULTIPLIER, mixed
 from tessera.llm.packing import portions
-from tessera.llm.tokencount import Recent
+from tessera.llm.words import MULTIPLIER, bytes_of, mixed, words_of
 from tessera.session import materialise
 
 #: A text's end, counted as a token; white space, so that no word is the same.
@@ -55,16 +53,20 @@ OPEN = np.uint64(1 << 63)
 OPEN_HELD = 1 << 18
 
 
-@functools.cache
-def word_hashes() -> Recent:
-    """Hashes of words, for a Python worker; small, since a worker holds the filter too."""
-    return Recent(xxhash.xxh3_64_intdigest, 100_000, 40)
+def column_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a column's texts, A-Z in lower case, with an end after each text, and where each text starts."""
+    words, sizes = words_of(*bytes_of(column))
+    first = np.cumsum(sizes + 1) - sizes - 1
+    tokens = np.full(len(words) + len(sizes), END, dtype=np.uint64)
+    of_words = np.ones(len(tokens), dtype=bool)
+    of_words[first + sizes] = False
+    tokens[of_words] = words
+    return tokens, first
 
 
 def tokens_of(text: str | None) -> np.ndarray:
-    """Hashes of a text's words, A-Z in lower case, and of its end; a null text is empty."""
-    words = (text or "").encode().lower().split()
-    return np.fromiter((*map(word_hashes().__getitem__, words), END), dtype=np.uint64, count=len(words) + 1)
+    """Hashes of a text's words and of its end; a null text is empty."""
+    return column_tokens(pa.array([text or ""]))[0]
 
 
 def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -118,8 +120,7 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     for batch in batches:
         column = batch.column(0).fill_null("")
         for low, high in portions(pc.binary_length(column).to_pylist(), PORTION):
-            own = [tokens_of(t) for t in column.slice(low, high - low).to_pylist()]
-            yield np.concatenate(own), np.cumsum([0] + [len(t) for t in own[:-1]])
+            yield column_tokens(column.slice(low, high - low))
 
 
 def count_pairs(texts: DataFrame, range_bits: int, least: int) -> DataFrame:
@@ -314,6 +315,7 @@ def build_filter(words: DataFrame, pairs: DataFrame, range_bits: int,
 class LanguageModel:
     """The filter, the number of training tokens and of distinct ones, and the weight of what a word was seen after.
 
+    The weight is None until :func:`fit_and_score` has chosen it.
     ``frequent`` and ``counts`` are the exact counts of the commonest words, at
     most ``FREQUENT`` of them.  ``least`` are the least steps of words and of
     pairs in the filter; ``entries`` has the steps of all, if the filter has not.
@@ -322,7 +324,7 @@ class LanguageModel:
     filter: FrequencyFilter
     tokens: int
     distinct: int
-    weight: float
+    weight: float | None
     frequent: np.ndarray
     counts: np.ndarray
     least: tuple[int, int]
@@ -358,8 +360,8 @@ class LanguageModel:
         # the filter has nothing under the least step: a lower answer is a chance hit
         return np.where(steps < least, keys | OPEN, steps) if self.partial else steps
 
-    def log10(self, steps: np.ndarray, weights: tuple[float, ...] = (), less: int = 0) -> list[np.ndarray]:
-        """log10 of each token's probability after the one before it, for each weight.
+    def log10(self, steps: np.ndarray, weights: tuple[float, ...], less: int = 0) -> Iterator[np.ndarray]:
+        """log10 of each token's probability after the one before it, for one weight after another.
 
         ``steps`` are those of the words, of the words before and of the pairs.
         A pair's share of the word before it and the word's own share are
@@ -369,16 +371,26 @@ class LanguageModel:
         scales = (MIDDLES, MIDDLES, middles(thresholds(self.least_pair, PAIR_STEP)))
         word, before, pair = (np.maximum(scale[s] - less, 0) for scale, s in zip(scales, steps))
         alone = (word + ADDED) / self.total
-        share = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1)
-        return [np.log10(w * share + (1 - w) * alone)
-                for w in (before / (before + weight) for weight in weights or (self.weight,))]
+        share = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1) - alone
+        for weight in weights:
+            yield np.log10(before / (before + weight) * share + alone)
+
+    def sums(self, steps: np.ndarray, heads: np.ndarray, weights: tuple[float, ...], training: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray]:
+        """For each weight, the sums of the texts that begin at ``heads``, and the sum of ``training`` tokens less their own count."""
+        texts = np.zeros((len(weights), len(heads)))
+        for out, logs in zip(texts, self.log10(steps, weights)):
+            held = np.concatenate([[0.0], np.cumsum(logs)])
+            out[:] = np.diff(held[np.append(heads, len(logs))])
+        fit = [x.sum() for x in self.log10(steps[:, training], weights, 1)] if len(weights) > 1 else [0.0]
+        return texts, np.array(fit)
 
 
 class OpenTokens:
     """Tokens that the filter doesn't settle, held until they make a chunk.
 
     A chunk is a packed row of distinct keys for each range, and a row (range
-    -1) of its texts (f, r, number of tokens) and of the tokens' steps, where
+    -1) of its texts (f, r, number of tokens, whether counted) and of the tokens' steps, where
     256 and more stand for the chunk's keys in their order.
     """
 
@@ -387,13 +399,14 @@ class OpenTokens:
         self.texts: list[np.ndarray] = []
         self.references: list[np.ndarray] = []
 
-    def add(self, f: np.ndarray, r: np.ndarray, first: np.ndarray, references: np.ndarray) -> np.ndarray:
+    def add(self, f: np.ndarray, r: np.ndarray, training: np.ndarray, first: np.ndarray,
+            references: np.ndarray) -> np.ndarray:
         """Holds what is open; gives back which tokens are settled."""
         settled = (references < OPEN).all(axis=0)
         at = np.flatnonzero(~settled)
         if len(at):
             n = np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(first))
-            self.texts.append(np.stack([f, r, n])[:, n > 0])
+            self.texts.append(np.stack([f, r, n, training])[:, n > 0])
             self.references.append(references[:, at])
         return settled
 
@@ -426,8 +439,8 @@ def _filled(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
                                       schema=schema)
 
 
-def look_up(chunks: DataFrame, model: LanguageModel, weights: tuple[float, ...] = (), less: int = 0) -> DataFrame:
-    """``f, r, weight, more``: what the open tokens add to each text, by the number of the weight.
+def look_up(chunks: DataFrame, model: LanguageModel, weights: tuple[float, ...]) -> DataFrame:
+    """``f, r, more, fit``: what the open tokens add to each text for each weight, and to a chunk's fit (``f`` is null).
 
     The distinct keys of each chunk meet the entries range by range; the steps
     found go back to their chunk, a byte for each key.
@@ -453,33 +466,31 @@ def look_up(chunks: DataFrame, model: LanguageModel, weights: tuple[float, ...]
         answers = answers.sort_by("range")
         steps = np.concatenate([np.arange(256, dtype=np.uint8),
                                 np.frombuffer(b"".join(answers.column("steps").to_pylist()), dtype=np.uint8)])
-        f, r, n = np.frombuffer(tokens.column("texts")[0].as_py(), dtype="<i8").reshape(3, -1)
+        f, r, n, training = np.frombuffer(tokens.column("texts")[0].as_py(), dtype="<i8").reshape(4, -1)
         data = zstandard.ZstdDecompressor().decompress(tokens.column("keys")[0].as_py())
-        logs = plain.log10(steps[np.frombuffer(data, dtype="<u4").reshape(3, -1)], weights, less)
-        return pa.table({"f": np.tile(f, len(logs)), "r": np.tile(r, len(logs)),
-                         "weight": pa.array(np.repeat(np.arange(len(logs)), len(f)), pa.int32()),
-                         "more": np.concatenate([np.add.reduceat(x, np.cumsum(n) - n) for x in logs])})
+        of_texts, fit = plain.sums(steps[np.frombuffer(data, dtype="<u4").reshape(3, -1)], np.cumsum(n) - n, weights,
+                                   np.repeat(training > 0, n))
+        return pa.table({"f": pa.array([*f.tolist(), None], pa.int64()), "r": pa.array([*r.tolist(), None], pa.int64()),
+                         "more": pa.array([*of_texts.T.tolist(), None], pa.list_(pa.float64())),
+                         "fit": pa.array([None] * len(f) + [fit.tolist()], pa.list_(pa.float64()))})
 
     probes = chunks.where(F.col("range") >= 0).select("chunk", "range", "keys")
     answers = (probes.groupBy("range").cogroup(model.entries.groupBy("range"))
                .applyInArrow(answer, "chunk long, range int, steps binary"))
     tokens = chunks.where(F.col("range") == -1).select("chunk", "keys", "texts")
     return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        finish, "f long, r long, weight int, more double")
+        finish, "f long, r long, more array<double>, fit array<double>")
 
 
 FREQUENT = 1 << 18
 
 
-def learn_language_model(texts: DataFrame, filter_bytes: int = 48 << 20, least_pair: int = 2,
-                         fitting_docs: int = 1000) -> tuple[LanguageModel, DataFrame]:
-    """The model of ``texts`` (doc_id, text), and the exact counts of all their words (token, c).
+def learn_language_model(texts: DataFrame, filter_bytes: int = 48 << 20,
+                         least_pair: int = 2) -> tuple[LanguageModel, DataFrame]:
+    """The model of ``texts`` (text) without its weight, and the exact counts of all their words (token, c).
 
-    Pairs seen fewer than ``least_pair`` times are left to their words.  The
-    weight is the one of ``WEIGHTS`` that suits ``fitting_docs`` of the texts
-    best, with their own counts taken off; these come first by a hash.
+    Pairs seen fewer than ``least_pair`` times are left to their words.
     """
-    spark = texts.sparkSession
     size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
     range_bits = min(24, max(KEY_BITS - 8 * STORED, math.ceil(math.log2(max(size, 1) / (16 << 20)))))
     words = count_words(texts)
@@ -498,100 +509,99 @@ def learn_language_model(texts: DataFrame, filter_bytes: int = 48 << 20, least_p
     frequent = common.column("token").to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     own, lowest, entries = build_filter(words, pairs, range_bits, filter_bytes)
-    model = LanguageModel(own, total["n"] or 0, total["v"], WEIGHTS[0], frequent[order],
-                          common.column("c").to_numpy()[order], lowest, entries, least_pair)
-    sent = spark.sparkContext.broadcast(replace(model, entries=None))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(WEIGHTS))
-        held = OpenTokens(range_bits)
-        texts_before = 0
-        for tokens, first in _portions(batches):
-            references = sent.value.references(tokens, first)
-            number = np.arange(texts_before, texts_before + len(first))
-            texts_before += len(first)
-            settled = held.add(np.zeros_like(number), number, first, references)
-            sums += [x.sum() for x in sent.value.log10(references[:, settled], WEIGHTS, 1)]
-            if held.full():
-                yield _filled(held.chunk(), FITTED_SCHEMA)
-        if held.texts:
-            yield _filled(held.chunk(), FITTED_SCHEMA)
-        yield _filled({"weight": pa.array(range(len(WEIGHTS)), pa.int32()), "fit": pa.array(sums)}, FITTED_SCHEMA)
-
-    picked = texts.orderBy(F.xxhash64("doc_id", "text", F.lit(3)), "doc_id").limit(fitting_docs).select("text")
-    fitted = picked.mapInArrow(fit, f"weight int, fit double, {OPEN_COLUMNS}")
-    if model.partial:
-        fitted = materialise(fitted, "lm-fit")
-        fitted = fitted.where("chunk is null").select("weight", "fit").unionByName(
-            look_up(fitted, model, WEIGHTS, 1).select("weight", F.col("more").alias("fit")))
-    fits = fitted.groupBy("weight").agg(F.sum("fit").alias("fit")).collect()
-    best = max(fits, key=lambda r: (r["fit"], -r["weight"]))["weight"] if fits else 0
-    return replace(model, weight=WEIGHTS[best]), words
+    return LanguageModel(own, total["n"] or 0, total["v"], None, frequent[order], common.column("c").to_numpy()[order],
+                         lowest, entries, least_pair), words
 
 
-FITTED_SCHEMA = pa.schema([("weight", pa.int32()), ("fit", pa.float64()), *OPEN_SCHEMA])
-SCORED = ("f long, r long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-          f"rare array<long>, times array<long>, {OPEN_COLUMNS}")
+SCORED = ("f long, r long, doc_id long, held_out boolean, n_tokens long, known long, base double, scores array<double>, "
+          f"rare array<long>, times array<long>, fit array<double>, {OPEN_COLUMNS}")
 SCORED_SCHEMA = pa.schema([
     ("f", pa.int64()), ("r", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-    ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())),
-    ("times", pa.list_(pa.int64())), *OPEN_SCHEMA])
+    ("known", pa.int64()), ("base", pa.float64()), ("scores", pa.list_(pa.float64())), ("rare", pa.list_(pa.int64())),
+    ("times", pa.list_(pa.int64())), ("fit", pa.list_(pa.float64())), *OPEN_SCHEMA])
 
 
 def score_texts(docs: DataFrame, model: LanguageModel, words: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, base_score, score`` of each row (doc_id, held_out, text).
+    """:func:`fit_and_score` with the weight that the model has."""
+    return fit_and_score(docs, model, words, (model.weight,))[1]
 
-    ``docs`` is a :func:`stored` table.  Counts of common words are sent along;
-    the others are joined by word, so that the base score is exact whatever
-    the number of words.  What the filter has no room for is looked up.  Null texts are empty and have the end alone; every
-    row is scored, repeated rows too.
+
+def fit_and_score(docs: DataFrame, model: LanguageModel, words: DataFrame,
+                  weights: tuple[float, ...] = WEIGHTS) -> tuple[LanguageModel, DataFrame]:
+    """The model with the best of ``weights``; ``doc_id, held_out, n_tokens, n_known, base_score, score`` of each row.
+
+    ``docs`` (doc_id, held_out, text) is a :func:`stored` table.  Its rows that
+    are not held out are the texts that were counted: the weight is the one that
+    suits all of them best with their own counts taken off.  A task sums up the
+    fits of its texts, and scores go on for all weights until one is chosen, so
+    that every text is read once.
+
+    Counts of common words are sent along; the others are joined by word, so
+    that the base score is exact whatever the number of words.  What the filter
+    has no room for is looked up.  Null texts are empty and have the end alone;
+    a null ``held_out`` counts as true; every row is scored, repeated rows too.
     """
     sent = docs.sparkSession.sparkContext.broadcast(replace(model, entries=None))
     range_bits = model.filter.range_bits
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = OpenTokens(range_bits)
+        held, fit = OpenTokens(range_bits), np.zeros(len(weights))
         for batch in batches:
             texts = batch.column(4).fill_null("")
             for low, high in portions(pc.binary_length(texts).to_pylist(), PORTION):
-                yield _scored(batch.slice(low, high - low), sent.value, held)
+                rows, more = _scored(batch.slice(low, high - low), sent.value, held, weights)
+                fit += more
+                yield rows
                 if held.full():
                     yield _filled(held.chunk(), SCORED_SCHEMA)
         if held.texts:
             yield _filled(held.chunk(), SCORED_SCHEMA)
+        yield _filled({"fit": pa.array([fit.tolist()], pa.list_(pa.float64()))}, SCORED_SCHEMA)
 
     rows = (docs.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"),
                         F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text"))
     with settings(docs.sparkSession, BATCHES):
         table = materialise(rows.mapInArrow(score, SCORED), "lm-scores")
-    scored = table.where("chunk is null").drop(*OPEN_SCHEMA.names)
+    fits = table.where("fit is not null").select("fit")
+    scored = table.where("chunk is null and fit is null").drop("fit", *OPEN_SCHEMA.names)
+    found = None
+    if model.partial:
+        chunks = table.where("chunk is not null").select(*OPEN_SCHEMA.names)
+        found = materialise(look_up(chunks, model, weights), "lm-looked-up")
+        fits = fits.unionByName(found.where("fit is not null").select("fit"))
+    best = 0
+    if len(weights) > 1:
+        sums = fits.select(F.posexplode("fit").alias("weight", "fit")).groupBy("weight").agg(F.sum("fit").alias("fit"))
+        best = max(sums.collect(), key=lambda r: (r["fit"], -r["weight"]))["weight"] if not fits.isEmpty() else 0
+    scored = scored.withColumn("score", F.col("scores")[best]).drop("scores")
+    if found is not None:
+        own = found.where("f is not null").select("f", "r", F.col("more")[best].alias("found"))
+        # a very long text may be in several chunks
+        scored = (scored.join(own.groupBy("f", "r").agg(F.sum("found").alias("found")), ["f", "r"], "left")
+                  .withColumn("score", F.col("score") + F.coalesce("found", F.lit(0.0))).drop("found"))
     rare = scored.select("f", "r", F.explode(F.arrays_zip("rare", "times")).alias("t")).select(
         "f", "r", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = (rare.join(words, "token", "left").groupBy("f", "r")
             .agg(F.sum(F.col("times") * F.log10((c + ADDED) / model.total)).alias("more"),
                  F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known")))
-    if model.partial:
-        scored = (scored.join(look_up(table.select(*OPEN_SCHEMA.names), model), ["f", "r"], "left")
-                  .withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("weight", "more"))
-    return scored.join(rest, ["f", "r"], "left").select(
+    return replace(model, weight=weights[best]), scored.join(rest, ["f", "r"], "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _scored(batch: pa.RecordBatch, model: LanguageModel, held: OpenTokens) -> pa.RecordBatch:
-    own = [tokens_of(t) for t in batch.column(4).to_pylist()]
-    sizes = np.array([len(t) for t in own])
-    first = np.cumsum(sizes) - sizes
-    tokens = np.concatenate(own)
+def _scored(batch: pa.RecordBatch, model: LanguageModel, held: OpenTokens,
+            weights: tuple[float, ...]) -> tuple[pa.RecordBatch, np.ndarray]:
+    tokens, first = column_tokens(batch.column(4).fill_null(""))
+    sizes = np.diff(np.append(first, len(tokens)))
+    training = ~batch.column(3).fill_null(True).to_numpy(zero_copy_only=False)
     distinct = np.unique(tokens, return_inverse=True)
     references = model.references(tokens, first, distinct)
-    settled = held.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), first, references)
-    logs = np.zeros(len(tokens))
-    logs[settled] = model.log10(references[:, settled])[0]
-    score = np.add.reduceat(logs, first)
+    settled = held.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), training, first, references)
+    heads = np.concatenate([[0], np.cumsum(settled)])[first]
+    scores, fit = model.sums(references[:, settled], heads, weights, np.repeat(training, sizes)[settled])
     counts = np.zeros(len(tokens))
     if len(model.frequent):
         at = np.minimum(np.searchsorted(model.frequent, distinct[0]), len(model.frequent) - 1)
@@ -599,22 +609,23 @@ def _scored(batch: pa.RecordBatch, model: LanguageModel, held: OpenTokens) -> pa
     common = counts > 0
     base = np.add.reduceat(np.where(common, np.log10((counts + ADDED) / model.total), 0), first)
     rare = np.flatnonzero(~common)
-    document = np.repeat(np.arange(len(own)), sizes)[rare]
+    document = np.repeat(np.arange(len(sizes)), sizes)[rare]
     order = np.lexsort((tokens[rare], document))
     document, word = document[order], tokens[rare][order]
     heads = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (document[1:] != document[:-1])])) \
         if len(word) else np.empty(0, dtype=np.int64)
-    offsets = pa.array(np.searchsorted(document[heads], np.arange(len(own) + 1)), pa.int32())
+    offsets = pa.array(np.searchsorted(document[heads], np.arange(len(sizes) + 1)), pa.int32())
     times = np.diff(np.append(heads, len(word)))
     columns = [*(batch.column(i) for i in range(4)), pa.array(sizes, pa.int64()),
-               pa.array(np.add.reduceat(common.astype(np.int64), first)), pa.array(base), pa.array(score),
+               pa.array(np.add.reduceat(common.astype(np.int64), first)), pa.array(base),
+               pa.array(scores.T.tolist(), pa.list_(pa.float64())),
                pa.ListArray.from_arrays(offsets, pa.array(word[heads].view(np.int64))),
                pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
-    return _filled(dict(zip(SCORED_SCHEMA.names, columns)), SCORED_SCHEMA)
+    return _filled(dict(zip(SCORED_SCHEMA.names, columns)), SCORED_SCHEMA), fit
 
 
 def language_model_report(docs: DataFrame) -> DataFrame:
     """The query: learn from rows whose crc32(doc_id) mod 10 is not 0, score all."""
     marked = stored(docs).withColumn("held_out", remainder("doc_id", 10) == 0)
-    model, words = learn_language_model(marked.where(~F.col("held_out")).select("doc_id", "text"))
-    return score_texts(marked, model, words)
+    model, words = learn_language_model(marked.where(~F.col("held_out")).select("text"))
+    return fit_and_score(marked, model, words)[1]

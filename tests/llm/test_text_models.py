@@ -167,8 +167,12 @@ def test_what_the_filter_has_no_room_for_is_looked_up(spark, awkward, monkeypatc
         train = docs.where("not held_out").select("doc_id", "text")
         model, words = lm_score.learn_language_model(train, filter_bytes=64)
         whole, _ = lm_score.learn_language_model(train)
-        assert model.partial and not whole.partial and model.weight == whole.weight
-        got = lm_score.score_texts(docs, model, words).collect()
+        assert model.partial and not whole.partial
+        model, rows = lm_score.fit_and_score(docs, model, words)
+        assert model.weight == lm_score.fit_and_score(docs, whole, words)[0].weight
+        got = rows.collect()
+        again = lm_score.score_texts(docs, model, words).collect()
+        np.testing.assert_allclose(sorted(r.score for r in again), sorted(r.score for r in got))
         one, two = Counter(), Counter()
         for r in train.collect():
             own = lm_score.tokens_of(r.text)
@@ -182,6 +186,17 @@ def test_what_the_filter_has_no_room_for_is_looked_up(spark, awkward, monkeypatc
             low = 2 ** int(math.log2(n)) if n > 1 else 0
             return math.sqrt(low * (2 * low - 1)) if low else 0
 
+        fits = dict.fromkeys(lm_score.WEIGHTS, 0.0)     # of every training text, less its own count
+        for r in train.collect():
+            own = lm_score.tokens_of(r.text)
+            keys, last = lm_score.pair_keys(lm_score.previous(own, np.array([0])), own).tolist(), lm_score.END
+            for token, key in zip(own.tolist(), keys):
+                before, pair, word = (max(n - 1, 0) for n in (middle(one[last]), middle_of_pair(two[key]), middle(one[token])))
+                for weight in fits:
+                    w = before / (before + weight)
+                    fits[weight] += math.log10(w * min(pair / before if before else 0, 1) + (1 - w) * (word + 0.1) / model.total)
+                last = token
+        assert model.weight == max(fits, key=fits.get)
         want = []
         for r in docs.collect():
             own = lm_score.tokens_of(r.text)
@@ -248,3 +263,21 @@ def test_languages_and_quality_equal_plain_loops(spark, awkward):
         x = (bad - good) / len(data) if data else 0.0
         score = 1 / (1 + math.exp(-(x * model.slope + model.intercept)))
         assert abs(got[r.doc_id][0] - score) < 1e-9 and got[r.doc_id][1] == (score >= 0.3)
+
+
+def test_hashes_of_words_agree_with_plain_words():
+    import random
+
+    import pyarrow as pa
+    from tessera.llm.words import bytes_of, words_of
+    rnd = random.Random(4)
+    texts = ["", " ", "a", "A a", "x" * 256, "x" * 257 + " " + "X" * 257, "é\u00a0É\u2003b", "\t\n\x0b\x0c\r", "end", "of", ""]
+    texts += ["".join(rnd.choice("aB \n\té\x1c") * rnd.randrange(1, 12) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()).slice(3, 200), pa.array([], pa.string()), pa.array([""])):
+        hashes, sizes = words_of(*bytes_of(column))
+        plain = [t.encode().lower().split() for t in column.to_pylist()]
+        assert sizes.tolist() == [len(p) for p in plain]
+        seen = {}
+        for word, h in zip((w for p in plain for w in p), hashes.tolist(), strict=True):
+            assert seen.setdefault(word, h) == h
+        assert len(set(seen.values())) == len(seen)
