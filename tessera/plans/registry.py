@@ -604,7 +604,8 @@ def _stream_documents(spark, sf_dir) -> str:
     if key not in _INGESTED:
         schema = read_table(spark, sf_dir, "documents").select("doc_id", "text").schema
         out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-        ST.start(ST.table_stream(spark, sf_dir, schema, "documents.parquet"), out, ckpt).awaitTermination()
+        table = f"{sf_dir}/documents.[p]arquet"  # a pattern: a stream takes the file as well as a folder of files by it
+        ST.start(ST.table_stream(spark, table, schema, "*"), out, ckpt).awaitTermination()
         _INGESTED[key] = out
     return _INGESTED[key]
 

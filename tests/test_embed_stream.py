@@ -172,3 +172,22 @@ def test_a_document_sent_twice_has_its_last_result(spark):
     assert {r.document_name: r.status for r in ST.current_status(later, out).collect()} == {
         "1": "completed", "2": "completed", "3": "error"}
     assert ST.last_run(later, out).first().last_document == "3"
+
+
+def test_the_ingest_reads_a_table_of_many_files(spark, tmp_path):
+    """``documents.parquet`` as a folder of parts, as larger tables are, and as one file."""
+    from pyspark.sql import functions as F
+    from tessera.plans.registry import registry
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 30")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    one = str(tmp_path / "one")
+    docs.coalesce(1).write.parquet(one + "-part")
+    os.makedirs(one)
+    (part,) = [n for n in os.listdir(one + "-part") if n.endswith(".parquet")]
+    os.link(f"{one}-part/{part}", f"{one}/documents.parquet")
+    want = {str(r.doc_id) for r in docs.collect()}
+    for folder in (str(tmp_path / "many"), one):
+        history = registry()["status_history"](spark, folder)
+        assert {r.document_name for r in history.where(F.col("phase") == 1).collect()} == want
+        assert registry()["latest_run"](spark, folder).first().last_document == max(want)
+        assert registry()["stream_ingest"](spark, folder).columns == ["doc", "model_name", "avg_coherence", "overall_score"]
