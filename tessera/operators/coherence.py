@@ -7,12 +7,13 @@ on ``(model, doc, major, minor)`` -- one shuffle, balanced by Spark's sampling
 whatever the order keys are -- and one sorted pass compares neighbours.  It
 also gives each range's first and last vector, a row each, with which the
 pairs across range borders are completed.  Coherence crosses section
-boundaries, like the evaluated toolkit.
+boundaries, like the evaluated toolkit.  Units of native models are dealt out as
+texts, a tenth of their vectors, and embedded in that pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,63 +49,87 @@ def _similarities(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def _neighbours(keys: list[str]):
-    """Sorted rows of a range -> a row for each neighbouring pair, and the range's first and last row."""
+class _Pass:
+    """Sorted rows of a range, batch by batch -> a row for each neighbouring pair, and the range's first and last row."""
+
+    def __init__(self, keys: list[str], number: int):
+        self.keys, self.number, self.before = keys, number, None
+
+    def _rows(self, batch: pa.RecordBatch, kind: int, previous: pa.RecordBatch | None, similarity) -> pa.RecordBatch:
+        n = batch.num_rows
+        nothing = pa.nulls(n, pa.int64())
+        whole = kind != PAIR
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(k) for k in self.keys), pa.array([self.number] * n, pa.int32()), pa.array([kind] * n, pa.int32()),
+             batch.column("major"), batch.column("minor"),
+             previous.column("major") if previous is not None else nothing,
+             previous.column("minor") if previous is not None else nothing,
+             pa.array(similarity, pa.float64(), from_pandas=True) if similarity is not None
+             else pa.nulls(n, pa.float64()),
+             batch.column("vec") if whole else pa.nulls(n, batch.schema.field("vec").type),
+             batch.column("norm_sq") if whole else pa.nulls(n, pa.float64())],
+            names=[*self.keys, "range", "kind", "major", "minor", "prev_major", "prev_minor", "similarity", "vec", "norm_sq"])
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.before is None:
+            yield self._rows(batch.slice(0, 1), FIRST, None, None)
+            joined = batch
+        else:
+            joined = pa.Table.from_batches([self.before, batch]).combine_chunks().to_batches()[0]
+        last = batch.slice(batch.num_rows - 1)
+        self.before = last.take(pa.array([0]))   # a copy, so that the batch can go
+        same = np.ones(joined.num_rows - 1, dtype=bool)
+        for k in self.keys:
+            values = joined.column(k).to_numpy(zero_copy_only=False)
+            same &= values[1:] == values[:-1]
+        own = np.flatnonzero(same)
+        if len(own):
+            yield self._rows(joined.take(pa.array(own + 1)), PAIR, joined.take(pa.array(own)), _similarities(joined)[own + 1])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.before is not None:
+            yield self._rows(self.before, LAST, None, None)
+
+
+def _neighbours(keys: list[str], embedding: Callable | None = None):
+    """:class:`_Pass` over sorted vectors; with an ``embedding`` over sorted units, a pass for each of its models."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        before = None
-
-        def rows(batch: pa.RecordBatch, kind: int, previous: pa.RecordBatch | None, similarity) -> pa.RecordBatch:
-            n = batch.num_rows
-            nothing = pa.nulls(n, pa.int64())
-            whole = kind != PAIR
-            return pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keys), pa.array([number] * n, pa.int32()), pa.array([kind] * n, pa.int32()),
-                 batch.column("major"), batch.column("minor"),
-                 previous.column("major") if previous is not None else nothing,
-                 previous.column("minor") if previous is not None else nothing,
-                 pa.array(similarity, pa.float64(), from_pandas=True) if similarity is not None
-                 else pa.nulls(n, pa.float64()),
-                 batch.column("vec") if whole else pa.nulls(n, batch.schema.field("vec").type),
-                 batch.column("norm_sq") if whole else pa.nulls(n, pa.float64())],
-                names=[*keys, "range", "kind", "major", "minor", "prev_major", "prev_minor", "similarity", "vec", "norm_sq"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if before is None:
-                yield rows(batch.slice(0, 1), FIRST, None, None)
-                joined = batch
-            else:
-                joined = pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
-            before = batch.slice(batch.num_rows - 1)
-            same = np.ones(joined.num_rows - 1, dtype=bool)
-            for k in keys:
-                values = joined.column(k).to_numpy(zero_copy_only=False)
-                same &= values[1:] == values[:-1]
-            own = np.flatnonzero(same)
-            if len(own):
-                yield rows(joined.take(own + 1), PAIR, joined.take(own), _similarities(joined)[own + 1])
-        if before is not None:
-            yield rows(before, LAST, None, None)
+        passes: dict[str | None, _Pass] = {}
+        columns = [*keys, "major", "minor", "vec", "norm_sq"]
+        for batch in embedding(batches) if embedding else batches:
+            if batch.num_rows:
+                model = batch.column("model_name")[0].as_py() if embedding else None
+                yield from passes.setdefault(model, _Pass(keys, number)).feed(batch.select(columns))
+        for one in passes.values():
+            yield from one.end()
     return run
 
 
 def adjacent_similarity(vecs: DataFrame, keys: tuple[str, ...] = ("model_name", "doc"),
-                        ranges: int | None = None) -> DataFrame:
+                        ranges: int | None = None, native: Callable | None = None) -> DataFrame:
     """Rows ``keys, major, minor, prev_major, prev_minor, similarity`` for every
     unit that has a predecessor.  ``similarity`` is NULL for a zero vector.
 
     ``ranges`` defaults to ``spark.sql.shuffle.partitions``.  The result of the
     pass, without the vectors, is written and read back.
+
+    With ``native`` (``embed.native_pass`` of some models) ``vecs`` are units with
+    their ``text``: these are dealt out and sorted, and become vectors in the pass itself.
     """
     keys = list(keys)
     spark = vecs.sparkSession
     order = [*keys, "major", "minor"]
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vecs.select(*keys).schema.fields)
-    found = materialise(vecs.select(*order, "vec", "norm_sq").repartitionByRange(n, *order).sortWithinPartitions(*order)
-                        .mapInArrow(_neighbours(keys), f"{typed}, {NEIGHBOURS}"), "adjacent")
+    if native is None:
+        typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vecs.select(*keys).schema.fields)
+        dealt, embedding = vecs.select(*order, "vec", "norm_sq").repartitionByRange(n, *order).sortWithinPartitions(*order), None
+    else:
+        own = [c for c in order if c != "model_name"]
+        typed = ", ".join("model_name string" if k == "model_name" else f"`{k}` {vecs.schema[k].dataType.simpleString()}"
+                          for k in keys)
+        dealt, embedding = native(vecs.select(*own, "text").repartitionByRange(n, *own).sortWithinPartitions(*own))
+    found = materialise(dealt.mapInArrow(_neighbours(keys, embedding), f"{typed}, {NEIGHBOURS}"), "adjacent")
     # across borders: the last row of the nearest range before that ends in the same document
     earlier = Window.partitionBy(*keys).orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
     last = F.when(F.col("kind") == LAST, F.struct("major", "minor", "vec", "norm_sq"))

@@ -71,39 +71,59 @@ def _batch_hashes(tokens: pa.Array) -> np.ndarray:
     return np.asarray(uniq, dtype=np.int64)[enc.indices.to_numpy(zero_copy_only=False)]
 
 
+#: Vector components that one step of the embedding makes: its arrays are some MB, whatever the Arrow batch.
+STEP_COMPONENTS = 1 << 19
+
+
 def _bincount(batches, keep: list[str], models: list[tuple[str, int]], timed: bool = False):
     """Arrow batches with ``tokens`` (list<string>) -> one dense count vector
     per (row, model): bucket = md5 hash % dim, counted with ``np.bincount``.
-    ``timed``: and the row's share of the time that its batch took, the hashes' being shared by the models."""
-    for rb in batches:
-        n = rb.num_rows
+    ``timed``: and the row's share of the time that its step took, the hashes' being shared by the models."""
+    step = max(1, STEP_COMPONENTS // max((dim for _, dim in models), default=1))
+    for whole in batches:
+        for start in range(0, whole.num_rows, step):
+            yield from _bincount_step(whole.slice(start, step), keep, models, timed)
+
+
+def _bincount_step(rb, keep: list[str], models: list[tuple[str, int]], timed: bool):
+    n = rb.num_rows
+    began = time.perf_counter()
+    lists = rb.column("tokens")
+    lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = _batch_hashes(lists.flatten())
+    rows = np.repeat(np.arange(n), lens)
+    hashing = (time.perf_counter() - began) / max(len(models), 1)
+    for name, dim in models:
         began = time.perf_counter()
-        lists = rb.column("tokens")
-        lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        hashes = _batch_hashes(lists.flatten())
-        rows = np.repeat(np.arange(n), lens)
-        hashing = (time.perf_counter() - began) / max(len(models), 1)
-        for name, dim in models:
-            began = time.perf_counter()
-            dense = np.bincount(rows * dim + hashes % dim, minlength=n * dim).astype(np.float32)
-            mat = dense.reshape(n, dim)
-            norm_sq = np.einsum("ij,ij->i", mat, mat, dtype=np.float64)
-            mask = mat > 0
-            nz_vals = np.nonzero(mask)[1].astype(np.int32)
-            nz_off = np.zeros(n + 1, dtype=np.int32)
-            np.cumsum(mask.sum(axis=1), out=nz_off[1:])
-            vec_off = (np.arange(n + 1, dtype=np.int32) * dim)
-            cols = [rb.column(c) for c in keep]
-            cols += [pa.array(np.full(n, name, dtype=object), type=pa.string()),
-                     pa.array(np.full(n, dim, dtype=np.int32)),
-                     pa.ListArray.from_arrays(pa.array(vec_off), pa.array(dense)),
-                     pa.ListArray.from_arrays(pa.array(nz_off), pa.array(nz_vals, type=pa.int32())),
-                     pa.array(norm_sq)]
-            names = keep + ["model_name", "dim", "vec", "nz", "norm_sq"]
-            if timed:
-                cols.append(pa.array(np.full(n, (hashing + time.perf_counter() - began) / max(n, 1))))
-                names = names + ["elapsed_s"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        dense = np.bincount(rows * dim + hashes % dim, minlength=n * dim).astype(np.float32)
+        mat = dense.reshape(n, dim)
+        norm_sq = np.einsum("ij,ij->i", mat, mat, dtype=np.float64)
+        mask = mat > 0
+        nz_vals = np.nonzero(mask)[1].astype(np.int32)
+        nz_off = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(mask.sum(axis=1), out=nz_off[1:])
+        vec_off = (np.arange(n + 1, dtype=np.int32) * dim)
+        cols = [rb.column(c) for c in keep]
+        cols += [pa.array(np.full(n, name, dtype=object), type=pa.string()),
+                 pa.array(np.full(n, dim, dtype=np.int32)),
+                 pa.ListArray.from_arrays(pa.array(vec_off), pa.array(dense)),
+                 pa.ListArray.from_arrays(pa.array(nz_off), pa.array(nz_vals, type=pa.int32())),
+                 pa.array(norm_sq)]
+        names = keep + ["model_name", "dim", "vec", "nz", "norm_sq"]
+        if timed:
+            cols.append(pa.array(np.full(n, (hashing + time.perf_counter() - began) / max(n, 1))))
+            names = names + ["elapsed_s"]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def native_pass(units: DataFrame, models: list[HashingModel], text_col: str = "text", keep_text: bool = False,
+                timed: bool = False) -> tuple[DataFrame, Callable]:
+    """The units with their words, and the pass over Arrow batches of them that gives a row per (unit, model): for
+    :func:`embed_native`, and for steps that use vectors in the task that made them."""
+    keys = [c for c in units.columns if c != text_col or keep_text]
+    staged = units.select(*keys, T.words(F.col(text_col)).alias("tokens"))
+    spec = [(m.name, m.dim) for m in models]
+    return staged, lambda it: _bincount(it, keys, spec, timed)
 
 
 def embed_native(units: DataFrame, models: list[HashingModel] = NATIVE_MODELS,
@@ -111,12 +131,10 @@ def embed_native(units: DataFrame, models: list[HashingModel] = NATIVE_MODELS,
     """Embed every unit with every native model.  No join and no second pass
     over the text: words are extracted JVM-side, hashed once per distinct
     token of an Arrow batch, and one pass emits a row per (unit, model)."""
-    keys = [c for c in units.columns if c != text_col or keep_text]
-    staged = units.select(*keys, T.words(F.col(text_col)).alias("tokens"))
-    spec = [(m.name, m.dim) for m in models]
+    staged, embedding = native_pass(units, models, text_col, keep_text, timed)
     schema = (_ddl(staged, {"tokens"}) +
               ", model_name string, dim int, vec array<float>, nz array<int>, norm_sq double" + ", elapsed_s double" * timed)
-    return staged.mapInArrow(lambda it: _bincount(it, keys, spec, timed), schema)
+    return staged.mapInArrow(embedding, schema)
 
 
 def vectors_from_array(df: DataFrame, model_name: str, vec_col: str = "embedding") -> DataFrame:
@@ -155,7 +173,8 @@ def _attempt(embed, texts: list) -> tuple[list, list]:
     return [v for (v,), _ in alone], [e for _, (e,) in alone]
 
 
-def _embed_batches(model: PandasModel):
+def _embed_batches(model: PandasModel, measured: bool = False):
+    """Texts -> vectors; ``measured``: with ``nz`` and ``norm_sq``, null where there is no vector."""
     def run(batches):
         t0 = time.time()
         try:
@@ -173,6 +192,8 @@ def _embed_batches(model: PandasModel):
                 out["vec"] = None
                 out["error"] = load_error
                 out["elapsed_s"] = 0.0
+                if measured:
+                    out["nz"], out["norm_sq"] = None, None
                 yield out
                 continue
             for start in range(0, len(texts), model.batch_size):
@@ -181,6 +202,11 @@ def _embed_batches(model: PandasModel):
                 t1 = time.time()
                 sub["vec"], sub["error"] = _attempt(embed, chunk)
                 sub["elapsed_s"] = (time.time() - t1) / max(len(chunk), 1)
+                if measured:
+                    vecs = sub["vec"].tolist()
+                    sub["nz"] = [None if v is None else np.flatnonzero(v).astype(np.int32) for v in vecs]
+                    sub["norm_sq"] = pd.array([None if v is None else float(np.square(v, dtype=np.float64).sum()) for v in vecs],
+                                              dtype=pd.ArrowDtype(pa.float64()))
                 yield sub
     return run
 
@@ -190,10 +216,15 @@ def embed_texts(units: DataFrame, model: PandasModel, text_col: str = "text") ->
 
     ``elapsed_s`` is a text's share of the time of the batch it was embedded in.
     """
+    return _distinct_texts(units, text_col).mapInPandas(_embed_batches(model), EMBEDDED)
+
+
+EMBEDDED = "text_key string, model_name string, model_id string, load_s double, vec array<float>, error string, elapsed_s double"
+
+
+def _distinct_texts(units: DataFrame, text_col: str) -> DataFrame:
     texts = units.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return texts.dropDuplicates(["text_key"]).mapInPandas(
-        _embed_batches(model), "text_key string, model_name string, model_id string, load_s double, "
-                               "vec array<float>, error string, elapsed_s double")
+    return texts.dropDuplicates(["text_key"])
 
 
 def _text_key(text_col: str) -> Column:
@@ -206,11 +237,8 @@ def embed_with_model(units: DataFrame, model: PandasModel, text_col: str = "text
     Returns the units with ``model_name, model_id, dim, vec, nz, norm_sq,
     error, elapsed_s, load_s``; failed texts keep ``vec`` NULL and ``error`` set.
     """
-    v = F.col("vec")
-    vecs = (embed_texts(units, model, text_col)
-            .withColumn("dim", F.size("vec"))
-            .withColumn("nz", F.when(v.isNotNull(), V.nonzero_indices(v)))
-            .withColumn("norm_sq", F.when(v.isNotNull(), V.norm_sq(v))))
+    vecs = _distinct_texts(units, text_col).mapInPandas(
+        _embed_batches(model, measured=True), f"{EMBEDDED}, nz array<int>, norm_sq double").withColumn("dim", F.size("vec"))
     return units.withColumn("text_key", _text_key(text_col)).join(vecs, "text_key").drop("text_key")
 
 

@@ -11,7 +11,7 @@ per-task top 3.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,31 +55,42 @@ def top_k(sims: DataFrame, k: int = L.TOP_K) -> DataFrame:
 
 #: Vector components of a block of queries that is sent to every task (8 bytes each).
 BLOCK_COMPONENTS = 1 << 20
+#: Sentences that a task keeps as the best so far, over all documents and queries, before it hands them on.
+KEPT_ROWS = 1 << 18
 
 
 def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.TOP_K,
-                    block_components: int = BLOCK_COMPONENTS) -> DataFrame:
+                    block_components: int = BLOCK_COMPONENTS, per_document: bool = False,
+                    nan_is_largest: bool = False, kept_rows: int = KEPT_ROWS, embedding: Callable | None = None) -> DataFrame:
     """:func:`top_k` for a caller's query set of any size: the same rows.
 
     Queries go to the tasks in blocks of a bounded size, sentences stay where
     they are.  A task compares a batch of sentences with a block in one matrix
-    product and hands on the batch's best ``k`` for each document and query,
-    so that neither a row for each comparison nor a join on the model arises.
+    product and keeps the best ``k`` for each document and query over all of its
+    batches, so that neither a row for each comparison nor a join on the model
+    arises, nor are sentences sorted.  With more than ``kept_rows`` it hands them on and begins anew.
+
+    ``per_document``: a query is put to its own ``doc`` only.  A similarity that is no number is undefined or, with
+    ``nan_is_largest``, comes first as in Spark's order.  With an ``embedding`` (``embed.native_pass``) the
+    sentences are those of that pass, whose vectors are compared in the task that makes them.
     """
     spark = sentence_vecs.sparkSession
-    queries = materialise(query_vecs.select("model_name", "query_idx", "dim", "vec", "norm_sq"), "query-vectors")
+    keys = ["model_name", "doc"] if per_document else ["model_name"]
+    queries = materialise(query_vecs.select(*keys, "query_idx", "dim", "vec", "norm_sq"), "query-vectors")
     size = queries.select(F.sum("dim")).first()[0] or 0
     blocks = max(1, -(-size // block_components))
     number = F.pmod(F.xxhash64("query_idx"), F.lit(blocks))
-    rows = sentence_vecs.select("model_name", "doc", *SENT_ORDER, "text", "vec", "norm_sq")
-    if blocks > 1:  # embedded once, read for each block
+    rows = sentence_vecs if embedding else sentence_vecs.select("model_name", "doc", *SENT_ORDER, "text", "vec", "norm_sq")
+    if blocks > 1:  # embedded once, read for each block; or the words, which are fewer
         rows = materialise(rows, "sentence-vectors")
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("vec", "norm_sq").schema.fields)
+    shape = "model_name string, " + ", ".join(
+        f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc", *SENT_ORDER, "text"))
     out = None
     for block in range(blocks):
-        own = queries.where(number == block).select("model_name", "query_idx", "vec", "norm_sq").collect()
-        sent = spark.sparkContext.broadcast(_query_matrices(own))
-        best = top_k(rows.mapInArrow(_best_of_batch(sent, k), f"{keys}, query_idx long, similarity double"), k)
+        own = queries.where(number == block).select(*keys, "query_idx", "vec", "norm_sq").collect()
+        sent = spark.sparkContext.broadcast(_query_matrices(own, keys))
+        best = top_k(rows.mapInArrow(_best_of_task(sent, k, per_document, nan_is_largest, kept_rows, embedding),
+                                     f"{shape}, query_idx long, similarity double"), k)
         if blocks > 1:  # a query is in one block, so that its top k is final and the block can go
             best = materialise(best, "block-top")
             sent.destroy()
@@ -177,43 +188,105 @@ def _best(sentences: np.ndarray, norms: np.ndarray, queries: np.ndarray, squares
     return best, np.take_along_axis(sims, best, axis=0)
 
 
-def _query_matrices(rows: list) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, vectors and squared norms of the queries of each model."""
-    out = {}
-    for model in sorted({r["model_name"] for r in rows}):
-        own = [r for r in rows if r["model_name"] == model]
-        out[model] = (np.array([r["query_idx"] for r in own], dtype=np.int64),
-                      np.array([r["vec"] for r in own], dtype=np.float64), np.array([r["norm_sq"] for r in own]))
-    return out
+def _query_matrices(rows: list, keys: list[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and squared norms of the queries of each model, or of each model and document."""
+    own: dict[tuple, list] = {}
+    for r in rows:
+        own.setdefault(tuple(r[c] for c in keys), []).append(r)
+    return {key: (np.array([r["query_idx"] for r in of], dtype=np.int64), np.array([r["vec"] for r in of], dtype=np.float64),
+                  np.array([np.nan if r["norm_sq"] is None else r["norm_sq"] for r in of])) for key, of in own.items()}
+
+
+#: Below every similarity: one that is not defined.
+UNDEFINED = -np.finfo(np.float64).max
+#: Where an order column is null; it comes last.
+NO_PLACE = np.iinfo(np.int64).min
+
+
+def _best_rows(sentences: np.ndarray, norms: np.ndarray, queries: np.ndarray, squares: np.ndarray, k: int,
+               nan_is_largest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_best` with a row for each query, in ``k`` passes instead of a sort."""
+    sims = queries @ sentences.T
+    with np.errstate(all="ignore"):
+        norm = squares[:, None] * norms[None, :]
+        sims /= np.sqrt(norm)
+    if nan_is_largest:
+        sims[(squares <= 0)[:, None] | (norms <= 0)[None, :]] = UNDEFINED
+    else:
+        sims[~(norm > 0) | np.isnan(sims)] = UNDEFINED
+    at = np.arange(len(sims))
+    best, values = [], []
+    for _ in range(min(k, sims.shape[1])):
+        best.append(sims.argmax(axis=1))
+        values.append(sims[at, best[-1]])
+        sims[at, best[-1]] = -np.inf
+    return np.stack(best, axis=1), np.stack(values, axis=1)
+
+
+def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_rows: int, embedding: Callable | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple, list[np.ndarray]] = {}   # similarity, order, text of each (model, doc): a row for each query
+        held = 0
+        schema = None
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(groups := list(kept)), 1024):
+                some = groups[start:start + 1024]
+                columns = [np.concatenate([kept[g][i].ravel() for g in some]) for i in range(2 + len(SENT_ORDER))]
+                sizes = [kept[g][0].size for g in some]
+                asked = [np.repeat(queries_of(g)[0], kept[g][0].shape[1]) for g in some]
+                value, *places, text = columns
+                arrays = [pa.array(np.repeat(np.arange(len(some)), sizes)) for _ in range(2)]
+                arrays = [pa.array([g[i] for g in some], schema.field(c).type).take(a) for i, (c, a) in
+                          enumerate(zip(("model_name", "doc"), arrays))]
+                arrays += [pa.array(p, mask=p == NO_PLACE).cast(schema.field(c).type) for c, p in zip(SENT_ORDER, places)]
+                arrays += [pa.array(text, schema.field("text").type), pa.array(np.concatenate(asked)),
+                           pa.array(value, mask=value == UNDEFINED)]
+                yield pa.RecordBatch.from_arrays(
+                    arrays, names=["model_name", "doc", *SENT_ORDER, "text", "query_idx", "similarity"])
 
+        def queries_of(group: tuple):
+            return sent.value.get(group if per_document else group[:1])
 
-def _best_of_batch(sent, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            models, docs = (batch.column(c).to_pylist() for c in ("model_name", "doc"))
+        for batch in embedding(batches) if embedding else batches:
+            schema = batch.schema
             groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(models, docs)):
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("model_name", "doc")))):
                 groups.setdefault(key, []).append(i)
-            order = list(zip(*(batch.column(c).to_pylist() for c in SENT_ORDER)))
-            vecs, norms = batch.column("vec"), batch.column("norm_sq").to_numpy(zero_copy_only=False)
-            rows, queries, values = [], [], []
-            for (model, _), own in groups.items():
-                if model not in sent.value:
+            order = [batch.column(c).cast(pa.int64()).fill_null(NO_PLACE).to_numpy(zero_copy_only=False) for c in SENT_ORDER]
+            vecs = batch.column("vec")
+            norms = batch.column("norm_sq").fill_null(np.nan if not nan_is_largest else 0.0).to_numpy(zero_copy_only=False)
+            for group, found in groups.items():
+                asked = queries_of(group)
+                if asked is None:
                     continue
-                own.sort(key=order.__getitem__, reverse=True)  # of equal similarities the later sentence wins
-                ids, matrix, squares = sent.value[model]
+                own = np.array(found)
+                own = own[np.lexsort([c[own] for c in reversed(order)])[::-1]]  # of equal similarities the later sentence wins
                 mat = vecs.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                best, value = _best(mat.reshape(len(own), -1), norms[own], matrix, squares, k)
-                rows.append(np.asarray(own)[best].ravel())
-                queries.append(np.broadcast_to(ids, best.shape).ravel())
-                values.append(value.ravel())
-            if rows:
-                at, value = np.concatenate(rows), np.concatenate(values)
-                value[np.isneginf(value)] = np.nan
-                kept = batch.select(["model_name", "doc", *SENT_ORDER, "text"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(np.concatenate(queries)), pa.array(value, from_pandas=True)],
-                    names=[*kept.schema.names, "query_idx", "similarity"])
+                at, value = _best_rows(mat.reshape(len(own), -1), norms[own], asked[1], asked[2], k, nan_is_largest)
+                at = own[at]
+                new = [value, *(c[at] for c in order)]
+                former = kept.get(group)
+                if former is not None:
+                    both = [np.concatenate([f, n], axis=1) for f, n in zip(former, new)]
+                    first = np.lexsort((both[3], both[2], both[1], both[0]), axis=1)[:, ::-1][:, :k]
+                    new = [np.take_along_axis(c, first, axis=1) for c in both]
+                    fresh = first >= former[0].shape[1]
+                    text = np.empty(first.shape, dtype=object)
+                    text[~fresh] = np.take_along_axis(former[-1], np.where(fresh, 0, first), axis=1)[~fresh]
+                    at = np.take_along_axis(at, np.where(fresh, first - former[0].shape[1], 0), axis=1)[fresh]
+                    text[fresh] = batch.column("text").take(pa.array(at)).to_pylist()
+                    held -= former[0].size
+                else:
+                    text = np.empty(at.shape, dtype=object)
+                    text[:] = np.array(batch.column("text").take(pa.array(at.ravel())).to_pylist(), dtype=object).reshape(at.shape)
+                kept[group] = [*new, text]
+                held += text.size
+                if held > kept_rows:
+                    yield from handed_on()
+                    kept, held = {}, 0
+        if kept:
+            yield from handed_on()
     return run
 
 

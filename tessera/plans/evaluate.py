@@ -1,11 +1,12 @@
 """Document evaluation plan: three metric branches per (model, document) and
 their blend, over any corpus binding.
 
-Stages: units -> vectors (one embedding per unit and model, reused by the
-coherence and contrast branches) -> coherence (ordered ranges), contrast (pair
-statistics), search (join with queries, top 3) -> one row per (model, doc).
-Shuffles are keyed by document (and block / section / query) only; the
-embedding step is row-local.
+Stages: units -> vectors -> coherence (ordered ranges), contrast (pair
+statistics), search (best 3 of each query) -> one row per (model, doc).
+Native models embed in the tasks that use their vectors, so that texts are
+exchanged and not vectors; those of user models are written once and reused by
+the coherence and contrast branches.
+Shuffles are keyed by document (and block / section / query) only.
 """
 
 from __future__ import annotations
@@ -246,8 +247,27 @@ class DocumentEvaluation:
             return []
         return own + [name for name, given in self._given() if given.searches]
 
+    def _in_task(self) -> bool:
+        """Whether all vectors are native ones that nobody counts or times: each step makes them in its own tasks, from
+        texts, so that vectors are neither written nor exchanged."""
+        return not (self._user_models() or self.o.given or self.o.observe or self.o.timed) and bool(self.o.models)
+
+    def _native(self, units: DataFrame) -> tuple[DataFrame, Callable]:
+        return E.native_pass(units, self.o.models)
+
+    def paragraph_texts(self) -> DataFrame:
+        """The paragraphs as written once for the steps that embed them in their tasks."""
+        def build():
+            units = self.corpus.paragraphs.withColumn("is_section_paragraph",
+                                                      F.length("text") > L.SECTION_PARAGRAPH_MIN_CHARS)
+            return materialise(units, "paragraph-texts") if self.o.materialize_vectors else units
+        return self._get("paragraph_texts", build)
+
     # -- coherence -------------------------------------------------------
     def adjacent(self) -> DataFrame:
+        if self._in_task():
+            return self._get("adjacent", lambda: C.adjacent_similarity(
+                self.paragraph_texts(), ranges=self.o.ranges, native=self._native))
         return self._get("adjacent", lambda: C.adjacent_similarity(
             self.materialized_paragraph_vectors(), ranges=self.o.ranges))
 
@@ -256,6 +276,10 @@ class DocumentEvaluation:
 
     # -- contrast --------------------------------------------------------
     def contrast(self) -> DataFrame:
+        if self._in_task():
+            return self._get("contrast", lambda: K.section_contrast(
+                self.paragraph_texts().filter("is_section_paragraph"), small_max=self.o.small_max,
+                rows_per_partial=self.o.rows_per_partial, materialize=False, native=self._native))
         return self._get("contrast", lambda: K.section_contrast(
             self.materialized_paragraph_vectors().filter("is_section_paragraph"),
             small_max=self.o.small_max, rows_per_partial=self.o.rows_per_partial,
@@ -271,11 +295,31 @@ class DocumentEvaluation:
         """Whether a caller's query set, of any size, is put to all documents."""
         return not self.corpus.per_document_queries and not self.corpus.literal_queries
 
+    def _top_in_blocks(self, **how) -> DataFrame:
+        """The best sentences without an exchange of vectors; those of native models alone don't even leave their task."""
+        if not self._in_task() or self.corpus.sentences is None:
+            return R.top_k_in_blocks(self.sentence_vectors(), self.query_vectors(), **how)
+        words, embedding = E.native_pass(self.corpus.sentences, self.o.models, keep_text=True)
+        return R.top_k_in_blocks(words, self.query_vectors(), embedding=embedding, **how)
+
+    def _top_of_own_sets(self) -> DataFrame:
+        """Each document's own query set: all sets as one block if they fit into one, else by tiles."""
+        if self._in_task() and self.corpus.sentences is not None:
+            most = R.BLOCK_COMPONENTS // max(1, sum(m.dim for m in self.o.models))
+            if self.corpus.queries.limit(most + 1).count() <= most:
+                kind = self.corpus.queries.schema["query_idx"].dataType
+                return self._top_in_blocks(per_document=True).withColumn("query_idx", F.col("query_idx").cast(kind))
+        return R.top_k_in_tiles(self.sentence_vectors(), self.query_vectors())
+
     def top3(self) -> DataFrame:
         if self._shared_set():
-            return self._get("top3", lambda: R.top_k_in_blocks(self.sentence_vectors(), self.query_vectors()))
+            return self._get("top3", self._top_in_blocks)
         if not self.corpus.bounded_sets:
-            return self._get("top3", lambda: R.top_k_in_tiles(self.sentence_vectors(), self.query_vectors()))
+            return self._get("top3", self._top_of_own_sets)
+        if not self.corpus.per_document_queries:
+            return self._get("top3", lambda: self._top_in_blocks(nan_is_largest=True).select(
+                "model_name", "doc", F.col("query_idx").cast("int").alias("query_idx"), *R.SENT_ORDER, "text",
+                "similarity", "rank"))
         return self._get("top3", lambda: R.top_k(self.similarities()))
 
     def hits(self) -> DataFrame:
@@ -297,7 +341,8 @@ class DocumentEvaluation:
                 return (v.groupBy("model_name", "doc").agg(F.count(F.lit(1)).alias("n"))
                          .filter(F.col("n") >= 2).select("model_name", "doc"))
             names = F.array(*[F.lit(m.name) for m in self.o.models])
-            docs = (self.corpus.paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+            units = self._cache.get("paragraph_texts", self.corpus.paragraphs)
+            docs = (units.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
                     .filter(F.col("n") >= 2))
             return docs.select(F.explode(names).alias("model_name"), "doc")
         return self._get("evaluated_docs", lambda: self._without_failed(build()))
@@ -370,7 +415,8 @@ class DocumentEvaluation:
             models = model_table(self.corpus.paragraphs.sparkSession, [
                 *self.o.models, *(E.PandasModel(name, "given", None) for name, _ in self.o.given)])
             self._begin("Embedding paragraphs", 15)
-            self.materialized_paragraph_vectors()   # shared by coherence and contrast
+            # shared by coherence and contrast
+            self.paragraph_texts() if self._in_task() else self.materialized_paragraph_vectors()
             self._begin("Comparing neighbouring paragraphs", 35)
             coherence = self.coherence()
             self._begin("Comparing sections", 55)

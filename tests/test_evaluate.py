@@ -146,3 +146,18 @@ def test_tiles_and_blocks_give_what_the_join_gives(spark):
     want = rows(R.top_k(R.query_sentence_similarity(s, shared, False)))
     for components in (1 << 20, 500):
         assert rows(R.top_k_in_blocks(s, shared, block_components=components)) == want
+
+
+def test_a_few_own_queries_go_to_the_sentences(spark, monkeypatch):
+    """Long documents: their queries fit one block, so that no sentence vector is written or dealt out."""
+    from tessera.operators import search as R
+    from tessera.plans import corpora as CO
+    lines = CO.source_lines(spark, "/root/testdata/sf0.001")
+    ev = DocumentEvaluation(CO.long_corpus(lines, ranges=3))
+    rows = lambda df: sorted((r.model_name, r.doc, r.query_idx, r["rank"], r.major, r.minor, r.piece,
+                              -1 if r.similarity is None else round(r.similarity, 9)) for r in df.collect())
+    want = R.top_k_in_tiles(ev.sentence_vectors(), ev.query_vectors())
+    monkeypatch.setattr(R, "top_k_in_tiles", None)
+    got = ev.top3()
+    assert rows(got) == rows(want) and rows(got)
+    assert got.schema["query_idx"] == want.schema["query_idx"]

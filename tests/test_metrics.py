@@ -235,3 +235,43 @@ def test_query_blocks_equal_one_join(spark):
     for d, r in got.items():
         for c in ("n_queries", "semantic_search_precision", "min_precision", "max_precision", "search_precision_std"):
             assert abs(r[c] - want[d][c]) < 1e-9, (d, c)
+
+
+def test_a_task_hands_on_its_best_only(spark):
+    """The default set and a caller's: neither a row for each comparison nor one for each batch leaves a task."""
+    from types import SimpleNamespace
+
+    from tessera.plans.evaluate import DocumentEvaluation
+    texts = [f"word{i % 7} word{i % 5} main topic {i % 3} and some more of it" for i in range(60)]
+    sents = spark.createDataFrame(
+        [(f"d{i % 2}" if i % 20 else None, i // 3 if i % 11 else None, 0, i % 3, t) for i, t in enumerate(texts)]
+        + [("zero", 0, 0, 0, "")], "doc string, major long, minor long, piece int, text string")
+    corpus = CO.Corpus("own", sents.withColumn("section", F.lit("s")), sents, CO.Q.default_queries(spark))
+    ev = DocumentEvaluation(corpus)
+    key = lambda d: sorted(map(repr, (
+        (r.model_name, r.doc, r.query_idx, r["rank"], r.major, r.minor, r.piece, r.similarity, r.text) for r in d.collect())))
+    want = key(R.top_k(ev.similarities()))
+    assert want and key(ev.top3()) == want
+    assert "Join" not in ev.top3()._jdf.queryExecution().optimizedPlan().toString()
+    s, q = ev.sentence_vectors(), ev.query_vectors()
+    for kept in (1, 1 << 18):
+        got = R.top_k_in_blocks(s, q, kept_rows=kept, nan_is_largest=True)
+        assert key(got) == want
+    columns = ["model_name", "doc", *R.SENT_ORDER, "text", "vec", "norm_sq"]
+    batches = s.where("model_name = 'hash-64'").select(*columns).toArrow().to_batches(max_chunksize=4)
+    sent = SimpleNamespace(value=R._query_matrices(q.collect(), ["model_name"]))
+    out = sum(b.num_rows for b in R._best_of_task(sent, 3, False, True, 1 << 18, None)(iter(batches)))
+    assert out == 7 * (3 + 3 + 3 + 1)
+
+
+def test_a_similarity_that_is_no_number_keeps_its_place(spark):
+    schema = "model_name string, doc string, major long, minor long, piece int, text string, dim int, vec array<float>, " \
+             "nz array<int>, norm_sq double"
+    nan = float("nan")
+    s = spark.createDataFrame([("m", "d", i, 0, 0, f"t{i}", 2, v, [0, 1], n) for i, (v, n) in enumerate(
+        [([1.0, 0.0], 1.0), ([nan, 1.0], nan), ([0.0, 0.0], 0.0), ([1.0, 1.0], 2.0), ([1.0, 2.0], None)])], schema)
+    q = spark.createDataFrame([("m", 0, 2, [1.0, 0.0], [0], 1.0)],
+                              "model_name string, query_idx int, dim int, vec array<float>, nz array<int>, norm_sq double")
+    key = lambda d: sorted((r["rank"], r.major, repr(r.similarity)) for r in d.collect())
+    want = key(R.top_k(R.query_sentence_similarity(s, q, False), 5))
+    assert key(R.top_k_in_blocks(s, q, 5, nan_is_largest=True)) == want
