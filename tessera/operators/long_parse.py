@@ -91,13 +91,12 @@ def place_lines(lines: DataFrame, ranges: int | None = None) -> DataFrame:
     ``first_sent`` (number of the paragraph's first sentence) are set for body
     lines of a section, ``section_idx`` and ``pos`` for those of more than 50
     characters.  ``ranges`` defaults to ``spark.sql.shuffle.partitions``; the
-    dealt-out lines and the result are written and read back.
+    lines as numbered in their ranges and the result are written and read back.
     """
     n = ranges or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialise(_flagged(lines).repartitionByRange(n, "doc_id", "major", "minor")
-                        .withColumn("range", F.spark_partition_id()), "line-ranges")
-    numbered = _numbered_in_range(dealt)
-    carried = _carried(numbered)
+    dealt = _flagged(lines).repartitionByRange(n, "doc_id", "major", "minor").withColumn("range", F.spark_partition_id())
+    numbered = materialise(_numbered_in_range(dealt), "line-ranges")
+    carried = materialise(_carried(numbered), "line-totals")  # few rows: joined without dealing out the lines again
     joined = numbered.join(carried, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("range") == F.col("of_range")))
 
     def number(c: str) -> Column:
