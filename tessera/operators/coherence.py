@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import materialise
 
-PAIR, FIRST, LAST = 0, 1, 2
+#: What a row of the pass is about; a timed one has the number of units of a document and the seconds that they took.
+PAIR, FIRST, LAST, TIMED = 0, 1, 2, 3
 NEIGHBOURS = ("range int, kind int, major long, minor long, prev_major long, prev_minor long, similarity double, "
               "vec array<float>, norm_sq double")
 
@@ -58,7 +59,7 @@ class _Pass:
     def _rows(self, batch: pa.RecordBatch, kind: int, previous: pa.RecordBatch | None, similarity) -> pa.RecordBatch:
         n = batch.num_rows
         nothing = pa.nulls(n, pa.int64())
-        whole = kind != PAIR
+        whole = kind in (FIRST, LAST)
         return pa.RecordBatch.from_arrays(
             [*(batch.column(k) for k in self.keys), pa.array([self.number] * n, pa.int32()), pa.array([kind] * n, pa.int32()),
              batch.column("major"), batch.column("minor"),
@@ -86,6 +87,19 @@ class _Pass:
         if len(own):
             yield self._rows(joined.take(pa.array(own + 1)), PAIR, joined.take(pa.array(own)), _similarities(joined)[own + 1])
 
+    def spent(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Units and seconds of each document in a batch of timed rows."""
+        new = np.ones(batch.num_rows, dtype=bool)
+        new[1:] = False
+        for k in self.keys:
+            values = batch.column(k).to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        seconds = np.add.reduceat(batch.column("elapsed_s").to_numpy(), starts)
+        rows = self._rows(batch.take(pa.array(starts)), TIMED, None, seconds)
+        units = pa.array(np.diff([*starts, batch.num_rows]), pa.int64())
+        return rows.set_column(rows.schema.get_field_index("prev_major"), "prev_major", units)
+
     def end(self) -> Iterator[pa.RecordBatch]:
         if self.before is not None:
             yield self._rows(self.before, LAST, None, None)
@@ -100,7 +114,10 @@ def _neighbours(keys: list[str], embedding: Callable | None = None):
         for batch in embedding(batches) if embedding else batches:
             if batch.num_rows:
                 model = batch.column("model_name")[0].as_py() if embedding else None
-                yield from passes.setdefault(model, _Pass(keys, number)).feed(batch.select(columns))
+                one = passes.setdefault(model, _Pass(keys, number))
+                if "elapsed_s" in batch.schema.names:
+                    yield one.spent(batch)
+                yield from one.feed(batch.select(columns))
         for one in passes.values():
             yield from one.end()
     return run
@@ -117,6 +134,12 @@ def adjacent_similarity(vecs: DataFrame, keys: tuple[str, ...] = ("model_name",
     With ``native`` (``embed.native_pass`` of some models) ``vecs`` are units with
     their ``text``: these are dealt out and sorted, and become vectors in the pass itself.
     """
+    return neighbouring(neighbour_pass(vecs, keys, ranges, native), keys)
+
+
+def neighbour_pass(vecs: DataFrame, keys: tuple[str, ...] = ("model_name", "doc"), ranges: int | None = None,
+                   native: Callable | None = None) -> DataFrame:
+    """The written result of the pass for :func:`neighbouring` and, where ``native`` is timed, :func:`embedding_times`."""
     keys = list(keys)
     spark = vecs.sparkSession
     order = [*keys, "major", "minor"]
@@ -129,11 +152,22 @@ def adjacent_similarity(vecs: DataFrame, keys: tuple[str, ...] = ("model_name",
         typed = ", ".join("model_name string" if k == "model_name" else f"`{k}` {vecs.schema[k].dataType.simpleString()}"
                           for k in keys)
         dealt, embedding = native(vecs.select(*own, "text").repartitionByRange(n, *own).sortWithinPartitions(*own))
-    found = materialise(dealt.mapInArrow(_neighbours(keys, embedding), f"{typed}, {NEIGHBOURS}"), "adjacent")
+    return materialise(dealt.mapInArrow(_neighbours(keys, embedding), f"{typed}, {NEIGHBOURS}"), "adjacent")
+
+
+def embedding_times(found: DataFrame, keys: tuple[str, ...] = ("model_name", "doc")) -> DataFrame:
+    """``keys, n, s``: units that a timed pass embedded, and the seconds that they took."""
+    return found.where(F.col("kind") == TIMED).groupBy(*keys).agg(
+        F.sum("prev_major").alias("n"), F.sum("similarity").alias("s"))
+
+
+def neighbouring(found: DataFrame, keys: tuple[str, ...] = ("model_name", "doc")) -> DataFrame:
+    """The pairs of a :func:`neighbour_pass`, also those across the borders of its ranges."""
+    order = [*keys, "major", "minor"]
     # across borders: the last row of the nearest range before that ends in the same document
     earlier = Window.partitionBy(*keys).orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
     last = F.when(F.col("kind") == LAST, F.struct("major", "minor", "vec", "norm_sq"))
-    edges = (found.where(F.col("kind") != PAIR)
+    edges = (found.where(F.col("kind").isin(FIRST, LAST))
              .withColumn("p", F.last(last, ignorenulls=True).over(earlier))
              .where((F.col("kind") == FIRST) & F.col("p").isNotNull()))
     columns = [*order, "prev_major", "prev_minor", "similarity"]

@@ -61,7 +61,8 @@ KEPT_ROWS = 1 << 18
 
 def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.TOP_K,
                     block_components: int = BLOCK_COMPONENTS, per_document: bool = False,
-                    nan_is_largest: bool = False, kept_rows: int = KEPT_ROWS, embedding: Callable | None = None) -> DataFrame:
+                    nan_is_largest: bool = False, kept_rows: int = KEPT_ROWS, embedding: Callable | None = None,
+                    timed: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """:func:`top_k` for a caller's query set of any size: the same rows.
 
     Queries go to the tasks in blocks of a bounded size, sentences stay where
@@ -72,7 +73,8 @@ def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.
 
     ``per_document``: a query is put to its own ``doc`` only.  A similarity that is no number is undefined or, with
     ``nan_is_largest``, comes first as in Spark's order.  With an ``embedding`` (``embed.native_pass``) the
-    sentences are those of that pass, whose vectors are compared in the task that makes them.
+    sentences are those of that pass, whose vectors are compared in the task that makes them; if the pass is ``timed``,
+    there is also a table ``model_name, doc, n, s`` of the sentences embedded and the seconds that they took.
     """
     spark = sentence_vecs.sparkSession
     keys = ["model_name", "doc"] if per_document else ["model_name"]
@@ -85,17 +87,24 @@ def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.
         rows = materialise(rows, "sentence-vectors")
     shape = "model_name string, " + ", ".join(
         f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc", *SENT_ORDER, "text"))
-    out = None
+    out = times = None
     for block in range(blocks):
         own = queries.where(number == block).select(*keys, "query_idx", "vec", "norm_sq").collect()
         sent = spark.sparkContext.broadcast(_query_matrices(own, keys))
-        best = top_k(rows.mapInArrow(_best_of_task(sent, k, per_document, nan_is_largest, kept_rows, embedding),
-                                     f"{shape}, query_idx long, similarity double"), k)
+        found = rows.mapInArrow(_best_of_task(sent, k, per_document, nan_is_largest, kept_rows, embedding, timed),
+                                f"{shape}, query_idx long, similarity double")
+        if timed:  # the times of the pass whose sentences are used: both are written together
+            found = materialise(found, "timed-top")
+            if times is None:  # each block embeds the sentences again
+                times = found.where(F.col("query_idx").isNull()).groupBy("model_name", "doc").agg(
+                    F.sum("major").alias("n"), F.sum("similarity").alias("s"))
+            found = found.where(F.col("query_idx").isNotNull())
+        best = top_k(found, k)
         if blocks > 1:  # a query is in one block, so that its top k is final and the block can go
             best = materialise(best, "block-top")
             sent.destroy()
         out = best if out is None else out.unionByName(best)
-    return out
+    return (out, times) if timed else out
 
 
 #: Sentences and queries of one document that are compared in one matrix product.
@@ -223,12 +232,23 @@ def _best_rows(sentences: np.ndarray, norms: np.ndarray, queries: np.ndarray, sq
     return np.stack(best, axis=1), np.stack(values, axis=1)
 
 
-def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_rows: int, embedding: Callable | None):
+def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_rows: int, embedding: Callable | None,
+                  timed: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, list[np.ndarray]] = {}   # similarity, order, text of each (model, doc): a row for each query
         held = 0
+        spent: dict[tuple, list] = {}              # sentences embedded and seconds of each (model, doc)
         schema = None
 
+        def times() -> pa.RecordBatch:
+            """Rows without a query: number of sentences as ``major``, seconds as ``similarity``."""
+            n = len(spent)
+            values = {"model_name": [g[0] for g in spent], "doc": [g[1] for g in spent], "major": [v[0] for v in spent.values()]}
+            arrays = [pa.array(values.get(c, [None] * n), schema.field(c).type) for c in ("model_name", "doc", *SENT_ORDER, "text")]
+            return pa.RecordBatch.from_arrays(
+                [*arrays, pa.nulls(n, pa.int64()), pa.array([v[1] for v in spent.values()], pa.float64())],
+                names=["model_name", "doc", *SENT_ORDER, "text", "query_idx", "similarity"])
+
         def handed_on() -> Iterator[pa.RecordBatch]:
             for start in range(0, len(groups := list(kept)), 1024):
                 some = groups[start:start + 1024]
@@ -256,6 +276,15 @@ def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_r
             order = [batch.column(c).cast(pa.int64()).fill_null(NO_PLACE).to_numpy(zero_copy_only=False) for c in SENT_ORDER]
             vecs = batch.column("vec")
             norms = batch.column("norm_sq").fill_null(np.nan if not nan_is_largest else 0.0).to_numpy(zero_copy_only=False)
+            if timed:
+                seconds = batch.column("elapsed_s").to_numpy()
+                for group, found in groups.items():
+                    own = spent.setdefault(group, [0, 0.0])
+                    own[0] += len(found)
+                    own[1] += float(seconds[found].sum())
+                if len(spent) > kept_rows:
+                    yield times()
+                    spent.clear()
             for group, found in groups.items():
                 asked = queries_of(group)
                 if asked is None:
@@ -287,6 +316,8 @@ def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_r
                     kept, held = {}, 0
         if kept:
             yield from handed_on()
+        if spent:
+            yield times()
     return run
 
 

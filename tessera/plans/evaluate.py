@@ -248,13 +248,21 @@ class DocumentEvaluation:
         return own + [name for name, given in self._given() if given.searches]
 
     def _in_task(self) -> bool:
-        """Whether all vectors are native ones that nobody counts or times: each step makes them in its own tasks, from
+        """Whether all vectors are native ones that nobody counts: each step makes them in its own tasks, from
         texts, so that vectors are neither written nor exchanged."""
-        return not (self._user_models() or self.o.given or self.o.observe or self.o.timed) and bool(self.o.models)
+        return not (self._user_models() or self.o.given or self.o.observe) and bool(self.o.models)
+
+    def _sentences_in_task(self) -> bool:
+        """:meth:`_in_task` for sentences; timed ones of documents with their own query sets are written."""
+        return self._in_task() and self.corpus.sentences is not None and not (
+            self.o.timed and self.corpus.per_document_queries)
 
     def _native(self, units: DataFrame) -> tuple[DataFrame, Callable]:
         return E.native_pass(units, self.o.models)
 
+    def _timed_native(self, units: DataFrame) -> tuple[DataFrame, Callable]:
+        return E.native_pass(units, self.o.models, timed=self.o.timed)
+
     def paragraph_texts(self) -> DataFrame:
         """The paragraphs as written once for the steps that embed them in their tasks."""
         def build():
@@ -264,10 +272,13 @@ class DocumentEvaluation:
         return self._get("paragraph_texts", build)
 
     # -- coherence -------------------------------------------------------
+    def _neighbour_pass(self) -> DataFrame:
+        return self._get("neighbour_pass", lambda: C.neighbour_pass(
+            self.paragraph_texts(), ranges=self.o.ranges, native=self._timed_native))
+
     def adjacent(self) -> DataFrame:
         if self._in_task():
-            return self._get("adjacent", lambda: C.adjacent_similarity(
-                self.paragraph_texts(), ranges=self.o.ranges, native=self._native))
+            return self._get("adjacent", lambda: C.neighbouring(self._neighbour_pass()))
         return self._get("adjacent", lambda: C.adjacent_similarity(
             self.materialized_paragraph_vectors(), ranges=self.o.ranges))
 
@@ -297,14 +308,17 @@ class DocumentEvaluation:
 
     def _top_in_blocks(self, **how) -> DataFrame:
         """The best sentences without an exchange of vectors; those of native models alone don't even leave their task."""
-        if not self._in_task() or self.corpus.sentences is None:
+        if not self._sentences_in_task():
             return R.top_k_in_blocks(self.sentence_vectors(), self.query_vectors(), **how)
-        words, embedding = E.native_pass(self.corpus.sentences, self.o.models, keep_text=True)
-        return R.top_k_in_blocks(words, self.query_vectors(), embedding=embedding, **how)
+        words, embedding = E.native_pass(self.corpus.sentences, self.o.models, keep_text=True, timed=self.o.timed)
+        found = R.top_k_in_blocks(words, self.query_vectors(), embedding=embedding, timed=self.o.timed, **how)
+        if self.o.timed:
+            found, self._cache["search_times"] = found
+        return found
 
     def _top_of_own_sets(self) -> DataFrame:
         """Each document's own query set: all sets as one block if they fit into one, else by tiles."""
-        if self._in_task() and self.corpus.sentences is not None:
+        if self._sentences_in_task():
             most = R.BLOCK_COMPONENTS // max(1, sum(m.dim for m in self.o.models))
             if self.corpus.queries.limit(most + 1).count() <= most:
                 kind = self.corpus.queries.schema["query_idx"].dataType
@@ -370,7 +384,8 @@ class DocumentEvaluation:
 
         The time is measured in the tasks: a unit's share of the batch it was
         embedded in, over the document's paragraphs, sentences and queries, and
-        the slowest load of the model.  A set of queries that all documents share
+        the slowest load of the model.  Native models embed in the pass that compares
+        the units, where it is measured; the contrast embeds its paragraphs once more, which is not in it.  A set of queries that all documents share
         counts for each, as does a text that several documents have, though it
         was embedded once.  The comparisons of vectors are not in it.
         Given vectors have no time.
@@ -381,7 +396,7 @@ class DocumentEvaluation:
         sums = [F.count(F.lit(1)).alias("n"), F.sum("elapsed_s").alias("s"), F.max("load_s").alias("load")]
         kinds = ["paragraph"] + ["sentence"] * (self.corpus.sentences is not None)
         own = self.corpus.queries is not None and self.corpus.per_document_queries
-        tables = [self._embedded(kind).groupBy(*keys).agg(*sums) for kind in kinds + ["query"] * own]
+        tables = [self._unit_times(kind, keys, sums) for kind in kinds + ["query"] * own]
         units = tables[0]
         for table in tables[1:]:
             units = units.unionByName(table)
@@ -394,6 +409,16 @@ class DocumentEvaluation:
                 (F.col("s") + F.coalesce("qs", F.lit(0.0))).alias("s"), F.greatest("load", "qload").alias("load"))
         return times.select(*keys, F.col("n").alias("n_embedded"), (F.col("s") + F.col("load")).alias("evaluation_time_seconds"))
 
+    def _unit_times(self, kind: str, keys: list[str], sums: list) -> DataFrame:
+        """``keys, n, s, load`` of one kind of units, from the pass that uses their vectors or the written ones."""
+        load = F.lit(0.0).alias("load")
+        if kind == "paragraph" and self._in_task():
+            return C.embedding_times(self._neighbour_pass()).select(*keys, "n", "s", load)
+        if kind == "sentence" and self._sentences_in_task() and self.corpus.queries is not None:
+            self.top3()
+            return self._cache["search_times"].select(*keys, "n", "s", load)
+        return self._embedded(kind).groupBy(*keys).agg(*sums)
+
     def total_times(self) -> DataFrame:
         """``model_name, n_docs, total_time_seconds``: the times of a model's documents that have a result, added up."""
         done = self.evaluated_docs().join(self.evaluation_times(), ["model_name", "doc"])

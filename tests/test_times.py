@@ -1,5 +1,6 @@
 """Times of a timed evaluation: those that the model took, by document."""
 
+import importlib
 import time
 
 import numpy as np
@@ -9,6 +10,7 @@ from tessera.operators import embed as E
 from tessera.plans import corpora as CO
 from tessera.plans import pair_eval as PE
 from tessera.plans.evaluate import DocumentEvaluation, Options
+from tessera.plans.registry import finalize
 from tessera.sources import results_io as IO
 
 NAP = 0.02
@@ -84,3 +86,26 @@ def test_comparison_shows_measured_times(spark):
                                    "model_name string, load_time_seconds double, average_embedding_time_seconds double")
     got = [tuple(r)[1:] for r in PE.comparison_display(table, timing).orderBy("model_order").collect()]
     assert got == [("native", "0.1235", "1.0000", 64, None, None), ("own", "-0.0000", None, 3, "1.00", "0.0313")]
+
+
+def test_timed_native_models_exchange_no_vectors(spark, monkeypatch):
+    rows = [("a", i, f"Paragraph {i} of the document has a sentence. And it has another one, about as long.") for i in range(40)] + [
+        ("b", 0, "One paragraph alone, with a single sentence.")]
+    units = spark.createDataFrame(rows, "doc string, major long, text string").selectExpr(
+        "doc", "string(major div 5) section", "major", "0L minor", "text")
+    corpus = CO.Corpus("own", units, CO.P.sentence_units(units), CO.Q.default_queries(spark))
+    written = []
+    for module in ("evaluate", "operators.search", "operators.coherence", "operators.contrast", "operators.embed"):
+        module = importlib.import_module(f"tessera.{'plans.' if module == 'evaluate' else ''}{module}")
+        former = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, f=former: written.append((name, df.columns)) or f(df, name))
+    timed, plain = (DocumentEvaluation(corpus, Options(timed=t, ranges=3)) for t in (True, False))
+    got = timed.results().drop("n_embedded", "evaluation_time_seconds")
+    vectors = {name for name, columns in written if "vec" in columns}
+    assert vectors <= {"adjacent", "query-vectors", "timed-query"}  # of a range its first and last, and the queries
+    key = ["model_name", "doc"]
+    assert finalize(got, 9).orderBy(key).collect() == finalize(plain.results().select(got.columns), 9).orderBy(key).collect()
+    times = {(r.model_name, r.doc): r for r in timed.evaluation_times().collect()}
+    assert {k: r.n_embedded for k, r in times.items()} == {
+        (m.name, d): n for m in E.NATIVE_MODELS for d, n in (("a", 40 + 80 + 7), ("b", 1 + 1 + 7))}
+    assert all(r.evaluation_time_seconds > 0 for r in times.values())
