@@ -14,8 +14,8 @@ pass goes over them.  A document of at most ``small_max`` vectors is scored with
 one ``U U^T`` (bounded: at most ``small_max^2/2`` pairs, never materialised as
 rows), as is each section of at most that many; larger ones add up ``sum u`` and
 ``sum u u^T`` batch by batch, so that no group is ever held by a task.  A document of more than
-``rows_per_partial`` vectors is dealt out by its sections, and a section of more
-than that by chunks of about that many rows.  Each task gives one Gram matrix
+``rows_per_partial`` vectors is dealt out by its sections in parts of about that many rows, and a section of more
+than that by chunks of as many.  Each task gives one Gram matrix
 of what it has of such a group, in pieces, which are added piece by piece.
 Cross-section numbers are ``document - within-section``; where a document has
 few cross pairs among very many, that difference has fewer exact digits.
@@ -269,11 +269,12 @@ def _dealt(vecs: DataFrame, keys: list[str], rows_per_partial: int, small_max: i
     tagged = (vecs.join(documents, keys, "left").join(sections, [*keys, "section"], "left")
               .withColumn("dealt", F.col("n").isNotNull()).withColumn("dealt_section", F.col("n_section").isNotNull()))
     chunks = F.ceil(F.coalesce("n_section", F.lit(1)) / F.lit(rows_per_partial)).cast("long")
-    part = F.when(F.col("dealt"), F.xxhash64("section"))
+    shares = F.ceil(F.col("n") / F.lit(rows_per_partial)).cast("long")
+    part = F.when(F.col("dealt"), F.pmod(F.xxhash64("section"), shares))
     # rows of no section are dealt by themselves
     alone = F.col("dealt") & F.col("section").isNull()
     salt = F.when(F.col("dealt_section") | alone, F.pmod(F.xxhash64("major", "minor"), F.when(
-        alone, F.ceil(F.col("n") / F.lit(rows_per_partial)).cast("long")).otherwise(chunks))).otherwise(F.lit(0).cast("long"))
+        alone, shares).otherwise(chunks))).otherwise(F.lit(0).cast("long"))
     return (tagged.withColumn("part", part).withColumn("salt", salt)
             .repartition(*keys, "part", "salt").sortWithinPartitions(*keys, "section").drop("part", "salt", "n", "n_section"))
 

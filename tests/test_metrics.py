@@ -275,3 +275,20 @@ def test_a_similarity_that_is_no_number_keeps_its_place(spark):
     key = lambda d: sorted((r["rank"], r.major, repr(r.similarity)) for r in d.collect())
     want = key(R.top_k(R.query_sentence_similarity(s, q, False), 5))
     assert key(R.top_k_in_blocks(s, q, 5, nan_is_largest=True)) == want
+
+
+def test_a_dealt_document_has_parts_by_its_size(spark):
+    """Each part gives a Gram matrix: their number must not grow with that of the tasks."""
+    rows = spark.range(0, 1000, 1, 4).selectExpr("'a' doc", "string(id div 5) section", "id major", "0L minor", "id value")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        dealt = K._dealt(rows, ["doc"], 100, 64).select("value", "section", "dealt", "dealt_section",
+                                                        F.spark_partition_id().alias("part")).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert sorted(r.value for r in dealt) == list(range(1000)) and all(r.dealt and not r.dealt_section for r in dealt)
+    assert 1 < len({r.part for r in dealt}) <= 10
+    assert len({(r.part, r.section) for r in dealt}) == 200
