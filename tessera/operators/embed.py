@@ -21,6 +21,7 @@ Two kinds of models:
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import time
 from dataclasses import dataclass
@@ -274,11 +275,14 @@ def python_hashing_factory(model_id: str):
     dim = int(model_id.rsplit("-", 1)[-1])
     word = _re.compile(r"[^\W]+")
 
+    @functools.lru_cache(maxsize=1 << 16)
+    def bucket(w):
+        return int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim
+
     def embed(texts):
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in word.findall((t or "").lower()):
-                out[i, int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim] += 1
+            out[i] = np.bincount([bucket(w) for w in word.findall((t or "").lower())], minlength=dim)
         return out
     return embed
 

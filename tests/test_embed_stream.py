@@ -7,6 +7,7 @@ import tempfile
 import time
 
 import numpy as np
+import pytest
 from conftest import SAMPLE_DOC
 from pyspark.sql import functions as F
 
@@ -191,3 +192,22 @@ def test_the_ingest_reads_a_table_of_many_files(spark, tmp_path):
         assert {r.document_name for r in history.where(F.col("phase") == 1).collect()} == want
         assert registry()["latest_run"](spark, folder).first().last_document == max(want)
         assert registry()["stream_ingest"](spark, folder).columns == ["doc", "model_name", "avg_coherence", "overall_score"]
+
+
+def test_a_stand_in_model_hashes_a_word_once(monkeypatch):
+    asked, md5 = [], hashlib.md5
+    monkeypatch.setattr(E.hashlib, "md5", lambda b: asked.append(b) or md5(b))
+    got = E.python_hashing_factory("hashing/md5-64")(["One two one", "two", "", None])
+    assert sorted(asked) == [b"one", b"two"]
+    assert got.dtype == "float32" and got.sum(axis=1).tolist() == [3, 1, 0, 0] and (got[1] <= got[0]).all()
+
+
+def test_models_that_fail_on_digits_and_questions():
+    from tessera.plans import registry as R
+    for kind, fails, passes in (("digits", ["a1", "9", "x\n0"], ["a?", "", "\u0663", "a\n"]),
+                                ("questions", ["?", "a?"], ["?a", "a?\n", "", "1"])):
+        embed = R._picky_factory(kind)
+        assert embed(passes).shape == (len(passes), 64)
+        for text in fails:
+            with pytest.raises(ValueError, match=f"fails on {kind}"):
+                embed(["plain", text])
