@@ -117,3 +117,13 @@ def test_crc_of_pieces(spark):
     for r in rows[:50]:
         ids = np.array([*WORD.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], dtype="<u4")
         assert zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32
+
+
+def test_ids_of_older_words_are_not_merged_again(monkeypatch):
+    own = packing.WordEncoder(vocabulary("word_bpe_49k.json"))
+    own.words.limit, merged, encode = 4, [], own.merger.encode
+    monkeypatch.setattr(own.merger, "encode", lambda words: merged.extend(words) or encode(words))
+    texts = ["alpha beta gamma", "delta epsilon zeta", "Alpha, beta!", "\u00c4pfel \u2603 alpha"]
+    got = [own.encode([t])[0] for t in texts]
+    assert len(merged) == len(set(merged)) and {b"alpha", b"zeta", b"!"} <= set(merged)
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [WORD.encode(t, add_special_tokens=False).ids for t in texts]
