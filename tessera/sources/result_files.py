@@ -6,6 +6,8 @@ of its own, of at most ``rowsPerFile`` lines (100,000).  Nothing of a write can
 be read before its commit, which lists the files in a manifest of the next
 number; readers take the last manifest.  So a write that fails or is aborted
 leaves the former results as they were, and a task that ran twice counts once.
+Until then the files lie in a folder of that write, which only the driver makes and
+deletes: a task that is still at work after an abort can't leave one behind.
 
 ``overwrite`` lists the new files alone, ``append`` adds them to the former ones.
 The files that only the manifest before the last one named are deleted with the
@@ -35,6 +37,7 @@ from .results_io import from_json_documents, to_json_documents
 
 SCHEMA = "doc string, results_json string"
 MANIFEST = re.compile(r"_manifest-(\d+)\.json")
+WRITING = "_writing-"
 LINES_A_BATCH = 1000
 
 
@@ -50,6 +53,22 @@ def _names(storage: fs.FileSystem, folder: str) -> list[str]:
     return [f.base_name for f in storage.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.is_file]
 
 
+def _drop_writing(storage: fs.FileSystem, folder: str) -> None:
+    """Delete the folders of writes, also one that a task puts a file in meanwhile."""
+    for found in storage.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        for last in (False, False, True):
+            if found.is_file or not found.base_name.startswith(WRITING):
+                break
+            try:
+                storage.delete_dir(found.path)
+                break
+            except FileNotFoundError:
+                break
+            except OSError:
+                if last:
+                    raise
+
+
 def _manifests(storage: fs.FileSystem, folder: str) -> list[int]:
     return sorted(int(m[1]) for name in _names(storage, folder) if (m := MANIFEST.fullmatch(name)))
 
@@ -73,17 +92,21 @@ class ResultWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool, rows_per_file: int):
         self.path, self.overwrite, self.rows_per_file = path, overwrite, rows_per_file
         self.write_id = uuid.uuid4().hex
+        storage, folder = _storage(path)
+        storage.create_dir(f"{folder}/{self._own()}", recursive=True)
+
+    def _own(self) -> str:
+        return f"{WRITING}{self.write_id}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         storage, folder = _storage(self.path)
-        storage.create_dir(folder, recursive=True)
         done, out, lines = Written(), None, 0
         try:
             for batch in iterator:
                 for doc, results in zip(batch.column("doc").to_pylist(), batch.column("results_json").to_pylist()):
                     if out is None:
                         done.files.append(f"part-{self.write_id}-{uuid.uuid4().hex}.jsonl")
-                        out, lines = storage.open_output_stream(f"{folder}/{done.files[-1]}"), 0
+                        out, lines = storage.open_output_stream(f"{folder}/{self._own()}/{done.files[-1]}"), 0
                     out.write(f'{{"doc": {json.dumps(doc)}, "results": {results or "{}"}}}\n'.encode())
                     lines += 1
                     if lines == self.rows_per_file:
@@ -96,12 +119,13 @@ class ResultWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         storage, folder = _storage(self.path)
-        storage.create_dir(folder, recursive=True)
         numbers = _manifests(storage, folder)
         former = _listed(storage, folder, numbers[-1]) if numbers else []
         new = [name for m in messages if m is not None for name in m.files]
         files = new if self.overwrite else former + new
-        hidden = f"{folder}/_writing-{self.write_id}"
+        for name in new:
+            storage.move(f"{folder}/{self._own()}/{name}", f"{folder}/{name}")
+        hidden = f"{folder}/{self._own()}/manifest"
         with storage.open_output_stream(hidden) as f:
             f.write(json.dumps({"files": files}).encode())
         storage.move(hidden, f"{folder}/_manifest-{numbers[-1] + 1 if numbers else 0}.json")
@@ -109,12 +133,14 @@ class ResultWriter(DataSourceArrowWriter):
         older = [f"_manifest-{n}.json" for n in numbers[:-1]]
         for name in older + [n for n in _names(storage, folder) if n.startswith("part-") and n not in needed]:
             storage.delete_file(f"{folder}/{name}")
+        _drop_writing(storage, folder)
 
     def abort(self, messages: list[Written | None]) -> None:
         storage, folder = _storage(self.path)
-        for name in _names(storage, folder):
+        for name in _names(storage, folder):  # moved by a commit that failed
             if self.write_id in name:
                 storage.delete_file(f"{folder}/{name}")
+        _drop_writing(storage, folder)
 
 
 class ResultReader(DataSourceReader):

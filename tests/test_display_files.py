@@ -5,6 +5,7 @@ import random
 import struct
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,17 @@ def test_an_aborted_write_leaves_the_former_results(spark, tmp_path):
             broken.write.format("tessera_results").mode(mode).save(path)
         assert sorted(os.listdir(path)) == before
     assert _found(spark, path) == _want(["a", "b"], 0.75)
+
+
+def test_a_task_at_work_after_an_abort_leaves_nothing(tmp_path):
+    path = str(tmp_path / "late")
+    writer = RF.ResultWriter(path, True, 1)
+    batch = pa.RecordBatch.from_pydict({"doc": ["a"], "results_json": ["{}"]})
+
+    def rows():
+        yield batch
+        writer.abort([])
+        yield batch
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert os.listdir(path) == []
