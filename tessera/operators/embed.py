@@ -59,21 +59,23 @@ def _ddl(df: DataFrame, drop: set[str]) -> str:
                      if f.name not in drop)
 
 
-def _batch_hashes(tokens: pa.Array) -> np.ndarray:
-    """md5 bucket hash of every token of a batch, computing each distinct
-    token once (word frequencies are heavily skewed, so a batch of ~100k
+def _batch_hashes(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """md5 bucket hashes of the distinct tokens of a batch, and each token's
+    place among them (word frequencies are heavily skewed, so a batch of ~100k
     tokens has a few thousand distinct ones)."""
     if len(tokens) == 0:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
     enc = pc.dictionary_encode(tokens)
     if isinstance(enc, pa.ChunkedArray):
         enc = enc.combine_chunks()
     uniq = [int(hashlib.md5(t.encode("utf-8")).hexdigest()[:7], 16) for t in enc.dictionary.to_pylist()]
-    return np.asarray(uniq, dtype=np.int64)[enc.indices.to_numpy(zero_copy_only=False)]
+    return np.asarray(uniq, dtype=np.int64), enc.indices.to_numpy(zero_copy_only=False)
 
 
 #: Vector components that one step of the embedding makes: its arrays are some MB, whatever the Arrow batch.
 STEP_COMPONENTS = 1 << 19
+#: Words that are counted at a time: the rows of a step may have millions.
+STEP_WORDS = 1 << 18
 
 
 def _bincount(batches, keep: list[str], models: list[tuple[str, int]], timed: bool = False):
@@ -86,17 +88,34 @@ def _bincount(batches, keep: list[str], models: list[tuple[str, int]], timed: bo
             yield from _bincount_step(whole.slice(start, step), keep, models, timed)
 
 
-def _bincount_step(rb, keep: list[str], models: list[tuple[str, int]], timed: bool):
-    n = rb.num_rows
+def _counts(lists: pa.ListArray, models: list[tuple[str, int]]) -> tuple[list[np.ndarray], list[float]]:
+    """For each model the bucket counts of all rows, a step of words at a time, and the seconds that they took."""
+    n = len(lists)
     began = time.perf_counter()
-    lists = rb.column("tokens")
     lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = _batch_hashes(lists.flatten())
-    rows = np.repeat(np.arange(n), lens)
+    ends = np.cumsum(lens)
+    uniq, words = _batch_hashes(lists.flatten())
     hashing = (time.perf_counter() - began) / max(len(models), 1)
-    for name, dim in models:
+    counts, spent = [0] * len(models), [hashing] * len(models)
+    for start in range(0, max(len(words), 1), STEP_WORDS):
+        began = time.perf_counter()
+        hashes = uniq[words[start:start + STEP_WORDS]]
+        own = np.minimum(ends, start + len(hashes)) - np.maximum(ends - lens, start)
+        rows = np.repeat(np.arange(n), np.maximum(own, 0))
+        shared = (time.perf_counter() - began) / max(len(models), 1)
+        for i, (_, dim) in enumerate(models):
+            began = time.perf_counter()
+            counts[i] = counts[i] + np.bincount(rows * dim + hashes % dim, minlength=n * dim)
+            spent[i] += shared + time.perf_counter() - began
+    return counts, spent
+
+
+def _bincount_step(rb, keep: list[str], models: list[tuple[str, int]], timed: bool):
+    n = rb.num_rows
+    counts, spent = _counts(rb.column("tokens"), models)
+    for i, (name, dim) in enumerate(models):
         began = time.perf_counter()
-        dense = np.bincount(rows * dim + hashes % dim, minlength=n * dim).astype(np.float32)
+        dense = counts[i].astype(np.float32)
         mat = dense.reshape(n, dim)
         norm_sq = np.einsum("ij,ij->i", mat, mat, dtype=np.float64)
         mask = mat > 0
@@ -112,7 +131,7 @@ def _bincount_step(rb, keep: list[str], models: list[tuple[str, int]], timed: bo
                  pa.array(norm_sq)]
         names = keep + ["model_name", "dim", "vec", "nz", "norm_sq"]
         if timed:
-            cols.append(pa.array(np.full(n, (hashing + time.perf_counter() - began) / max(n, 1))))
+            cols.append(pa.array(np.full(n, (spent[i] + time.perf_counter() - began) / max(n, 1))))
             names = names + ["elapsed_s"]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialise
+from ..session import materialise, small_table
 from ..sources import literals as L
 
 QUERY_SCHEMA = "query_idx int, query string, keywords array<string>"
@@ -54,7 +54,7 @@ def topic_queries(parsed: DataFrame) -> DataFrame:
 def default_queries(spark: SparkSession) -> DataFrame:
     """The 7-query default set (a fixed literal, safe to broadcast)."""
     rows = [(i, q, kws) for i, (q, kws) in enumerate(L.DEFAULT_QUERIES)]
-    return spark.createDataFrame(rows, QUERY_SCHEMA)
+    return small_table(spark, rows, QUERY_SCHEMA)
 
 
 def custom_queries(df: DataFrame, query_col: str = "query", keywords_col: str = "keywords",

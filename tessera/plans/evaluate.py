@@ -23,7 +23,7 @@ from ..operators import embed as E
 from ..operators import score as S
 from ..operators import search as R
 from ..sources import literals as L
-from ..session import materialise
+from ..session import materialise, small_table
 from .corpora import Corpus
 
 
@@ -89,7 +89,7 @@ def models_for_flag(requests: DataFrame, flag_col: str, full: list, reduced: lis
 
 def model_table(spark, models) -> DataFrame:
     rows = [(i, m.name, m.model_id, getattr(m, "dim", None)) for i, m in enumerate(models)]
-    return spark.createDataFrame(rows, "model_order int, model_name string, model_id string, dim int")
+    return small_table(spark, rows, "model_order int, model_name string, model_id string, dim int")
 
 
 class DocumentEvaluation:

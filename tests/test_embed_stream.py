@@ -5,13 +5,18 @@ import os
 import re
 import tempfile
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SAMPLE_DOC
 from pyspark.sql import functions as F
 
 from tessera.operators import embed as E
+from tessera.operators import queries as Q
+from tessera.plans.evaluate import model_table
+from tessera.sources import literals as L
 
 WORD = re.compile(r"[^\W]+", re.UNICODE)
 
@@ -34,6 +39,41 @@ def test_hashing_matches_python(spark):
         assert r.nz == [int(i) for i in np.nonzero(want)[0]]
 
 
+def test_long_texts_take_no_more_memory_than_a_step():
+    rng = np.random.default_rng(3)
+    lens = [0, 3, E.STEP_WORDS + 1, 0, 900_000, 17, 2 * E.STEP_WORDS, 0]
+    words = [np.array([f"w{i}" for i in range(500)], dtype=object)[rng.integers(0, 500, n)].tolist() for n in lens]
+    tokens = pa.array([None if i == 3 else w for i, w in enumerate(words)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lens))), tokens], names=["id", "tokens"])
+    tracemalloc.start()
+    got = list(E._bincount([batch.slice(1)], ["id"], [("a", 64), ("b", 256)], timed=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * 8 * E.STEP_WORDS     # 1.7 million words, 14 MB for each array of a number a word
+    hashes = {w: int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in words[4]}
+    assert [rb.column("model_name")[0].as_py() for rb in got] == ["a", "b"]
+    for rb, dim in zip(got, (64, 256)):
+        assert rb.column("id").to_pylist() == list(range(1, len(lens)))
+        want = [np.bincount([hashes[w] % dim for w in own], minlength=dim) for own in words[1:]]
+        assert rb.column("vec").to_pylist() == [w.tolist() for w in want]
+        assert rb.column("nz").to_pylist() == [np.flatnonzero(w).tolist() for w in want]
+        assert rb.column("norm_sq").to_pylist() == [float((w * w).sum()) for w in want]
+        assert min(rb.column("elapsed_s").to_pylist()) > 0
+
+
+def test_literal_tables_need_no_python_worker(spark, capsys):
+    models = model_table(spark, [E.HASH_64, E.PandasModel("own", "given", None)])
+    assert [tuple(r) for r in models.collect()] == [(0, "hash-64", "hashing/md5-64", 64), (1, "own", "given", None)]
+    assert models.schema.simpleString() == "struct<model_order:int,model_name:string,model_id:string,dim:int>"
+    queries = Q.default_queries(spark)
+    assert [tuple(r) for r in queries.collect()] == [(i, q, list(kws)) for i, (q, kws) in enumerate(L.DEFAULT_QUERIES)]
+    capsys.readouterr()
+    for table in (models, queries, model_table(spark, [])):
+        assert all(f.nullable for f in table.schema.fields)
+        table.explain()
+        assert "ExistingRDD" not in capsys.readouterr().out
+
+
 def test_pandas_model_and_failures(spark):
     # defined inside the test so that it is pickled by value
     def _toy_factory(model_id):
