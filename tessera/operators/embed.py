@@ -14,14 +14,15 @@ Two kinds of models:
   ``distinct`` over texts would cost a full shuffle to save a hash.
 * **User models** (``PandasModel``): a factory ``model_id -> callable(list[str])
   -> ndarray`` loaded once per task.  Inference is expensive, so each distinct
-  text is embedded once per model (``distinct`` on a text hash, then joined
-  back), in Arrow batches.  A failure becomes an ``error`` row instead of
-  killing the job; time spent is reported per row for timing aggregates.
+  text is embedded once per model: units are dealt out and sorted by text, one
+  exchange for all models, and the pass embeds a run of equal texts once.  Texts
+  that very many units have are embedded apart and joined back.  A failure becomes
+  an ``error`` row instead of killing the job; time spent is reported per row for
+  timing aggregates.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import time
 from dataclasses import dataclass
@@ -169,7 +170,7 @@ def vectors_from_array(df: DataFrame, model_name: str, vec_col: str = "embedding
 
 
 # ---------------------------------------------------------------------------
-# user models through mapInPandas
+# user models through mapInArrow
 
 
 @dataclass(frozen=True)
@@ -193,41 +194,67 @@ def _attempt(embed, texts: list) -> tuple[list, list]:
     return [v for (v,), _ in alone], [e for _, (e,) in alone]
 
 
-def _embed_batches(model: PandasModel, measured: bool = False):
-    """Texts -> vectors; ``measured``: with ``nz`` and ``norm_sq``, null where there is no vector."""
+#: Rows that a step of a user's model takes: its arrays are some MB, whatever the Arrow batch.
+STEP_ROWS = 2048
+
+
+def _embedded_texts(embed, load_error: str | None, texts: list, batch_size: int) -> pa.RecordBatch:
+    """``vec, norm_sq, error, elapsed_s`` of each text."""
+    vecs, errors, spent = [], [], []
+    for start in range(0, len(texts), batch_size):
+        chunk = texts[start:start + batch_size]
+        began = time.time()
+        of_chunk, failed = ([None] * len(chunk), [load_error] * len(chunk)) if embed is None else _attempt(embed, chunk)
+        if len(of_chunk) != len(chunk):
+            raise ValueError(f"{len(of_chunk)} vectors for {len(chunk)} texts")
+        vecs += of_chunk
+        errors += failed
+        spent += [0.0 if embed is None else (time.time() - began) / len(chunk)] * len(chunk)
+    found = [v for v in vecs if v is not None]
+    flat = np.concatenate(found) if found else np.zeros(0, dtype=np.float32)
+    sizes = np.array([0 if v is None else len(v) for v in vecs], dtype=np.int64)
+    offsets = np.zeros(len(vecs) + 1, dtype=np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    missing = np.array([v is None for v in vecs], dtype=bool)
+    if found and len(found) == len(vecs) and (sizes == sizes[0]).all():
+        norm_sq = np.square(flat.reshape(len(vecs), -1), dtype=np.float64).sum(axis=1)
+    else:
+        norm_sq = np.array([np.nan if v is None else np.square(v, dtype=np.float64).sum() for v in vecs], dtype=np.float64)
+    return pa.RecordBatch.from_arrays(
+        [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float32()), mask=pa.array(missing)),
+         pa.array(norm_sq, pa.float64(), from_pandas=True), pa.array(errors, pa.string()), pa.array(spent, pa.float64())],
+        names=["vec", "norm_sq", "error", "elapsed_s"])
+
+
+def _user_pass(model: PandasModel, keep: list[str], text_col: str = "text"):
+    """Arrow batches of units -> their ``keep`` columns and those of ``OF_MODEL``.  Of neighbours with one text
+    (a null one counts as empty) the first is embedded, also across batches."""
     def run(batches):
-        t0 = time.time()
+        began = time.time()
         try:
-            embed = model.factory(model.model_id)
-            load_error = None
+            embed, load_error = model.factory(model.model_id), None
         except Exception as e:  # noqa: BLE001 -- a failing model becomes error rows
             embed, load_error = None, f"{type(e).__name__}: {e}"
-        load_s = time.time() - t0
-        import pandas as pd
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
-            out = pd.DataFrame({"text_key": pdf["text_key"], "model_name": model.name,
-                                "model_id": model.model_id, "load_s": load_s})
-            if load_error is not None:
-                out["vec"] = None
-                out["error"] = load_error
-                out["elapsed_s"] = 0.0
-                if measured:
-                    out["nz"], out["norm_sq"] = None, None
-                yield out
-                continue
-            for start in range(0, len(texts), model.batch_size):
-                chunk = texts[start:start + model.batch_size]
-                sub = out.iloc[start:start + model.batch_size].copy()
-                t1 = time.time()
-                sub["vec"], sub["error"] = _attempt(embed, chunk)
-                sub["elapsed_s"] = (time.time() - t1) / max(len(chunk), 1)
-                if measured:
-                    vecs = sub["vec"].tolist()
-                    sub["nz"] = [None if v is None else np.flatnonzero(v).astype(np.int32) for v in vecs]
-                    sub["norm_sq"] = pd.array([None if v is None else float(np.square(v, dtype=np.float64).sum()) for v in vecs],
-                                              dtype=pd.ArrowDtype(pa.float64()))
-                yield sub
+        load_s = time.time() - began
+        last = None     # the text of the row before, and what was made of it
+        for whole in batches:
+            for start in range(0, whole.num_rows, STEP_ROWS):
+                rb = whole.slice(start, STEP_ROWS)
+                n, text = rb.num_rows, pc.fill_null(rb.column(text_col), "")
+                new = np.ones(n, dtype=bool)
+                new[1:] = pc.not_equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                new[0] = last is None or text[0].as_py() != last[0]
+                made = _embedded_texts(embed, load_error, text.filter(pa.array(new)).to_pylist(), model.batch_size)
+                at = np.cumsum(new) - 1
+                if not new[0]:
+                    made, at = pa.Table.from_batches([last[1], made]).combine_chunks().to_batches()[0], at + 1
+                last = text[n - 1].as_py(), made.slice(int(at[-1])).take(pa.array([0]))   # a copy, so that the rest can go
+                if len(made) < n or not new[0]:
+                    made = made.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [*(rb.column(c) for c in keep), pa.array(np.full(n, model.name, dtype=object), type=pa.string()),
+                     pa.array(np.full(n, load_s)), *made.columns],
+                    names=[*keep, "model_name", "load_s", *made.schema.names])
     return run
 
 
@@ -236,10 +263,17 @@ def embed_texts(units: DataFrame, model: PandasModel, text_col: str = "text") ->
 
     ``elapsed_s`` is a text's share of the time of the batch it was embedded in.
     """
-    return _distinct_texts(units, text_col).mapInPandas(_embed_batches(model), EMBEDDED)
+    return _with_model(_distinct_texts(units, text_col), model, ["text_key"]).select(
+        "text_key", "model_name", F.lit(model.model_id).alias("model_id"), "load_s", "vec", "error", "elapsed_s")
 
 
-EMBEDDED = "text_key string, model_name string, model_id string, load_s double, vec array<float>, error string, elapsed_s double"
+OF_MODEL = "model_name string, load_s double, vec array<float>, norm_sq double, error string, elapsed_s double"
+
+
+def _with_model(rows: DataFrame, model: PandasModel, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The rows' ``keep`` columns and those of ``OF_MODEL``."""
+    kept = ", ".join([_ddl(rows.select(*keep), set()), OF_MODEL]) if keep else OF_MODEL
+    return rows.select(*keep, *[text_col] * (text_col not in keep)).mapInArrow(_user_pass(model, keep, text_col), kept)
 
 
 def _distinct_texts(units: DataFrame, text_col: str) -> DataFrame:
@@ -251,58 +285,125 @@ def _text_key(text_col: str) -> Column:
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
 
 
-def embed_with_model(units: DataFrame, model: PandasModel, text_col: str = "text") -> DataFrame:
-    """Embed each distinct text once, then join vectors back to the units.
+#: Units with one text that a task takes together; the vector of a text that more have is joined to them.
+HOT_ROWS = 1 << 16
+
+
+def _by_text(units: DataFrame, text_col: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The units dealt out and sorted by text, all with one text in one task; those whose text more than ``hot_rows``
+    have (or one of the same 64 bits) apart, None if there are none."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = units.withColumn("text_hash", F.xxhash64(text))
+    hot = materialise(keyed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+                      .select("text_hash"), "hot-texts")
+    apart = None
+    if not hot.isEmpty():   # one in hot_rows units at most
+        keyed, apart = keyed.join(hot, "text_hash", "left_anti"), keyed.join(hot, "text_hash", "left_semi").drop("text_hash")
+    return keyed.repartition("text_hash").sortWithinPartitions("text_hash", text).drop("text_hash"), apart
+
+
+def user_passes(units: DataFrame, models: list[PandasModel], text_col: str = "text", keep_text: bool = False,
+                hot_rows: int = HOT_ROWS) -> list[tuple[DataFrame, Callable | None]]:
+    """For each of the user's models the units, dealt out by text, and the pass over Arrow batches of them that gives
+    their rows with the model: the unit's columns and ``OF_MODEL``.  The units of all models are one exchange.  Where the
+    pass is None, the table has the rows themselves: those of texts that very many units have."""
+    keys = [c for c in units.columns if c != text_col or keep_text]
+    dealt, apart = _by_text(units, text_col, hot_rows)
+    passes: list = [(dealt.select(*keys, *[text_col] * (not keep_text)), _user_pass(m, keys, text_col)) for m in models]
+    if apart is not None:
+        texts = materialise(_distinct_texts(apart, text_col), "hot-texts")
+        apart = apart.withColumn("text_key", _text_key(text_col))
+        for m in models:
+            rows = apart.join(_with_model(texts, m, ["text_key"]), "text_key")
+            passes.append((rows.select(*keys, *(c.split()[0] for c in OF_MODEL.split(", "))), None))
+    return passes
+
+
+def _with_models(units: DataFrame, models: list[PandasModel], text_col: str, keep_text: bool, hot_rows: int) -> DataFrame:
+    kept = _ddl(units, set() if keep_text else {text_col})
+    out = None
+    for rows, run in user_passes(units, models, text_col, keep_text, hot_rows):
+        part = rows if run is None else rows.mapInArrow(run, f"{kept}, {OF_MODEL}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nonzero() -> Column:
+    """``nz`` of the ``vec`` of a user's model, null where it has none."""
+    return F.when(F.col("vec").isNotNull(), V.nonzero_indices(F.col("vec")))
+
+
+def embed_with_model(units: DataFrame, model: PandasModel, text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Each distinct text is embedded once, by the task that has all units with it.
 
     Returns the units with ``model_name, model_id, dim, vec, nz, norm_sq,
     error, elapsed_s, load_s``; failed texts keep ``vec`` NULL and ``error`` set.
     """
-    vecs = _distinct_texts(units, text_col).mapInPandas(
-        _embed_batches(model, measured=True), f"{EMBEDDED}, nz array<int>, norm_sq double").withColumn("dim", F.size("vec"))
-    return units.withColumn("text_key", _text_key(text_col)).join(vecs, "text_key").drop("text_key")
+    rows = _with_models(units, [model], text_col, True, hot_rows)
+    return rows.select(*units.columns, "model_name", F.lit(model.model_id).alias("model_id"), "load_s", "vec", "error",
+                       "elapsed_s", _nonzero().alias("nz"), "norm_sq", F.size("vec").alias("dim"))
 
 
 def embed(units: DataFrame, models: list, text_col: str = "text", keep_text: bool = False,
-          timed: bool = False) -> DataFrame:
+          timed: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every unit with every model, native ones and the user's: the columns of
     :func:`embed_native` and ``error``.  The user's models run once, their
     vectors are written and read back.  ``timed``: also ``elapsed_s`` of each unit and
     ``load_s``, how long its task took to load the model (0 for native ones)."""
     native = [m for m in models if isinstance(m, HashingModel)]
+    own = [m for m in models if not isinstance(m, HashingModel)]
     parts = [embed_native(units, native, text_col, keep_text, timed).withColumn("error", F.lit(None).cast("string"))] \
         if native or not models else []
     times = ["elapsed_s", "load_s"] if timed else []
     if timed and parts:
         parts = [parts[0].withColumn("load_s", F.lit(0.0))]
     keys = [c for c in units.columns if c != text_col or keep_text]
-    for m in models:
-        if not isinstance(m, HashingModel):
-            parts.append(materialise(embed_with_model(units, m, text_col).select(
-                *keys, "model_name", "dim", "vec", "nz", "norm_sq", "error", *times), "model-vectors"))
+    if own:
+        written = materialise(_with_models(units, own, text_col, keep_text, hot_rows).select(
+            *keys, "model_name", "vec", "norm_sq", "error", *times), "model-vectors")
+        parts.append(written.select(*keys, "model_name", F.size("vec").alias("dim"), "vec", _nonzero().alias("nz"), "norm_sq",
+                                    "error", *times))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+class _Buckets(dict):
+    """Buckets of the words met lately."""
+
+    def __init__(self, dim: int, most: int = 1 << 17):
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        bucket = self[word] = (int.from_bytes(hashlib.md5(word.encode("utf-8")).digest()[:4], "big") >> 4) % self.dim
+        return bucket
+
+
 def python_hashing_factory(model_id: str):
     """A user-model factory that renders the hashing rule in plain Python
     (``model_id`` = ``hashing/md5-<dim>``).  It stands in for an external
-    inference library in the ``mapInPandas`` path and must give the same
+    inference library in the ``mapInArrow`` path and must give the same
     vectors as the native job."""
     import re as _re
+    from itertools import chain
     dim = int(model_id.rsplit("-", 1)[-1])
     word = _re.compile(r"[^\W]+")
+    buckets = _Buckets(dim)
+    # of ASCII texts the words stand between blanks once all else is one
+    plain = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in map(chr, range(128)))
 
-    @functools.lru_cache(maxsize=1 << 16)
-    def bucket(w):
-        return int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim
+    def words(text):
+        return text.translate(plain).split() if text.isascii() else word.findall(text.lower())
 
     def embed(texts):
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            out[i] = np.bincount([bucket(w) for w in word.findall((t or "").lower())], minlength=dim)
-        return out
+        found = [words(t or "") for t in texts]
+        places = np.fromiter(map(buckets.__getitem__, chain.from_iterable(found)), np.int64)
+        rows = np.repeat(np.arange(len(texts)) * dim, list(map(len, found)))
+        return np.bincount(places + rows, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float32)
     return embed
 
 

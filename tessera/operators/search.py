@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,20 +80,18 @@ def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.
     spark = sentence_vecs.sparkSession
     keys = ["model_name", "doc"] if per_document else ["model_name"]
     queries = materialise(query_vecs.select(*keys, "query_idx", "dim", "vec", "norm_sq"), "query-vectors")
-    size = queries.select(F.sum("dim")).first()[0] or 0
-    blocks = max(1, -(-size // block_components))
+    blocks = max(1, -(-_components(queries) // block_components))
     number = F.pmod(F.xxhash64("query_idx"), F.lit(blocks))
     rows = sentence_vecs if embedding else sentence_vecs.select("model_name", "doc", *SENT_ORDER, "text", "vec", "norm_sq")
     if blocks > 1:  # embedded once, read for each block; or the words, which are fewer
         rows = materialise(rows, "sentence-vectors")
-    shape = "model_name string, " + ", ".join(
-        f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc", *SENT_ORDER, "text"))
+    shape = _shape(rows)
     out = times = None
     for block in range(blocks):
         own = queries.where(number == block).select(*keys, "query_idx", "vec", "norm_sq").collect()
         sent = spark.sparkContext.broadcast(_query_matrices(own, keys))
         found = rows.mapInArrow(_best_of_task(sent, k, per_document, nan_is_largest, kept_rows, embedding, timed),
-                                f"{shape}, query_idx long, similarity double")
+                                shape)
         if timed:  # the times of the pass whose sentences are used: both are written together
             found = materialise(found, "timed-top")
             if times is None:  # each block embeds the sentences again
@@ -107,6 +106,39 @@ def top_k_in_blocks(sentence_vecs: DataFrame, query_vecs: DataFrame, k: int = L.
     return (out, times) if timed else out
 
 
+def _components(query_vecs: DataFrame) -> int:
+    return query_vecs.select(F.sum("dim")).first()[0] or 0
+
+
+def _shape(sentences: DataFrame) -> str:
+    """Schema of what a task finds in them."""
+    return "model_name string, " + ", ".join(
+        f"{c} {sentences.schema[c].dataType.simpleString()}" for c in ("doc", *SENT_ORDER, "text")) + \
+        ", query_idx long, similarity double"
+
+
+def fit_one_block(query_vecs: DataFrame) -> bool:
+    """Whether :func:`top_k_in_blocks` sends these queries to the tasks at once."""
+    return _components(query_vecs) <= BLOCK_COMPONENTS
+
+
+def top_k_of_passes(passes: list[tuple[DataFrame, Callable | None]], query_vecs: DataFrame, k: int = L.TOP_K,
+                    nan_is_largest: bool = False, kept_rows: int = KEPT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """:func:`top_k_in_blocks` of sentences that are embedded once (``embed.user_passes``) for queries of one block, and
+    ``model_name, doc, n_failed, error`` of sentences that a model failed on.  What the tasks find is written, the vectors are not."""
+    queries = query_vecs.select("model_name", "query_idx", "vec", "norm_sq").collect()
+    sent = query_vecs.sparkSession.sparkContext.broadcast(_query_matrices(queries, ["model_name"]))
+    found = None
+    for rows, embedding in passes:
+        best = rows.mapInArrow(_best_of_task(sent, k, False, nan_is_largest, kept_rows, embedding), _shape(rows))
+        found = best if found is None else found.unionByName(best)
+    found = materialise(found, "best-sentences")
+    sent.destroy()
+    failed = found.where(F.col("query_idx").isNull()).select(
+        "model_name", "doc", F.col("major").cast("long").alias("n_failed"), F.col("text").alias("error"))
+    return top_k(found.where(F.col("query_idx").isNotNull()), k), failed
+
+
 #: Sentences and queries of one document that are compared in one matrix product.
 TILE_SENTENCES = 4096
 TILE_QUERIES = 1024
@@ -238,15 +270,19 @@ def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_r
         kept: dict[tuple, list[np.ndarray]] = {}   # similarity, order, text of each (model, doc): a row for each query
         held = 0
         spent: dict[tuple, list] = {}              # sentences embedded and seconds of each (model, doc)
+        failed: dict[tuple, list] = {}             # sentences that a model failed on, and the least message
         schema = None
 
         def times() -> pa.RecordBatch:
-            """Rows without a query: number of sentences as ``major``, seconds as ``similarity``."""
-            n = len(spent)
-            values = {"model_name": [g[0] for g in spent], "doc": [g[1] for g in spent], "major": [v[0] for v in spent.values()]}
+            """Rows without a query: number of sentences as ``major``, seconds as ``similarity`` or message as ``text``."""
+            n = len(spent) + len(failed)
+            of = [*spent, *failed]
+            counts = [v[0] for v in (*spent.values(), *failed.values())]
+            values = {"model_name": [g[0] for g in of], "doc": [g[1] for g in of], "major": counts,
+                      "text": [None] * len(spent) + [v[1] for v in failed.values()]}
             arrays = [pa.array(values.get(c, [None] * n), schema.field(c).type) for c in ("model_name", "doc", *SENT_ORDER, "text")]
             return pa.RecordBatch.from_arrays(
-                [*arrays, pa.nulls(n, pa.int64()), pa.array([v[1] for v in spent.values()], pa.float64())],
+                [*arrays, pa.nulls(n, pa.int64()), pa.array([v[1] for v in spent.values()] + [None] * len(failed), pa.float64())],
                 names=["model_name", "doc", *SENT_ORDER, "text", "query_idx", "similarity"])
 
         def handed_on() -> Iterator[pa.RecordBatch]:
@@ -270,6 +306,15 @@ def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_r
 
         for batch in embedding(batches) if embedding else batches:
             schema = batch.schema
+            if "error" in schema.names and batch.column("error").null_count < len(batch):
+                lost = batch.column("error").is_valid()
+                for *group, error in zip(*(batch.column(c).filter(lost).to_pylist() for c in ("model_name", "doc", "error"))):
+                    of_group = failed.setdefault(tuple(group), [0, error])
+                    of_group[:] = of_group[0] + 1, min(of_group[1], error)
+                if len(failed) > kept_rows:
+                    yield times()
+                    spent.clear(), failed.clear()
+                batch = batch.filter(pc.invert(lost))
             groups: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("model_name", "doc")))):
                 groups.setdefault(key, []).append(i)
@@ -284,7 +329,7 @@ def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_r
                     own[1] += float(seconds[found].sum())
                 if len(spent) > kept_rows:
                     yield times()
-                    spent.clear()
+                    spent.clear(), failed.clear()
             for group, found in groups.items():
                 asked = queries_of(group)
                 if asked is None:
@@ -316,7 +361,7 @@ def _best_of_task(sent, k: int, per_document: bool, nan_is_largest: bool, kept_r
                     kept, held = {}, 0
         if kept:
             yield from handed_on()
-        if spent:
+        if spent or failed:
             yield times()
     return run
 

@@ -4,8 +4,9 @@ their blend, over any corpus binding.
 Stages: units -> vectors -> coherence (ordered ranges), contrast (pair
 statistics), search (best 3 of each query) -> one row per (model, doc).
 Native models embed in the tasks that use their vectors, so that texts are
-exchanged and not vectors; those of user models are written once and reused by
-the coherence and contrast branches.
+exchanged and not vectors; a user's model embeds each distinct text once: the
+vectors of paragraphs are written once and reused by the coherence and contrast
+branches, those of sentences are compared in the task that makes them.
 Shuffles are keyed by document (and block / section / query) only.
 """
 
@@ -156,8 +157,10 @@ class DocumentEvaluation:
         def build():
             vecs = self._embedded("paragraph")
             if self._user_models():
-                failed = vecs.where(F.col("error").isNotNull()).select("model_name", "doc").distinct()
-                vecs = vecs.where(F.col("error").isNull()).join(failed, ["model_name", "doc"], "left_anti")
+                failed = materialise(vecs.where(F.col("error").isNotNull()).select("model_name", "doc").distinct(), "failed-docs")
+                vecs = vecs.where(F.col("error").isNull())
+                if not failed.isEmpty():
+                    vecs = vecs.join(failed, ["model_name", "doc"], "left_anti")
             vecs = vecs.drop("error", *TIMES)
             for name, given in self._given():
                 table = given.paragraphs
@@ -186,16 +189,23 @@ class DocumentEvaluation:
                 if table is None or not self._user_models():
                     continue
                 own = "doc" in table.columns
-                rows = self._embedded(kind).where(F.col("error").isNotNull()).select(
+                counts = [F.count(F.lit(1)).alias("n_failed"), F.min("error").alias("error")]
+                if kind == "sentence" and self._searched_where_embedded():
+                    self.top3()
+                    failed = self._cache["failed_sentences"]
+                    counts = [F.sum("n_failed").alias("n_failed"), F.min("error").alias("error")]
+                else:
+                    failed = self._embedded(kind).where(F.col("error").isNotNull())
+                rows = failed.select(
                     "model_name", F.lit(not own).alias("every_doc"),
-                    (F.col("doc") if own else F.lit(None)).cast(key).alias("doc"), F.lit(kind).alias("unit_kind"), "error")
+                    (F.col("doc") if own else F.lit(None)).cast(key).alias("doc"), F.lit(kind).alias("unit_kind"), "error",
+                    *["n_failed"] * ("n_failed" in failed.columns)).groupBy("model_name", "every_doc", "doc", "unit_kind").agg(*counts)
                 ledger = rows if ledger is None else ledger.unionByName(rows)
             if ledger is None:
                 return self.corpus.paragraphs.sparkSession.createDataFrame(
                     [], f"model_name string, every_doc boolean, doc {key.simpleString()}, unit_kind string, "
                         "n_failed long, error string")
-            return materialise(ledger.groupBy("model_name", "every_doc", "doc", "unit_kind").agg(
-                F.count(F.lit(1)).alias("n_failed"), F.min("error").alias("error")), "failures")
+            return materialise(ledger, "failures")
         return self._get("failures", build)
 
     def failed_units(self) -> DataFrame:
@@ -207,13 +217,16 @@ class DocumentEvaluation:
         if not self._user_models():
             return rows
         ledger = self.failure_ledger()
+        if self._get("no_failures", ledger.isEmpty):
+            return rows
         everywhere = ledger.where("every_doc").select("model_name").distinct()
         somewhere = ledger.where("not every_doc").select("model_name", "doc").distinct()
         return (rows.join(everywhere, "model_name", "left_anti")
                     .join(somewhere, ["model_name", "doc"], "left_anti"))
 
     def materialized_paragraph_vectors(self) -> DataFrame:
-        if not self.o.materialize_vectors:
+        written = not (self.o.given or self.o.observe) and all(not isinstance(m, E.HashingModel) for m in self.o.models)
+        if not self.o.materialize_vectors or (written and self.o.models):
             return self.paragraph_vectors()
         return self._get("paragraph_vectors_mat", lambda: materialise(self.paragraph_vectors(), "paragraph-vectors"))
 
@@ -257,6 +270,18 @@ class DocumentEvaluation:
         return self._in_task() and self.corpus.sentences is not None and not (
             self.o.timed and self.corpus.per_document_queries)
 
+    def _searched_where_embedded(self) -> bool:
+        """Whether the sentences of the user's models are compared in the tasks that embed them, so that their vectors
+        are not written: where nothing else asks for them, and one block has all queries of a shared set."""
+        def build():
+            o, c = self.o, self.corpus
+            if (o.given or o.observe or o.timed or not o.models or any(isinstance(m, E.HashingModel) for m in o.models)
+                    or c.sentences is None or c.queries is None or c.per_document_queries
+                    or not (c.bounded_sets or self._shared_set()) or "embedded_sentence" in self._cache):
+                return False
+            return R.fit_one_block(self.query_vectors())
+        return self._get("searched_where_embedded", build)
+
     def _native(self, units: DataFrame) -> tuple[DataFrame, Callable]:
         return E.native_pass(units, self.o.models)
 
@@ -308,6 +333,10 @@ class DocumentEvaluation:
 
     def _top_in_blocks(self, **how) -> DataFrame:
         """The best sentences without an exchange of vectors; those of native models alone don't even leave their task."""
+        if self._searched_where_embedded():
+            passes = E.user_passes(self.corpus.sentences, self.o.models, keep_text=True)
+            found, self._cache["failed_sentences"] = R.top_k_of_passes(passes, self.query_vectors(), **how)
+            return found
         if not self._sentences_in_task():
             return R.top_k_in_blocks(self.sentence_vectors(), self.query_vectors(), **how)
         words, embedding = E.native_pass(self.corpus.sentences, self.o.models, keep_text=True, timed=self.o.timed)

@@ -652,7 +652,7 @@ def status_history(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------
-# user-model embedding job (mapInPandas): timing per model, rows-only check
+# user-model embedding job (mapInArrow): timing per model, rows-only check
 
 def _embedded(spark, sf_dir):
     conv = balance(read_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
