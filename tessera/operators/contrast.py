@@ -25,6 +25,7 @@ Numbers of pairs are exact: ``decimal(38,0)`` holds those of 1e19 vectors.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,32 +44,51 @@ PIECE = 1024
 
 
 class _Moments:
-    """``n``, ``sum |u|^2``, ``sum |u|^4``, ``sum u`` and ``sum u u^T`` of unit vectors."""
+    """``n``, ``sum |u|^2``, ``sum |u|^4``, ``sum u`` and ``sum u u^T`` of unit vectors.  Few rows wait until there are as
+    many as components: a step goes over the whole matrix."""
 
     def __init__(self, d: int):
         self.n, self.t, self.q, self.s, self.g = 0, 0.0, 0.0, np.zeros(d), np.zeros((d, d))
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
 
     def add(self, mat: np.ndarray) -> None:
-        squares = np.einsum("ij,ij->i", mat, mat)
         self.n += len(mat)
-        self.t += float(squares.sum())
-        self.q += float((squares * squares).sum())
-        self.s += mat.sum(axis=0)
-        self.g += mat.T @ mat
+        self.waiting.append(mat)
+        self.held += len(mat)
+        if self.held >= len(self.s):
+            self._step()
+
+    def _step(self) -> None:
+        if self.held:
+            mat = self.waiting[0] if len(self.waiting) == 1 else np.vstack(self.waiting)
+            self.waiting, self.held = [], 0
+            squares = np.einsum("ij,ij->i", mat, mat)
+            self.t += float(squares.sum())
+            self.q += float((squares * squares).sum())
+            self.s += mat.sum(axis=0)
+            self.g += mat.T @ mat
 
     def sums(self) -> tuple[float, float]:
+        self._step()
         return (float(self.s @ self.s) - self.t) / 2, (float((self.g * self.g).sum()) - self.q) / 2
 
     def pieces(self) -> list[tuple[int, np.ndarray]]:
         """``sum u`` as piece 0, the upper triangle of ``sum u u^T`` with off-diagonal cells scaled by sqrt 2 as the others."""
+        self._step()
         iu = np.triu_indices(len(self.s))
         cells = self.g[iu] * np.where(iu[0] == iu[1], 1.0, np.sqrt(2.0))
         cut = [(1 + i // PIECE, cells[i:i + PIECE]) for i in range(0, len(cells), PIECE)]
         return [(0, self.s)] + [(i, c) for i, c in cut if c.any()]
 
 
+@functools.lru_cache(maxsize=64)
+def _few_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, k=1)
+
+
 def _pairs(mat: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    iu = np.triu_indices(len(mat), k=1)
+    iu = _few_pairs(len(mat)) if len(mat) <= 64 else np.triu_indices(len(mat), k=1)
     return (mat @ mat.T)[iu], iu
 
 
