@@ -298,7 +298,9 @@ def _by_text(units: DataFrame, text_col: str, hot_rows: int) -> tuple[DataFrame,
                       .select("text_hash"), "hot-texts")
     apart = None
     if not hot.isEmpty():   # one in hot_rows units at most
-        keyed, apart = keyed.join(hot, "text_hash", "left_anti"), keyed.join(hot, "text_hash", "left_semi").drop("text_hash")
+        # written, as each model reads them
+        apart = materialise(keyed.join(hot, "text_hash", "left_semi").drop("text_hash"), "hot-units")
+        keyed = keyed.join(hot, "text_hash", "left_anti")
     return keyed.repartition("text_hash").sortWithinPartitions("text_hash", text).drop("text_hash"), apart
 
 
